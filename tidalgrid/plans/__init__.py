@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import Query
 
-FAMILIES = ["quality", "panel", "history"]
+FAMILIES = ["quality", "panel", "history", "discourse", "evaluation", "modeling", "anomalies", "decomposition"]
 
 
 def all_queries() -> list[Query]:

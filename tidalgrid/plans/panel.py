@@ -235,19 +235,19 @@ def unlabelled_pool(spark, d):
 @query(
     "O-52",
     sql=f"""WITH prof AS (SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, dayname(o_orderdate) AS dow, o_orderpriority AS pr,
-        avg(o_totalprice) AS speed, count(*) AS trips FROM orders WHERE year(o_orderdate) = 1997 GROUP BY ALL),
-      cal AS (SELECT CAST(unnest(generate_series(DATE '1997-01-01', DATE '1997-12-31', INTERVAL 1 DAY)) AS DATE) AS date)
+        avg(o_totalprice) AS speed, count(*) AS trips FROM orders GROUP BY ALL),
+      cal AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS date)
       SELECT strftime(date, '%Y-%m-%d') AS date, {q6('avg(speed)', 'avg_speed')}, {q6('coalesce(stddev_samp(speed), 0)', 'speed_std')},
         CAST(sum(trips) AS BIGINT) AS trips, count(*) AS observation_count FROM prof JOIN cal
         ON year(date) = prof.year AND month(date) = prof.month AND dayname(date) = prof.dow GROUP BY date""",
 )
 def expanded_profiles(spark, d):
-    o = table(spark, d, "orders").where(F.year("o_orderdate") == 1997)
+    o = table(spark, d, "orders")
     profile = o.groupBy(
         F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"),
         F.date_format("o_orderdate", "EEEE").alias("day_of_week"), "o_orderpriority",
     ).agg(F.avg("o_totalprice").alias("speed"), F.count(F.lit(1)).alias("n"))
-    days = P.profile_to_calendar(profile, "1997-01-01", "1997-12-31")
+    days = P.profile_to_calendar(profile, "1995-01-01", "2001-12-31")
     return rounded(P.harmonize(days, {"trips": "n"}, {"avg_speed": "speed"}, {"speed_std": "speed"}, key=["date"]))
 
 

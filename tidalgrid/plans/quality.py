@@ -306,13 +306,13 @@ def service_time_span(spark, d):
 @query(
     "O-21",
     sql="""WITH days AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1, 2),
-      cal AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1997-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
+      cal AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
       k AS (SELECT o_custkey, CAST(sum(n) AS BIGINT) AS total_rows FROM days GROUP BY 1),
       miss AS (SELECT k.o_custkey, cal.day FROM k, cal EXCEPT SELECT o_custkey, day FROM days),
       isl AS (SELECT o_custkey, day, day - CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY day) AS INTEGER) AS g FROM miss),
       runs AS (SELECT o_custkey, count(*) AS len, min(day) AS s, max(day) AS e FROM isl GROUP BY o_custkey, g),
       best AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY len DESC, s) AS rn FROM runs),
-      med AS (SELECT o_custkey, round(median(n), 1) AS m FROM days WHERE day BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY 1)
+      med AS (SELECT o_custkey, round(median(n), 1) AS m FROM days WHERE day BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' GROUP BY 1)
       SELECT k.o_custkey, total_rows, (SELECT count(*) FROM miss m WHERE m.o_custkey = k.o_custkey) AS days_missing,
         coalesce(len, 0) AS max_gap, strftime(s, '%Y-%m-%d') AS gap_start, strftime(e, '%Y-%m-%d') AS gap_end,
         coalesce(m, 0.0) AS median_per_day, coalesce(len, 0) >= 200 AND coalesce(m, 0) >= 1 AS suspicious
@@ -320,7 +320,7 @@ def service_time_span(spark, d):
 )
 def missing_order_days(spark, d):
     o = table(spark, d, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"))
-    return rounded(Q.missing_day_gaps(o, ["o_custkey"], "day", "1996-01-01", "1997-12-31", 200, 1))
+    return rounded(Q.missing_day_gaps(o, ["o_custkey"], "day", "1995-01-01", "2001-12-31", 200, 1))
 
 
 @query(
