@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_values import CANDIDATE_TERMS, REMOVED_MARKERS, TIER1_TERMS
@@ -79,7 +79,6 @@ def media_kind(is_self: Column, hint: Column, is_video: Column, url: Column) ->
     )
 
 
-LABEL_SCHEMA = "about_topic string, stance string, refers_to_parent string, confidence string"
 KNOWN_STANCES = ["pro", "anti", "neutral", "mixed"]
 
 
@@ -87,37 +86,39 @@ def _truthy(value: Column) -> Column:
     return F.coalesce(F.lower(F.trim(value)).isin("1", "true", "yes", "y", "t"), F.lit(False))
 
 
-def parsed_label(text: Column) -> Column:
-    """Struct of typed label fields and a fail reason out of a tolerant JSON label object.
+def parse_labels(df: DataFrame, text: str) -> DataFrame:
+    """Add typed label fields and a ``fail_reason`` read from a tolerant JSON label object.
 
     The object may be wrapped in an array or in prose: the text between the first ``{`` and the
     last ``}`` is used when the whole is not JSON.  ``fail_reason`` is '', 'empty', 'malformed' or
-    'missing_fields'.
+    'missing_fields'.  Each step is a column of its own, so the JSON is parsed once per row.
     """
-    body = F.trim(F.coalesce(text, F.lit("")))
-    inner = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    whole = F.try_parse_json(body)
-    salvaged = F.when(whole.isNotNull(), whole).otherwise(F.try_parse_json(F.nullif(inner, F.lit(""))))
-    kind = F.schema_of_variant(salvaged)
-    obj = F.when(kind.startswith("ARRAY"), F.try_variant_get(salvaged, "$[0]", "variant")).otherwise(salvaged)
-    is_object = F.schema_of_variant(obj).startswith("OBJECT")
-    about = F.try_variant_get(obj, "$.about_topic", "string")
-    has_about = F.schema_of_variant(obj).rlike(r"(^OBJECT<|, )about_topic:")
+    empty = F.col("_body").isin("", "[]", "{}", "[ ]", "{ }")
+    field = lambda name: F.try_variant_get("_obj", f"$.{name}", "string")
+    out = df.withColumn("_body", F.trim(F.coalesce(F.col(text), F.lit(""))))
+    inner = F.nullif(F.regexp_extract("_body", r"(?s)\{.*\}", 0), F.lit(""))
+    out = out.withColumn("_whole", F.try_parse_json("_body"))
+    out = out.withColumn("_any", F.when(F.col("_whole").isNotNull(), F.col("_whole")).otherwise(F.try_parse_json(inner)))
+    out = out.withColumn("_kind", F.schema_of_variant("_any"))
+    is_list = F.col("_kind").startswith("ARRAY")
+    out = out.withColumn("_obj", F.when(is_list, F.try_variant_get("_any", "$[0]", "variant")).otherwise(F.col("_any")))
+    out = out.withColumn("_shape", F.schema_of_variant("_obj"))
     reason = (
-        F.when(body.isin("", "[]", "{}", "[ ]", "{ }"), "empty")
-        .when(salvaged.isNull(), "malformed")
-        .when(kind.startswith("ARRAY") & obj.isNull(), "empty")
-        .when(F.coalesce(~is_object, F.lit(True)), "malformed")
-        .when(~has_about, "missing_fields")
+        F.when(empty, "empty")
+        .when(F.col("_any").isNull(), "malformed")
+        .when(is_list & F.col("_obj").isNull(), "empty")
+        .when(~F.coalesce(F.col("_shape").startswith("OBJECT"), F.lit(False)), "malformed")
+        .when(~F.col("_shape").rlike(r"(^OBJECT<|, )about_topic:"), "missing_fields")
         .otherwise("")
     )
-    stance = F.lower(F.trim(F.try_variant_get(obj, "$.stance", "string")))
-    confidence = F.try_variant_get(obj, "$.confidence", "string").try_cast("double")
-    ok = reason == ""
-    return F.struct(
-        F.when(ok, _truthy(about)).alias("about_topic"),
-        F.when(ok, F.when(stance.isin(KNOWN_STANCES), stance).otherwise("NA")).alias("stance"),
-        F.when(ok, F.least(F.greatest(F.coalesce(confidence, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).alias("confidence"),
-        F.when(ok, _truthy(F.try_variant_get(obj, "$.refers_to_parent", "string"))).alias("refers_to_parent"),
-        reason.alias("fail_reason"),
+    out = out.withColumns({"fail_reason": reason, "_stance": F.lower(F.trim(field("stance"))), "_conf": field("confidence").try_cast("double")})
+    ok = F.col("fail_reason") == ""
+    out = out.withColumns(
+        {
+            "about_topic": F.when(ok, _truthy(field("about_topic"))),
+            "stance": F.when(ok, F.when(F.col("_stance").isin(KNOWN_STANCES), F.col("_stance")).otherwise("NA")),
+            "confidence": F.when(ok, F.least(F.greatest(F.coalesce("_conf", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))),
+            "refers_to_parent": F.when(ok, _truthy(field("refers_to_parent"))),
+        }
     )
+    return out.drop("_body", "_whole", "_any", "_kind", "_obj", "_shape", "_stance", "_conf")

@@ -7,8 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,9 +173,14 @@ def greedy_family_order(spark, df: DataFrame, base: Sequence[str], families: Map
     return spark.createDataFrame(rows, "step int, added_family string, feature_count int, head_variance double, components_80 int")
 
 
-def correlation_table(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
-    """Complete-case correlation of many columns as (feature_a, feature_b, correlation), a < b."""
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="skip").transform(df.select(*cols))
-    m = Correlation.corr(vec, "_v", method).head()[0].toArray()
-    rows = [(a, b, float(m[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+def correlation_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Correlation of columns without NULLs as (feature_a, feature_b, correlation), in column order."""
+    _, cov = covariance(df, cols)
+    sd = np.sqrt(np.diag(cov))
+    rows = [
+        (a, b, float(cov[i, j] / (sd[i] * sd[j])) if sd[i] > 0 and sd[j] > 0 else None)
+        for i, a in enumerate(cols)
+        for j, b in enumerate(cols)
+        if i < j
+    ]
     return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, correlation double")

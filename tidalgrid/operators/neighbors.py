@@ -170,6 +170,9 @@ class _Peaks(_Counts):
         for j, e in enumerate(self.eps):
             self.out[:, j] = np.maximum(self.out[:, j], np.where(d <= e, carry[None, :, j], -np.inf).max(axis=1))
 
+    def result(self):
+        return pd.DataFrame({"pid": self.pid, "peaks": list(self.out)})
+
 
 class _Nearest:
     """The k nearest others as sorted distances and ids; equal vectors count with their weight."""

@@ -9,13 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
 
 
+STEP = 8
+
+
+def _bucket_of(value: Column) -> Column:
+    """How many cuts lie below the value: every eighth cut first, then the few in between."""
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < value))
+    coarse = below(F.col("_coarse"))
+    return coarse * STEP + below(F.slice("_cuts", coarse * STEP + 1, F.lit(STEP - 1)))
+
+
 def running_totals(
     df: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str], buckets: int = 64
 ) -> DataFrame:
@@ -27,10 +37,13 @@ def running_totals(
     """
     groups = list(groups)
     probs = [i / buckets for i in range(1, buckets)]
-    keyed = df if groups else df.withColumn("_all", F.lit(1))
+    # The rows are read for the cuts, for the bucket totals and for the result: compute them once.
+    keyed = reliable_checkpoint(df if groups else df.withColumn("_all", F.lit(1)))
     by = groups or ["_all"]
-    cuts = reliable_checkpoint(keyed.groupBy(*by).agg(F.percentile_approx(order, probs, 1000).alias("_cuts")))
-    cut = keyed.join(cuts, by).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    cuts = keyed.groupBy(*by).agg(F.percentile_approx(order, probs, 1000).alias("_cuts"))
+    coarse = F.filter("_cuts", lambda c, i: (i + 1) % STEP == 0)
+    cuts = reliable_checkpoint(cuts.withColumn("_coarse", coarse))
+    cut = keyed.join(cuts, by).withColumn("_bucket", _bucket_of(F.col(order))).drop("_cuts", "_coarse")
     totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     # At most `buckets` rows per group reach these two windows.
     earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

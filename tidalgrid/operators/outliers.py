@@ -262,7 +262,7 @@ def mixture_screen(spark, models: Mapping[str, Mixture]) -> DataFrame:
     rows = []
     for name, m in models.items():
         lead = sum([m.bic <= best_bic * 1.02 if best_bic > 0 else m.bic <= best_bic * 0.98, m.aic <= best_aic * 1.02 if best_aic > 0 else m.aic <= best_aic * 0.98, m.log_likelihood / m.rows >= best_ll - 0.02 * abs(best_ll)])
-        rows.append((name, len(m.weights), m.kind, m.log_likelihood / m.rows, m.aic, m.bic, int(lead)))
+        rows.append((name, len(m.weights), m.kind, float(m.log_likelihood / m.rows), float(m.aic), float(m.bic), int(lead)))
     df = spark.createDataFrame(rows, "model string, component_count int, kind string, mean_log_likelihood double, aic double, bic double, competitive_metrics int")
     c, full = F.col("competitive_metrics"), F.col("kind") == "full"
     verdict = first_match([(F.col("component_count") == 1, "retire"), (full & (c == 3), "advance"), (~full & (c == 3), "caution"), (full & (c == 2), "caution")], "retire")

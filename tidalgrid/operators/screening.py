@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import first_match
-from .ordered import running_totals
+from ..session import reliable_checkpoint
+from .matrix import correlation_table
+from .ordered import average_ranks, running_totals
 
 
 def feature_pairs(names: Sequence[str]) -> list[tuple[str, str]]:
@@ -24,15 +26,23 @@ def pearson_pairs(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -
     return df.groupBy(*by).agg(F.array(*cells).alias("_c")).select(*by, F.inline("_c"))
 
 
-def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int = 50, by: Sequence[str] = ()) -> DataFrame:
-    """Spearman correlation per column pair over the rows in which both values are present.
+def rank_columns(df: DataFrame, key: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Average ranks of each column beside the key, one ranking per column.
 
-    Equal value pairs collapse first.  Ranks come from bucketed running totals, so a column with
-    billions of values is ranked by many tasks.
+    Values are ranked once per distinct value by bucketed running totals and joined back by value.
     """
+    long = df.select(*key, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(list(key), list(names), "_c", "_v")
+    ranks = average_ranks(long, ["_c"], "_v").select("_c", "_v", "rank")
+    placed = long.join(ranks, ["_c", "_v"])
+    return placed.groupBy(*key).agg(*[F.max(F.when(F.col("_c") == c, F.col("rank"))).alias(c) for c in names])
+
+
+def _mixed_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: int) -> DataFrame:
+    """Spearman of pairs with gaps: each pair ranks the rows in which both values are present."""
     entries = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])
-    key = [*by, "feature_a", "feature_b"]
-    cells = df.select(*by, F.inline(entries)).where("x IS NOT NULL AND y IS NOT NULL").groupBy(*key, "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    key = ["feature_a", "feature_b"]
+    cells = df.select(F.inline(entries)).where("x IS NOT NULL AND y IS NOT NULL").groupBy(*key, "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    cells = reliable_checkpoint(cells)
 
     def ranks(value: str) -> DataFrame:
         run = running_totals(cells.groupBy(*key, value).agg(F.sum("n").alias("m")), key, value, ["m"])
@@ -50,6 +60,25 @@ def spearman_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], min_rows: in
     return s.where(F.col("n_rows") >= min_rows).select(*key, "n_rows", rho.alias("correlation"))
 
 
+def spearman_pairs(df: DataFrame, key: Sequence[str], names: Sequence[str], min_rows: int = 50) -> DataFrame:
+    """Spearman correlation of all column pairs over the rows in which both values are present.
+
+    Columns without NULLs are ranked once each, however many pairs they form.  Only pairs with a
+    gappy column rank the pair on its own, as their common rows differ from pair to pair.
+    """
+    df = reliable_checkpoint(df.select(*key, *names))
+    filled = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in names]).head()
+    whole = [c for c in names if filled[c] == filled["_n"]]
+    mixed = [(a, b) for a, b in feature_pairs(names) if a not in whole or b not in whole]
+    parts = []
+    if len(whole) > 1 and filled["_n"] >= min_rows:
+        ranked = correlation_table(rank_columns(df, key, whole), whole)
+        parts.append(ranked.select("feature_a", "feature_b", F.lit(filled["_n"]).alias("n_rows"), "correlation"))
+    if mixed:
+        parts.append(_mixed_pairs(df, mixed, min_rows))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def high_correlation(pairs: DataFrame, threshold: float = 0.90, strict: float = 0.95) -> DataFrame:
     """Pairs at or above the threshold with their band and an order-free pair key."""
     size = F.abs("correlation")

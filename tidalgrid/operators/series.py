@@ -6,7 +6,8 @@ number of series is what grows, and Spark spreads them by key.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,25 +21,34 @@ def _odd_above(x: float) -> int:
     return n if n % 2 else n + 1
 
 
-def local_line(y: np.ndarray, at: np.ndarray, span: int, weights: np.ndarray) -> np.ndarray:
-    """Locally weighted straight lines (tricube weights, ``span`` nearest points) read off at ``at``."""
-    n = len(y)
+@lru_cache(maxsize=64)
+def _neighborhoods(n: int, first: int, count: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points, tricube weights and positions for reading ``count`` fits from ``first`` on."""
+    at = np.arange(first, first + count, dtype=float)
     q = min(span, n)
     left = np.clip(np.round(at - (q - 1) / 2).astype(int), 0, n - q)
     idx = left[:, None] + np.arange(q)[None, :]
     dist = np.abs(idx - at[:, None])
     reach = np.maximum(at - left, left + q - 1 - at) + max(span - n, 0) // 2
-    reach = np.where(reach > 0, reach, 1.0)[:, None]
-    w = np.where(dist <= 0.999 * reach, np.where(dist <= 0.001 * reach, 1.0, (1 - np.minimum(dist / reach, 1.0) ** 3) ** 3), 0.0)
-    w = w * weights[idx]
-    total = w.sum(1, keepdims=True)
+    r = dist / np.where(reach > 0, reach, 1.0)[:, None]
+    tricube = np.where(r <= 0.001, 1.0, (1 - np.minimum(r, 1.0) ** 3) ** 3)
+    return idx, np.where(r <= 0.999, tricube, 0.0), at
+
+
+def local_line(y: np.ndarray, first: int, count: int, span: int, weights: np.ndarray) -> np.ndarray:
+    """Locally weighted straight lines through the last axis of ``y`` (``span`` nearest points each)."""
+    n = y.shape[-1]
+    idx, base, at = _neighborhoods(n, first, count, span)
+    w = base * weights[..., idx]
+    total = w.sum(-1, keepdims=True)
     w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
-    center = (w * idx).sum(1, keepdims=True)
-    var = (w * (idx - center) ** 2).sum(1, keepdims=True)
-    slope_ok = np.sqrt(var) > 0.001 * max(n - 1, 1)
-    tilt = np.divide(at[:, None] - center, var, out=np.zeros_like(var), where=slope_ok)
-    fit = (w * (1 + tilt * (idx - center)) * y[idx]).sum(1)
-    return np.where(total[:, 0] > 0, fit, y[np.clip(np.round(at).astype(int), 0, n - 1)])
+    center = (w * idx).sum(-1, keepdims=True)
+    off = idx - center
+    var = (w * off * off).sum(-1, keepdims=True)
+    tilt = np.divide(at[:, None] - center, var, out=np.zeros_like(var), where=np.sqrt(var) > 0.001 * max(n - 1, 1))
+    fit = (w * (1 + tilt * off) * y[..., idx]).sum(-1)
+    flat = y[..., np.clip(at, 0, n - 1).astype(int)]
+    return np.where(total[..., 0] > 0, fit, flat)
 
 
 def _moving(x: np.ndarray, k: int) -> np.ndarray:
@@ -50,25 +60,27 @@ def seasonal_trend_split(y: np.ndarray, period: int, seasonal_span: int = 7, rob
     """Seasonal and trend parts after Cleveland, Cleveland, McRae and Terpenning (1990).
 
     Robust fitting runs two inner rounds inside fifteen reweightings by the bisquare of the residuals.
+    All sub-series of one length are smoothed in one array operation.
     """
     n = len(y)
     trend_span = _odd_above(np.ceil(1.5 * period / (1 - 1.5 / seasonal_span)) - 1)
     low_span = _odd_above(period)
     inner, outer = (2, 15) if robust else (5, 0)
-    trend, seasonal, rho = np.zeros(n), np.zeros(n), np.ones(n)
-    every = np.arange(n, dtype=float)
+    trend, seasonal, rho, ones = np.zeros(n), np.zeros(n), np.ones(n), np.ones(n)
+    starts = np.arange(period)
+    lengths = (n - starts + period - 1) // period
+    batches = [(starts[lengths == m], int(m)) for m in np.unique(lengths)]
     for round_no in range(outer + 1):
         for _ in range(inner):
             free = y - trend
             cycle = np.empty(n + 2 * period)
-            for start in range(period):
-                sub = free[start::period]
-                spots = np.arange(-1, len(sub) + 1, dtype=float)
-                cycle[start::period][: len(spots)] = local_line(sub, spots, seasonal_span, rho[start::period])
+            for group, m in batches:
+                spots = group[:, None] + period * np.arange(m)[None, :]
+                out = group[:, None] + period * np.arange(m + 2)[None, :]
+                cycle[out] = local_line(free[spots], -1, m + 2, seasonal_span, rho[spots])
             smooth = _moving(_moving(_moving(cycle, period), period), 3)
-            low = local_line(smooth, every, low_span, np.ones(n))
-            seasonal = cycle[period : period + n] - low
-            trend = local_line(y - seasonal, every, trend_span, rho)
+            seasonal = cycle[period : period + n] - local_line(smooth, 0, n, low_span, ones)
+            trend = local_line(y - seasonal, 0, n, trend_span, rho)
         if round_no < outer:
             r = np.abs(y - seasonal - trend)
             scale = 6 * np.median(r)

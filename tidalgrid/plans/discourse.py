@@ -199,8 +199,8 @@ def parsed_labels(spark, d):
         F.when(v == 0, "[]").when(v == 1, "no label").when(v == 2, '{"stance": "pro"}')
         .when(v == 3, F.concat(F.lit("["), obj, F.lit("]"))).when(v == 4, F.concat(F.lit("Sure: "), obj, F.lit(" done"))).otherwise(obj)
     )
-    out = e.select("event_id", X.parsed_label(text).alias("p"))
-    return rounded(out.select("event_id", "p.fail_reason", F.col("p.about_topic").cast("string").alias("about_topic"), "p.stance", "p.confidence"))
+    out = X.parse_labels(e.select("event_id", text.alias("reply")), "reply")
+    return rounded(out.select("event_id", "fail_reason", F.col("about_topic").cast("string").alias("about_topic"), "stance", "confidence"))
 
 
 @query(

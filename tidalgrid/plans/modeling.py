@@ -115,16 +115,19 @@ def pearson_pairs(spark, d):
     return rounded(Sc.pearson_pairs(features(spark, d), FEATURES, ["l_returnflag"]))
 
 
+PANEL_FEATURES = ["trip_value", "trip_count", "ridership", "ride_count", "avg_speed", "traffic_volume"]
+
+
 def _rho(a: str, b: str) -> str:
     rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
-    return f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*) AS n_rows, corr(x, y) AS rho FROM (SELECT {rank(a)} AS x, {rank(b)} AS y FROM f)"""
+    return f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*) AS n_rows, corr(x, y) AS rho FROM (SELECT {rank(a)} AS x, {rank(b)} AS y FROM panel WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
 
 
-SPEARMAN_SQL = f"{FEATURE_SQL}, r AS ({' UNION ALL '.join(_rho(a, b) for a, b in PAIRS)})"
+SPEARMAN_SQL = f"{SQL_PANEL}, r AS ({' UNION ALL '.join(_rho(a, b) for a, b in Sc.feature_pairs(PANEL_FEATURES))})"
 
 
 def spearman(spark, d):
-    return Sc.spearman_pairs(features(spark, d), PAIRS)
+    return Sc.spearman_pairs(dense_panel(spark, d), ["zone_id", "date", "temporal_bucket"], PANEL_FEATURES)
 
 
 @query("O-67", sql=f"WITH {SPEARMAN_SQL} SELECT feature_a, feature_b, n_rows, {q6('rho', 'correlation')} FROM r")
