@@ -28,7 +28,8 @@ def quotas(sizes: Mapping[tuple, int], n: int, floor: int = 1) -> dict[tuple, in
         if gap > 0:
             order = sorted((s for s in sizes if out[s] < sizes[s]), key=lambda s: (out[s] - exact[s], s))
         else:
-            order = sorted((s for s in sizes if out[s] > 0), key=lambda s: (-out[s], s))
+            above = [s for s in sizes if out[s] > min(floor, sizes[s])]
+            order = sorted(above or (s for s in sizes if out[s] > 0), key=lambda s: (-out[s], s))
         for s in order[: abs(gap)]:
             out[s] += 1 if gap > 0 else -1
     return out
