@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tidalgrid.operators import ordered as O
 
 
+BOTH = pytest.mark.parametrize("small_rows", [0, None], ids=["buckets", "counted_small"])
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = np.random.default_rng(3)
@@ -17,32 +20,36 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_exact_quantiles(skewed):
+@BOTH
+def test_exact_quantiles(skewed, small_rows):
     pdf, df = skewed
     probs = {"q1": 0.25, "m": 0.5, "p99": 0.99}
-    for r in O.exact_quantiles(df, ["g"], "v", probs).collect():
+    for r in O.exact_quantiles(df, ["g"], "v", probs, small_rows=small_rows).collect():
         x = pdf.loc[pdf.g == r.g, "v"]
         assert r.n_values == len(x)
         for n, p in probs.items():
             assert r[n] == pytest.approx(np.quantile(x, p))
 
 
-def test_quantiles_of_the_whole_table(skewed):
+@BOTH
+def test_quantiles_of_the_whole_table(skewed, small_rows):
     pdf, df = skewed
-    assert O.exact_quantiles(df, [], "v", {"m": 0.5}).first().m == pytest.approx(pdf.v.median())
+    assert O.exact_quantiles(df, [], "v", {"m": 0.5}, small_rows=small_rows).first().m == pytest.approx(pdf.v.median())
 
 
-def test_average_ranks(skewed):
+@BOTH
+def test_average_ranks(skewed, small_rows):
     pdf, df = skewed
     want = pdf.assign(r=pdf.groupby("g").v.rank()).drop_duplicates(["g", "v"]).set_index(["g", "v"]).r
-    got = O.average_ranks(df, ["g"], "v").toPandas().set_index(["g", "v"])["rank"]
+    got = O.average_ranks(df, ["g"], "v", small_rows=small_rows).toPandas().set_index(["g", "v"])["rank"]
     pd.testing.assert_series_equal(got.sort_index(), want.sort_index(), check_names=False)
 
 
-def test_running_totals(skewed):
+@BOTH
+def test_running_totals(skewed, small_rows):
     pdf, df = skewed
     once = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
-    got = O.running_totals(once, ["g"], "v", ["n"]).toPandas().sort_values(["g", "v"])
+    got = O.running_totals(once, ["g"], "v", ["n"], small_rows=small_rows).toPandas().sort_values(["g", "v"])
     want = got.groupby("g").n.cumsum() - got.n
     assert (got.n_before == want).all()
     assert (got.n_total == got.groupby("g").n.transform("sum")).all()

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.calendar import BUCKET_HOURS, calendar_fields, is_weekend, policy_period, temporal_bucket
@@ -108,17 +109,16 @@ def alias_dimension(dim: DataFrame, key: str, aliases: Mapping[int, int], unknow
     return out
 
 
-def fill_by_service(
-    panel: DataFrame, zero_always: Sequence[str], zero_if_served: Mapping[str, DataFrame], zone: str = "zone_id"
-) -> DataFrame:
-    """NULL policy: trip counts become zero; a served-zone count becomes zero only in zones ever seen
-    in its source; every other column stays NULL where nothing was observed."""
+def fill_by_service(panel: DataFrame, zero_always: Sequence[str], zero_if_served: Sequence[str], zone: str = "zone_id") -> DataFrame:
+    """NULL policy: trip counts become zero; a served-zone count becomes zero only in zones that have
+    it at all; every other column stays NULL where nothing was observed.
+
+    Whether a zone is served is read off the panel itself, so no source is scanned again.  The window
+    holds one zone's days and buckets, and later windows by zone and bucket reuse its partitioning.
+    """
+    w = W.partitionBy(zone)
     out = panel.fillna(0, list(zero_always))
-    for column, source in zero_if_served.items():
-        served = source.select(zone).distinct().withColumn("_served", F.lit(True))
-        filled = F.when(F.col("_served"), F.coalesce(F.col(column), F.lit(0))).otherwise(F.col(column))
-        out = lookup_join(out, served, [zone]).withColumn(column, filled).drop("_served")
-    return out
+    return out.withColumns({c: F.when(F.count(c).over(w) > 0, F.coalesce(F.col(c), F.lit(0))) for c in zero_if_served})
 
 
 # ---- trips --------------------------------------------------------------------------------------
@@ -161,12 +161,10 @@ def aggregate_od(trips: DataFrame, cutoff: str) -> DataFrame:
 
 def collapse_duplicates(df: DataFrame, key: Sequence[str], total: str, first: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Sum a measure over repeated readings; other fields come from the first reading by ``order``."""
-    rank = F.struct(*order)
-    return df.groupBy(*key).agg(
-        F.sum(total).alias(total),
-        *[F.min_by(c, rank).alias(c) for c in first],
-        F.count(F.lit(1)).alias("observation_count"),
+    out = df.groupBy(*key).agg(
+        F.sum(total).alias(total), F.min_by(F.struct(*first), F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("observation_count")
     )
+    return out.select(*key, total, "_first.*", "observation_count")
 
 
 def harmonize(
@@ -187,6 +185,29 @@ def harmonize(
     return df.groupBy(*key).agg(*aggs, F.count(F.lit(1)).alias(count))
 
 
+def harmonize_services(
+    df: DataFrame,
+    sums: Mapping[str, tuple[Column, str]] | None = None,
+    means: Mapping[str, tuple[Column, str]] | None = None,
+    deviations: Mapping[str, tuple[Column, str]] | None = None,
+    distincts: Mapping[str, tuple[Column, str]] | None = None,
+    counts: Mapping[str, Column] | None = None,
+    key: Sequence[str] = STATE_KEY,
+) -> DataFrame:
+    """Several services that share one source, harmonized side by side in a single scan.
+
+    Arguments map output names to (condition, input column).  A cell in which a service has no rows
+    is NULL, as after a left join of separate tables.
+    """
+    one = lambda c, v: F.when(c, F.col(v))
+    aggs = [F.sum(one(c, v)).alias(n) for n, (c, v) in (sums or {}).items()]
+    aggs += [F.avg(one(c, v)).alias(n) for n, (c, v) in (means or {}).items()]
+    aggs += [F.when(F.count(one(c, v)) > 0, F.coalesce(F.stddev_samp(one(c, v)), F.lit(0.0))).alias(n) for n, (c, v) in (deviations or {}).items()]
+    aggs += [F.nullif(F.countDistinct(one(c, v)), F.lit(0)).alias(n) for n, (c, v) in (distincts or {}).items()]
+    aggs += [F.nullif(F.count_if(c), F.lit(0)).alias(n) for n, c in (counts or {}).items()]
+    return df.groupBy(*key).agg(*aggs)
+
+
 def sufficient_stats(df: DataFrame, key: Sequence[str], values: Sequence[str], weight: str) -> DataFrame:
     """Additive n, sum(w x), sum(w x^2) per value; chunks can be summed again later."""
     w = F.col(weight)

@@ -45,7 +45,7 @@ def _dbscan_sql(eps: float, m: int) -> str:
   nz AS (SELECT dist.a, max(deg.n) AS peak FROM dist JOIN deg ON deg.a = dist.b WHERE d <= {eps} OR dist.a = dist.b GROUP BY dist.a)"""
 
 
-@query("O-111", sql=f"""WITH {VEC_SQL}, {_dbscan_sql(EPS, MIN_SAMPLES)} SELECT a AS vec_id, half, n AS neighbor_count, n >= {MIN_SAMPLES} AS is_core, peak < {MIN_SAMPLES} AS is_noise FROM deg JOIN nz USING (a)""")
+@query("O-111", sql=f"""WITH {VEC_SQL}, {_dbscan_sql(EPS, MIN_SAMPLES)} SELECT a AS vec_id, half::BIGINT AS half, n AS neighbor_count, n >= {MIN_SAMPLES} AS is_core, peak < {MIN_SAMPLES} AS is_noise FROM deg JOIN nz USING (a)""")
 def density_noise(spark, d):
     return rounded(N.dbscan_noise(vectors(spark, d), "half", "vec_id", "embedding", EPS, MIN_SAMPLES, **LAYOUT))
 
@@ -54,26 +54,44 @@ GRID_EPS, GRID_M = [1.2, 1.25, 1.3], [5, 10, 20]
 
 
 @query("O-113", sql=f"WITH {VEC_SQL} " + " UNION ALL ".join(
-    f"""SELECT {e} AS eps, {m} AS min_samples, count(DISTINCT half) AS groups_evaluated, count(*) AS rows_evaluated, count(*) FILTER (WHERE peak < {m}) AS noise_rows,
+    f"""SELECT {e}::DOUBLE AS eps, {m}::BIGINT AS min_samples, count(DISTINCT half) AS groups_evaluated, count(*) AS rows_evaluated, count(*) FILTER (WHERE peak < {m}) AS noise_rows,
       {q6(f'count(*) FILTER (WHERE peak < {m}) / count(*)', 'weighted_noise_share')} FROM (WITH {_dbscan_sql(e, m)} SELECT * FROM deg JOIN nz USING (a))"""
     for e in GRID_EPS for m in GRID_M))
 def density_sweep(spark, d):
     return rounded(N.dbscan_sweep(vectors(spark, d), "half", "vec_id", "embedding", GRID_EPS, GRID_M, **LAYOUT))
 
 
+CLUSTER_EPS, CLUSTER_M = 0.05, 6
+CLUSTER_SQL = f"""v AS (SELECT vec_id, label % 2 AS half, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS e FROM embeddings),
+  dist AS (SELECT a.vec_id AS a, b.vec_id AS b, a.half, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.half = b.half), near AS (SELECT a, b FROM dist WHERE d <= {CLUSTER_EPS} OR a = b),
+  core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {CLUSTER_M}), edge AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+  reach AS (SELECT id, id AS r FROM core UNION SELECT reach.id, edge.b FROM reach JOIN edge ON edge.a = reach.r), comp AS (SELECT id, min(r) AS c FROM reach GROUP BY 1),
+  lab AS (SELECT v.vec_id, v.half, v.e, coalesce(comp.c, (SELECT min(x.c) FROM near JOIN comp x ON x.id = near.b WHERE near.a = v.vec_id)) AS cluster FROM v LEFT JOIN comp ON comp.id = v.vec_id)"""
+
+
+def short3(spark, d):
+    return vectors(spark, d).select("vec_id", "half", F.slice("embedding", 1, 3).alias("point"))
+
+
 def clusters(spark, d):
-    return N.dbscan_clusters(vectors(spark, d), "half", "vec_id", "embedding", EPS, MIN_SAMPLES, **LAYOUT)
+    return N.dbscan_clusters(short3(spark, d), "half", "vec_id", "point", CLUSTER_EPS, CLUSTER_M, **LAYOUT)
 
 
-@query("O-112")
+@query("O-112", sql=f"""WITH RECURSIVE {CLUSTER_SQL}, n AS (SELECT half, cluster, count(*) AS n FROM lab GROUP BY ALL)
+  SELECT half::BIGINT AS half, count(cluster) AS cluster_count, {q6('max(n) FILTER (WHERE cluster IS NOT NULL) / sum(n) FILTER (WHERE cluster IS NOT NULL)', 'largest_cluster_share')},
+  {q6('coalesce(sum(n) FILTER (WHERE cluster IS NULL), 0) / sum(n)', 'noise_share')} FROM n GROUP BY half""")
 def density_clusters(spark, d):
-    return N.cluster_summary(clusters(spark, d), "half")
+    return rounded(N.cluster_summary(clusters(spark, d), "half"))
 
 
-@query("O-120")
+@query("O-120", sql=f"""WITH RECURSIVE {CLUSTER_SQL}, mid AS (SELECT half, cluster, [avg(e[1]), avg(e[2]), avg(e[3])] AS c, count(*) AS n FROM lab WHERE cluster IS NOT NULL GROUP BY ALL),
+  rim AS (SELECT half, cluster, max(list_distance(e, c)) AS edge FROM lab JOIN mid USING (half, cluster) GROUP BY ALL),
+  g AS (SELECT lab.vec_id, lab.half, lab.cluster, mid.cluster AS k, mid.n, rim.edge, list_distance(lab.e, mid.c) AS d FROM lab JOIN mid USING (half) JOIN rim ON rim.half = mid.half AND rim.cluster = mid.cluster),
+  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS r FROM g)
+  SELECT vec_id, half::BIGINT AS half, cluster::DOUBLE AS cluster, k::DOUBLE AS nearest_cluster, n::DOUBLE AS nearest_cluster_size, {q6('d', 'centroid_distance')}, {q6('d / nullif(edge, 0)', 'edge_ratio')} FROM r WHERE r = 1""")
 def centroid_distances(spark, d):
-    v = vectors(spark, d).select("vec_id", "embedding").join(clusters(spark, d), "vec_id")
-    return rounded(Ou.centroid_distance(v, "half", "vec_id", "embedding", "cluster").drop("embedding"), ["cluster", "nearest_cluster", "nearest_cluster_size"])
+    v = short3(spark, d).join(clusters(spark, d).select("vec_id", "cluster"), "vec_id")
+    return rounded(Ou.centroid_distance(v, "half", "vec_id", "point", "cluster").drop("point"), ["cluster", "nearest_cluster", "nearest_cluster_size"])
 
 
 LOW_SQL = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS s FROM embeddings),

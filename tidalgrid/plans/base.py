@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import policy_period, temporal_bucket
 from ..operators import panel as P
+from ..session import reliable_checkpoint
 
 CUTOFF = "2024-01-16"
 START, END = "2024-01-01", "2024-01-30"
@@ -76,16 +77,35 @@ def layers(act: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def dense_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """zone x date x bucket with four layers and the NULL policy applied."""
-    act = activity(spark, folder)
-    parts = layers(act)
+def _with_policy(joined: DataFrame) -> DataFrame:
+    return P.fill_by_service(joined, ["trip_count", "trip_value", "ride_count"], ["ridership"])
+
+
+def _spine(zones: DataFrame) -> DataFrame:
+    return P.dense_spine(zones, START, END).withColumn("period", policy_period(F.col("date"), CUTOFF))
+
+
+def joined_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """zone x date x bucket from four separately harmonized layers, each written once."""
+    parts = {k: reliable_checkpoint(v) for k, v in layers(activity(spark, folder)).items()}
     zones = P.observed_values(list(parts.values()), ["zone_id"])
-    spine = P.dense_spine(zones, START, END).withColumn("period", policy_period(F.col("date"), CUTOFF))
-    joined = P.assemble_panel(spine, list(parts.values()))
-    return P.fill_by_service(
-        joined, ["trip_count", "trip_value", "ride_count"], {"ridership": act.where("event_type = 'click'")}
+    return _with_policy(P.assemble_panel(_spine(zones), list(parts.values())))
+
+
+def dense_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """The same panel in one scan, as here all four services come from one table."""
+    of = lambda kind: F.col("event_type") == kind
+    ride, trip, speed, flow = of("click"), of("purchase"), of("view"), of("signup") & (F.col("value") > 20)
+    states = P.harmonize_services(
+        activity(spark, folder).where(ride | trip | speed | flow),
+        sums={"trip_value": (trip, "value"), "ridership": (ride, "value"), "traffic_volume": (flow, "value")},
+        means={"avg_speed": (speed, "value")},
+        deviations={"speed_std": (speed, "value")},
+        distincts={"riders": (ride, "user_id")},
+        counts={"trip_count": trip, "ride_count": ride, "speed_count": speed, "traffic_count": flow},
     )
+    states = reliable_checkpoint(states)
+    return _with_policy(P.assemble_panel(_spine(states.select("zone_id").distinct()), [states]))
 
 
 def nation_series(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import panel as P
 from ..operators import series as Se
 from ..streaming.rollup import run_rollup
-from .base import SQL_PANEL, dense_panel, nation_series, q6, rounded, table
+from .base import SQL_NATION, SQL_PANEL, dense_panel, nation_series, q6, rounded, table
 from .panel import KEY_SQL
 from .registry import Family
 
@@ -38,14 +38,30 @@ def tuned_periods(spark, d):
     return Se.tune_period(weekly_bucket(spark, d), KEYS, "temporal_bucket", "date", "quantity", [6, 10, 14, 21])
 
 
-@query("O-127")
+WAVE_SQL = f"""{SQL_NATION}, s AS (SELECT zone_id, CASE WHEN dayofweek(date) IN (0, 6) THEN 'weekend' ELSE 'weekday' END AS temporal_bucket, date, quantity FROM nation_daily),
+  c AS (SELECT *, row_number() OVER w - 1 AS t, count(*) OVER p AS n, avg(quantity) OVER p AS m, stddev_samp(quantity) OVER p AS sd FROM s WINDOW w AS (PARTITION BY zone_id, temporal_bucket ORDER BY date), p AS (PARTITION BY zone_id, temporal_bucket)),
+  k AS (SELECT zone_id, temporal_bucket, n, unnest(generate_series(1, n // 2)) AS f FROM (SELECT DISTINCT zone_id, temporal_bucket, n FROM c)),
+  x AS (SELECT zone_id, temporal_bucket, c.n, f, sum((quantity - m) * cos(2 * pi() * ((f * t) % c.n) / c.n)) AS re, sum((quantity - m) * sin(2 * pi() * ((f * t) % c.n) / c.n)) AS im
+    FROM c JOIN k USING (zone_id, temporal_bucket) GROUP BY ALL),
+  pw AS (SELECT *, (re * re + im * im) / sum(re * re + im * im) OVER (PARTITION BY zone_id, temporal_bucket) AS share, row_number() OVER (PARTITION BY zone_id, temporal_bucket ORDER BY re * re + im * im DESC) AS rank FROM x)"""
+
+
+@query("O-127", sql=f"""WITH {WAVE_SQL} SELECT zone_id::BIGINT AS zone_id, temporal_bucket, strftime(date, '%Y-%m-%d') AS date,
+  CASE WHEN c.n >= 60 AND any_value(sd) > 0 THEN round(any_value(m) + sum(CASE WHEN 2 * f = c.n THEN 1 ELSE 2 END * (re * cos(2 * pi() * ((f * t) % c.n) / c.n) + im * sin(2 * pi() * ((f * t) % c.n) / c.n))) / c.n + 1e-9, 6) + 0.0 END AS quantity_fourier_top20
+  FROM c JOIN pw USING (zone_id, temporal_bucket) WHERE rank <= 20 GROUP BY zone_id, temporal_bucket, date, c.n""")
 def fourier_reconstruction(spark, d):
+    return rounded(Se.fourier_reconstruction(weekly_bucket(spark, d), KEYS, "date", "quantity"))
+
+
+@query("O-127")
+def residual_fourier(spark, d):
     return Se.fourier_reconstruction(split(spark, d), KEYS, "date", "quantity_residual")
 
 
-@query("O-128")
+@query("O-128", sql=f"""WITH {WAVE_SQL} SELECT zone_id::BIGINT AS zone_id, temporal_bucket, rank, {q6('f / n', 'frequency')}, {q6('share', 'power_share')}, {q6('n / f', 'period_rows')},
+  CASE WHEN n / f BETWEEN 18 AND 24 THEN 'roughly monthly' WHEN n / f BETWEEN 55 AND 75 THEN 'roughly quarterly' WHEN n / f BETWEEN 220 AND 290 THEN 'roughly annual' ELSE 'exploratory cycle' END AS period_label FROM pw WHERE rank <= 5""")
 def dominant_periods(spark, d):
-    return Se.dominant_periods(weekly_bucket(spark, d), KEYS, "date", "quantity")
+    return rounded(Se.dominant_periods(weekly_bucket(spark, d), KEYS, "date", "quantity"))
 
 
 @query("O-129", sql=f"""WITH {SQL_PANEL} SELECT {KEY_SQL}, {q6('trip_value + 1', 'trip_up')}, {q6('ridership * 2', 'ride_twice')}, {q6('avg_speed / 2', 'half_speed')} FROM panel""")

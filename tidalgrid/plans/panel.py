@@ -8,7 +8,7 @@ from ..operators import panel as P
 from ..operators import quality as Q
 from ..operators import windows as Wn
 from .base import (
-    CUTOFF, END, SQL_ACTIVITY, SQL_LAYERS, SQL_PANEL, SQL_SPINE, START, activity, dense_panel, isos, iso, layers, q6,
+    CUTOFF, END, SQL_ACTIVITY, SQL_LAYERS, SQL_PANEL, SQL_SPINE, START, activity, dense_panel, joined_panel, layers, q6,
     rounded, sql_bucket, table,
 )
 from .registry import Family
@@ -175,7 +175,7 @@ def policy_geography(spark, d):
 
 
 @query(
-    "O-46",
+    "O-60", "O-61", "O-46",
     sql=f"""WITH {SQL_PANEL} SELECT {KEY_SQL}, period, {q6('trip_value')}, trip_count, {q6('ridership')}, riders::DOUBLE AS riders, ride_count,
       {q6('avg_speed')}, {q6('speed_std')}, speed_count::DOUBLE AS speed_count, {q6('traffic_volume')}, traffic_count::DOUBLE AS traffic_count FROM panel""",
 )
@@ -183,6 +183,16 @@ def dense_panel_rows(spark, d):
     return rounded(dense_panel(spark, d), ["riders", "speed_count", "traffic_count"])
 
 
+@query(
+    "O-46", "O-55",
+    sql=f"""WITH {SQL_PANEL} SELECT {KEY_SQL}, period, {q6('trip_value')}, trip_count, {q6('ridership')}, riders::DOUBLE AS riders,
+      {q6('avg_speed')}, {q6('traffic_volume')} FROM panel""",
+)
+def joined_layer_panel(spark, d):
+    cols = ["zone_id", "date", "temporal_bucket", "period", "trip_value", "trip_count", "ridership", "riders", "avg_speed", "traffic_volume"]
+    return rounded(joined_panel(spark, d).select(*cols), ["riders"])
+
+
 @query(
     "O-51", "O-55",
     sql=f"WITH {SQL_ACTIVITY}, {SQL_LAYERS}, {SQL_SPINE} SELECT zone_id::BIGINT AS zone_id, strftime(date, '%Y-%m-%d') AS date, temporal_bucket FROM spine",

@@ -1,13 +1,13 @@
 """Staging, merging and data-quality queries."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import ordered as O
 from ..operators import quality as Q
 from ..sources import merge as M
 from ..sources import staging as S
-from .base import SQL_ACTIVITY, SQL_NATION, SQL_PANEL, activity, dense_panel, isos, nation_series, q6, rounded, table
+from ..streaming.rollup import shared_folder
+from .base import SQL_PANEL, activity, dense_panel, isos, q6, rounded, table
 from .registry import Family
 
 FAMILY = Family()
@@ -40,6 +40,43 @@ def staged_text_timestamps(spark, d):
     )
 
 
+@query(
+    "O-02", "O-05",
+    sql="""SELECT event_id, value, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN event_id % 2 = 0 THEN event_type END AS event_type FROM events""",
+)
+def staged_csv_pages(spark, d):
+    # Two CSV pages with different columns are written below the shared folder and staged back.
+    folder = shared_folder(spark, "pages")
+    stamp = F.date_format("ts", "MM/dd/yyyy hh:mm:ss a").alias("at")
+    e = table(spark, d, "events")
+    e.where("event_id % 2 = 0").select("event_id", stamp, "value", "event_type").write.option("header", True).csv(f"{folder}/even")
+    e.where("event_id % 2 = 1").select("value", "event_id", stamp).write.option("header", True).csv(f"{folder}/odd")
+    back = S.stage_csv(spark, [f"{folder}/even", f"{folder}/odd"], "event_id bigint, value double, at timestamp_ntz, event_type string", {"at": "MM/dd/yyyy hh:mm:ss a"})
+    return back.withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "O-03", "O-06",
+    sql="SELECT conv_id, turn, length(text) AS chars FROM conversations",
+)
+def staged_json_lines(spark, d):
+    folder = shared_folder(spark, "lines")
+    table(spark, d, "conversations").write.json(folder)
+    back = S.stage_jsonl(spark, [folder], "conv_id bigint, turn bigint, text string")
+    return rounded(back.select("conv_id", "turn", F.length("text").alias("chars")))
+
+
+@query(
+    "O-09", "O-01",
+    sql=f"SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS row_count, {q6('sum(o_totalprice)', 'total_price')} FROM orders GROUP BY 1",
+)
+def monthly_table_round_trip(spark, d):
+    folder = shared_folder(spark, "monthly")
+    M.write_table(table(spark, d, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM")), folder, ["month"])
+    back = S.read_staged(spark, folder, ["month", "o_totalprice"])
+    return rounded(back.groupBy("month").agg(F.count(F.lit(1)).alias("row_count"), F.sum("o_totalprice").alias("total_price")))
+
+
 @query(
     "O-03",
     sql="""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""",
@@ -185,10 +222,24 @@ def names_from_files(spark, d):
     return S.union_sources(parts)
 
 
-@query("O-12")
+WANTED = ["event_id", "ts", "user_id", "value"]
+
+
+def _signature_sql() -> str:
+    wanted = ", ".join(f"'{w}'" for w in WANTED)
+    rows = " UNION ALL ".join(
+        f"""SELECT '{t}' AS dataset, string_agg(column_name, ',' ORDER BY column_name) AS signature, count(*) AS column_count,
+          (SELECT coalesce(string_agg(w, ',' ORDER BY w), '') FROM (SELECT unnest([{wanted}]) AS w) WHERE w NOT IN (SELECT column_name FROM (DESCRIBE {t}))) AS missing_columns,
+          coalesce(string_agg(column_name, ',' ORDER BY column_name) FILTER (WHERE column_name NOT IN ({wanted})), '') AS unexpected_columns FROM (DESCRIBE {t})"""
+        for t in TABLES
+    )
+    return f"WITH s AS ({rows}) SELECT *, count(*) OVER (PARTITION BY signature) AS dataset_count, signature <> (SELECT signature FROM s WHERE dataset = 'events') AS is_drift FROM s"
+
+
+@query("O-12", sql=_signature_sql())
 def schema_signatures(spark, d):
     tables = {t: table(spark, d, t) for t in TABLES}
-    sigs = Q.schema_signatures(spark, tables, ["event_id", "ts", "user_id", "value"])
+    sigs = Q.schema_signatures(spark, tables, WANTED)
     drift = Q.schema_drift(sigs, ",".join(sorted(tables["events"].columns)))
     return sigs.join(drift, "signature")
 
@@ -360,7 +411,12 @@ def row_coverage(spark, d):
     return Q.row_coverage_gap(dense_panel(spark, d), ["avg_speed", "traffic_volume"], ["riders", "speed_std"])
 
 
-@query("O-26")
+@query(
+    "O-26",
+    sql=f"""WITH {SQL_PANEL} SELECT 'activity' AS layer, count(*) AS row_count, {isos('min(date)', 'first_date')}, {isos('max(date)', 'last_date')}, count(DISTINCT zone_id) AS zone_count,
+      5::BIGINT AS expected_fields, 2::BIGINT AS missing_fields, 'avg_speed,trip_count' AS missing_names FROM act
+      UNION ALL SELECT 'panel', count(*), strftime(min(date), '%Y-%m-%d'), strftime(max(date), '%Y-%m-%d'), count(DISTINCT zone_id), 5, 0, '' FROM panel""",
+)
 def layer_coverage(spark, d):
     act, panel = activity(spark, d), dense_panel(spark, d)
     want = ["zone_id", "date", "temporal_bucket", "trip_count", "avg_speed"]
