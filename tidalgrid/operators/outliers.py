@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import bucket_daypart, bucket_day_kind
 from ..functions.labels import first_match
+from ..session import reliable_checkpoint
 from .ordered import assign_row_id, exact_quantiles
+from .panel import checked_broadcast
 from .sampling import hash_sample, sample_key
 
 # ---- isolation forest ---------------------------------------------------------------------------
@@ -356,26 +358,27 @@ def centroid_distance(df: DataFrame, group: str, key: str, vector: str, cluster:
     """Distance of every row to the nearest cluster centroid of its group, and its ratio to that
     cluster's farthest member.
 
-    Centroids of a group travel as one array; a group has few clusters.
+    Centroids are broadcast if there are few.  A row meets the centroids of its group one by one and
+    keeps the nearest in a partial aggregate, so neither lists nor row-centroid pairs are kept.
     """
     vec = F.transform(vector, lambda x: x.cast("double"))
     gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     base = df.withColumn("_v", vec)
-    mid = base.where(F.col(cluster).isNotNull()).groupBy(group, cluster).agg(
-        vector_to_array(Summarizer.mean(array_to_vector(F.col("_v")))).alias("_c"), F.count(F.lit(1)).alias("_size")
+    members = base.where(F.col(cluster).isNotNull())
+    mid = members.groupBy(group, cluster).agg(
+        vector_to_array(Summarizer.mean(array_to_vector(F.col("_v")))).alias("_c"), F.count(F.lit(1)).alias("_n")
     )
-    member = base.where(F.col(cluster).isNotNull()).join(mid, [group, cluster]).groupBy(group, cluster).agg(
-        F.max(gap(F.col("_v"), F.col("_c"))).alias("_edge"), F.any_value("_c").alias("_c"), F.any_value("_size").alias("_size")
-    )
-    per_group = member.groupBy(group).agg(F.collect_list(F.struct(F.col(cluster).alias("k"), "_c", "_edge", "_size")).alias("_all"))
-    out = base.join(per_group, group, "left")
-    near = F.array_min(F.transform("_all", lambda m: F.struct(gap(F.col("_v"), m["_c"]).alias("d"), m["k"].alias("k"), m["_edge"].alias("e"), m["_size"].alias("n"))))
-    return out.withColumn("_near", near).select(
-        *[c for c in df.columns],
-        F.col("_near.k").alias("nearest_cluster"),
-        F.col("_near.n").alias("nearest_cluster_size"),
+    rim = members.join(mid, [group, cluster]).groupBy(group, cluster).agg(F.max(gap(F.col("_v"), F.col("_c"))).alias("_edge"))
+    spots = reliable_checkpoint(mid.join(rim, [group, cluster]).withColumnRenamed(cluster, "_k"))
+    d = gap(F.col("_v"), F.col("_c"))
+    near = base.select(key, group, "_v").join(checked_broadcast(spots, 20_000), group)
+    best = near.groupBy(key).agg(F.min(F.struct(d.alias("d"), "_k", "_n", "_edge")).alias("_near"))
+    return df.join(best, key, "left").select(
+        *df.columns,
+        F.col("_near._k").alias("nearest_cluster"),
+        F.col("_near._n").alias("nearest_cluster_size"),
         F.col("_near.d").alias("centroid_distance"),
-        F.try_divide(F.col("_near.d"), F.col("_near.e")).alias("edge_ratio"),
+        F.try_divide(F.col("_near.d"), F.col("_near._edge")).alias("edge_ratio"),
     )
 
 

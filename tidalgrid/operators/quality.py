@@ -171,25 +171,27 @@ def missing_day_gaps(
     """Days without rows per key inside [start, end], and the longest run of them.
 
     A gap is the distance between two neighbouring active days (window edges count as active), so
-    the missing days themselves are never generated.  The window holds one row per key and day.
+    the missing days themselves are never generated.  Rows collapse to one per key and day before
+    the window over a key's days.
     """
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
     days = df.groupBy(*key, F.col(day).alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    per_key = days.groupBy(*key).agg(F.sum("n").alias("total_rows"))
-    inside = days.where(F.col("day").between(lo, hi))
-    edges = per_key.select(*key, F.date_add(hi, 1).alias("day"), F.lit(None).cast("bigint").alias("n"))
-    w = W.partitionBy(*key).orderBy("day")
-    steps = inside.unionByName(edges).withColumn("previous", F.coalesce(F.lag("day").over(w), F.date_sub(lo, 1)))
+    inside = F.col("day").between(lo, hi)
+    before = W.partitionBy(*key).orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    steps = days.withColumn("previous", F.coalesce(F.max(F.when(inside, F.col("day"))).over(before), F.date_sub(lo, 1)))
     steps = steps.withColumn("gap", F.datediff("day", "previous") - 1)
-    longest = F.max_by(
-        F.struct("gap", F.date_add("previous", 1).alias("s"), F.date_sub("day", 1).alias("e")),
-        F.struct("gap", (-F.unix_date("day")).alias("first")),
-    )
+    run = F.when(inside, F.struct("gap", F.date_add("previous", 1).alias("s"), F.date_sub("day", 1).alias("e")))
     out = steps.groupBy(*key).agg(
-        F.sum("gap").alias("days_missing"), longest.alias("g"), F.round(F.expr("percentile(n, 0.5)"), 1).alias("median_per_day")
+        F.sum("n").alias("total_rows"),
+        (F.datediff(hi, lo) + 1 - F.count_if(inside)).alias("days_missing"),
+        F.max_by(run, F.when(inside, F.struct("gap", (-F.unix_date("day")).alias("first")))).alias("inner"),
+        F.coalesce(F.max(F.when(inside, F.col("day"))), F.date_sub(lo, 1)).alias("last"),
+        F.coalesce(F.round(F.percentile(F.when(inside, F.col("n")), F.lit(0.5)), 1), F.lit(0.0)).alias("median_per_day"),
     )
-    out = out.join(per_key, list(key)).withColumn("median_per_day", F.coalesce("median_per_day", F.lit(0.0)))
-    return out.select(
+    # The run up to the end of the window wins only if it is longer: the first longest run counts.
+    tail = F.struct(F.datediff(hi, "last").alias("gap"), F.date_add("last", 1).alias("s"), hi.alias("e"))
+    best = F.when(F.col("inner").isNull() | (tail["gap"] > F.col("inner.gap")), tail).otherwise(F.col("inner"))
+    return out.withColumn("g", best).select(
         *key,
         "total_rows",
         "days_missing",
