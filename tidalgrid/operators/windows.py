@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import log_ratio
+from ..session import reliable_checkpoint
+from .panel import checked_broadcast
 
 SERIES = ("zone_id", "temporal_bucket")
 
@@ -63,35 +66,21 @@ def ema(
 ) -> DataFrame:
     """Recursive exponential mean ``y = (1-a) y + a x``; a NULL keeps decaying the old weight.
 
-    The recursion needs the series in order, so each series (at most one row per day) is folded as
-    an array inside the JVM and unfolded again.
+    The recursion has no window form, and folding it as an array copies that array at every step.  So
+    each series, at most one row per day, is one small Arrow group with all its metrics.
     """
     a = alpha if alpha is not None else 2.0 / (span + 1.0)
-    rest = [c for c in df.columns if c not in series]
-    rows = df.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rest if c != order]))).alias("_rows"))
+    names = [f"{m}_ema" for m in metrics]
+    take = list(metrics)
 
-    def fold(metric: str) -> Column:
-        start = F.struct(
-            F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"), F.lit([]).cast("array<double>").alias("out")
-        )
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, ignore_index=True)
+        pdf[names] = pdf[take].astype(float).ewm(alpha=a, adjust=False, ignore_na=False).mean()
+        return pdf
 
-        def step(state: Column, row: Column) -> Column:
-            x = row[metric].cast("double")
-            old = state["w"] * (1 - a)
-            y = (
-                F.when(x.isNull(), state["y"])
-                .when(state["y"].isNull(), x)
-                .otherwise((old * state["y"] + a * x) / (old + a))
-            )
-            w = F.when(x.isNull(), F.when(state["y"].isNull(), F.lit(1.0)).otherwise(old)).otherwise(F.lit(1.0))
-            return F.struct(y.alias("y"), w.alias("w"), F.array_append(state["out"], y).alias("out"))
-
-        return F.aggregate("_rows", start, step, lambda s: s["out"])
-
-    folded = rows.select(*series, "_rows", *[fold(m).alias(f"_e_{m}") for m in metrics])
-    zipped = F.arrays_zip("_rows", *[f"_e_{m}" for m in metrics])
-    flat = folded.select(*series, F.explode(zipped).alias("_z"))
-    return flat.select(*series, "_z._rows.*", *[F.col(f"_z._e_{m}").alias(f"{m}_ema") for m in metrics])
+    kinds = df.dtypes
+    schema = ", ".join([f"`{c}` {k}" for c, k in kinds] + [f"`{n}` double" for n in names])
+    return df.groupBy(*series).applyInPandas(smooth, schema)
 
 
 def period_profile(
@@ -179,25 +168,36 @@ def deviation_zscores(
     df: DataFrame, metrics: Sequence[str], key: Sequence[str] = BASELINE_KEY, min_rows: int = 10, eps: float = 1e-6
 ) -> DataFrame:
     """z-score against the row's baseline group and its absolute value; NULL unless the group is
-    large enough and varies."""
-    w = W.partitionBy(*key)
+    large enough and varies.
+
+    Group moments are mergeable, so rows collapse to one row per group before anything is shuffled.
+    That table is written once and, if its counted size allows, broadcast; the panel then needs
+    neither a shuffle nor a sort.
+    """
+    moments = lambda m: F.struct(F.count(m).alias("n"), F.avg(m).alias("m"), F.stddev_samp(m).alias("s"))
+    groups = reliable_checkpoint(df.groupBy(*key).agg(*[moments(m).alias(f"_b_{m}") for m in metrics]))
     z, a = {}, {}
     for m in metrics:
-        std = F.stddev_samp(m).over(w)
-        ready = (F.count(m).over(w) >= min_rows) & (std > eps)
-        z[f"{m}_deviation_z"] = F.when(ready, (F.col(m) - F.avg(m).over(w)) / std)
+        b = f"_b_{m}"
+        ready = (F.col(f"{b}.n") >= min_rows) & (F.col(f"{b}.s") > eps)
+        z[f"{m}_deviation_z"] = F.when(ready, (F.col(m) - F.col(f"{b}.m")) / F.col(f"{b}.s"))
         a[f"{m}_deviation_abs_z"] = F.abs(F.col(f"{m}_deviation_z"))
-    return df.withColumns(z).withColumns(a)
+    joined = df.join(checked_broadcast(groups), list(key), "left").select(*df.columns, *[f"_b_{m}" for m in metrics])
+    return joined.withColumns(z).withColumns(a).drop(*[f"_b_{m}" for m in metrics])
 
 
 def percentile_ranks(df: DataFrame, metrics: Sequence[str], key: Sequence[str] = BASELINE_KEY) -> DataFrame:
-    """Average rank divided by the group's non-NULL count (ties share their mean rank)."""
+    """Average rank divided by the group's non-NULL count (ties share their mean rank).
+
+    The mean of a tie's first rank and of the count up to its last row is its average rank, so each
+    metric needs one sort of the group; all metrics share one shuffle.
+    """
+    whole = W.partitionBy(*key)
     out = {}
     for m in metrics:
-        below = F.rank().over(W.partitionBy(*key).orderBy(F.col(m).asc_nulls_last()))
-        peers = F.count(m).over(W.partitionBy(*key, m))
-        size = F.count(m).over(W.partitionBy(*key))
-        out[f"{m}_percentile_rank"] = F.when(F.col(m).isNotNull(), (below + (peers - 1) / 2) / size)
+        ordered = whole.orderBy(F.col(m).asc_nulls_last())
+        mean_rank = (F.rank().over(ordered) + F.count(m).over(ordered)) / 2
+        out[f"{m}_percentile_rank"] = F.when(F.col(m).isNotNull(), mean_rank / F.count(m).over(whole))
     return df.withColumns(out)
 
 

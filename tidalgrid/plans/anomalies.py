@@ -250,7 +250,7 @@ def mobility_events(spark, d):
 @query("O-76", sql=f"WITH {EVENT_SQL} " + " UNION ALL ".join(
     f"SELECT '{c}' AS dimension, {c}::VARCHAR AS slice, count(*) AS event_count, count(*) FILTER (WHERE is_high_confidence) AS high_confidence_count, {q6('count(*) FILTER (WHERE is_high_confidence) / count(*)', 'high_confidence_share')} FROM ev GROUP BY 2"
     for c in ("period", "policy_geography")) + " UNION ALL " + " UNION ALL ".join(
-    f"SELECT 'mode', 'has_{m}', count(*), count(*) FILTER (WHERE is_high_confidence), round(count(*) FILTER (WHERE is_high_confidence) / count(*) + 1e-9, 6) FROM ev WHERE has_{m}" for m in MODES))
+    f"SELECT 'mode', 'has_{m}', count(*), count(*) FILTER (WHERE is_high_confidence), round(count(*) FILTER (WHERE is_high_confidence) / count(*) + 1e-9, 6) FROM ev WHERE has_{m} HAVING count(*) > 0" for m in MODES))
 def event_summaries(spark, d):
     e = events(spark, d)
     out = Ou.event_summary(e, "period").unionByName(Ou.event_summary(e, "policy_geography")).unionByName(Ou.mode_summary(e, MODES))

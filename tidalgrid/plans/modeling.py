@@ -123,7 +123,7 @@ def _rho(a: str, b: str) -> str:
     return f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*) AS n_rows, corr(x, y) AS rho FROM (SELECT {rank(a)} AS x, {rank(b)} AS y FROM panel WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
 
 
-SPEARMAN_SQL = f"{SQL_PANEL}, r AS ({' UNION ALL '.join(_rho(a, b) for a, b in Sc.feature_pairs(PANEL_FEATURES))})"
+SPEARMAN_SQL = f"{SQL_PANEL}, every AS ({' UNION ALL '.join(_rho(a, b) for a, b in Sc.feature_pairs(PANEL_FEATURES))}), r AS (SELECT * FROM every WHERE n_rows >= 50)"
 
 
 def spearman(spark, d):

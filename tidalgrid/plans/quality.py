@@ -159,7 +159,7 @@ def first_wins_documents(spark, d):
 
 @query(
     "O-08",
-    sql=f"""WITH {SPLIT_SQL} SELECT event_id, user_id, event_type, {q6('value', 'value')}, source FROM
+    sql=f"""WITH {SPLIT_SQL} SELECT event_id, user_id, event_type, {q6('value', 'value')}, source::BIGINT AS source FROM
       (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY source) AS rn FROM
         (SELECT * FROM base UNION ALL SELECT * FROM patch)) WHERE rn = 1""",
 )
@@ -182,7 +182,7 @@ def merge_counts(spark, d):
 
 @query(
     "O-165",
-    sql="""SELECT doc_id, CASE WHEN toxic = 1 THEN 1 - quality ELSE quality END AS quality, CAST(toxic AS BIGINT) AS repaired
+    sql="""SELECT doc_id, (CASE WHEN toxic = 1 THEN 1 - quality ELSE quality END)::BIGINT AS quality, CAST(toxic AS BIGINT) AS repaired
       FROM labels WHERE toxic = 0 OR doc_id % 2 = 0""",
 )
 def seeded_and_repaired_labels(spark, d):
