@@ -126,10 +126,10 @@ def baseline_groups(spark, d):
 @query(
     "O-88",
     sql=f"""WITH {SQL_PANEL} SELECT {KEY_SQL}, {q6(f'(rank() OVER ({BASE_W} ORDER BY trip_count) + (count(*) OVER ({BASE_W}, trip_count) - 1) / 2.0) / count(*) OVER ({BASE_W})', 'trip_count_percentile_rank')},
-      CASE WHEN avg_speed IS NOT NULL THEN {q6(f'(rank() OVER ({BASE_W} ORDER BY avg_speed ASC NULLS LAST) + (count(avg_speed) OVER ({BASE_W}, avg_speed) - 1) / 2.0) / count(avg_speed) OVER ({BASE_W})', 'x').replace(' AS x', '')} END AS avg_speed_percentile_rank FROM panel""",
+      CASE WHEN avg_speed IS NOT NULL THEN {q6(f'(rank() OVER ({BASE_W} ORDER BY round(avg_speed, 6) ASC NULLS LAST) + (count(avg_speed) OVER ({BASE_W}, round(avg_speed, 6)) - 1) / 2.0) / count(avg_speed) OVER ({BASE_W})', 'x').replace(' AS x', '')} END AS avg_speed_percentile_rank FROM panel""",
 )
 def percentile_rank_features(spark, d):
-    panel = dense_panel(spark, d).select("zone_id", "date", "temporal_bucket", "period", "trip_count", "avg_speed")
+    panel = dense_panel(spark, d).select("zone_id", "date", "temporal_bucket", "period", "trip_count", F.round("avg_speed", 6).alias("avg_speed"))
     return rounded(Wn.percentile_ranks(panel, ["trip_count", "avg_speed"]).drop("period", "trip_count", "avg_speed"))
 
 

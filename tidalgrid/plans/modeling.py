@@ -119,7 +119,7 @@ PANEL_FEATURES = ["trip_value", "trip_count", "ridership", "ride_count", "avg_sp
 
 
 def _rho(a: str, b: str) -> str:
-    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    rank = lambda c: f"rank() OVER (ORDER BY round({c}, 6)) + (count(*) OVER (PARTITION BY round({c}, 6)) - 1) / 2.0"
     return f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*) AS n_rows, corr(x, y) AS rho FROM (SELECT {rank(a)} AS x, {rank(b)} AS y FROM panel WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
 
 
@@ -127,7 +127,10 @@ SPEARMAN_SQL = f"{SQL_PANEL}, every AS ({' UNION ALL '.join(_rho(a, b) for a, b
 
 
 def spearman(spark, d):
-    return Sc.spearman_pairs(dense_panel(spark, d), ["zone_id", "date", "temporal_bucket"], PANEL_FEATURES)
+    # Sums differ in their last bit with the order of addition; rounding keeps ties ties in both engines.
+    key = ["zone_id", "date", "temporal_bucket"]
+    p = dense_panel(spark, d).select(*key, *[F.round(F.col(c).cast("double"), 6).alias(c) for c in PANEL_FEATURES])
+    return Sc.spearman_pairs(p, key, PANEL_FEATURES)
 
 
 @query("O-67", sql=f"WITH {SPEARMAN_SQL} SELECT feature_a, feature_b, n_rows, {q6('rho', 'correlation')} FROM r")
