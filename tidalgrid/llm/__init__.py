@@ -7,7 +7,7 @@ from importlib import import_module
 from .registry import Query
 
 MODULES = [
-    "op03_quality_rules", "op04_token_files", "op07_bpe_round_trip", "op10_chat_format",
+    "op03_quality_rules", "op04_token_files", "op07_bpe_round_trip", "op08_decontamination", "op10_chat_format",
 ]
 
 
