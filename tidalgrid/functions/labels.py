@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .fixed_values import COMMUNITY_TIERS, CORE_ZONES, LABEL_COLLAPSE
+from .fixed_values import COMMUNITIES, LABEL_COLLAPSE
 
 
 def first_match(rules: Iterable[tuple[Column, str]], default: str | None = None) -> Column:
@@ -43,10 +43,10 @@ def collapse_label(label: Column, table: Mapping[str, str] = LABEL_COLLAPSE) ->
 def add_geography(df: DataFrame, community: str) -> DataFrame:
     """Tier, core zone and topicality of a community, matched without regard to case."""
     key = F.lower(F.col(community))
-    tiers = {name: tier for tier, names in COMMUNITY_TIERS.items() for name in names}
-    tier = lookup(key, tiers, "Unmapped")
-    topical = first_match([(tier == "Transit / cycling", "partial"), (tier == "Topical (activist)", "true")], "false")
-    return df.withColumns({"geo_tier": tier, "cbd_zone": lookup(key, CORE_ZONES), "is_topical": topical})
+    tier = lookup(key, {name: tier for name, tier, _, _ in COMMUNITIES}, "Unmapped")
+    zone = lookup(key, {name: zone for name, _, zone, _ in COMMUNITIES if zone})
+    topical = lookup(key, {name: topical for name, _, _, topical in COMMUNITIES}, "false")
+    return df.withColumns({"geo_tier": tier, "cbd_zone": zone, "is_topical": topical})
 
 
 def argmax_label(labels: Sequence[str], scores: Sequence[str]) -> tuple[Column, Column]:

@@ -16,10 +16,6 @@ def clean_removed(text: Column) -> Column:
     return F.when(F.trim(text).isin(REMOVED_MARKERS), F.lit("")).otherwise(F.coalesce(text, F.lit("")))
 
 
-def joined_text(*parts: Column, sep: str = " ") -> Column:
-    return F.trim(F.concat_ws(sep, *[clean_removed(p) for p in parts]))
-
-
 def any_of(terms: Sequence[str]) -> str:
     return "(?i)(?:" + "|".join(terms) + ")"
 

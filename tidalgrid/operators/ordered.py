@@ -2,10 +2,8 @@
 
 Values are first reduced to (value, weight) rows.  Each group is then cut at approximate quantiles
 into buckets that different tasks own; only bucket totals are summed in order.  The cuts may be
-approximate, the results are not: cuts decide the split of the work and nothing else.
-
-When the reduced rows number at most SMALL_ROWS, which is counted and not guessed, a plain window or
-the built-in percentile does the same in one step.
+approximate, the results are not: cuts decide the split of the work and nothing else.  All sizes take
+the same path.
 """
 
 from __future__ import annotations
@@ -20,7 +18,6 @@ from ..session import reliable_checkpoint
 
 
 STEP = 8
-SMALL_ROWS = 1_000_000
 
 
 def _bucket_of(value: Column) -> Column:
@@ -31,7 +28,7 @@ def _bucket_of(value: Column) -> Column:
 
 
 def running_totals(
-    df: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str], buckets: int = 64, small_rows: int | None = None
+    df: DataFrame, groups: Sequence[str], order: str, sums: Sequence[str], buckets: int = 64
 ) -> DataFrame:
     """Add ``<s>_before`` and ``<s>_total`` for each column of ``sums``.
 
@@ -44,10 +41,6 @@ def running_totals(
     # The rows are read for the cuts, for the bucket totals and for the result: compute them once.
     keyed = reliable_checkpoint(df if groups else df.withColumn("_all", F.lit(1)))
     by = groups or ["_all"]
-    if keyed.count() <= (SMALL_ROWS if small_rows is None else small_rows):
-        run, all_rows = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by)
-        both = {f"{s}_before": F.coalesce(F.sum(s).over(run), F.lit(0)) for s in sums} | {f"{s}_total": F.sum(s).over(all_rows) for s in sums}
-        return keyed.withColumns(both).drop(*([] if groups else ["_all"]))
     cuts = keyed.groupBy(*by).agg(F.percentile_approx(order, probs, 1000).alias("_cuts"))
     coarse = F.filter("_cuts", lambda c, i: (i + 1) % STEP == 0)
     cuts = reliable_checkpoint(cuts.withColumn("_coarse", coarse))
@@ -79,15 +72,10 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float], buckets: int = 64, small_rows: int | None = None
+    df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float], buckets: int = 64
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per group, for groups of any size."""
-    counts = reliable_checkpoint(value_counts(df, groups, value))
-    if counts.count() <= (SMALL_ROWS if small_rows is None else small_rows):
-        at = F.array(*[F.lit(float(p)) for p in probs.values()])
-        got = counts.groupBy(*groups).agg(F.sum("n").alias("n_values"), F.percentile(F.col(value).cast("double"), at, F.col("n")).alias("_q"))
-        return got.select(*groups, "n_values", *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
-    ranked = running_totals(counts, groups, value, ["n"], buckets, small_rows)
+    ranked = running_totals(value_counts(df, groups, value), groups, value, ["n"], buckets)
     v = F.col(value).cast("double")
     picks = []
     for name, p in probs.items():
@@ -110,9 +98,9 @@ def exact_quantiles(
     )
 
 
-def average_ranks(df: DataFrame, groups: Sequence[str], value: str, buckets: int = 64, small_rows: int | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, groups: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
     """(group, value, n, rank, n_total) with ties sharing their mean rank, starting at 1."""
-    ranked = running_totals(value_counts(df, groups, value), groups, value, ["n"], buckets, small_rows)
+    ranked = running_totals(value_counts(df, groups, value), groups, value, ["n"], buckets)
     return ranked.withColumn("rank", F.col("n_before") + (F.col("n") + 1) / 2).drop("n_before")
 
 

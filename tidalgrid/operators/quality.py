@@ -12,29 +12,32 @@ from pyspark.sql import functions as F
 from .ordered import exact_quantiles
 
 
-def file_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Files, bytes, rows and column count per dataset, from the scan's file metadata."""
+def _plain_path(path: Column) -> Column:
+    """One spelling for a path: file:///x and file:/x are the same file."""
+    return F.regexp_replace(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "^([a-z0-9]+):/+", "$1:/")
+
+
+def file_health(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per file: dataset, path, bytes and rows; a file without rows is listed with 0."""
     parts = []
     for name, df in tables.items():
-        per_file = df.groupBy("_metadata.file_path").agg(
-            F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes")
-        )
-        parts.append(
-            per_file.agg(
-                F.count(F.lit(1)).alias("file_count"),
-                F.sum("rows").alias("row_count"),
-                F.sum("bytes").alias("byte_count"),
-            ).select(
-                F.lit(name).alias("dataset"),
-                "file_count",
-                "row_count",
-                "byte_count",
-                F.lit(len(df.columns)).cast("bigint").alias("column_count"),
-            )
-        )
+        spark = df.sparkSession
+        # Only the listing is read here, not the content.
+        listed = spark.read.format("binaryFile").load(df.inputFiles()).select(_plain_path(F.col("path")).alias("path"), F.col("length").alias("bytes"))
+        counted = df.groupBy(_plain_path(F.col("_metadata.file_path")).alias("path")).agg(F.count(F.lit(1)).alias("rows"))
+        parts.append(listed.join(counted, "path", "left").select(F.lit(name).alias("dataset"), "path", "bytes", F.coalesce("rows", F.lit(0)).alias("rows")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def file_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Files (empty ones too), bytes, smallest and largest file, rows and column count per dataset."""
+    columns = F.create_map(*[x for n, df in tables.items() for x in (F.lit(n), F.lit(len(df.columns)).cast("bigint"))])
+    files = file_health(tables).groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("file_count"), F.count(F.when(F.col("rows") == 0, 1)).alias("empty_count"), F.sum("rows").alias("row_count"),
+        F.sum("bytes").alias("byte_count"), F.min("bytes").alias("least_bytes"), F.max("bytes").alias("most_bytes"))
+    return files.withColumn("column_count", columns[F.col("dataset")])
+
+
 def schema_signatures(spark: SparkSession, tables: Mapping[str, DataFrame], expected: Sequence[str]) -> DataFrame:
     """Sorted column list per dataset with the columns missing from and beyond the expected ones.
 

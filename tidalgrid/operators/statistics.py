@@ -102,11 +102,19 @@ def distribution_profile(df: DataFrame, value: str, by: Sequence[str], min_bimod
     return out.where(F.col("n") >= min_rows).withColumn("bimodality", F.when(m >= min_bimodality, bc)).drop("_m", "_g", "_k")
 
 
-def density_by_period(df: DataFrame, value: str, by: Sequence[str], lo: float, hi: float, bins: int) -> DataFrame:
-    """Fixed-width histogram densities per group (in place of a kernel estimate)."""
-    width = (hi - lo) / bins
-    at = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1))
-    n = df.where(F.col(value).between(lo, hi)).groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def density_by_period(df: DataFrame, value: str, by: Sequence[str], bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """Fixed-width histogram densities per group (in place of a kernel estimate).
+
+    The range is that of the data unless given; with a given one the end bins take what lies beyond,
+    so every row counts.  NULL and NaN are left out.
+    """
+    clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    if lo is None or hi is None:
+        found = clean.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).first()
+        lo, hi = (found["lo"] or 0.0) if lo is None else lo, (found["hi"] or 0.0) if hi is None else hi
+    width = (hi - lo) / bins or 1.0
+    at = F.greatest(F.lit(0), F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)))
+    n = clean.groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(W.partitionBy(*by))
     return n.withColumn("density", F.col("n") / (total * width)).withColumn("bin_start", F.lit(lo) + F.col("bin") * width)
 

@@ -7,9 +7,9 @@ Features of one call share one window specification and therefore one shuffle an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,21 +66,30 @@ def ema(
 ) -> DataFrame:
     """Recursive exponential mean ``y = (1-a) y + a x``; a NULL keeps decaying the old weight.
 
-    The recursion has no window form, and folding it as an array copies that array at every step.  So
-    each series, at most one row per day, is one small Arrow group with all its metrics.
+    A row's mean is folded over the rows behind it that can still matter: the weight of an older row is
+    below 1e-17 of the whole, less than a double resolves.  So the frame has a fixed length, no array
+    grows, and everything stays in column expressions.
     """
     a = alpha if alpha is not None else 2.0 / (span + 1.0)
-    names = [f"{m}_ema" for m in metrics]
-    take = list(metrics)
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ignore_index=True)
-        pdf[names] = pdf[take].astype(float).ewm(alpha=a, adjust=False, ignore_na=False).mean()
-        return pdf
-
-    kinds = df.dtypes
-    schema = ", ".join([f"`{c}` {k}" for c, k in kinds] + [f"`{n}` double" for n in names])
-    return df.groupBy(*series).applyInPandas(smooth, schema)
+    reach = math.ceil(math.log(1e-17) / math.log1p(-a)) if a < 1 else 0
+    w = W.partitionBy(*series).orderBy(order).rowsBetween(-reach, 0)
+    keep = F.lit(1.0 - a)
+
+    def fold(metric: str) -> Column:
+        # The state is (weight of the old mean, mean); the mean is NULL until the first value.
+        def step(s: Column, x: Column) -> Column:
+            old = s["w"] * keep
+            mean = F.when(s["y"].isNull(), x).otherwise((old * s["y"] + F.lit(a) * x) / (old + F.lit(a)))
+            return F.when(x.isNull(), F.struct(old.alias("w"), s["y"].alias("y"))).otherwise(F.struct(F.lit(1.0).alias("w"), mean.alias("y")))
+
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(None).cast("double").alias("y"))
+        # collect_list leaves NULLs out, so each value travels in a struct.
+        return F.aggregate(F.col(f"_{metric}_seen"), start, lambda s, x: step(s, x["v"]), lambda s: s["y"])
+
+    # NaN counts as missing.
+    value = lambda m: F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))
+    seen = df.withColumns({f"_{m}_seen": F.collect_list(F.struct(value(m).alias("v"))).over(w) for m in metrics})
+    return seen.withColumns({f"{m}_ema": fold(m) for m in metrics}).drop(*[f"_{m}_seen" for m in metrics])
 
 
 def period_profile(

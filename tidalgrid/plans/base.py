@@ -12,8 +12,6 @@ from ..operators import panel as P
 from ..session import reliable_checkpoint
 
 CUTOFF = "2024-01-16"
-START, END = "2024-01-01", "2024-01-30"
-SERVICES = ["purchase", "signup"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,15 +79,21 @@ def _with_policy(joined: DataFrame) -> DataFrame:
     return P.fill_by_service(joined, ["trip_count", "trip_value", "ride_count"], ["ridership"])
 
 
-def _spine(zones: DataFrame) -> DataFrame:
-    return P.dense_spine(zones, START, END).withColumn("period", policy_period(F.col("date"), CUTOFF))
+def study_days(spark: SparkSession, folder: str) -> tuple[str, str]:
+    """First and last day with activity."""
+    r = table(spark, folder, "events").agg(F.min(F.to_date("ts")).cast("string").alias("a"), F.max(F.to_date("ts")).cast("string").alias("z")).first()
+    return r["a"], r["z"]
+
+
+def _spine(zones: DataFrame, days: tuple[str, str]) -> DataFrame:
+    return P.dense_spine(zones, *days).withColumn("period", policy_period(F.col("date"), CUTOFF))
 
 
 def joined_panel(spark: SparkSession, folder: str) -> DataFrame:
     """zone x date x bucket from four separately harmonized layers, each written once."""
     parts = {k: reliable_checkpoint(v) for k, v in layers(activity(spark, folder)).items()}
     zones = P.observed_values(list(parts.values()), ["zone_id"])
-    return _with_policy(P.assemble_panel(_spine(zones), list(parts.values())))
+    return _with_policy(P.assemble_panel(_spine(zones, study_days(spark, folder)), list(parts.values())))
 
 
 def dense_panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +109,7 @@ def dense_panel(spark: SparkSession, folder: str) -> DataFrame:
         counts={"trip_count": trip, "ride_count": ride, "speed_count": speed, "traffic_count": flow},
     )
     states = reliable_checkpoint(states)
-    return _with_policy(P.assemble_panel(_spine(states.select("zone_id").distinct()), [states]))
+    return _with_policy(P.assemble_panel(_spine(states.select("zone_id").distinct(), study_days(spark, folder)), [states]))
 
 
 def nation_series(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +146,7 @@ traffic AS (SELECT {_KEY}, sum(value) AS traffic_volume, count(*) AS traffic_cou
 
 SQL_SPINE = f"""
 zones AS (SELECT zone_id FROM trips UNION SELECT zone_id FROM rides UNION SELECT zone_id FROM speeds UNION SELECT zone_id FROM traffic),
-days AS (SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 DAY)) AS DATE) AS date),
+days AS (SELECT CAST(unnest(generate_series((SELECT CAST(min(ts) AS DATE) FROM events), (SELECT CAST(max(ts) AS DATE) FROM events), INTERVAL 1 DAY)) AS DATE) AS date),
 parts AS (SELECT unnest(['overnight', 'am_peak', 'midday', 'pm_peak', 'evening']) AS part),
 spine AS (SELECT zone_id, date, CASE WHEN dayofweek(date) IN (0, 6) THEN 'weekend_' ELSE 'weekday_' END || part AS temporal_bucket,
   CASE WHEN date >= DATE '{CUTOFF}' THEN 'post_cp' ELSE 'pre_cp' END AS period FROM zones, days, parts)"""

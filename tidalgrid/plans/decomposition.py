@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import panel as P
 from ..operators import series as Se
-from ..streaming.rollup import run_rollup
+from ..streaming.rollup import run_rollup, shared_folder
 from .base import SQL_NATION, SQL_PANEL, dense_panel, nation_series, q6, rounded, table
 from .panel import KEY_SQL
 from .registry import Family
@@ -82,3 +82,15 @@ def streamed_rollup(spark, d):
     out = run_rollup(twice.drop("copy"), "event_id", "at", "event_type")
     utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("window_start").cast("timestamp_ntz"))
     return out.select(F.date_format(utc, "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+
+
+@query("O-95", sql="SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def streamed_late_patches(spark, d):
+    # Six files, one a batch, each with rows of all days, the first repeated at the end: nothing is too late.
+    folder = shared_folder(spark, "late")
+    e = table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "event_type")
+    for part in (4, 3, 2, 1, 0, 4):
+        e.where(F.col("event_id") % 5 == part).coalesce(1).write.mode("append").parquet(folder)
+    raw = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = run_rollup(raw.withColumn("at", F.to_timestamp("at")), "event_id", "at", "event_type")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")

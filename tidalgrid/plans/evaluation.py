@@ -61,10 +61,11 @@ def stance_distribution(spark, d):
     return rounded(S.distribution_profile(i, "s", ["community"], extra_means={"mean_conf": F.col("conf")}))
 
 
-@query("O-153", sql=f"""WITH b AS (SELECT event_type, CAST(least(floor((value - 0.0) / 25.0), 19) AS BIGINT) AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY ALL)
-  SELECT event_type, bin, n, {q6('n / (sum(n) OVER (PARTITION BY event_type) * 25.0)', 'density')}, bin * 25.0 AS bin_start FROM b""")
+@query("O-153", sql=f"""WITH r AS (SELECT min(value) AS lo, (max(value) - min(value)) / 20 AS width FROM events),
+  b AS (SELECT event_type, CAST(least(floor((value - lo) / width), 19) AS BIGINT) AS bin, count(*) AS n FROM events, r GROUP BY ALL)
+  SELECT event_type, bin, n, {q6('n / (sum(n) OVER (PARTITION BY event_type) * width)', 'density')}, {q6('lo + bin * width', 'bin_start')} FROM b, r""")
 def value_densities(spark, d):
-    return rounded(S.density_by_period(table(spark, d, "events"), "value", ["event_type"], 0.0, 500.0, 20))
+    return rounded(S.density_by_period(table(spark, d, "events"), "value", ["event_type"], 20))
 
 
 CONF_SQL = f"{SQL_ITEMS}, cell AS (SELECT truth, stance, sum(w) AS w FROM items GROUP BY ALL), lab AS (SELECT unnest(['anti', 'neutral', 'pro', 'off-topic']) AS label)"

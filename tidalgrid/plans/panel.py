@@ -8,7 +8,7 @@ from ..operators import panel as P
 from ..operators import quality as Q
 from ..operators import windows as Wn
 from .base import (
-    CUTOFF, END, SQL_ACTIVITY, SQL_LAYERS, SQL_PANEL, SQL_SPINE, START, activity, dense_panel, joined_panel, layers, q6,
+    CUTOFF, SQL_ACTIVITY, SQL_LAYERS, SQL_PANEL, SQL_SPINE, activity, dense_panel, joined_panel, layers, q6, study_days,
     rounded, sql_bucket, table,
 )
 from .registry import Family
@@ -199,7 +199,7 @@ def joined_layer_panel(spark, d):
 )
 def observed_spine(spark, d):
     zones = P.observed_values(list(layers(activity(spark, d)).values()), ["zone_id"])
-    return rounded(P.dense_spine(zones, START, END))
+    return rounded(P.dense_spine(zones, *study_days(spark, d)))
 
 
 @query(

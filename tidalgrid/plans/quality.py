@@ -66,6 +66,63 @@ def staged_json_lines(spark, d):
     return rounded(back.select("conv_id", "turn", F.length("text").alias("chars")))
 
 
+@query(
+    "O-02",
+    sql="SELECT event_id, value, event_type FROM events",
+)
+def staged_csv_one_folder(spark, d):
+    # Pages with their columns in another order lie in one folder.
+    folder = shared_folder(spark, "mixed-pages")
+    e = table(spark, d, "events")
+    e.where("event_id % 3 = 0").select("event_id", "value", "event_type").write.option("header", True).csv(folder)
+    e.where("event_id % 3 <> 0").select("event_type", "event_id", "value").write.mode("append").option("header", True).csv(folder)
+    return S.stage_csv(spark, [folder], "event_id bigint, value double, event_type string")
+
+
+_MIXED = """CASE event_id % 5 WHEN 0 THEN {q}false{q} WHEN 1 THEN {q}1672608506{q} WHEN 2 THEN {q}1672608506.0{q} WHEN 3 THEN {q}"x"{q} ELSE {q}null{q} END"""
+
+
+@query(
+    "O-03", "O-06",
+    sql="""SELECT event_id, CAST(CASE WHEN event_id % 5 IN (1, 2) THEN 1672608506 END AS DOUBLE) AS edited, CAST(event_id % 4 AS BIGINT) AS score,
+      (SELECT count(*) FROM events WHERE event_id % 11 = 0) AS broken_count FROM events WHERE event_id % 11 <> 0""",
+)
+def staged_json_mixed_types(spark, d):
+    # false, numbers, text and broken lines in one column of whole numbers.
+    folder = shared_folder(spark, "mixed-lines")
+    e = table(spark, d, "events")
+    line = F.concat(F.lit('{"event_id": '), F.col("event_id"), F.lit(', "edited": '), F.expr(_MIXED.format(q="'")), F.lit(', "score": "'), F.col("event_id") % 4, F.lit('"'))
+    e.select(F.when(F.col("event_id") % 11 == 0, line).otherwise(F.concat(line, F.lit("}"))).alias("value")).write.text(folder)
+    back = S.stage_jsonl(spark, [folder], "event_id bigint, edited bigint, score bigint")
+    broken = S.broken_json_lines(spark, [folder]).first()["broken_count"]
+    return back.select("event_id", F.col("edited").cast("double").alias("edited"), "score", F.lit(broken).cast("bigint").alias("broken_count"))
+
+
+@query(
+    "O-11",
+    sql="SELECT 'events' AS dataset, 2::BIGINT AS file_count, 1::BIGINT AS empty_count, (SELECT count(*) FROM events) AS row_count, 2::BIGINT AS column_count",
+)
+def file_inventory_with_empty_file(spark, d):
+    folder = shared_folder(spark, "with-empty")
+    e = table(spark, d, "events").select("event_id", "value")
+    e.coalesce(1).write.parquet(folder)
+    spark.createDataFrame([], e.schema).coalesce(1).write.mode("append").parquet(folder)
+    return Q.file_inventory({"events": spark.read.parquet(folder)}).select("dataset", "file_count", "empty_count", "row_count", "column_count")
+
+
+@query(
+    "O-22", "O-60",
+    sql=f"""WITH {SQL_PANEL} SELECT CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS source_trips, (SELECT CAST(sum(trip_count) AS BIGINT) FROM panel) AS panel_trips,
+      CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS source_rides, (SELECT CAST(sum(ride_count) AS BIGINT) FROM panel) AS panel_rides FROM act""",
+)
+def panel_conservation(spark, d):
+    # Nothing that the source counts may be missing from the dense panel.
+    src = activity(spark, d).agg(F.count(F.when(F.col("event_type") == "purchase", 1)).alias("source_trips"), F.count(F.when(F.col("event_type") == "click", 1)).alias("source_rides"))
+    got = dense_panel(spark, d).agg(F.sum("trip_count").cast("bigint").alias("panel_trips"), F.sum("ride_count").cast("bigint").alias("panel_rides"))
+    one = src.withColumn("k", F.lit(1)).join(got.withColumn("k", F.lit(1)), "k").drop("k")
+    return one.withColumn("_ok", F.assert_true((F.col("source_trips") == F.col("panel_trips")) & (F.col("source_rides") == F.col("panel_rides")), F.lit("the panel loses activity"))).drop("_ok")
+
+
 @query(
     "O-09", "O-01",
     sql=f"SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS row_count, {q6('sum(o_totalprice)', 'total_price')} FROM orders GROUP BY 1",
@@ -193,19 +250,22 @@ def seeded_and_repaired_labels(spark, d):
     return rounded(both.drop("parsed"))
 
 
-TABLES = ["customer", "documents", "events", "lineitem", "nation", "orders", "region", "supplier"]
+TABLES = [
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part",
+    "region", "supplier",
+]
 
 
 @query(
     "O-11",
     sql=" UNION ALL ".join(
-        f"""SELECT '{t}' AS dataset, 1::BIGINT AS file_count, (SELECT count(*) FROM {t}) AS row_count,
+        f"""SELECT '{t}' AS dataset, 1::BIGINT AS file_count, 0::BIGINT AS empty_count, (SELECT count(*) FROM {t}) AS row_count,
       (SELECT count(*) FROM (DESCRIBE {t})) AS column_count"""
         for t in TABLES
     ),
 )
 def file_inventory(spark, d):
-    return Q.file_inventory({t: table(spark, d, t) for t in TABLES}).drop("byte_count")
+    return Q.file_inventory({t: table(spark, d, t) for t in TABLES}).drop("byte_count", "least_bytes", "most_bytes")
 
 
 @query(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,22 @@ def read_staged(
     return df.select(*columns) if columns else df
 
 
+def csv_headers(spark: SparkSession, paths: Sequence[str], options: Mapping[str, str]) -> dict[tuple[str, ...], list[str]]:
+    """Files below ``paths`` by their header.
+
+    Executors read the first line of each file; one line a file reaches the driver, metadata as a file
+    listing is.  Files without a line have no header and are left out.
+    """
+    lines = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for r in first.orderBy("path").collect():
+        names = next(csv.reader([r["header"].lstrip("\ufeff")], delimiter=options.get("sep", options.get("delimiter", ",")), quotechar=options.get("quote", '"')))
+        found.setdefault(tuple(names), []).append(unquote(r["path"]))
+    return found
+
+
 def stage_csv(
     spark: SparkSession,
     paths: Sequence[str],
@@ -32,17 +50,20 @@ def stage_csv(
     ts_columns: Mapping[str, str] | None = None,
     key_options: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """CSV pages to typed rows; columns follow the header by name, a bad timestamp becomes NULL.
+    """CSV pages to typed rows; columns follow each file's own header by name, a bad timestamp becomes NULL.
 
     ``schema`` gives the target types.  Every field is read as text first, so one bad cell costs
-    that cell and not the row; pages with fewer columns get NULLs for the rest.
+    that cell and not the row; pages with fewer columns get NULLs for the rest.  Files are read
+    together by header, one scan for each distinct header.
     """
     target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    ts_columns = dict(ts_columns or {})
+    ts_columns, options = dict(ts_columns or {}), dict(key_options or {})
     pages = []
-    for path in paths:
-        page = spark.read.options(header=True, **(key_options or {})).csv(path)
-        pages.append(page)
+    for header, files in csv_headers(spark, paths, options).items():
+        as_text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        pages.append(spark.read.options(header=True, enforceSchema=False, **options).schema(as_text).csv(files))
+    if not pages:
+        return spark.createDataFrame([], target)
     raw = union_sources(pages)
     out = []
     for field in target.fields:
@@ -56,13 +77,40 @@ def stage_csv(
     return raw.select(*out)
 
 
+def _json_lines(spark: SparkSession, paths: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """The listed fields of each line as text (nested values as JSON text), and ``_corrupt`` for lines that are no JSON."""
+    kind = T.StructType([*[T.StructField(c, T.StringType()) for c in fields], T.StructField("_corrupt", T.StringType())])
+    lines = spark.read.text(list(paths)).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", kind, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
+
+
+def _from_text(text: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return text
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return F.from_json(text, kind)
+    if isinstance(kind, T.IntegralType):
+        # 1672608506.0 is the whole number 1672608506; 4.5 is none.
+        real = text.try_cast("double")
+        return F.coalesce(text.try_cast(kind), F.when(real == F.floor(real), real.try_cast(kind)))
+    return text.try_cast(kind)
+
+
 def stage_jsonl(spark: SparkSession, paths: Sequence[str], schema: T.StructType | str) -> DataFrame:
-    """Newline-delimited JSON, only the fields of ``schema``; unparsable lines are dropped."""
+    """Newline-delimited JSON, only the fields of ``schema``.
+
+    Fields are read as text and converted one by one: a value of another type (``false`` in a column of
+    numbers) becomes NULL and the row stays.  Lines that are no JSON are left out; ``broken_json_lines``
+    counts them.
+    """
     target = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    corrupt = T.StructType([*target.fields, T.StructField("_corrupt", T.StringType())])
-    df = spark.read.schema(corrupt).option("columnNameOfCorruptRecord", "_corrupt").json(list(paths))
-    # A file scan may not be asked for the corrupt column alone, so test it next to a real one.
-    return df.where(F.col("_corrupt").isNull()).select(*target.fieldNames())
+    rows = _json_lines(spark, paths, target.fieldNames()).where(F.col("_corrupt").isNull())
+    return rows.select(*[_from_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in target.fields])
+
+
+def broken_json_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """One row: lines that hold text, and how many of them are no JSON."""
+    return _json_lines(spark, paths, []).agg(F.count(F.lit(1)).alias("line_count"), F.count("_corrupt").alias("broken_count"))
 
 
 def source_name(column: Column | None = None) -> Column:
