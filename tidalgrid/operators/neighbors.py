@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
-from .ordered import exact_quantiles
+from .ordered import assign_row_id, exact_quantiles
 from .sampling import hash_sample
 
 
@@ -329,7 +329,7 @@ def knn_profile(df: DataFrame, group: str, key: str, vector: str, ks: Sequence[i
     t = lay_out(base, group, key, vector, **layout)
     near = nearest_neighbors(t, max(ks)).join(t.points.select("g", "pid", "w"), ["g", "pid"])
     kth = F.array(*[F.struct(F.lit(k).alias("neighbor_k"), F.element_at("distances", k).alias("d")) for k in ks])
-    # A merged vector stands for w rows: repeat its distance w times in the moments and quantiles.
+    # A merged vector stands for w rows: its distance weighs w in the moments and quantiles.
     long = near.select("g", "w", F.inline(kth))
     w, d = F.col("w"), F.col("d")
     stats = long.groupBy("g", "neighbor_k").agg(
@@ -337,8 +337,7 @@ def knn_profile(df: DataFrame, group: str, key: str, vector: str, ks: Sequence[i
     )
     spread = F.sqrt(F.greatest(F.col("_sq") / F.col("group_rows") - F.col("mean_distance") ** 2, F.lit(0.0)))
     stats = stats.withColumn("std_distance", spread).withColumn("variation", F.try_divide("std_distance", "mean_distance")).drop("_sq")
-    each = long.withColumn("_r", F.explode(F.sequence(F.lit(1).cast("bigint"), w))) if layout.get("merge_equal", True) else long
-    q = exact_quantiles(each, ["g", "neighbor_k"], "d", {"median_distance": 0.5, "p90_distance": 0.9, "p95_distance": 0.95, "p99_distance": 0.99})
+    q = exact_quantiles(long, ["g", "neighbor_k"], "d", {"median_distance": 0.5, "p90_distance": 0.9, "p95_distance": 0.95, "p99_distance": 0.99}, weight="w")
     return stats.join(q.drop("n_values"), ["g", "neighbor_k"]).withColumnRenamed("g", "group_key")
 
 
@@ -395,15 +394,15 @@ def eps_anchors(profile: DataFrame, by: Sequence[str] = ("neighbor_k",)) -> Data
     )
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over undirected edges (a, b).
 
     Every round takes the smallest label among neighbours and then follows labels to their own label,
-    so distances in label chains halve; each round is checkpointed.
+    so distances in label chains halve; each round is checkpointed.  A round that moves nothing is the last.
     """
     both = reliable_checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = reliable_checkpoint(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         offered = both.join(state.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("_c"))
         lower = state.join(offered, "id", "left").select("id", "component", F.least("component", F.coalesce("_c", "component")).alias("_low"))
         jump = lower.select(F.col("id").alias("_low"), F.col("_low").alias("_next"))
@@ -413,7 +412,6 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> Data
         state = step.drop("_moved")
         if not moved:
             return state
-    raise ValueError("components did not settle")
 
 
 def dbscan_clusters(df: DataFrame, group: str, key: str, vector: str, eps: float, min_samples: int, **layout) -> DataFrame:
@@ -428,13 +426,16 @@ def dbscan_clusters(df: DataFrame, group: str, key: str, vector: str, eps: float
     links = _stream(carried, _meetings(t, F.lit(float(eps))), F.array(core), "other bigint", lambda: _Links(eps))
     nodes = grid.where(core > 0).select(F.col("pid").alias("id"))
     comp = components(nodes, links.select(F.col("pid").alias("a"), F.col("other").alias("b")))
-    # The smallest label among core neighbours, found as the peak of negated labels.
-    tagged = t.points.join(comp.select(F.col("id").alias("pid"), F.col("component").cast("double").alias("_c")), "pid", "left")
+    # The smallest label among core neighbours, found as the peak of negated labels.  Ids may exceed what a
+    # double holds exactly, so labels travel as dense ranks in id order.
+    ranks = reliable_checkpoint(assign_row_id(comp.select("component").distinct(), ["component"], "_rank"))
+    tagged = t.points.join(comp.join(ranks, "component").select(F.col("id").alias("pid"), F.col("_rank").cast("double").alias("_c")), "pid", "left")
     low = F.coalesce(-F.col("_c"), F.lit(float("-inf")))
     peaks = _stream(Tiles(tagged, t.gaps), _meetings(t, F.lit(float(eps))), F.array(low), "peaks array<double>", lambda: _Peaks([eps]))
     found = peaks.join(comp.select(F.col("id").alias("pid"), "component"), "pid", "left")
-    border = F.when(F.col("peaks")[0] > float("-inf"), (-F.col("peaks")[0]).cast("bigint"))
-    found = found.select("g", "pid", F.coalesce("component", border).alias("cluster"))
+    rank = F.when(F.col("peaks")[0] > float("-inf"), (-F.col("peaks")[0]).cast("bigint"))
+    found = found.withColumn("_rank", rank).join(ranks.withColumnRenamed("component", "_border"), "_rank", "left")
+    found = found.select("g", "pid", F.coalesce("component", "_border").alias("cluster"))
     if not layout.get("merge_equal", True):
         return df.select(key, group).join(found.withColumnRenamed("pid", key).drop("g"), key)
     return _back_to_rows(df, t, found, group, key, vector)

@@ -65,17 +65,17 @@ def running_totals(
     return out.drop("_bucket", *[f"_o_{s}" for s in sums], *([] if groups else ["_all"]))
 
 
-def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Distinct values with their row counts; NULL and NaN left out."""
+def value_counts(df: DataFrame, groups: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Distinct values with their row counts (or sums of a whole ``weight``); NULL and NaN left out."""
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    return clean.groupBy(*groups, F.col(value)).agg(F.count(F.lit(1)).alias("n"))
+    return clean.groupBy(*groups, F.col(value)).agg((F.sum(F.col(weight)) if weight else F.count(F.lit(1))).alias("n"))
 
 
 def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float], buckets: int = 64
+    df: DataFrame, groups: Sequence[str], value: str, probs: Mapping[str, float], buckets: int = 64, weight: str | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles, one row per group, for groups of any size."""
-    ranked = running_totals(value_counts(df, groups, value), groups, value, ["n"], buckets)
+    ranked = running_totals(value_counts(df, groups, value, weight), groups, value, ["n"], buckets)
     v = F.col(value).cast("double")
     picks = []
     for name, p in probs.items():

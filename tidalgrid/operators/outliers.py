@@ -256,19 +256,26 @@ def mixture_scores(df: DataFrame, vector: str, model: Mixture, name: str = "scor
     return df.withColumn(name, score(vector))
 
 
-def mixture_screen(spark, models: Mapping[str, Mixture]) -> DataFrame:
-    """Fit criteria of candidate mixtures and the structure verdict by how many of them it leads."""
-    best_bic = min(m.bic for m in models.values())
-    best_aic = min(m.aic for m in models.values())
-    best_ll = max(m.log_likelihood / m.rows for m in models.values())
-    rows = []
-    for name, m in models.items():
-        lead = sum([m.bic <= best_bic * 1.02 if best_bic > 0 else m.bic <= best_bic * 0.98, m.aic <= best_aic * 1.02 if best_aic > 0 else m.aic <= best_aic * 0.98, m.log_likelihood / m.rows >= best_ll - 0.02 * abs(best_ll)])
-        rows.append((name, len(m.weights), m.kind, float(m.log_likelihood / m.rows), float(m.aic), float(m.bic), int(lead)))
-    df = spark.createDataFrame(rows, "model string, component_count int, kind string, mean_log_likelihood double, aic double, bic double, competitive_metrics int")
-    c, full = F.col("competitive_metrics"), F.col("kind") == "full"
-    verdict = first_match([(F.col("component_count") == 1, "retire"), (full & (c == 3), "advance"), (~full & (c == 3), "caution"), (full & (c == 2), "caution")], "retire")
-    return df.withColumn("structure_decision", verdict)
+#: Fixed value: a fit criterion counts for a structure whose dense rank is this or better.
+COMPETITIVE_RANK = 4
+
+
+def mixture_criteria(spark, models: Mapping[str, Mixture], feature_set: str = "all") -> DataFrame:
+    """Fit criteria of candidate mixtures, one row a candidate."""
+    rows = [(feature_set, n, len(m.weights), m.kind, float(m.log_likelihood / m.rows), float(m.aic), float(m.bic)) for n, m in models.items()]
+    return spark.createDataFrame(rows, "feature_set string, model string, component_count int, kind string, mean_log_likelihood double, aic double, bic double")
+
+
+def screen_structures(criteria: DataFrame, by: Sequence[str] = ("feature_set",)) -> DataFrame:
+    """Dense ranks of BIC, AIC (small first) and mean log likelihood (large first) within ``by``, how many of
+    the three are competitive, and the verdict.  There are as many rows as candidate fits."""
+    rank = lambda c: F.dense_rank().over(W.partitionBy(*by).orderBy(c))
+    out = criteria.withColumns({"bic_rank": rank(F.asc("bic")), "aic_rank": rank(F.asc("aic")), "log_likelihood_rank": rank(F.desc("mean_log_likelihood"))})
+    c = sum((F.col(r) <= COMPETITIVE_RANK).cast("int") for r in ("bic_rank", "aic_rank", "log_likelihood_rank"))
+    out = out.withColumn("competitive_metrics", c)
+    c, full, diag = F.col("competitive_metrics"), F.col("kind") == "full", F.col("kind") == "diag"
+    verdict = first_match([(F.col("component_count") == 1, "retire"), (full & (c == 3), "advance"), (diag & (c == 3), "caution"), (full & (c == 2), "caution")], "retire")
+    return out.withColumn("structure_decision", verdict)
 
 
 # ---- calibration of flags -----------------------------------------------------------------------
@@ -296,10 +303,10 @@ def screen_separation(separation: DataFrame) -> DataFrame:
     return separation.withColumn("screen_decision", first_match(rules, "retire"))
 
 
-def screen_tails(separation: DataFrame, setting: str, widest: float) -> DataFrame:
-    """Verdict per tail share from the gaps and their ranks; one row per setting."""
-    w = lambda c: W.partitionBy(F.lit(0)).orderBy(F.desc(c), setting)
-    out = separation.withColumns({"tail_rank": F.rank().over(w("tail_gap")), "median_rank": F.rank().over(w("median_gap"))})
+def screen_tails(separation: DataFrame, setting: str, widest: float, by: Sequence[str] = ()) -> DataFrame:
+    """Verdict per tail share from the gaps and their dense ranks within ``by`` (feature set, structure)."""
+    rank = lambda c: F.dense_rank().over(W.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(c)))
+    out = separation.withColumns({"tail_rank": rank("tail_gap"), "median_rank": rank("median_gap")})
     sparse = (F.col(setting) <= 0.02) & (F.col("tail_rank") <= 2) & (F.col("median_rank") <= 2)
     return out.withColumn("screen_decision", first_match([(F.col(setting) == widest, "retire"), (F.col("tail_gap") <= 0, "retire"), (sparse, "advance")], "caution"))
 

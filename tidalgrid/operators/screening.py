@@ -76,6 +76,8 @@ def spearman_pairs(df: DataFrame, key: Sequence[str], names: Sequence[str], min_
         parts.append(ranked.select("feature_a", "feature_b", F.lit(filled["_n"]).alias("n_rows"), "correlation"))
     if mixed:
         parts.append(_mixed_pairs(df, mixed, min_rows))
+    if not parts:  # no pair has enough rows
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, n_rows bigint, correlation double")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

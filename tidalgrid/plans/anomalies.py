@@ -155,7 +155,36 @@ def mixture_scores(spark, d):
 def mixture_structures(spark, d):
     v = short_vectors(spark, d)
     fits = {f"{kind}_{k}": Ou.fit_mixture(v, "vec_id", "short", k, kind) for kind in ("diag", "full") for k in (1, 2, 3)}
-    return Ou.mixture_screen(spark, fits)
+    return Ou.screen_structures(Ou.mixture_criteria(spark, fits))
+
+
+CRITERIA_SQL = """c AS (SELECT event_type AS feature_set, CAST(user_id % 7 AS INT) AS m, count(*)::DOUBLE AS bic, max(value) AS aic, min(value) AS mean_log_likelihood FROM events GROUP BY ALL),
+  k AS (SELECT *, m % 4 + 1 AS component_count, CASE WHEN m % 2 = 0 THEN 'full' ELSE 'diag' END AS kind FROM c)"""
+
+
+@query("O-115", sql=f"""WITH {CRITERIA_SQL}, r AS (SELECT *, dense_rank() OVER (PARTITION BY feature_set ORDER BY bic) AS bic_rank, dense_rank() OVER (PARTITION BY feature_set ORDER BY aic) AS aic_rank,
+  dense_rank() OVER (PARTITION BY feature_set ORDER BY mean_log_likelihood DESC) AS log_likelihood_rank FROM k),
+  n AS (SELECT *, (bic_rank <= 4)::INT + (aic_rank <= 4)::INT + (log_likelihood_rank <= 4)::INT AS competitive_metrics FROM r)
+  SELECT feature_set, m::BIGINT AS m, bic_rank, aic_rank, log_likelihood_rank, competitive_metrics::BIGINT AS competitive_metrics, CASE WHEN component_count = 1 THEN 'retire' WHEN kind = 'full' AND competitive_metrics = 3 THEN 'advance'
+  WHEN competitive_metrics = 3 OR (kind = 'full' AND competitive_metrics = 2) THEN 'caution' ELSE 'retire' END AS structure_decision FROM n""")
+def structure_screen(spark, d):
+    # Stand-in criteria, one row for each of seven fits a feature set; ties do occur.
+    c = table(spark, d, "events").groupBy(F.col("event_type").alias("feature_set"), (F.col("user_id") % 7).cast("int").alias("m")).agg(
+        F.count(F.lit(1)).cast("double").alias("bic"), F.max("value").alias("aic"), F.min("value").alias("mean_log_likelihood"))
+    c = c.withColumns({"component_count": F.col("m") % 4 + 1, "kind": F.when(F.col("m") % 2 == 0, "full").otherwise("diag")})
+    return rounded(Ou.screen_structures(c).select("feature_set", "m", "bic_rank", "aic_rank", "log_likelihood_rank", "competitive_metrics", "structure_decision"))
+
+
+@query("O-116", sql="""WITH g AS (SELECT event_type AS feature_set, CAST(user_id % 3 AS INT) AS structure, CAST([0.005, 0.01, 0.02, 0.05][CAST(user_id // 3 % 4 AS INT) + 1] AS DOUBLE) AS tail_share, value, ts FROM events),
+  s AS (SELECT feature_set, structure, tail_share, round(avg(value)) % 5 - 1 AS tail_gap, count(*) % 6 AS median_gap FROM g GROUP BY ALL),
+  r AS (SELECT *, dense_rank() OVER (PARTITION BY feature_set, structure ORDER BY tail_gap DESC) AS tail_rank, dense_rank() OVER (PARTITION BY feature_set, structure ORDER BY median_gap DESC) AS median_rank FROM s)
+  SELECT feature_set, structure::BIGINT AS structure, tail_share, tail_rank, median_rank, CASE WHEN tail_share = 0.05 OR tail_gap <= 0 THEN 'retire' WHEN tail_rank <= 2 AND median_rank <= 2 THEN 'advance' ELSE 'caution' END AS screen_decision FROM r""")
+def ranked_tail_screen(spark, d):
+    # Stand-in gaps with many ties, per feature set, structure and tail share.
+    shares = F.array(*[F.lit(x) for x in SHARES])
+    g = table(spark, d, "events").select(F.col("event_type").alias("feature_set"), (F.col("user_id") % 3).cast("int").alias("structure"), F.get(shares, F.expr("CAST(user_id DIV 3 % 4 AS INT)")).alias("tail_share"), "value")
+    s = g.groupBy("feature_set", "structure", "tail_share").agg((F.round(F.avg("value")) % 5 - 1).alias("tail_gap"), (F.count(F.lit(1)) % 6).alias("median_gap"))
+    return rounded(Ou.screen_tails(s, "tail_share", max(SHARES), ["feature_set", "structure"]).drop("tail_gap", "median_gap"))
 
 
 FLAG_SQL = """f AS (SELECT event_type AS setting, value, value > CASE event_type WHEN 'click' THEN 200 WHEN 'view' THEN 150 ELSE 100 END AS flag, -value / 100 AS score FROM events),
