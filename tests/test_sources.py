@@ -150,6 +150,16 @@ def test_interrupted_series_matches_least_squares(spark):
     assert [got[k] for k in ("const", "t", "post", "since")] == pytest.approx(beta, abs=1e-6)
 
 
+@pytest.mark.parametrize("dof", [1, 2, 3, 7, 36, 41])
+def test_student_tail_by_integration(dof):
+    from math import gamma, pi, sqrt
+
+    x = np.linspace(0, 1.7, 200_001)
+    density = gamma((dof + 1) / 2) / (sqrt(dof * pi) * gamma(dof / 2)) * (1 + x * x / dof) ** (-(dof + 1) / 2)
+    inside = ((density[1:] + density[:-1]) / 2 * np.diff(x)).sum()
+    assert S.student_two_sided(-1.7, dof) == pytest.approx(1 - 2 * inside, abs=1e-9)
+
+
 def test_bootstrap_centres_on_the_estimate(spark):
     rng = np.random.default_rng(8)
     y = rng.choice(["a", "b"], 400)

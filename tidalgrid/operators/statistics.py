@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -32,11 +33,25 @@ def bh_adjust(df: DataFrame, p: str, tie: str, name: str = "p_adjusted") -> Data
     return out.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.min("_raw").over(down), F.lit(1.0)))).drop("_raw")
 
 
+def student_two_sided(t: float, dof: int) -> float:
+    """P(|T| >= |t|) for a whole number of degrees of freedom, by the finite series of the t distribution."""
+    if dof < 1 or not math.isfinite(t):
+        return math.nan
+    angle = math.atan2(abs(t), math.sqrt(dof))
+    c2, term, total = math.cos(angle) ** 2, 1.0, 0.0
+    for k in range(dof % 2, dof - 1, 2):
+        total += term
+        term *= c2 * (k + 1) / (k + 2)
+    if dof % 2:
+        return 1 - 2 / math.pi * (angle + math.sin(angle) * math.cos(angle) * total)
+    return 1 - math.sin(angle) * total
+
+
 def interrupted_series(df: DataFrame, step: Column, value: str, weight: str, launch: int) -> DataFrame:
     """Weighted least squares of level, trend, level shift and trend change at ``launch``.
 
     Rows collapse to the sums of weighted cross products in one aggregate; a single row of 25 numbers
-    is then solved.  Returns (term, coefficient, std_error, t_value).
+    is then solved.  Returns (term, coefficient, std_error, t_value, p_value), the last two-sided.
     """
     t = step.cast("double")
     post = F.when(t >= launch, 1.0).otherwise(0.0)
@@ -58,9 +73,9 @@ def interrupted_series(df: DataFrame, step: Column, value: str, weight: str, lau
                 sse = max(r["yy"] - beta @ xy, 0.0)
                 dof = r["n"] - len(terms)
                 se = np.sqrt(np.diag(inv) * sse / dof) if dof > 0 else np.full(len(terms), np.nan)
-                yield pd.DataFrame({"term": terms, "coefficient": beta, "std_error": se, "t_value": beta / np.where(se > 0, se, np.nan)})
+                yield pd.DataFrame({"term": terms, "coefficient": beta, "std_error": se, "t_value": (tv := beta / np.where(se > 0, se, np.nan)), "p_value": [student_two_sided(v, int(dof)) for v in tv]})
 
-    return one.mapInPandas(solve, "term string, coefficient double, std_error double, t_value double")
+    return one.mapInPandas(solve, "term string, coefficient double, std_error double, t_value double, p_value double")
 
 
 def ks_two_sample(df: DataFrame, value: str, in_second: Column, by: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fixed_values import AUTHOR_LETTERS
 from ..functions.text import truncated
@@ -102,18 +103,22 @@ def target_scope(
 
 
 def nearest_ancestors(targets: DataFrame, nodes: DataFrame, hops: int, fields: Sequence[str], node: str = "id", parent: str = "parent_id") -> DataFrame:
-    """(node, hop, fields...) of up to ``hops`` ancestors, nearest first; one join per hop."""
-    up = nodes.select(F.col(node).alias("_cur"), F.col(parent).alias("_up"), *fields)
-    current = targets.select(node, F.col(parent).alias("_cur")).where("_cur IS NOT NULL")
-    found = []
+    """(node, hop, fields...) of up to ``hops`` ancestors, nearest first.
+
+    Each target carries the ancestors found so far, so a hop is one join and no hop is computed twice.
+    A target that has reached its root keeps its place by a key of its own, so finished ones do not
+    gather in one task.
+    """
+    kind = dict(nodes.dtypes)[node]
+    up = nodes.select(F.col(node).alias("_at"), F.lit(None).cast(dict(targets.dtypes)[node]).alias("_done"), F.col(parent).alias("_up"), F.struct(*fields).alias("_row"))
+    rows = nodes.select(F.struct(F.lit(0).alias("hop"), *fields).alias("r")).schema["r"].dataType
+    current = targets.select(node, F.col(parent).cast(kind).alias("_cur"), F.array().cast(T.ArrayType(rows)).alias("_found"))
     for hop in range(1, hops + 1):
-        step = current.join(up, "_cur")
-        found.append(step.select(node, F.lit(hop).alias("hop"), *fields))
-        current = step.select(node, F.col("_up").alias("_cur")).where("_cur IS NOT NULL")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        c = current.withColumn("_mine", F.when(F.col("_cur").isNull(), F.col(node)))
+        step = c.join(up, F.col("_cur").eqNullSafe(F.col("_at")) & F.col("_mine").eqNullSafe(F.col("_done")), "left")
+        more = F.when(F.col("_row").isNull(), F.col("_found")).otherwise(F.concat("_found", F.array(F.struct(F.lit(hop).alias("hop"), *[F.col(f"_row.{f}").alias(f) for f in fields]))))
+        current = step.select(node, F.col("_up").cast(kind).alias("_cur"), more.alias("_found"))
+    return current.select(node, F.inline("_found"))
 
 
 def _alias(authors: Column, author: Column, op: Column) -> Column:
