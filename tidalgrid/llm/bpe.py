@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,29 @@ _AT_ONCE = 64
 CACHED_WORDS = 1_000_000
 
 
+class Ragged:
+    """Many short arrays laid end to end."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.flat, self.size = flat, np.asarray(size, np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def take(self, which: np.ndarray) -> "Ragged":
+        size = self.size[which]
+        begin = np.cumsum(size) - size
+        return Ragged(self.flat[np.arange(int(size.sum())) + np.repeat(self.start[which] - begin, size)], size)
+
+    def __iter__(self):
+        return iter((self.flat, self.size))
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    @staticmethod
+    def join(parts: list["Ragged"]) -> "Ragged":
+        return Ragged(np.concatenate([p.flat for p in parts]), np.concatenate([p.size for p in parts]))
+
+
 class Codec:
     """One tokenizer file: ids of words and pieces of ids."""
 
@@ -37,6 +61,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -45,14 +70,15 @@ class Codec:
         size = max(list(self.tokenizer.get_vocab().values()) + list(added)) + 1
         #: For each id, whether its piece begins with a blank (the vocabulary writes it so).
         self.blank = np.zeros(size, bool)
-        #: For each id, its bytes.
-        self.pieces: list[bytes] = [b""] * size
+        pieces: list[bytes] = [b""] * size
         byte_of = _byte_alphabet()
         for piece, i in self.tokenizer.get_vocab().items():
             self.blank[i] = piece.startswith(" ") or piece.startswith(_BLANK)
-            self.pieces[i] = bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
+            pieces[i] = bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
         for i, t in added.items():
-            self.pieces[i], self.blank[i] = t.content.encode(), False
+            pieces[i], self.blank[i] = t.content.encode(), False
+        #: For each id, its bytes.
+        self.pieces = Ragged(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(x) for x in pieces]))
 
     def cut(self, text: str) -> list[str]:
         """``text`` as words without the blanks between; ``' '.join`` of them is the text."""
@@ -60,30 +86,41 @@ class Codec:
             return [text]
         return _CUT.split(text)
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids of ' ' + word as little-endian unsigned 32-bit integers, for each word."""
-        out, plain = {}, []
-        for w in words:
-            if w and not any(c.isspace() for c in w) and not any(s in w for s in self.special):
-                plain.append(w)
-            else:
-                out[w] = self.encode_text(" " + w)
-        for i in range(0, len(plain), _AT_ONCE * 256):
-            groups = [plain[j : j + _AT_ONCE] for j in range(i, min(i + _AT_ONCE * 256, len(plain)), _AT_ONCE)]
-            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                at = np.flatnonzero(self.blank[ids]).tolist() + [len(ids)]
-                assert len(at) == len(group) + 1, "a word does not begin with a blank piece"
-                raw = ids.tobytes()
-                out.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(group, at, at[1:], strict=False))
-        return out
-
-    def encode_text(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def decode(self, ids: bytes) -> str:
-        """The text of little-endian unsigned 32-bit ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.pieces.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+    def encode_words(self, words: list[str]) -> Ragged:
+        """Ids of ' ' + word for each word, in order."""
+        odd = [i for i, w in enumerate(words) if not w or w[0].isspace() or w[-1].isspace()]
+        joined = " ".join(words)
+        if joined.count(" ") >= len(words) or any(s in joined for s in self.special):
+            odd = sorted({*odd, *[i for i, w in enumerate(words) if " " in w or any(s in w for s in self.special)]})
+        skip = set(odd)
+        plain = [w for i, w in enumerate(words) if i not in skip] if odd else words
+        groups = [" " + " ".join(plain[j : j + _AT_ONCE]) for j in range(0, len(plain), _AT_ONCE)]
+        parts = [np.zeros(0, np.uint32)]
+        for i in range(0, len(groups), 256):
+            parts += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(groups[i : i + 256], add_special_tokens=False)]
+        flat = np.concatenate(parts)
+        at = np.flatnonzero(self.blank[flat])
+        assert len(at) == len(plain), "a word does not begin with a blank piece"
+        out = Ragged(flat, np.diff(np.concatenate([at, [len(flat)]])))
+        if not odd:
+            return out
+        # Words with blanks or special tokens inside, or white space at an end, go one by one.
+        alone = [self.tokenizer.encode(" " + words[i], add_special_tokens=False).ids for i in odd]
+        both = Ragged(np.concatenate([out.flat, *[np.array(x, np.uint32) for x in alone]]), np.concatenate([out.size, [len(x) for x in alone]]))
+        order = np.empty(len(words), np.int64)
+        order[[i for i in range(len(words)) if i not in skip]] = np.arange(len(plain))
+        order[odd] = len(plain) + np.arange(len(odd))
+        return both.take(order)
+
+    def encode_text(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids laid end to end, each looked up in the table of pieces; bytes that are no
+        UTF-8 become U+FFFD.  ``ends``: where each text's ids end."""
+        raw, size = self.pieces.take(ids)
+        data, at = raw.tobytes(), np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])].tolist()
+        return [data[a:z].decode("utf-8", "replace") for a, z in zip(at, at[1:], strict=False)]
 
 
 _BLANK = "Ġ"
@@ -103,42 +140,71 @@ def codec(path: str) -> Codec:
 
 
 class WordTable:
-    """Ids of words seen so far in this Python worker, for encoding without an exchange."""
+    """Ids of words, numbered as they come, and whole texts by their words' numbers."""
 
     def __init__(self, path: str) -> None:
-        self.codec, self.ids, self.firsts = codec(path), {}, {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text.  Words not yet known are encoded first, all at once."""
-        if len(self.ids) > CACHED_WORDS:
-            self.ids = {}
-        if len(self.firsts) > CACHED_WORDS // 4:
-            self.firsts = {}
-        get, missing, cut = self.ids.get, set(), []
-        for t in texts:
-            # The quick cut is right unless a word is empty or has white space at an end.
+        self.codec, self.number, self.parts, self.firsts = codec(path), {}, [Ragged(np.zeros(0, np.uint32), np.zeros(0))], {}
+
+    def add(self, words: list[str], ids: Ragged) -> None:
+        """Words not known before, and their ids."""
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.parts.append(ids)
+
+    def learn(self, words: set[str]) -> None:
+        """Encode words that have no number yet."""
+        if new := [w for w in words if w not in self.number]:
+            self.add(new, self.codec.encode_words(new))
+
+    def _first(self, word: str) -> int:
+        """The number of a text's first word, which has no blank in front."""
+        key = "\0" + word
+        if key not in self.firsts:
+            self.firsts[key] = len(self.number)
+            # It stands in the table under a name no other word has: a blank never occurs inside a word.
+            self.add([" " + word], Ragged(ids := self.codec.encode_text(word), np.array([len(ids)])))
+        return self.firsts[key]
+
+    def numbers(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of each text's words.  Words not yet known are encoded first, all at once."""
+        get, missing, out, later = self.number.get, set(), [], []
+        for i, t in enumerate(texts):
             words = t.split(" ")
             found = list(map(get, words[1:]))
             if None in found:
-                missing.update(w for w, x in zip(words[1:], found, strict=True) if x is None)
-            cut.append(words)
-        if missing:
-            odd = {w for w in missing if not w or w[0].isspace() or w[-1].isspace()}
-            self.ids.update(self.codec.encode_words(missing - odd))
-        out = []
-        for t, words in zip(texts, cut, strict=True):
-            found = list(map(self.ids.get, words[1:]))
-            if None in found or words[0] == "" or words[0][-1].isspace() or any(s in t for s in self.codec.special):
-                words = self.codec.cut(t)
-                more = {w for w in words[1:] if w not in self.ids}
-                self.ids.update(self.codec.encode_words(more))
-                found = [self.ids[w] for w in words[1:]]
-            first = self.firsts.get(words[0])
-            if first is None:
-                first = self.firsts[words[0]] = self.codec.encode_text(words[0])
-            out.append(first + b"".join(found))
+                missing.update([w for w, x in zip(words[1:], found, strict=True) if x is None])
+                later.append(i)
+                out.append(found)
+            elif self._quick(t, words[0]):
+                out.append([self._first(words[0]), *found])
+            else:
+                later.append(i)
+                out.append(found)
+        # The quick cut is right unless a word is empty or has white space at an end.
+        self.learn({w for w in missing if w and not w[0].isspace() and not w[-1].isspace()})
+        for i in later:
+            words = texts[i].split(" ")
+            found = list(map(get, words[1:]))
+            if None in found or not self._quick(texts[i], words[0]):
+                words = self.codec.cut(texts[i])
+                self.learn(set(words[1:]))
+                found = list(map(get, words[1:]))
+            out[i] = [self._first(words[0]), *found]
         return out
 
+    def _quick(self, text: str, first: str) -> bool:
+        return first != "" and not first[-1].isspace() and not any(s in text for s in self.codec.special)
+
+    def encode(self, texts: list[str]) -> Ragged:
+        """Ids of each text."""
+        if len(self.number) > CACHED_WORDS:
+            self.__init__(self.codec.path)
+        numbers = self.numbers(texts)
+        if len(self.parts) > 1:
+            self.parts = [Ragged.join(self.parts)]
+        n = np.array([len(x) for x in numbers], np.int64)
+        flat, size = self.parts[0].take(np.fromiter(chain.from_iterable(numbers), np.int64, int(n.sum())))
+        return Ragged(flat, np.add.reduceat(size, np.cumsum(n) - n) if len(n) else n)
+
 
 @lru_cache(maxsize=2)
 def word_table(path: str) -> WordTable:
@@ -146,7 +212,7 @@ def word_table(path: str) -> WordTable:
 
 
 def _packed(x) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
 
 
 def _unpacked(b: bytes):
@@ -174,48 +240,62 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
         yield part + k, pa.Table.from_batches(held)
 
 
+def asked_words(words: Iterable[str], targets: int) -> list[list[str]]:
+    """``words`` dealt to targets, each list sorted."""
+    out: list[list[str]] = [[] for _ in range(targets)]
+    for w in words:
+        out[zlib.crc32(w.encode()) % targets].append(w)
+    for o in out:
+        o.sort()
+    return out
+
+
+def _small(ids: np.ndarray) -> np.ndarray:
+    return ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
+
+
 def round_trip(
-    df: DataFrame, path: str, text: str, row: Callable[[bytes, str], tuple], fields: dict[str, pa.DataType], sql: str,
-    keys: list[str], partitions: int | None = None, block_bytes: int = 4 << 20,
+    df: DataFrame, path: str, text: str, row: Callable[[memoryview, str], tuple], fields: dict[str, pa.DataType], sql: str,
+    keys: list[str], partitions: int | None = None, block_bytes: int = 8 << 20,
 ) -> DataFrame:
-    """``keys`` of each row and ``row(ids, decoded)`` of its whole text (NULL: empty).
+    """``keys`` of each row and ``row(ids as little-endian unsigned 32-bit integers, decoded)`` of its whole
+    text (NULL: empty).
 
-    1. Each block of rows asks for the ids of its distinct words: one compressed list for each target.
-    2. Targets gather equal words of all blocks, encode each once and answer each block.
+    1. Each block of rows asks for the ids of its distinct words: one sorted list for each target.
+    2. Targets gather equal words of all blocks, encode each once and answer each block in its order.
     3. Blocks of rows and their answers meet; ids are joined by the words' positions, then decoded by
        looking each id up in the table of pieces, whose size is the vocabulary's.
 
     A frequent word costs one entry a block, so no key is hot; a long text is one row, however long.
-    Should a block not find a word among its answers, it encodes that word itself.
+    An answer that does not fit the block's words (a block may come out otherwise when it is read
+    again) is left aside and those words are encoded where they are needed.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(*keys, F.col(text).alias("__text"))
 
-    def words_in(table: pa.Table) -> set[str]:
+    def words_in(table: pa.Table) -> list[list[str]]:
         seen: set[str] = set()
         for t in table["__text"].to_pylist():
             if t:
                 seen.update(t.split(" ")[1:])
-        return {w for w in seen if w and not (w[0].isspace() or w[-1].isspace())}
+        return asked_words((w for w in seen if w and not (w[0].isspace() or w[-1].isspace())), n)
 
     def ask(batches):
         for block, table in _blocks(batches, block_bytes):
-            targets: list[list[str]] = [[] for _ in range(n)]
-            for w in words_in(table):
-                targets[zlib.crc32(w.encode()) % n].append(w)
-            at = [t for t in range(n) if targets[t]]
-            yield pa.record_batch([pa.array(at, pa.int64()), pa.array([block] * len(at), pa.int64()), pa.array([_packed(targets[t]) for t in at], pa.binary())], schema=_EXCHANGED)
+            rows = [(t, w) for t, w in enumerate(words_in(table)) if w]
+            yield pa.record_batch([pa.array([t for t, _ in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([_packed("\0 ".join(w)) for _, w in rows], pa.binary())], schema=_EXCHANGED)
 
     def answer(batches):
-        c, ids = codec(path), {}
+        table = WordTable(path)
         for b in batches:
-            asked = [_unpacked(p) for p in b.column(2).to_pylist()]
-            new: set[str] = set()
+            asked = [_unpacked(p).split("\0 ") for p in b.column(2).to_pylist()]
+            table.learn({w for words in asked for w in words})
+            table.parts = [Ragged.join(table.parts)]
+            payload = []
             for words in asked:
-                new.update(w for w in words if w not in ids)
-            ids.update(c.encode_words(new))
-            payload = [_packed((words, [ids[w] for w in words])) for words in asked]
+                ids, size = table.parts[0].take(np.fromiter(map(table.number.__getitem__, words), np.int64, len(words)))
+                payload.append(_packed((zlib.crc32(words[-1].encode()), size.astype(np.uint16) if size.max() < 1 << 16 else size, _small(ids))))
             yield pa.record_batch([b.column(1), b.column(0), pa.array(payload, pa.binary())], schema=_EXCHANGED)
 
     def pack(batches):
@@ -223,41 +303,40 @@ def round_trip(
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table)
-            payload = zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+            payload = zstandard.ZstdCompressor(level=5).compress(sink.getvalue().to_pybytes())
             yield pa.record_batch([pa.array([block], pa.int64()), pa.array([-1], pa.int64()), pa.array([payload], pa.binary())], schema=_EXCHANGED)
 
     def join(batches):
-        c, now, ids, docs = codec(path), None, {}, None
+        now, answers, docs = None, {}, None
         for b in batches:
             for block, origin, payload in zip(*[x.to_pylist() for x in b.columns], strict=True):
                 if block != now:
                     if docs is not None:
-                        yield from assemble(c, docs, ids)
-                    now, ids, docs = block, {}, None
+                        yield from assemble(docs, answers)
+                    now, answers, docs = block, {}, None
                 if origin == -1:
                     docs = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
                 else:
-                    words, values = _unpacked(payload)
-                    ids.update(zip(words, values, strict=True))
+                    answers[origin] = payload
         if docs is not None:
-            yield from assemble(c, docs, ids)
-
-    def assemble(c: Codec, docs: pa.Table, ids: dict[str, bytes]):
-        out = []
-        for t in docs["__text"].to_pylist():
-            t = t or ""
-            words = t.split(" ")
-            found = list(map(ids.get, words[1:]))
-            if None in found or words[0] == "" or words[0][-1].isspace() or any(s in t for s in c.special):
-                words = c.cut(t)
-                known = [ids.get(w) for w in words[1:]]
-                rest = c.encode_words({w for w, x in zip(words[1:], known, strict=True) if x is None})
-                found = [rest[w] if x is None else x for w, x in zip(words[1:], known, strict=True)]
-            whole = c.encode_text(words[0]) + b"".join(found)
-            out.append(row(whole, c.decode(whole)))
-        columns = [docs[k].combine_chunks() if docs[k].num_chunks != 1 else docs[k].chunk(0) for k in keys]
-        made = [pa.array([r[j] for r in out], kind) for j, kind in enumerate(fields.values())]
-        yield pa.record_batch(columns + made, names=[*keys, *fields])
+            yield from assemble(docs, answers)
+
+    def assemble(docs: pa.Table, answers: dict[int, bytes]):
+        table = WordTable(path)
+        for t, words in enumerate(words_in(docs)):
+            if words and t in answers:
+                check, size, ids = _unpacked(answers.pop(t))
+                if len(size) == len(words) and check == zlib.crc32(words[-1].encode()):
+                    table.add(words, Ragged(ids.astype(np.uint32), size))
+        for piece in docs.to_batches():
+            for i in range(0, piece.num_rows, step := max(1, (2 << 20) * piece.num_rows // max(1, piece.nbytes))):
+                rows = piece.slice(i, step)
+                flat, size = table.encode([t or "" for t in rows["__text"].to_pylist()])
+                ends = np.cumsum(size)
+                raw, at = memoryview(flat.astype("<u4").tobytes()), np.concatenate([[0], 4 * ends]).tolist()
+                out = [row(raw[a:z], text) for a, z, text in zip(at, at[1:], table.codec.decode(flat, ends), strict=False)]
+                made = [pa.array([r[j] for r in out], kind) for j, kind in enumerate(fields.values())]
+                yield pa.record_batch([rows[k] for k in keys] + made, names=[*keys, *fields])
 
     answers = source.mapInArrow(ask, _EXCHANGED_SQL).repartition(n, "target").mapInArrow(answer, _EXCHANGED_SQL)
     packed = source.mapInArrow(pack, _EXCHANGED_SQL)

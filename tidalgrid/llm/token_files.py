@@ -28,7 +28,6 @@ def write_token_files(docs: DataFrame, key: str, text: str, path: str, folder: s
     """
     d = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.repartitionByRange(*([shards] if shards else []), "key").sortWithinPartitions("key", "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches):
         table, keys, ids, sizes = word_table(path), [], [], []
@@ -37,9 +36,9 @@ def write_token_files(docs: DataFrame, key: str, text: str, path: str, folder: s
             for i in range(0, b.num_rows, step):
                 piece = b.slice(i, step)
                 keys.append(piece.column(0))
-                raw = table.encode(piece.column(1).to_pylist())
-                sizes += [len(r) // 4 + 1 for r in raw]
-                ids.append(np.frombuffer(end.join([*raw, b""]), "<u4").astype(np.uint16 if bits <= 16 else np.uint32))
+                flat, size = table.encode(piece.column(1).to_pylist())
+                sizes.append(size + 1)
+                ids.append(np.insert(flat.astype(np.uint16 if bits <= 16 else np.uint32), np.cumsum(size), end_id))
         if not sizes:
             return
         all_keys = pa.chunked_array(keys).combine_chunks()
@@ -47,7 +46,7 @@ def write_token_files(docs: DataFrame, key: str, text: str, path: str, folder: s
         known = all_keys.fill_null(0).to_numpy(zero_copy_only=False)
         stream = np.concatenate(ids)
         del ids
-        data = WaveletMatrix.build(stream, bits).to_bytes(keys=known, sizes=np.array(sizes, np.int64), nulls=np.array([nulls], np.int64))
+        data = WaveletMatrix.build(stream, bits).to_bytes(keys=known, sizes=np.concatenate(sizes), nulls=np.array([nulls], np.int64))
         yield pa.record_batch({
             "shard": pa.array([TaskContext.get().partitionId()], pa.int64()), "n_ids": pa.array([len(stream)], pa.int64()), "data": pa.array([data], pa.binary())})
 
