@@ -98,3 +98,11 @@ def test_anchors_are_the_same_for_equal_windows():
             at[first : last + 1] = a
         picks.append(at[n : n + 27] - n)
     assert (picks[0] == picks[1]).all()
+
+
+def test_anchors_are_few_and_grams_hash_alike():
+    raw = np.random.default_rng(4).integers(0, 256, 50_000).astype(np.uint8)
+    first = S.anchors(raw, 400, 32)[0]
+    assert 50_000 / 250 < len(first) < 50_000 / 140
+    gram = raw[700:732]
+    assert S._gram_hashes(raw, 32)[700] == S._gram_hashes(gram, 32)[0] == S._gram_hashes(np.concatenate([raw[:9], gram]), 32)[9]

@@ -46,11 +46,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
-    powers = np.multiply.accumulate(np.concatenate([[1], np.full(len(raw), _BASE)]).astype(np.uint64))
-    total = np.concatenate([[0], np.cumsum(_BYTE[raw] * powers[:-1])]).astype(np.uint64)
-    sums = total[gram:] - total[:-gram]
-    return _mix(sums * powers[::-1][gram - 1 : len(powers) - 1])  # the same gram anywhere has the same hash
+    """A hash of each gram, the same wherever the gram stands: prefix sums of a polynomial, shifted back."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * _powers(int(_BASE), len(raw)), out=total[1:])
+    return _mix((total[gram:] - total[:-gram]) * _powers(pow(int(_BASE), -1, 1 << 64), len(raw) - gram + 1))
 
 
 def anchors(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +165,7 @@ def front_code(rows: list[tuple[bytes, bool, int, int, int]]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as w:
         w.write_table(table)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+    return zstandard.ZstdCompressor(level=4).compress(sink.getvalue().to_pybytes())
 
 
 def decoded(data: bytes) -> Iterator[tuple[bytes, int, tuple]]:
@@ -196,7 +202,7 @@ class Windows:
         for d in range(first, last + 1):
             rows = np.flatnonzero((lo <= d) & (d <= hi))
             if len(rows):
-                yield d, rows, _mix(h[rows] + np.uint64(d) * _BASE)
+                yield d, rows, _mix(h[rows] ^ np.uint64(d))
             if d < last:
                 h += term(most - d - 1) - term(most - d - 1 + length)
 
