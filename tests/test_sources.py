@@ -178,3 +178,32 @@ def test_normal_cdf(spark):
     xs = [-3.1, -1.0, 0.0, 0.5, 1.96, 4.0]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(L.normal_cdf(F.col("x"))).collect()]
     assert got == pytest.approx([NormalDist().cdf(x) for x in xs], abs=1e-7)
+
+
+def test_a_failed_replacement_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    M.write_table(spark.range(10), path)
+    bad = spark.range(1000).repartition(4).select(F.when(F.col("id") == 777, F.raise_error(F.lit("half-way"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="half-way"):
+        M.write_table(bad, path)
+    assert spark.read.parquet(path).count() == 10 and [x.name for x in tmp_path.iterdir()] == ["t"]
+    M.write_table(spark.range(20), path)
+    assert spark.read.parquet(path).count() == 20 and [x.name for x in tmp_path.iterdir()] == ["t"]
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    assert M.restore_table(spark, path) and not M.restore_table(spark, path) and spark.read.parquet(path).count() == 20
+
+
+def test_mixed_json_lines_keep_their_rows(spark, tmp_path):
+    lines = ['{"id":"a","edited":false,"score":1}', '{"id":"b","edited":1672608506,"score":2}', '{"id":"c","edited":1672608506.0,"score":3}', '{"id":"d","score":"4"}', '{broken']
+    (tmp_path / "x.jsonl").write_text("\n".join(lines))
+    got = sorted(tuple(r) for r in St.stage_jsonl(spark, [str(tmp_path)], "id string, edited bigint, score bigint").collect())
+    assert got == [("a", None, 1), ("b", 1672608506, 2), ("c", 1672608506, 3), ("d", None, 4)]
+    assert tuple(St.broken_json_lines(spark, [str(tmp_path)]).first()) == (5, 1)
+
+
+def test_csv_pages_with_other_column_orders(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "2.csv").write_text("b,a\ny,2\n")
+    (tmp_path / "3.csv").write_text("")
+    got = sorted(tuple(r) for r in St.stage_csv(spark, [str(tmp_path)], "a bigint, b string").collect())
+    assert got == [(1, "x"), (2, "y")]

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,18 +51,50 @@ def seed_and_repair(prior: DataFrame, repaired: DataFrame, key: str, parsed: str
     return good.unionByName(redone, allowMissingColumns=True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), lambda x: jvm.org.apache.hadoop.fs.Path(x)
+
+
 def write_table(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", fmt: str = "parquet"
 ) -> None:
-    """Write a zstd table; a commit either shows all files or none.
+    """Write a zstd table; replacing one keeps the old files until the new ones are complete.
 
-    With partition columns the rows are first spread by them, with AQE splitting a partition value
-    that holds very many rows, so no value leaves thousands of small files.
+    A replacement is written to a folder beside ``path`` and then takes its name; a job that fails leaves
+    the old table as it was.  Should the driver die between the two renames, ``restore_table`` puts the old
+    one back.  With partition columns the rows are first spread by them, with AQE splitting a partition
+    value that holds very many rows, so no value leaves thousands of small files.
     """
-    out = df
-    if partition_by:
-        out = df.hint("rebalance", *partition_by)
-    writer = out.write.mode(mode).format(fmt).option("compression", "zstd")
+    out = df.hint("rebalance", *partition_by) if partition_by else df
+    replace = mode == "overwrite"
+    target = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}" if replace else path
+    writer = out.write.mode("errorifexists" if replace else mode).format(fmt).option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    if not replace:
+        writer.save(path)
+        return
+    fs, at = _file_system(df.sparkSession, path)
+    try:
+        writer.save(target)
+    except Exception:
+        fs.delete(at(target), True)
+        raise
+    old = f"{path.rstrip('/')}.old"
+    if fs.exists(at(path)):
+        fs.delete(at(old), True)
+        fs.rename(at(path), at(old))
+    if not fs.rename(at(target), at(path)):
+        raise OSError(f"could not put the new table at {path}; the old one is at {old}")
+    fs.delete(at(old), True)
+
+
+def restore_table(spark: SparkSession, path: str) -> bool:
+    """Put the old table back if a replacement broke off between its renames; whether that was needed."""
+    fs, at = _file_system(spark, path)
+    old = f"{path.rstrip('/')}.old"
+    if fs.exists(at(path)) or not fs.exists(at(old)):
+        return False
+    return bool(fs.rename(at(old), at(path)))
