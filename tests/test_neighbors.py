@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidalgrid.operators import neighbors as N
 
@@ -92,3 +93,17 @@ def test_distance_profile(cloud):
         off = d[~np.eye(len(part), dtype=bool)]
         assert got.loc[str(g)].pair_distance_mean == pytest.approx(off.mean(), abs=1e-6)
         assert got.loc[str(g)].mean_knn_distance == pytest.approx(np.sort(d, axis=1)[:, 1:5].mean(), abs=1e-6)
+
+
+def test_cluster_ids_beyond_what_a_double_holds(spark):
+    base = 2**60 + 1
+    xs = [0.0, 0.1, 0.2, 0.3, 0.7, 9.0]
+    df = spark.createDataFrame([(base + i, "g", [x, 0.0]) for i, x in enumerate(xs)], "id bigint, g string, v array<double>")
+    got = {r.id - base: None if r.cluster is None else r.cluster - base for r in N.dbscan_clusters(df, "g", "id", "v", 0.45, 4).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: None}
+
+
+def test_a_vector_of_very_many_copies(spark):
+    df = spark.range(3000).select(F.col("id"), F.lit("g").alias("g"), F.when(F.col("id") < 2990, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.col("id").cast("double"), F.lit(0.0))).alias("v"))
+    r = N.knn_profile(df, "g", "id", "v", [3]).first()
+    assert r.group_rows == 3000 and r.median_distance == 0.0 and r.p99_distance == 0.0
