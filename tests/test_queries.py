@@ -13,6 +13,7 @@ from tools.compare import canonical
 DEFAULT = [
     "daily_panel_deviation", "joined_layer_panel", "exponential_means", "first_wins_documents", "missing_order_days",
     "daily_stance_shares", "target_scope", "rater_agreement", "spearman_pairs", "density_noise", "mobility_events", "streamed_rollup",
+    "staged_csv_one_folder", "staged_json_mixed_types", "file_inventory_with_empty_file", "panel_conservation", "value_densities", "structure_screen", "ranked_tail_screen", "item_contexts",
 ]
 CHECKED = [q for q in all_queries() if q.sql and (os.environ.get("TIDALGRID_ALL") or q.name in DEFAULT)]
 
