@@ -314,7 +314,8 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 def splitters(d: DataFrame, ranges: int, total: int, length: int, gram: int) -> tuple[list[bytes], frozenset[bytes]]:
     """Keys that cut the entries into about equal ranges, and the grams that span more than one.
 
-    A splitter is shortened to its gram, so that a gram stays whole, unless several hold the same gram.
+    A splitter is shortened to its gram, so that a gram stays whole, unless three in a row hold the same
+    gram: a gram of up to three ranges is left in one task, a larger one is cut.
     """
     part = min(1.0, SAMPLE_BYTES / max(1, total))
     step = max(1, int(total * part / 190) // (CANDIDATES * ranges))
@@ -334,7 +335,7 @@ def splitters(d: DataFrame, ranges: int, total: int, length: int, gram: int) ->
     keys = sorted({bytes(r["k"]) for r in sampled.mapInArrow(candidates, "k binary").distinct().collect()})
     picked = [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
     grams = [k[:gram] for k in picked]
-    cut = frozenset(g for g, again in zip(grams, grams[1:], strict=False) if g == again)
+    cut = frozenset(g for g, _, again in zip(grams, grams[1:], grams[2:], strict=False) if g == again)
     return sorted({k if k[:gram] in cut else k[:gram] for k in picked}), cut
 
 
