@@ -77,6 +77,8 @@ class Codec:
             pieces[i] = bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode()
         for i, t in added.items():
             pieces[i], self.blank[i] = t.content.encode(), False
+        #: What may follow a word as a token of its own: nothing, a full stop, a comma.
+        self.tails = [Ragged(x := self.encode_text(t), np.array([len(x)])) for t in ("", ".", ",")]
         #: For each id, its bytes.
         self.pieces = Ragged(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(x) for x in pieces]))
 
@@ -94,14 +96,24 @@ class Codec:
             odd = sorted({*odd, *[i for i, w in enumerate(words) if " " in w or any(s in w for s in self.special)]})
         skip = set(odd)
         plain = [w for i, w in enumerate(words) if i not in skip] if odd else words
-        groups = [" " + " ".join(plain[j : j + _AT_ONCE]) for j in range(0, len(plain), _AT_ONCE)]
+        # A full stop or comma behind a letter is a token of its own, so "word." needs no other encoding than "word".
+        stems, tails, number = [], [], {}
+        for w in plain:
+            cut = len(w) > 1 and w[-1] in ".," and w[-2] < "\u0250" and w[-2].isalpha()
+            stems.append(number.setdefault(w[:-1] if cut else w, len(number)))
+            tails.append(w[-1] if cut else "")
         parts = [np.zeros(0, np.uint32)]
+        own = list(number)
+        groups = [" " + " ".join(own[j : j + _AT_ONCE]) for j in range(0, len(own), _AT_ONCE)]
         for i in range(0, len(groups), 256):
             parts += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(groups[i : i + 256], add_special_tokens=False)]
         flat = np.concatenate(parts)
         at = np.flatnonzero(self.blank[flat])
-        assert len(at) == len(plain), "a word does not begin with a blank piece"
-        out = Ragged(flat, np.diff(np.concatenate([at, [len(flat)]])))
+        assert len(at) == len(own), "a word does not begin with a blank piece"
+        known = Ragged.join([Ragged(flat, np.diff(np.concatenate([at, [len(flat)]]))), *self.tails])
+        place = {"": len(own), ".": len(own) + 1, ",": len(own) + 2}
+        pairs = known.take(np.stack([np.array(stems, np.int64), np.array([place[t] for t in tails], np.int64)], axis=1).ravel())
+        out = Ragged(pairs.flat, pairs.size.reshape(-1, 2).sum(axis=1))
         if not odd:
             return out
         # Words with blanks or special tokens inside, or white space at an end, go one by one.
@@ -168,27 +180,24 @@ class WordTable:
         """The numbers of each text's words.  Words not yet known are encoded first, all at once."""
         get, missing, out, later = self.number.get, set(), [], []
         for i, t in enumerate(texts):
-            words = t.split(" ")
-            found = list(map(get, words[1:]))
+            first, *words = t.split(" ")
+            found = list(map(get, words))
             if None in found:
-                missing.update([w for w, x in zip(words[1:], found, strict=True) if x is None])
-                later.append(i)
-                out.append(found)
-            elif self._quick(t, words[0]):
-                out.append([self._first(words[0]), *found])
+                missing.update([w for w, x in zip(words, found, strict=True) if x is None])
+            if None not in found and self._quick(t, first):
+                out.append([self._first(first), *found])
             else:
-                later.append(i)
+                later.append((i, first, words))
                 out.append(found)
         # The quick cut is right unless a word is empty or has white space at an end.
         self.learn({w for w in missing if w and not w[0].isspace() and not w[-1].isspace()})
-        for i in later:
-            words = texts[i].split(" ")
-            found = list(map(get, words[1:]))
-            if None in found or not self._quick(texts[i], words[0]):
-                words = self.codec.cut(texts[i])
-                self.learn(set(words[1:]))
-                found = list(map(get, words[1:]))
-            out[i] = [self._first(words[0]), *found]
+        for i, first, words in later:
+            found = list(map(get, words))
+            if None in found or not self._quick(texts[i], first):
+                first, *words = self.codec.cut(texts[i])
+                self.learn(set(words))
+                found = list(map(get, words))
+            out[i] = [self._first(first), *found]
         return out
 
     def _quick(self, text: str, first: str) -> bool:
