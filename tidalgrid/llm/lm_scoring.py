@@ -26,8 +26,11 @@ SHARE = 0.2
 #: One training text in so many gives windows to the attention model; all give counts.
 EVERY = 16
 #: Rounds of training on disjoint parts of those texts, with parameters averaged after each, and the
-#: steps a partition makes in a round at least.
-ROUNDS, LEAST_STEPS = 3, 120
+#: steps a trainer makes in a round at least.
+ROUNDS, LEAST_STEPS = 3, 150
+#: Training text for one trainer, in bytes, and distinct words for one task that adds up transitions:
+#: both kinds of tasks grow in number with the corpus and each sends a table of fixed size.
+TRAINER_BYTES, WORDS_A_TASK = 2 << 20, 100_000
 BLOCK_BYTES = 4 << 20
 
 _ROWS = pa.schema([("target", pa.int64()), ("source", pa.int64()), ("payload", pa.binary())])
@@ -73,7 +76,7 @@ def prepare(docs: DataFrame, key: str, text: str, train: Column, targets: int) -
             with pa.ipc.new_stream(sink, table.schema) as s:
                 s.write_table(table)
             rows = [(t, block, _pack(tuple(zip(*a, strict=True)))) for t, a in enumerate(asks) if a]
-            yield _rows([*rows, (_DOCS, block, zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes()))])
+            yield _rows([*rows, (_DOCS, block, zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes()))])
 
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     return d.mapInArrow(compute, _ROWS_SQL)
@@ -179,6 +182,7 @@ def fit_attention(docs: DataFrame, text: str, train: Column, key: str, path: str
     draw = F.pmod(F.xxhash64(F.lit("lm"), F.col(text)), F.lit(EVERY * ROUNDS))
     chosen = docs.where(F.coalesce(train, F.lit(False)) & (draw < ROUNDS)).select(draw.cast("int").alias("round"), F.col(text).alias("text"))
     chosen = reliable_checkpoint(chosen.repartition(partitions, F.xxhash64("text")))
+    trainers = -(-(chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TRAINER_BYTES) or 1
     w = A.initial(p)
     names, sizes = list(w), [v.size for v in w.values()]
     for turn in range(ROUNDS):
@@ -193,11 +197,11 @@ def fit_attention(docs: DataFrame, text: str, train: Column, key: str, path: str
             ids = codec(path).encode_words(list(number))
             symbols, size, _ = _streams(p, ids, np.array([number[x] for ws in words for x in ws], np.int64), np.array([len(ws) for ws in words]))
             x, *rest = A.training_windows(p, symbols, size)
-            got = A.train(start, prior, x, *rest, steps=max(LEAST_STEPS, len(x) // 64), rate=0.01 / (1 + turn), seed=turn)
+            got = A.train(start, prior, x, *rest, steps=max(LEAST_STEPS, len(x) // 128), rate=0.01 / (1 + turn), seed=turn)
             flat = np.concatenate([got[k].ravel() for k in names]).astype(np.float64)
             yield pa.record_batch({"cell": pa.array(np.arange(len(flat)), pa.int64()), "v": pa.array(flat * len(x)), "n": pa.array(np.full(len(flat), float(len(x))))})
 
-        mean = chosen.where(F.col("round") == turn).select("text").mapInArrow(compute, "cell bigint, v double, n double").groupBy("cell").agg((F.sum("v") / F.sum("n")).alias("v"))
+        mean = chosen.where(F.col("round") == turn).select("text").coalesce(trainers).mapInArrow(compute, "cell bigint, v double, n double").groupBy("cell").agg((F.sum("v") / F.sum("n")).alias("v"))
         rows = mean.collect()
         if rows:
             flat = np.zeros(sum(sizes), np.float32)
@@ -277,7 +281,7 @@ def lm_scores(docs: DataFrame, train: Column, path: str, key: str = "doc_id", te
     texts = d.where("train").count()
     stats = [_unpack(r["payload"]) for r in answered.where(F.col("target") == _STATS).collect()]
     tokens, types = sum(s[0] for s in stats) + texts, sum(s[1] for s in stats) + (texts > 0)
-    p, prior = count_transitions(answered.where(F.col("target") == _WORDS), path, texts)
+    p, prior = count_transitions(answered.where(F.col("target") == _WORDS).coalesce(-(-types // WORDS_A_TASK) or 1), path, texts)
     w = fit_attention(d, "text", F.col("train"), "key", path, p, prior, targets)
     scorer = Scorer(p, w, prior, tokens, types, texts)
 
