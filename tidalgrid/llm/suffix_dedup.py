@@ -243,7 +243,7 @@ class Resolver:
                     yield from self.flush()
             if group:
                 group[-1][3] = max(group[-1][3], shared)
-            group.append([key, repeated, [] if repeated else [tuple(who)], shared if group else 0])
+            group.append([key, repeated, [] if repeated else [tuple(who)], shared if group else 0, shared])
         if group:
             self.close(group)
         self.compare()
@@ -257,7 +257,16 @@ class Resolver:
         """All entries of one gram in this range: settle equal ones, keep those that may share windows."""
         cut = group[0][0][: self.gram] in self.cut
         rows = []
-        for i, (key, repeated, members, shared) in enumerate(group):
+        # Keys of other ranges lie beyond the first or the last one here, so what an entry shares with the
+        # farther keys on either side bounds what it shares with any entry elsewhere.
+        outside = np.zeros(len(group), np.int64)
+        if cut and len(group) > 1:
+            steps = np.array([g[4] for g in group[1:]])
+            outside = np.maximum(
+                np.concatenate([[self.length], np.minimum.accumulate(steps)]), np.concatenate([np.minimum.accumulate(steps[::-1])[::-1], [self.length]]))
+        elif cut:
+            outside[:] = self.length
+        for i, (key, repeated, members, shared, _) in enumerate(group):
             lo, hi = self.reach(key)
             if repeated:
                 for who in members:
@@ -265,7 +274,7 @@ class Resolver:
             # A window d bytes before the anchor needs a neighbour that shares length - d bytes behind it.
             near = lo if cut and i in (0, len(group) - 1) else max(lo, self.length - shared)
             if near <= hi:
-                rows.append((key, near, hi, repeated, members[0] if members and not repeated else None))
+                rows.append((key, near, hi, repeated, members[0] if members and not repeated else None, max(near, self.length - int(outside[i]))))
         if cut:
             self.ask(rows)
         elif len(rows) > 1:
@@ -283,14 +292,16 @@ class Resolver:
     def settle(self, rows: list[tuple], ask: bool) -> None:
         lo, hi = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         near, far = np.full(len(rows), 1 << 30), np.full(len(rows), -1)
-        known = np.array([r[3] for r in rows])
+        known, ask_from = np.array([r[3] for r in rows]), np.array([r[5] for r in rows])
         for d, at, h in self.windows.each([r[0] for r in rows], lo, hi):
             value, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             twice = at[count[inverse] > 1]
             near[twice] = np.minimum(near[twice], d)
             far[twice] = d
             if ask:
-                for v, i, c in zip(value.view(np.int64).tolist(), at[first].tolist(), count.tolist(), strict=True):
+                told = np.zeros(len(value), bool)
+                np.logical_or.at(told, inverse, d >= ask_from[at])
+                for v, i, c in zip(value.view(np.int64)[told].tolist(), at[first][told].tolist(), count[told].tolist(), strict=True):
                     who = rows[i][4]
                     if c == 1 and not known[i]:
                         self.asked.append((*who, who[2] - d, who[2] - d + self.length, v, True))
