@@ -79,6 +79,29 @@ def test_training_lowers_the_loss():
     assert loss[1] < loss[0] - 0.3
 
 
+def test_every_window_comes_in_the_steps_of_a_trainer():
+    for n in (1, 63, 64, 65, 9_601, 20_000):
+        batches = A.shuffled_batches(n, min(A.BATCH, n), 0)
+        seen = np.zeros(n, bool)
+        for _ in range(L.least_steps(n)):
+            seen[next(batches)] = True
+        assert seen.all()
+
+
+def test_training_moves_the_input_row_of_every_window():
+    p, prior, _ = toy()
+    n = 12_000
+    # A window each for 2,000 inputs, and 10,000 of one more input: all rows must move.
+    inputs = np.full(n, 2000)
+    inputs[:2000] = np.arange(2000)
+    x = np.repeat(inputs[:, None], 2 * A.STRIDE, axis=1).astype(np.int32)
+    ok, shape = np.ones(x.shape, bool), (n, A.STRIDE)
+    w0 = A.initial(p)
+    w0 = w0 | {k: np.full_like(w0[k], 0.1) for k in ("start", "follow", "stop")}
+    w1 = A.train(w0, prior, x, ok, np.ones(shape, np.int32), np.ones(shape, bool), np.ones(shape, bool), steps=L.least_steps(n))
+    assert (w1["e"][:2001] != w0["e"][:2001]).any(axis=1).all()
+
+
 def counted(docs, train):
     c, texts = Counter(), 0
     for (_, t), learn in zip(docs, train, strict=True):

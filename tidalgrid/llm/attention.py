@@ -8,6 +8,7 @@ before.  A class gives its pieces in proportion to their counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,8 @@ OWN_CLASSES, BUCKETS = 119, 8
 STRIDE = 16
 #: Strength of the class distribution behind counted transitions.
 PRIOR_WEIGHT = 20.0
+#: Windows in a training step.
+BATCH = 64
 
 
 @dataclass(frozen=True)
@@ -116,14 +119,27 @@ def _attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, bias: np.ndarray, ok: n
     return s, s @ v
 
 
-def train(w: dict[str, np.ndarray], prior: Prior, x: np.ndarray, ok: np.ndarray, y: np.ndarray, opens: np.ndarray, use: np.ndarray, steps: int, rate: float = 0.01, batch: int = 64, seed: int = 0) -> dict[str, np.ndarray]:
-    """``steps`` of Adam on windows ``x``; the next symbols open a word or not, with classes ``y``, where ``use``."""
+def shuffled_batches(n: int, batch: int, seed: int) -> Iterator[np.ndarray]:
+    """Endless batches of the numbers below ``n``: all of them in a shuffled order, then all in another."""
+    order, left = np.random.default_rng(seed), np.zeros(0, np.int64)
+    while True:
+        while len(left) < batch:
+            left = np.concatenate([left, order.permutation(n)])
+        yield left[:batch]
+        left = left[batch:]
+
+
+def train(w: dict[str, np.ndarray], prior: Prior, x: np.ndarray, ok: np.ndarray, y: np.ndarray, opens: np.ndarray, use: np.ndarray, steps: int, rate: float = 0.01, batch: int = BATCH, seed: int = 0) -> dict[str, np.ndarray]:
+    """``steps`` of Adam on windows ``x``; the next symbols open a word or not, with classes ``y``, where ``use``.
+
+    No window comes again before all others have come: ``len(x) / batch`` steps, rounded up, use each.
+    """
     w = {k: v.copy() for k, v in w.items()}
     m1, m2 = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-    order = np.random.default_rng(seed)
+    batches = shuffled_batches(len(x), min(batch, len(x)), seed)
     flat = lambda g: g.reshape(-1, g.shape[-1])
     for t in range(1, steps + 1):
-        pick = order.integers(0, len(x), min(batch, len(x)))
+        pick = next(batches)
         xb, yb, ub = x[pick], y[pick].ravel(), use[pick].ravel()
         on = opens[pick].ravel()
         e = w["e"][xb]

@@ -177,6 +177,11 @@ def _streams(p: A.Pieces, ids: Ragged, words: np.ndarray, n_words: np.ndarray) -
     return out, streams, size
 
 
+def least_steps(windows: int) -> int:
+    """Steps of a trainer: each of its windows comes at least once."""
+    return max(LEAST_STEPS, -(-windows // A.BATCH))
+
+
 def fit_attention(docs: DataFrame, text: str, train: Column, key: str, path: str, p: A.Pieces, prior: A.Prior, partitions: int) -> dict[str, np.ndarray]:
     """Train on one in ``EVERY`` training texts: partitions make steps on their own, then parameters are averaged."""
     draw = F.pmod(F.xxhash64(F.lit("lm"), F.col(text)), F.lit(EVERY * ROUNDS))
@@ -197,7 +202,7 @@ def fit_attention(docs: DataFrame, text: str, train: Column, key: str, path: str
             ids = codec(path).encode_words(list(number))
             symbols, size, _ = _streams(p, ids, np.array([number[x] for ws in words for x in ws], np.int64), np.array([len(ws) for ws in words]))
             x, *rest = A.training_windows(p, symbols, size)
-            got = A.train(start, prior, x, *rest, steps=max(LEAST_STEPS, len(x) // 128), rate=0.01 / (1 + turn), seed=turn)
+            got = A.train(start, prior, x, *rest, steps=least_steps(len(x)), rate=0.01 / (1 + turn), seed=turn)
             flat = np.concatenate([got[k].ravel() for k in names]).astype(np.float64)
             yield pa.record_batch({"cell": pa.array(np.arange(len(flat)), pa.int64()), "v": pa.array(flat * len(x)), "n": pa.array(np.full(len(flat), float(len(x))))})
 
