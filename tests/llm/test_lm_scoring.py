@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -102,6 +103,27 @@ def test_training_moves_the_input_row_of_every_window():
     assert (w1["e"][:2001] != w0["e"][:2001]).any(axis=1).all()
 
 
+def test_each_training_text_is_dealt_to_one_round():
+    table = pa.table({"key": range(40), "text": [f"t{i // 2}" for i in range(40)], "train": [i % 5 != 0 for i in range(40)]})
+    dealt = [L.dealt_texts(9, table, turn) for turn in range(L.ROUNDS)]
+    assert sorted(t for d in dealt for t in d) == sorted(f"t{i // 2}" for i in range(40) if i % 5)
+    assert max(map(len, dealt)) - min(map(len, dealt)) <= 1
+
+
+def test_attention_learns_from_every_training_text(spark):
+    words = [chr(97 + i) + chr(97 + i) + chr(97 + (i + 5) % 26) + chr(97 + (3 * i + 1) % 26) for i in range(24)]
+    docs = spark.createDataFrame([(i, f"{w} " * 40) for i, w in enumerate(words)], "doc_id long, text string").repartition(3)
+    prepared = L.prepare(docs, "doc_id", "text", F.col("doc_id") < 20, 2).localCheckpoint()
+    answered = L.count_words(prepared.where("target >= 0"), PATH, 2)
+    p, prior = L.count_transitions(answered.where(F.col("target") == L._WORDS).coalesce(1), PATH, 20)
+    w = L.fit_attention(prepared.where(F.col("target") == L._DOCS), PATH, p, prior, 2)
+    moved = (w["e"] != A.initial(p)["e"]).any(axis=1)
+    flat, size = L.codec(PATH).encode_words(words).take(np.arange(len(words)))
+    pieces = np.split(flat.astype(np.int64), np.cumsum(size)[:-1])
+    own = [set(x.tolist()) - {y for j, z in enumerate(pieces) if j != i for y in z.tolist()} for i, x in enumerate(pieces)]
+    assert all(own) and all(moved[p.input_of[y]] for x in own[:20] for y in x)
+
+
 def counted(docs, train):
     c, texts = Counter(), 0
     for (_, t), learn in zip(docs, train, strict=True):

@@ -165,8 +165,8 @@ def train(w: dict[str, np.ndarray], prior: Prior, x: np.ndarray, ok: np.ndarray,
         dq, dk, dv = ds @ k * _SCALE, ds.transpose(0, 2, 1) @ q * _SCALE, a.transpose(0, 2, 1) @ do
         de = dk @ w["k"].T + dv @ w["v"].T
         de[:, STRIDE:] += dq @ w["q"].T
-        g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], xb.ravel(), flat(de))
+        cells = xb.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
+        g["e"] = np.bincount(cells.ravel(), de.ravel(), minlength=w["e"].size).astype(np.float32).reshape(w["e"].shape)
         g |= {"q": flat(e[:, STRIDE:]).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
         g["bias"] = np.bincount(_BACK[_CAUSAL], ds.sum(axis=0)[_CAUSAL], minlength=2 * STRIDE).astype(np.float32)
         for n in w:

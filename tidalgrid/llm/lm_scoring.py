@@ -23,10 +23,8 @@ from .bpe import Ragged, _blocks, codec
 
 #: Weight of counted words.
 SHARE = 0.2
-#: One training text in so many gives windows to the attention model; all give counts.
-EVERY = 16
-#: Rounds of training on disjoint parts of those texts, with parameters averaged after each, and the
-#: steps a trainer makes in a round at least.
+#: Rounds of training on disjoint parts of the training texts, with parameters averaged after each, and
+#: the steps a trainer makes in a round at least.
 ROUNDS, LEAST_STEPS = 3, 150
 #: Training text for one trainer, in bytes, and distinct words for one task that adds up transitions:
 #: both kinds of tasks grow in number with the corpus and each sends a table of fixed size.
@@ -46,6 +44,10 @@ def _unpack(b: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
 
 
+def _block(b: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(b)).read_all()
+
+
 def words_of_text(text: str | None) -> list[bytes]:
     """Lower-cased (A to Z) words between blanks and the controls from tab to carriage return."""
     return (text or "").encode("utf-8", "replace").lower().split()
@@ -182,31 +184,53 @@ def least_steps(windows: int) -> int:
     return max(LEAST_STEPS, -(-windows // A.BATCH))
 
 
-def fit_attention(docs: DataFrame, text: str, train: Column, key: str, path: str, p: A.Pieces, prior: A.Prior, partitions: int) -> dict[str, np.ndarray]:
-    """Train on one in ``EVERY`` training texts: partitions make steps on their own, then parameters are averaged."""
-    draw = F.pmod(F.xxhash64(F.lit("lm"), F.col(text)), F.lit(EVERY * ROUNDS))
-    chosen = docs.where(F.coalesce(train, F.lit(False)) & (draw < ROUNDS)).select(draw.cast("int").alias("round"), F.col(text).alias("text"))
-    chosen = reliable_checkpoint(chosen.repartition(partitions, F.xxhash64("text")))
-    trainers = -(-(chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // TRAINER_BYTES) or 1
+def dealt_texts(block: int, table: pa.Table, turn: int) -> list[str | None]:
+    """The training texts of a block for round ``turn``: each is dealt to one of the ``ROUNDS`` rounds."""
+    texts = table["text"].filter(table["train"]).to_pylist()
+    rounds = np.random.default_rng(block).permutation(len(texts)) % ROUNDS
+    return [t for t, r in zip(texts, rounds.tolist(), strict=True) if r == turn]
+
+
+def fit_attention(blocks: DataFrame, path: str, p: A.Pieces, prior: A.Prior, tasks: int) -> dict[str, np.ndarray]:
+    """Train on all training texts of ``blocks`` (source, payload), a part of each block in each round.
+
+    A task cuts its texts into trainers of ``TRAINER_BYTES``; each makes steps on its own from the round's
+    parameters.  The mean over all trainers, weighted by windows, starts the next round; a task adds up
+    its own trainers, so it sends one table.
+    """
+    blocks = blocks.select("source", "payload").coalesce(tasks)
     w = A.initial(p)
     names, sizes = list(w), [v.size for v in w.values()]
     for turn in range(ROUNDS):
         start = w
 
-        def compute(batches, start=start, turn=turn):
-            texts = [t for b in batches for t in b.column(0).to_pylist()]
-            if not texts:
-                return
+        def trained(texts, start=start, turn=turn):
+            """Parameters after one trainer's steps, times its windows, and these."""
             words = [[x.decode("utf-8") for x in words_of_text(t)] for t in texts]
-            number = {x: i for i, x in enumerate({x for ws in words for x in ws})}
+            number = {x: i for i, x in enumerate({x: None for ws in words for x in ws})}
             ids = codec(path).encode_words(list(number))
             symbols, size, _ = _streams(p, ids, np.array([number[x] for ws in words for x in ws], np.int64), np.array([len(ws) for ws in words]))
             x, *rest = A.training_windows(p, symbols, size)
             got = A.train(start, prior, x, *rest, steps=least_steps(len(x)), rate=0.01 / (1 + turn), seed=turn)
-            flat = np.concatenate([got[k].ravel() for k in names]).astype(np.float64)
-            yield pa.record_batch({"cell": pa.array(np.arange(len(flat)), pa.int64()), "v": pa.array(flat * len(x)), "n": pa.array(np.full(len(flat), float(len(x))))})
-
-        mean = chosen.where(F.col("round") == turn).select("text").coalesce(trainers).mapInArrow(compute, "cell bigint, v double, n double").groupBy("cell").agg((F.sum("v") / F.sum("n")).alias("v"))
+            return len(x) * np.concatenate([got[k].ravel() for k in names]).astype(np.float64), len(x)
+
+        def compute(batches, turn=turn, trained=trained):
+            total, windows, held, size = np.zeros(sum(sizes)), 0, [], 0
+            for b in batches:
+                for block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    for t in dealt_texts(block, _block(payload), turn):
+                        held.append(t)
+                        size += len((t or "").encode("utf-8", "replace"))
+                        if size >= TRAINER_BYTES:
+                            flat, n = trained(held)
+                            total, windows, held, size = total + flat, windows + n, [], 0
+            if held:
+                flat, n = trained(held)
+                total, windows = total + flat, windows + n
+            if windows:
+                yield pa.record_batch({"cell": pa.array(np.arange(len(total)), pa.int64()), "v": pa.array(total), "n": pa.array(np.full(len(total), float(windows)))})
+
+        mean = blocks.mapInArrow(compute, "cell bigint, v double, n double").groupBy("cell").agg((F.sum("v") / F.sum("n")).alias("v"))
         rows = mean.collect()
         if rows:
             flat = np.zeros(sum(sizes), np.float32)
@@ -274,8 +298,8 @@ def _groups(sizes: list[int], most: int):
 def lm_scores(docs: DataFrame, train: Column, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: key, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``train`` says which rows teach (NULL: not).  Counts come from all of them; the attention model sees
-    one text in ``EVERY``.  Tokens are the words and one END; a NULL or empty text is END alone.  Scores
+    ``train`` says which rows teach (NULL: not); counts and the attention model learn from all of
+    them.  Tokens are the words and one END; a NULL or empty text is END alone.  Scores
     are in log10.  Repeated rows count and come back as often as they stand there.
     """
     spark = docs.sparkSession
@@ -283,11 +307,12 @@ def lm_scores(docs: DataFrame, train: Column, path: str, key: str = "doc_id", te
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     prepared = reliable_checkpoint(prepare(d, "key", "text", F.col("train"), targets))
     answered = reliable_checkpoint(count_words(prepared.where("target >= 0"), path, targets))
-    texts = d.where("train").count()
+    texts, taught = d.where("train").agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     stats = [_unpack(r["payload"]) for r in answered.where(F.col("target") == _STATS).collect()]
     tokens, types = sum(s[0] for s in stats) + texts, sum(s[1] for s in stats) + (texts > 0)
     p, prior = count_transitions(answered.where(F.col("target") == _WORDS).coalesce(-(-types // WORDS_A_TASK) or 1), path, texts)
-    w = fit_attention(d, "text", F.col("train"), "key", path, p, prior, targets)
+    blocks = prepared.where(F.col("target") == _DOCS)
+    w = fit_attention(blocks, path, p, prior, -(-(taught or 0) // (ROUNDS * TRAINER_BYTES)) or 1)
     scorer = Scorer(p, w, prior, tokens, types, texts)
 
     def compute(batches):
@@ -299,7 +324,7 @@ def lm_scores(docs: DataFrame, train: Column, path: str, key: str = "doc_id", te
                         yield scored(block, number, parts)
                     now, number, parts, block = target, {}, [], None
                 if source == _DOCS:
-                    block = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
+                    block = _block(payload)
                 else:
                     words, *rest = _unpack(payload)
                     number.update(zip(words, range(len(number), len(number) + len(words)), strict=True))
@@ -316,8 +341,8 @@ def lm_scores(docs: DataFrame, train: Column, path: str, key: str = "doc_id", te
         key_column = block["key"].combine_chunks() if block["key"].num_chunks != 1 else block["key"].chunk(0)
         return pa.record_batch([key_column] + [pa.array([r[j] for r in got], k) for j, k in enumerate(kinds)], names=["key", "n_tokens", "n_known", "base_score", "score"])
 
-    blocks = prepared.where(F.col("target") == _DOCS).select(F.col("source").alias("target"), F.col("target").alias("source"), "payload")
-    met = blocks.unionByName(answered.where("target >= 0")).repartition(targets, "target").sortWithinPartitions("target", "source")
+    asking = blocks.select(F.col("source").alias("target"), F.col("target").alias("source"), "payload")
+    met = asking.unionByName(answered.where("target >= 0")).repartition(targets, "target").sortWithinPartitions("target", "source")
     kind = dict(docs.dtypes)[key]
     out = met.mapInArrow(compute, f"key {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
