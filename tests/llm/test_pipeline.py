@@ -112,6 +112,19 @@ def test_stages_keep_columns_and_odd_rows(spark, small_dir):
         assert stage(spark, docs.limit(0), small_dir).collect() == []
 
 
+def test_unrelated_texts_of_one_id_or_none_all_stay(spark):
+    from tidalgrid.llm.ngram_join import keep_one
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(2) + " end"), (7, text(3)), (7, text(4)), (7, text(4)), (9, text(5)), (None, text(5)), (8, text(3) + " end")]
+    blank = [(None, None), (None, ""), (None, " \n"), (7, ""), (7, None), (7, None)]
+    docs = spark.createDataFrame(rows + blank, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in keep_one(docs).collect()), key=str)
+    either = [r for r in got if r[1] in (text(2), text(2) + " end")]
+    assert len(either) == 1
+    assert got == sorted([(None, text(0)), (None, text(1)), *either, (7, text(3)), (7, text(4)), (9, text(5)), *blank], key=str)
+
+
 def test_contract():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "suffix-array dedup", "benchmark decontamination", "BPE encoding and decoding"]
     names = set(entry.queries())

@@ -209,6 +209,13 @@ def near_duplicates(
     other documents linked to this one, ``n_class_links`` the other n-gram sets.  Texts without words
     (NULL, empty, blank) link to nothing: both ids are their own key.  Repeated rows are copies.
     """
+    return _with_components(docs, key, text, n, threshold, recall).drop("component")
+
+
+def _with_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL,
+) -> DataFrame:
+    """``near_duplicates`` and the print that names each class (NULL without words)."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands, rows = choose_bands(threshold, recall)
@@ -239,25 +246,28 @@ def near_duplicates(
     c = classes.select("print", "copies", "least").join(links, "print", "left").join(parts.withColumnRenamed("node", "print"), "print", "left")
     c = reliable_checkpoint(c.select("print", "copies", "least", "documents", "classes", F.coalesce("component", "print").alias("component")))
     least = c.groupBy("component").agg(F.min("least").alias("class_id"))
-    c = c.join(least, "component").select("print", "copies", "least", "documents", "classes", "class_id")
+    c = c.join(least, "component").select("print", "copies", "least", "documents", "classes", "class_id", "component")
     zero = F.lit(0).cast("bigint")
     return a.select("key", "text_hash", "print").join(c, "print", "left").select(
         F.col("key").alias(key), "text_hash",
         F.when(F.col("print").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(F.col("print").isNull(), F.col("key")).otherwise(F.col("least")).alias("copy_id"),
-        (F.coalesce("documents", zero) + F.coalesce(F.col("copies") - 1, zero)).alias("n_links"), F.coalesce("classes", zero).alias("n_class_links"))
+        (F.coalesce("documents", zero) + F.coalesce(F.col("copies") - 1, zero)).alias("n_links"), F.coalesce("classes", zero).alias("n_class_links"), "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each near-duplicate class: the one with the smallest key (then text hash).
 
-    Texts without words are kept.  Of rows equal in key and text one stays.
+    A row without a key stays only in a class where no row has one.  Classes are told apart by their
+    texts, so rows of one key, or of none, with unrelated texts all stay.  Of rows equal in key and text
+    one stays.  Texts without words are all kept.
     """
-    near = reliable_checkpoint(near_duplicates(docs, key, text, **options))
-    chosen = near.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_hash").alias("text_hash")).select(
-        F.col("class_id").alias("kept_key"), F.col("text_hash").alias("kept_hash"))
+    near = reliable_checkpoint(_with_components(docs, key, text, **options).where(F.col("component").isNotNull()).select(F.col(key).alias("key"), "text_hash", "component"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("first")
+    chosen = near.groupBy("component").agg(first).select(F.col("first.key").alias("kept_key"), F.col("first.text_hash").alias("kept_hash"))
     d = docs.withColumn("__text_hash", F.xxhash64(F.col(text)))
-    kept = d.join(chosen, F.col(key).eqNullSafe(F.col("kept_key")) & (F.col("__text_hash") == F.col("kept_hash")), "left_semi")
-    if near.groupBy(key, "text_hash").count().where("count > 1").limit(1).count():
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = d.where(worded).join(chosen, F.col(key).eqNullSafe(F.col("kept_key")) & (F.col("__text_hash") == F.col("kept_hash")), "left_semi")
+    if near.groupBy("key", "text_hash").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([key, "__text_hash"])
-    return kept.drop("__text_hash")
+    return kept.unionByName(d.where(~worded)).drop("__text_hash")
