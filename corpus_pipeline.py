@@ -19,6 +19,10 @@ from tidalgrid.llm.suffix_dedup import remove_repeats
 from pyspark.sql import functions as F
 
 
+#: Passages of over 50 words are to be caught: 51 words of three letters and a blank each take 203 bytes.
+REPEAT_BYTES = 200
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a rule go."""
     return apply_rules(docs).where("kept").select(*docs.columns)
@@ -30,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by repeats of 400 bytes go, in whole characters; ``n_chars`` follows the text."""
-    d = remove_repeats(docs)
+    """Bytes covered by repeats of ``REPEAT_BYTES`` go, in whole characters; ``n_chars`` follows the text."""
+    d = remove_repeats(docs, length=REPEAT_BYTES)
     return d.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 

@@ -112,6 +112,20 @@ def test_stages_keep_columns_and_odd_rows(spark, small_dir):
         assert stage(spark, docs.limit(0), small_dir).collect() == []
 
 
+def test_a_repeat_of_51_short_words_goes(spark, small_dir):
+    passage = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + 7 * i % 26)}" for i in range(51))
+    own = lambda k: " ".join(f"own{k}word{i}" for i in range(80))
+    rows = [(k, f"{own(k)} {k}{passage}{k} {own(k + 10)}") for k in range(3)] + [(3, own(3))]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, small_dir).collect()}
+    assert len(passage) == 203 and got == {k: f"{own(k)} {k}{k} {own(k + 10)}" for k in range(3)} | {3: own(3)}
+
+
+def test_run_equals_brute_force_at_the_length_of_the_stage(spark, small_dir, monkeypatch):
+    monkeypatch.setitem(globals(), "cut", lambda texts, at_400=cut: at_400(texts, corpus_pipeline.REPEAT_BYTES))
+    test_run_equals_brute_force(spark, small_dir)
+
+
 def test_unrelated_texts_of_one_id_or_none_all_stay(spark):
     from tidalgrid.llm.ngram_join import keep_one
 
