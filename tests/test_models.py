@@ -126,3 +126,23 @@ def test_fourier(spark):
     df = spark.createDataFrame([("a", int(i), float(v)) for i, v in zip(t, y)], "k string, t int, x double")
     top = Se.dominant_periods(df, ["k"], "t", "x", 2).orderBy("rank").collect()
     assert top[0].period_rows == pytest.approx(12) and top[1].period_rows == pytest.approx(30)
+
+
+def test_mixtures_and_clusters_read_whole_vectors(spark, small_dir, tmp_path):
+    from tidalgrid.plans import anomalies as An
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(240, 64)).astype(np.float32) * 0.02
+    x[:, 60] += np.arange(240) // 2 % 2 * 6  # two lumps in each half, apart in the 61st dimension only
+    x[3, 63] += 40
+    rows = [(i, i % 2, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d = str(tmp_path)
+    got = {r.half: (r.cluster_count, r.noise_share) for r in An.vector_clusters(spark, d).collect()}
+    assert got == {0: (2, 0.0), 1: (2, round(1 / 120, 6))}
+    far = {r.vec_id: r.centroid_distance for r in An.vector_centroid_distances(spark, d).collect()}
+    assert len(far) == 240 and max(far, key=far.get) == 3 and far[3] > 39
+    scores = {r.vec_id: r.score for r in An.mixture_scores(spark, d).select("vec_id", "score").distinct().collect()}
+    m = Ou.fit_mixture(An.vectors(spark, d), "vec_id", "embedding", 2)
+    want = m.log_density(x.astype(float))
+    assert len(m.means[0]) == 64 and all(abs(scores[i] - want[i]) < 1e-6 * max(1, abs(want[i])) for i in range(240))

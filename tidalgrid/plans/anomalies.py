@@ -94,6 +94,22 @@ def centroid_distances(spark, d):
     return rounded(Ou.centroid_distance(v, "half", "vec_id", "point", "cluster").drop("point"), ["cluster", "nearest_cluster", "nearest_cluster_size"])
 
 
+def vector_cluster_ids(spark, d):
+    return N.dbscan_clusters(vectors(spark, d), "half", "vec_id", "embedding", EPS, MIN_SAMPLES, **LAYOUT)
+
+
+@query("O-112")
+def vector_clusters(spark, d):
+    # density_clusters on whole vectors, with the radius and the count of density_noise.
+    return rounded(N.cluster_summary(vector_cluster_ids(spark, d), "half"))
+
+
+@query("O-120")
+def vector_centroid_distances(spark, d):
+    v = vectors(spark, d).select("vec_id", "half", "embedding").join(vector_cluster_ids(spark, d).select("vec_id", "cluster"), "vec_id")
+    return rounded(Ou.centroid_distance(v, "half", "vec_id", "embedding", "cluster").drop("embedding"), ["cluster", "nearest_cluster", "nearest_cluster_size"])
+
+
 LOW_SQL = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS s FROM embeddings),
   dist AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.e, b.e) AS d, list_distance(a.s, b.s) AS l FROM v a JOIN v b ON a.vec_id <> b.vec_id),
   r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS rh, row_number() OVER (PARTITION BY a ORDER BY round(l, 9), b) AS rl FROM dist)"""
@@ -131,13 +147,9 @@ def forest_flags(spark, d):
     return Ou.tail_flags(scored, "score", SHARES)
 
 
-def short_vectors(spark, d):
-    return vectors(spark, d).withColumn("short", F.slice("embedding", 1, 6))
-
-
 def mixture_flags(spark, d):
-    v = short_vectors(spark, d)
-    scored = Ou.mixture_scores(v, "short", Ou.fit_mixture(v, "vec_id", "short", 2)).select("vec_id", "half", "score")
+    v = vectors(spark, d)
+    scored = Ou.mixture_scores(v, "embedding", Ou.fit_mixture(v, "vec_id", "embedding", 2)).select("vec_id", "half", "score")
     return Ou.tail_flags(scored, "score", SHARES, inclusive=True)
 
 
@@ -153,8 +165,8 @@ def mixture_scores(spark, d):
 
 @query("O-115", "O-45")
 def mixture_structures(spark, d):
-    v = short_vectors(spark, d)
-    fits = {f"{kind}_{k}": Ou.fit_mixture(v, "vec_id", "short", k, kind) for kind in ("diag", "full") for k in (1, 2, 3)}
+    v = vectors(spark, d)
+    fits = {f"{kind}_{k}": Ou.fit_mixture(v, "vec_id", "embedding", k, kind) for kind in ("diag", "full") for k in (1, 2, 3)}
     return Ou.screen_structures(Ou.mixture_criteria(spark, fits))
 
 
