@@ -84,3 +84,15 @@ def test_discriminant_equals_direct_densities():
         u = z(x) - z(part).mean(0)
         logs.append(np.log(len(part) / 800) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", u, np.linalg.inv(cov), u))
     assert np.allclose(model.score(x), 1 / (1 + np.exp(logs[0] - logs[1])), atol=1e-6)
+
+
+def test_repeated_rows_of_one_key_and_text_are_cut(spark):
+    from tidalgrid.llm.sharding import shard_documents
+
+    rows = [(None, "the same text of a hot group")] * 400 + [(i, f"text {i} stands once in here ok") for i in range(800)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shards=8).collect()
+    load = [sum(r["size"] for r in got if r.shard == s) for s in range(8)]
+    assert len(got) == 1200 and max(load) < 1.2 * sum(load) / 8
+    for s in range(8):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))

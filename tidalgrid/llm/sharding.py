@@ -52,7 +52,8 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     t = F.coalesce(F.col(text), F.lit(""))
     d = reliable_checkpoint(docs.select(
         F.col(key).alias("key"), (F.octet_length(t) + 1).cast("bigint").alias("size"), F.size(words_of(F.col(text))).cast("bigint").alias("n_words"),
-        F.crc32(t).alias("text_crc32"), F.xxhash64(t).alias("group")))
+        F.crc32(t).alias("text_crc32"), F.xxhash64(t).alias("group"),
+        F.monotonically_increasing_id().alias("salt")))  # tells repeated rows apart; the checkpoint keeps it fixed
     sums = [F.sum("size").alias("bytes"), F.sum("n_words").alias("tokens"), F.count("*").alias("rows")]
     total = d.agg(*sums).first()
     names = ["bytes", "tokens", "rows"]
@@ -60,7 +61,7 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # At most shards / HEAVY groups can be heavy in each of the three, so this is a bounded table.
     heavy = d.groupBy("group").agg(*sums).where(part > HEAVY).select("group", F.ceil(part / HEAVY).alias("pieces"), (part <= SPREAD).alias("together"))
     d = d.join(F.broadcast(heavy), "group", "left")
-    bundle = F.when(F.col("pieces").isNull(), F.pmod("group", F.lit(BUNDLES))).otherwise(F.xxhash64("group", F.pmod(F.xxhash64("key", "size"), "pieces")))
+    bundle = F.when(F.col("pieces").isNull(), F.pmod("group", F.lit(BUNDLES))).otherwise(F.xxhash64("group", F.pmod(F.xxhash64("salt"), "pieces")))
     d = d.withColumn("cut", F.col("pieces").isNotNull()).withColumn("bundle", bundle).withColumn("unit", F.when(F.col("together"), F.col("group")).otherwise(F.col("bundle")))
     found = d.groupBy("cut", "bundle", "unit").agg(*sums).orderBy("cut", "bundle").collect()
     units = {u: i for i, u in enumerate(sorted({(r["cut"], r["unit"]) for r in found}))}
