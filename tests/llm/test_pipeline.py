@@ -49,7 +49,7 @@ def near(texts):
     return [i for i in range(len(texts)) if find(i) == i]
 
 
-def cut(texts, length=400):
+def cut(texts, length):
     raws = [t.encode() for t in texts]
     seen = Counter(t[i : i + length] for t in raws for i in range(len(t) - length + 1))
     out = []
@@ -78,7 +78,7 @@ def brute(spark, docs, items):
     docs = sorted(docs)
     docs = [docs[i] for i in sorted(passes(spark, [t for _, t in docs]))]
     docs = [docs[i] for i in near([t for _, t in docs])]
-    docs = list(zip([i for i, _ in docs], cut([t for _, t in docs]), strict=True))
+    docs = list(zip([i for i, _ in docs], cut([t for _, t in docs], corpus_pipeline.REPEAT_BYTES), strict=True))
     docs = [(i, t) for i, t in docs if not contaminated(t, items)]
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     out = []
@@ -121,11 +121,6 @@ def test_a_repeat_of_51_short_words_goes(spark, small_dir):
     assert len(passage) == 203 and got == {k: f"{own(k)} {k}{k} {own(k + 10)}" for k in range(3)} | {3: own(3)}
 
 
-def test_run_equals_brute_force_at_the_length_of_the_stage(spark, small_dir, monkeypatch):
-    monkeypatch.setitem(globals(), "cut", lambda texts, at_400=cut: at_400(texts, corpus_pipeline.REPEAT_BYTES))
-    test_run_equals_brute_force(spark, small_dir)
-
-
 def test_unrelated_texts_of_one_id_or_none_all_stay(spark):
     from tidalgrid.llm.ngram_join import keep_one
 
