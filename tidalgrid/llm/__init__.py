@@ -8,7 +8,7 @@ from .registry import Query
 
 MODULES = [
     "op01_suffix_dedup", "op02_lm_scoring", "op03_quality_rules", "op04_token_files", "op05_quality_classifier", "op06_ngram_join", "op07_bpe_round_trip", "op08_decontamination", "op09_sharding", "op10_chat_format",
-    "op12_whitening", "op13_sentencepiece",
+    "op11_conversation_repair", "op12_whitening", "op13_sentencepiece",
 ]
 
 
