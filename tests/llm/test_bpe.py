@@ -5,12 +5,18 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tidalgrid.llm import token_files
 from tidalgrid.llm.bpe import codec
+from tidalgrid.llm.merge_ranks import _OTHER, merge_ranks, rank_encoder
 from tidalgrid.llm.queries.op04_token_files import END_ID, op4_token_files
-from tidalgrid.llm.queries.op07_bpe_round_trip import bpe_digests, op7_bpe_round_trip
+from tidalgrid.llm.queries.op07_bpe_round_trip import bpe_digests, op7_bpe_round_trip, tokenizer_path
+from tidalgrid.llm.token_files import read_token_files, write_token_files
 from tidalgrid.llm.wavelet import WaveletMatrix
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +64,45 @@ def test_token_files(spark, small_dir, tmp_path, tokenizer):
     assert op4_token_files(spark, f"{tmp_path}/none").collect() == []
 
 
+def test_hot_keys_and_small_files(spark, tmp_path, tokenizer, monkeypatch):
+    """Half of the rows without key, some equal, in many ranges and files of a few ids."""
+    monkeypatch.setattr(token_files, "_BATCH", 200)
+    rows = [(None if i % 2 else i, f"text {i % 7} é.") for i in range(300)] + [(5, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, shard string, key int").repartition(4)
+    write_token_files(df, "doc_id", "text", PATH, f"{tmp_path}/f", END_ID, shards=6, ids_a_file=50)
+    files = spark.read.parquet(f"{tmp_path}/f")
+    assert files.count() > 12 and files.agg({"n_ids": "max"}).first()[0] >= 50
+    got = [tuple(r) for r in read_token_files(spark, f"{tmp_path}/f", lambda ids: (ids.tolist(),), {"ids": pa.list_(pa.int64())}, "ids array<bigint>").collect()]
+    want = sorted(((i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, END_ID]) for i, t in rows), key=str)
+    assert sorted(((k, ids) for k, _, ids in got), key=str) == want
+    by_start = sorted(got, key=lambda r: r[1])
+    assert [r[1] for r in by_start] == np.concatenate([[0], np.cumsum([len(r[2]) for r in by_start])[:-1]]).tolist()
+    keys = [r[0] for r in by_start]
+    assert keys[:150] == [None] * 150 and keys[150:] == sorted(keys[150:])
+    with pytest.raises(Exception, match="more than 12 bits"):
+        write_token_files(df, "doc_id", "text", PATH, f"{tmp_path}/g", END_ID, bits=12)
+
+
+@given(st.text(st.sampled_from([chr(c) for c in [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250), 0x2014, 0x2019, 0x2026, 0x2030, 0x20AC]]) | st.characters(codec="utf-8"), max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_ranks_give_the_tokenizers_ids(text):
+    assert rank_encoder(PATH).fast is not None
+    assert rank_encoder(PATH).ids(text).tolist() == codec(PATH).tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ranks_of_every_plain_character_and_of_the_given_texts(spark, small_dir):
+    plain = [chr(c) for c in range(0x2100) if not _OTHER.match(chr(c))]
+    texts = [a + c + b for c in plain for a, b in (("", ""), ("a ", " b"), ("1", "x"), ("\n", "."), (" ", "  "))] + ODD
+    texts += [r.text or "" for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()]
+    flat, size = rank_encoder(PATH).encode([t or "" for t in texts])
+    want = [e.ids for e in codec(PATH).tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    assert size.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
+def test_other_files_have_no_ranks():
+    assert merge_ranks(tokenizer_path("word_bpe_49k.json")) is None and rank_encoder(tokenizer_path("word_bpe_49k.json")).fast is None
+
+
 def check_files(df, docs, tokenizer):
     want, start = [], 0
     for i, t in docs:
