@@ -11,6 +11,14 @@ from tidalgrid.llm import suffix_dedup as S
 from tidalgrid.llm.queries.op01_suffix_dedup import op1_suffix_dedup, repeat_digests
 
 
+def characters(raw):
+    """Each character with the bytes it takes, from a to z."""
+    at = 0
+    for c in raw.decode():
+        yield c, at, at + len(c.encode())
+        at += len(c.encode())
+
+
 def brute(texts, length):
     seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
@@ -20,7 +28,8 @@ def brute(texts, length):
             if seen[t[i : i + length]] > 1:
                 hit[i : i + length] = b"\1" * length
         spans = S.joined_spans((i, i + 1) for i, x in enumerate(hit) if x)
-        out.append((len(t), sum(hit), len(spans), hashlib.sha256(S.without(t, spans)).hexdigest()))
+        kept = "".join(c for c, a, z in characters(t) if not all(hit[a:z]))
+        out.append((len(t), sum(hit), len(spans), hashlib.sha256(S.without(t, spans)).hexdigest(), kept))
     return out
 
 
