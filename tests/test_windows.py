@@ -66,6 +66,24 @@ def test_ema_matches_pandas_over_gaps(spark):
     close(values(Wn.ema(df, ["x"], alpha=0.3), "x_ema")[(1, "am")], [None if pd.isna(v) else v for v in want])
 
 
+@pytest.mark.parametrize("alpha", [0.01, 0.3, 0.9, 0.999, 1.0])
+def test_ema_over_gaps_of_any_length(spark, alpha):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    xs = rng.normal(100, 40, 3000)
+    for first, past in ((0, 3), (40, 41), (60, 260), (300, 1500), (2000, 2002)):
+        xs[first:past] = np.nan
+    other = np.where(rng.random(3000) < 0.7, np.nan, rng.normal(0, 1, 3000))
+    df = spark.createDataFrame([(1, "am", i, float(x), float(z)) for i, (x, z) in enumerate(zip(xs, other, strict=True))], "zone_id int, temporal_bucket string, date int, x double, z double")
+    got = Wn.ema(df.repartition(3), ["x", "z"], alpha=alpha).orderBy("date").toPandas()
+    for name, x in (("x", xs), ("z", other)):
+        want = pd.Series(x).ewm(alpha=alpha, adjust=False).mean()
+        assert np.allclose(got[f"{name}_ema"].astype(float), want, rtol=1e-11, atol=1e-11, equal_nan=True)
+    assert got.columns.tolist() == ["zone_id", "temporal_bucket", "date", "x", "z", "x_ema", "z_ema"]
+
+
 def test_changes(spark):
     df = series(spark, {(1, "am"): [10.0, 20.0, 15.0], (1, "pm"): [100.0], (2, "am"): [5.0, 15.0, 10.0], (3, "am"): [0.0, 2.0]})
     out = Wn.history_features(df, ["x"])

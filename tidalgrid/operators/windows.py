@@ -60,36 +60,56 @@ def history_features(
     return df.select("*", *[c.alias(n) for n, c in out.items()])
 
 
+#: Nats of decay in one stretch of an exponential mean: sums inside a stretch stay far from overflow, and what lies
+#: two stretches back weighs less than exp(-200) of the whole.
+STRETCH = 200.0
+
+
 def ema(
     df: DataFrame, metrics: Sequence[str], alpha: float | None = None, span: int | None = None,
     series: Sequence[str] = SERIES, order: str = "date",
 ) -> DataFrame:
-    """Recursive exponential mean ``y = (1-a) y + a x``; a NULL keeps decaying the old weight.
+    """Recursive exponential mean ``y = (1-a) y + a x``; a NULL or NaN keeps decaying the old weight, over any gap.
 
-    A row's mean is folded over the rows behind it that can still matter: the weight of an older row is
-    below 1e-17 of the whole, less than a double resolves.  So the frame has a fixed length, no array
-    grows, and everything stays in column expressions.
+    Each value is a step ``y = p y + q`` whose factor depends only on the gap before it.  Running sums of
+    -ln p cut a series into stretches of bounded decay; inside one the mean is a running sum of q scaled
+    by the decay since its first value, and a stretch starts from the mean its predecessor ends with.
+    So every row costs a fixed number of running sums, with no array and no bound on gaps.
     """
     a = alpha if alpha is not None else 2.0 / (span + 1.0)
-    reach = math.ceil(math.log(1e-17) / math.log1p(-a)) if a < 1 else 0
-    w = W.partitionBy(*series).orderBy(order).rowsBetween(-reach, 0)
-    keep = F.lit(1.0 - a)
-
-    def fold(metric: str) -> Column:
-        # The state is (weight of the old mean, mean); the mean is NULL until the first value.
-        def step(s: Column, x: Column) -> Column:
-            old = s["w"] * keep
-            mean = F.when(s["y"].isNull(), x).otherwise((old * s["y"] + F.lit(a) * x) / (old + F.lit(a)))
-            return F.when(x.isNull(), F.struct(old.alias("w"), s["y"].alias("y"))).otherwise(F.struct(F.lit(1.0).alias("w"), mean.alias("y")))
-
-        start = F.struct(F.lit(1.0).alias("w"), F.lit(None).cast("double").alias("y"))
-        # collect_list leaves NULLs out, so each value travels in a struct.
-        return F.aggregate(F.col(f"_{metric}_seen"), start, lambda s, x: step(s, x["v"]), lambda s: s["y"])
-
-    # NaN counts as missing.
-    value = lambda m: F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))
-    seen = df.withColumns({f"_{m}_seen": F.collect_list(F.struct(value(m).alias("v"))).over(w) for m in metrics})
-    return seen.withColumns({f"{m}_ema": fold(m) for m in metrics}).drop(*[f"_{m}_seen" for m in metrics])
+    w = W.partitionBy(*series).orderBy(order)
+    number = lambda m: F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))
+    if a >= 1:
+        return df.withColumns({f"{m}_ema": F.last(number(m), ignorenulls=True).over(w) for m in metrics})
+    keep = math.log1p(-a)
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    added: list[str] = []
+
+    def put(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        added.extend(c for c in columns if c not in added)
+        return df.withColumns(columns)
+
+    names = {m: {k: f"_{m}_{k}" for k in ("x", "gap", "fall", "q", "sum", "part", "since", "lead", "own", "prior")} for m in metrics}
+    out = put(df, {"_at": F.row_number().over(w)} | {n["x"]: number(m) for m, n in names.items()})
+    out = put(out, {n["gap"]: F.col("_at") - F.last(F.when(F.col(n["x"]).isNotNull(), F.col("_at")), ignorenulls=True).over(before) for n in names.values()})
+    for n in names.values():
+        old = F.exp(F.col(n["gap"]) * keep)
+        step = F.col(n["x"]).isNotNull() & F.col(n["gap"]).isNotNull()
+        out = put(out, {
+            n["fall"]: F.when(step, F.log(old + a) - F.col(n["gap"]) * keep).otherwise(0.0),
+            n["q"]: F.when(step, F.col(n["x"]) * a / (old + a)).otherwise(F.col(n["x"]))})
+    out = put(out, {n["sum"]: F.sum(n["fall"]).over(w) for n in names.values()})
+    out = put(out, {n["part"]: F.floor(F.col(n["sum"]) / STRETCH) for n in names.values()})
+    for n in names.values():
+        inside = W.partitionBy(*series, n["part"]).orderBy(order)
+        out = put(out, {n["since"]: F.col(n["sum"]) - F.first(n["sum"]).over(inside), n["lead"]: F.first(n["fall"]).over(inside)})
+        out = put(out, {n["own"]: F.exp(-F.col(n["since"])) * F.sum(F.col(n["q"]) * F.exp(n["since"])).over(inside)})
+    out = put(out, {n["prior"]: F.lag(n["own"]).over(w) for n in names.values()})
+    for m, n in names.items():
+        inside = W.partitionBy(*series, n["part"]).orderBy(order)
+        carried = F.exp(-F.col(n["since"]) - F.col(n["lead"])) * F.first(n["prior"]).over(inside)
+        out = out.withColumn(f"{m}_ema", F.when(F.col(n["part"]) == 0, F.col(n["own"])).otherwise(F.col(n["own"]) + F.coalesce(carried, F.lit(0.0))))
+    return out.drop(*added)
 
 
 def period_profile(

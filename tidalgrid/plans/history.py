@@ -71,6 +71,33 @@ def exponential_means(spark, d):
     return rounded(Wn.ema(panel, ["trip_count", "avg_speed"], span=7).drop("trip_count", "avg_speed"))
 
 
+GAPPED_SQL = """d AS (SELECT o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) / 1e6 AS total, count(*)::DOUBLE AS n FROM orders GROUP BY ALL),
+  s AS (SELECT DISTINCT o_orderpriority AS priority, unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-01', INTERVAL 1 DAY))::DATE AS date FROM orders),
+  p AS (SELECT priority, date, CASE WHEN NOT date BETWEEN DATE '1996-03-01' AND DATE '1996-12-31' THEN total END AS total, n, row_number() OVER (PARTITION BY priority ORDER BY date) AS i FROM s LEFT JOIN d USING (priority, date))"""
+
+
+def _ema_step(x: str) -> str:
+    """One step of the recursion for the column ``x`` of the next row, with its mean y_x and weight w_x."""
+    old = f"(r.w_{x} * 0.9)"
+    return f"""CASE WHEN p.{x} IS NULL THEN r.y_{x} WHEN r.y_{x} IS NULL THEN p.{x} ELSE ({old} * r.y_{x} + 0.1 * p.{x}) / ({old} + 0.1) END,
+      CASE WHEN p.{x} IS NULL AND r.y_{x} IS NOT NULL THEN {old} ELSE 1.0 END"""
+
+
+@query(
+    "O-80",
+    sql=f"""WITH RECURSIVE {GAPPED_SQL}, r AS (SELECT priority, date, i, total AS y_total, 1.0::DOUBLE AS w_total, n AS y_n, 1.0::DOUBLE AS w_n FROM p WHERE i = 1
+        UNION ALL SELECT p.priority, p.date, p.i, {_ema_step('total')}, {_ema_step('n')} FROM r JOIN p ON p.priority = r.priority AND p.i = r.i + 1)
+      SELECT priority, strftime(date, '%Y-%m-%d') AS date, {q6('y_total', 'total_ema')}, {q6('y_n', 'n_ema')} FROM r""",
+)
+def gapped_exponential_means(spark, d):
+    # Order days by priority, with days that have no order and 306 days of which the totals are missing.
+    days = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("priority"), F.to_date("o_orderdate").alias("date")).agg(
+        (F.sum("o_totalprice") / 1e6).alias("total"), F.count(F.lit(1)).cast("double").alias("n"))
+    spine = days.select("priority").distinct().select("priority", F.explode(F.expr("sequence(date '1995-01-01', date '2001-08-01')")).alias("date"))
+    panel = spine.join(days, ["priority", "date"], "left").withColumn("total", F.when(~F.col("date").between("1996-03-01", "1996-12-31"), F.col("total")))
+    return rounded(Wn.ema(panel, ["total", "n"], alpha=0.1, series=["priority"]).drop("total", "n"))
+
+
 @query(
     "O-82",
     sql=f"""WITH {SQL_PANEL}, m AS (SELECT zone_id, date, temporal_bucket, avg(CASE WHEN period = 'pre_cp' THEN trip_count END) OVER w AS a,
