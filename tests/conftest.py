@@ -1,11 +1,14 @@
 import os
 import sys
 
-import pytest
+# Test sessions share one machine with their workers: one thread a process for matrix routines.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidalgrid.session import local_session
+from tidalgrid.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

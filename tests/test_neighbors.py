@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidalgrid.operators import neighbors as N
 
-LAYOUT = {"pivots": 6, "tile_rows": 40}
+LAYOUT = {"pivots": 6, "block_rows": 50, "tile_rows": 16}
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +107,41 @@ def test_a_vector_of_very_many_copies(spark):
     df = spark.range(3000).select(F.col("id"), F.lit("g").alias("g"), F.when(F.col("id") < 2990, F.array(F.lit(0.0), F.lit(0.0))).otherwise(F.array(F.col("id").cast("double"), F.lit(0.0))).alias("v"))
     r = N.knn_profile(df, "g", "id", "v", [3]).first()
     assert r.group_rows == 3000 and r.median_distance == 0.0 and r.p99_distance == 0.0
+
+
+def test_labels_of_random_links():
+    rng = np.random.default_rng(4)
+    for n, links in ((1, 0), (50, 30), (400, 380), (400, 2000)):
+        a, b = rng.integers(0, n, links), rng.integers(0, n, links)
+        label = np.arange(n)
+        for i in range(0, links, 37):
+            N.merge_labels(label, a[i : i + 37], b[i : i + 37])
+        want = np.arange(n)
+        for _ in range(n):
+            np.minimum.at(want, a, want[b])
+            np.minimum.at(want, b, want[a])
+        assert (label == want).all()
+
+
+def test_a_group_without_name_and_clusters_over_many_blocks(spark):
+    """A chain of 400 points, longer than any block, in the group NULL."""
+    rows = [(i, None if i % 2 else "g", [i * 0.1, 0.0]) for i in range(800)] + [(900, "g", [500.0, 0.0])]
+    df = spark.createDataFrame(rows, "id bigint, g string, v array<double>").repartition(5)
+    for merge in (True, False):
+        got = {r.id: r.cluster for r in N.dbscan_clusters(df, "g", "id", "v", 0.21, 2, pivots=5, block_rows=40, tile_rows=16, merge_equal=merge).collect()}
+        assert got == {i: i % 2 for i in range(800)} | {900: None}
+
+
+def test_nearest_centroids_as_arrays_or_by_join(spark, monkeypatch):
+    from tidalgrid.operators import outliers as Ou
+
+    rng = np.random.default_rng(6)
+    rows = [(i, "a" if i % 3 else "b", rng.normal(size=3).tolist(), None if i % 7 == 0 else int(i % 5)) for i in range(90)] + [(95, "none", [1.0, 1.0, 1.0], None), (96, "a", None, None)]
+    df = spark.createDataFrame(rows, "id bigint, g string, v array<double>, c bigint")
+    read = lambda: {r.id: tuple(r)[4:] for r in Ou.centroid_distance(df, "g", "id", "v", "c").collect()}
+    first = read()
+    monkeypatch.setattr(Ou, "SPOT_BYTES", 10)
+    second = read()
+    assert first.keys() == second.keys() and first[95] == second[95] == (None,) * 4
+    for k in range(90):
+        assert first[k][:2] == second[k][:2] and first[k][2:] == pytest.approx(second[k][2:], abs=1e-9)

@@ -1,142 +1,24 @@
-"""Exact neighbour work on vectors inside groups of any size.
+"""Exact neighbour work on vectors inside groups of any size, on the blocks of ``blocks.py``.
 
-Points are laid out in tiles of bounded size.  Each vector goes to the nearest of a few pivots, and a
-pivot's points of one group are split by hash into tiles, so one huge group becomes many tiles.  A
-tile then meets, as a sorted stream, only the tiles that the triangle inequality cannot rule out.
-What leaves a task is one reduced row per point (a count, a maximum, k nearest); pairs of points are
-never written out.  Equal vectors are merged first and carry their number as a weight.
+What leaves a task is one reduced row per point (a count, a maximum, k nearest) or a forest of links;
+pairs of points are never written out.  Equal vectors are merged first and carry their number as a weight.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
-from .ordered import assign_row_id, exact_quantiles
+from .blocks import Blocks, Work, as_matrix, lay_out, stream
+from .ordered import exact_quantiles
 from .sampling import hash_sample
 
 
-@dataclass(frozen=True)
-class Tiles:
-    """Points with their tile, and per cell pair the distance of the pivots."""
-
-    points: DataFrame  # g, cell, tile, pid, vec, w
-    gaps: DataFrame  # cell, other, gap
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.clip(sq, 0.0, None))
-
-
-def lay_out(
-    df: DataFrame, group: str, key: str, vector: str, pivots: int = 32, tile_rows: int = 1024, merge_equal: bool = True, seed: str = "pivots"
-) -> Tiles:
-    """Assign points to pivots and tiles.  The pivots, a fixed small number of rows, are the only data
-    that reach the driver."""
-    vec = F.transform(vector, lambda x: x.cast("double"))
-    base = df.select(F.col(group).cast("string").alias("g"), F.col(key).alias("pid"), vec.alias("vec"))
-    if merge_equal:
-        base = base.groupBy("g", "vec").agg(F.min("pid").alias("pid"), F.count(F.lit(1)).alias("w"))
-    else:
-        base = base.withColumn("w", F.lit(1).cast("bigint"))
-    heads = np.array([r["vec"] for r in hash_sample(base, pivots, "pid", seed).select("vec").collect()], dtype=float)
-
-    @F.pandas_udf("cell int, reach double")
-    def nearest(v: pd.Series) -> pd.DataFrame:
-        d = _distances(np.array(v.tolist(), dtype=float), heads)
-        at = d.argmin(axis=1)
-        return pd.DataFrame({"cell": at.astype("int32"), "reach": d[np.arange(len(at)), at]})
-
-    placed = base.withColumn("_n", nearest("vec")).select("g", "pid", "vec", "w", "_n.cell", "_n.reach")
-    sizes = placed.groupBy("g", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile_rows)).alias("_k"))
-    tiled = placed.join(sizes, ["g", "cell"]).withColumn("tile", F.pmod(F.xxhash64("pid"), F.col("_k")).cast("int")).drop("_k")
-    gap = _distances(heads, heads)
-    rows = [(i, j, float(gap[i, j])) for i in range(len(heads)) for j in range(len(heads))]
-    gaps = df.sparkSession.createDataFrame(rows, "cell int, other int, gap double")
-    return Tiles(reliable_checkpoint(tiled), gaps)
-
-
-def _meetings(t: Tiles, reach: Column | None) -> DataFrame:
-    """(g, cell, tile, other, other_tile): tiles that may hold points within ``reach`` of each other.
-
-    Cells of a group are paired first, at most pivots x pivots of them, then their tiles.  ``reach``
-    may use the columns of the left tile; None keeps every tile.
-    """
-    tiles = t.points.groupBy("g", "cell", "tile").agg(F.max("reach").alias("r"), *([F.max("bound").alias("bound")] if "bound" in t.points.columns else []))
-    far = tiles.select("g", F.col("cell").alias("other"), F.col("tile").alias("other_tile"), F.col("r").alias("other_r"))
-    near = tiles.join(F.broadcast(t.gaps), "cell")
-    both = near.join(far, ["g", "other"])
-    same = (F.col("cell") == F.col("other")) & (F.col("tile") == F.col("other_tile"))
-    if reach is not None:
-        # A hair of slack keeps rounding in the distances from ruling out a true neighbour.
-        both = both.where(same | (F.col("gap") - F.col("r") - F.col("other_r") <= reach + 1e-6))
-    return both.select("g", "cell", "tile", "other", "other_tile", (~same).alias("foreign"))
-
-
-def _stream(t: Tiles, meet: DataFrame, carry: Column, schema: str, reducer: Callable[[], object]) -> DataFrame:
-    """Feed each tile its own points and then the points of every tile it meets.
-
-    Rows arrive sorted, so a task keeps one tile and its running result in memory.  ``carry`` is an
-    array of numbers that travels with each point.
-    """
-    points = t.points.select("g", F.col("cell").alias("other"), F.col("tile").alias("other_tile"), "pid", "vec", "w", carry.cast("array<double>").alias("carry"))
-    rows = meet.join(points, ["g", "other", "other_tile"]).select("g", "cell", "tile", "foreign", "pid", "vec", "w", "carry")
-    rows = rows.repartition("g", "cell", "tile").sortWithinPartitions("g", "cell", "tile", "foreign")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held, work = None, [], None
-
-        def unpack(parts: list[pd.DataFrame]):
-            p = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-            return p["pid"].to_numpy(), np.array(p["vec"].tolist(), dtype=float), p["w"].to_numpy(), np.array(p["carry"].tolist(), dtype=float)
-
-        def start():
-            nonlocal work, held
-            work = reducer()
-            own = unpack(held)
-            work.begin(*own)
-            work.meet(*own)
-            held = []
-
-        def close():
-            if current is None:
-                return None
-            if work is None:
-                start()
-            out = work.result()
-            out["g"] = current[0]
-            return out
-
-        for pdf in batches:
-            for tile, part in pdf.groupby(["g", "cell", "tile"], sort=False):
-                if tile != current:
-                    done = close()
-                    if done is not None and len(done):
-                        yield done
-                    current, held, work = tile, [], None
-                own = part[~part["foreign"]]
-                if len(own):
-                    held.append(own)
-                other = part[part["foreign"]]
-                if len(other):
-                    if work is None:
-                        start()
-                    work.meet(*unpack([other]))
-        done = close()
-        if done is not None and len(done):
-            yield done
-
-    return rows.mapInPandas(run, f"g string, pid bigint, {schema}")
-
-
 class _Counts:
     """Weighted neighbours within each radius, the point itself included."""
 
@@ -144,14 +26,15 @@ class _Counts:
         self.eps = eps
 
     def begin(self, pid, vec, w, carry):
-        self.pid, self.vec = pid, vec
-        self.out = np.zeros((len(pid), len(self.eps)))
+        self.pid = pid
+        self.out = np.repeat(w[:, None].astype(float), len(self.eps), axis=1)
 
-    def meet(self, pid, vec, w, carry):
-        d = _distances(self.vec, vec)
-        d[self.pid[:, None] == pid[None, :]] = 0.0
+    def reach(self, rows):
+        return max(self.eps)
+
+    def meet(self, rows, d, pid, w, carry, own):
         for j, e in enumerate(self.eps):
-            self.out[:, j] += (d <= e) @ w
+            self.out[rows, j] += (d <= e) @ w
 
     def result(self):
         return pd.DataFrame({"pid": self.pid, "counts": list(self.out)})
@@ -161,14 +44,12 @@ class _Peaks(_Counts):
     """Largest carried value per radius among the neighbours, the point itself included."""
 
     def begin(self, pid, vec, w, carry):
-        super().begin(pid, vec, w, carry)
-        self.out = np.full((len(pid), len(self.eps)), -np.inf)
+        self.pid, self.out = pid, carry.copy()
 
-    def meet(self, pid, vec, w, carry):
-        d = _distances(self.vec, vec)
-        d[self.pid[:, None] == pid[None, :]] = 0.0
+    def meet(self, rows, d, pid, w, carry, own):
         for j, e in enumerate(self.eps):
-            self.out[:, j] = np.maximum(self.out[:, j], np.where(d <= e, carry[None, :, j], -np.inf).max(axis=1))
+            found = np.where(d <= e, carry[None, :, j], -np.inf).max(axis=1)
+            self.out[rows, j] = np.maximum(self.out[rows, j], found)
 
     def result(self):
         return pd.DataFrame({"pid": self.pid, "peaks": list(self.out)})
@@ -181,31 +62,36 @@ class _Nearest:
         self.k = k
 
     def begin(self, pid, vec, w, carry):
-        self.pid, self.vec = pid, vec
         n = len(pid)
-        self.d = np.full((n, 0), np.inf)
-        self.i = np.zeros((n, 0), dtype=np.int64)
-        self.w = np.zeros((n, 0))
-
-    def meet(self, pid, vec, w, carry):
-        d = _distances(self.vec, vec)
-        same = self.pid[:, None] == pid[None, :]
-        ww = np.where(same, w[None, :] - 1.0, w[None, :] * 1.0)
-        d[same] = 0.0
-        d = np.where(ww > 0, d, np.inf)
-        self.d = np.hstack([self.d, d])
-        self.i = np.hstack([self.i, np.broadcast_to(pid, d.shape)])
-        self.w = np.hstack([self.w, ww])
-        if self.d.shape[1] > self.k:
-            # Rounded distances keep ties together; the id then decides them.
-            order = np.lexsort((self.i, np.round(self.d, 9)), axis=1)[:, : self.k]
-            self.d, self.i, self.w = (np.take_along_axis(x, order, axis=1) for x in (self.d, self.i, self.w))
+        self.pid = pid
+        self.d = np.full((n, self.k), np.inf)
+        self.i = np.full((n, self.k), np.iinfo(np.int64).max)
+        self.w = np.zeros((n, self.k))
+        if (w > 1).any():  # copies of the point itself
+            self.d[w > 1, 0], self.i[w > 1, 0], self.w[w > 1, 0] = 0.0, pid[w > 1], w[w > 1] - 1.0
+
+    def reach(self, rows):
+        return float(self.d[rows, -1].max())
+
+    def meet(self, rows, d, pid, w, carry, own):
+        d = np.where(np.isnan(d), np.inf, d)
+        # Only what is no farther than the k-th distance so far can count; ties are decided by the id.
+        limit = self.d[rows, -1]
+        if d.shape[1] > self.k:
+            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        m = int((d <= limit[:, None] + 2e-9).sum(axis=1).max(initial=0))
+        if not m:
+            return
+        at = np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        d = np.hstack([self.d[rows], np.take_along_axis(d, at, axis=1)])
+        i, ww = np.hstack([self.i[rows], pid[at]]), np.hstack([self.w[rows], w[at].astype(float)])
+        # Rounded distances keep ties together; the id then decides them.
+        order = np.lexsort((i, np.round(d, 9)), axis=1)[:, : self.k]
+        self.d[rows], self.i[rows], self.w[rows] = (np.take_along_axis(x, order, axis=1) for x in (d, i, ww))
 
     def result(self):
-        order = np.lexsort((self.i, np.round(self.d, 9)), axis=1)
-        self.d, self.i, self.w = (np.take_along_axis(x, order, axis=1) for x in (self.d, self.i, self.w))
         dist, ids = [], []
-        for d, i, w in zip(self.d, self.i, self.w):
+        for d, i, w in zip(self.d, self.i, self.w, strict=True):
             ok = np.isfinite(d)
             reps = np.minimum(w[ok], self.k).astype(int)
             dist.append(np.repeat(d[ok], reps)[: self.k])
@@ -217,14 +103,15 @@ class _Ranks:
     """How many others lie strictly nearer than each carried distance."""
 
     def begin(self, pid, vec, w, carry):
-        self.pid, self.vec, self.at = pid, vec, carry
+        self.pid, self.at = pid, carry
         self.out = np.zeros(carry.shape)
 
-    def meet(self, pid, vec, w, carry):
-        d = _distances(self.vec, vec)
-        d[self.pid[:, None] == pid[None, :]] = np.inf
+    def reach(self, rows):
+        return float(self.at[rows].max())
+
+    def meet(self, rows, d, pid, w, carry, own):
         for j in range(self.at.shape[1]):
-            self.out[:, j] += (d < self.at[:, j, None] - 1e-9) @ w
+            self.out[rows, j] += (d < self.at[rows, j, None] - 1e-9) @ w
 
     def result(self):
         return pd.DataFrame({"pid": self.pid, "ranks": list(self.out)})
@@ -234,92 +121,135 @@ class _Moments:
     """Sum, square sum and number of the distances to all others."""
 
     def begin(self, pid, vec, w, carry):
-        self.pid, self.vec, self.w = pid, vec, w
+        self.pid, self.w = pid, w
         self.out = np.zeros((len(pid), 3))
+        self.out[:, 2] = w - 1.0
+
+    def reach(self, rows):
+        return np.inf
 
-    def meet(self, pid, vec, w, carry):
-        d = _distances(self.vec, vec)
-        same = self.pid[:, None] == pid[None, :]
-        d[same] = 0.0
-        ww = np.where(same, w[None, :] - 1.0, w[None, :] * 1.0)
-        self.out += np.stack([(d * ww).sum(1), (d * d * ww).sum(1), ww.sum(1)], axis=1)
+    def meet(self, rows, d, pid, w, carry, own):
+        there = ~np.isnan(d)
+        d = np.where(there, d, 0.0)
+        self.out[rows] += np.stack([d @ w, (d * d) @ w, there @ w], axis=1)
 
     def result(self):
         s = self.out * self.w[:, None]
         return pd.DataFrame({"pid": self.pid, "d1": s[:, 0], "d2": s[:, 1], "n": s[:, 2]})
 
 
-class _Links:
-    """A forest of edges between core points within the radius: enough for components, never all edges."""
+def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give linked places the smallest label among them, in place; ``label`` points at places and is compressed."""
+    while True:
+        a, b = label[a], label[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (jumped := label[label]).tobytes() != label.tobytes():
+            label[:] = jumped
+
+
+#: What a row of _Clusters says: a core point and the least id it reaches inside its block; a point that is no core
+#: and such an id of a core neighbour; such an id and a linked core point of another block; a point that is no core and
+#: a core neighbour of another block.
+CORE, BORDER, LINK, FAR_BORDER = range(4)
+
+
+class _Clusters:
+    """Components of core points inside the block, by labels that numpy spreads, and what ties them to other blocks.
+
+    A point that is no core has fewer neighbours than ``min_samples``, so its rows are few; links to other
+    blocks are one a pair of component and point, never one an edge.
+    """
 
     def __init__(self, eps: float):
         self.eps = eps
 
     def begin(self, pid, vec, w, carry):
-        self.core = carry[:, 0] > 0
-        self.pid, self.vec = pid[self.core], vec[self.core]
-        self.edges: list[tuple[int, int]] = []
-        self.parent: dict[int, int] = {}
-
-    def _root(self, x: int) -> int:
-        while self.parent.setdefault(x, x) != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def meet(self, pid, vec, w, carry):
-        keep = carry[:, 0] > 0
-        if not len(self.pid) or not keep.any():
+        self.pid, self.core = pid, carry[:, 0] > 0
+        # Places in order of their ids, so that the smallest label is the smallest id.
+        self.order = np.argsort(pid, kind="stable")
+        self.place = np.empty(len(pid), np.int64)
+        self.place[self.order] = np.arange(len(pid))
+        self.label = np.arange(len(pid))
+        self.own_border, self.rows = [], []
+
+    def reach(self, rows):
+        return self.eps
+
+    def _least(self, places: np.ndarray) -> np.ndarray:
+        return self.pid[self.order[self.label[self.place[places]]]]
+
+    def meet(self, rows, d, pid, w, carry, own):
+        near = (d <= self.eps) & (carry[:, 0] > 0)[None, :]
+        if not near.any():
             return
-        pid, vec = pid[keep], vec[keep]
-        for a, b in zip(*np.nonzero(_distances(self.vec, vec) <= self.eps)):
-            x, y = int(self.pid[a]), int(pid[b])
-            rx, ry = self._root(x), self._root(y)
-            if rx != ry:
-                self.parent[max(rx, ry)] = min(rx, ry)
-                self.edges.append((x, y))
+        a, b = np.nonzero(near)
+        a = rows[a]
+        core = self.core[a]
+        if own is not None:
+            merge_labels(self.label, self.place[a[core]], self.place[own[b[core]]])
+            self.own_border.append((a[~core], own[b[~core]]))
+        else:
+            links = np.unique(np.stack([self._least(a[core]), pid[b[core]]], axis=1), axis=0)
+            self.rows += [(LINK, links[:, 0], links[:, 1]), (FAR_BORDER, self.pid[a[~core]], pid[b[~core]])]
+
+    def settle(self):
+        """After the block's own points: labels inside it are final."""
+        at = np.flatnonzero(self.core)
+        self.rows.append((CORE, self.pid[at], self._least(at)))
+        for a, b in self.own_border:
+            pairs = np.unique(np.stack([self.pid[a], self._least(b)], axis=1), axis=0)
+            self.rows.append((BORDER, pairs[:, 0], pairs[:, 1]))
+        self.own_border = []
 
     def result(self):
-        return pd.DataFrame(self.edges, columns=["pid", "other"])
+        parts = [pd.DataFrame({"pid": a, "other": b, "kind": kind}) for kind, a, b in self.rows if len(a)]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"pid": [], "other": [], "kind": []})
 
 
 def _none() -> Column:
     return F.array(F.lit(0.0))
 
 
-def neighbor_counts(t: Tiles, eps: Sequence[float]) -> DataFrame:
+def neighbor_counts(t: Blocks, eps: Sequence[float]) -> DataFrame:
     """(g, pid, counts): points within each radius of the vector, itself included."""
     eps = list(eps)
-    return _stream(t, _meetings(t, F.lit(max(eps))), _none(), "counts array<double>", lambda: _Counts(eps))
+    return stream(t, F.lit(max(eps)), _none(), "counts array<double>", lambda: _Counts(eps))
 
 
-def nearest_neighbors(t: Tiles, k: int) -> DataFrame:
+def nearest_neighbors(t: Blocks, k: int) -> DataFrame:
     """(g, pid, distances, neighbors) of the k nearest others.
 
-    The k-th distance inside a tile bounds the true one from above, which rules out far tiles before
-    the full pass.
+    The k-th distance inside a block bounds the true one from above, which rules out far blocks before
+    the full pass; inside a task the distances found so far rule out far tiles.
     """
-    own = t.points.groupBy("g", "cell", "tile")
+    fields = "distances array<double>, neighbors array<bigint>"
+    if t.gaps is None:
+        return stream(t, None, _none(), fields, lambda: _Nearest(k))
+    tile_rows = t.tile_rows
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
         near = _Nearest(k)
-        pid, vec, w = pdf["pid"].to_numpy(), np.array(pdf["vec"].tolist(), dtype=float), pdf["w"].to_numpy()
-        near.begin(pid, vec, w, None)
-        near.meet(pid, vec, w, None)
-        d = near.result()["distances"]
-        worst = max((x[-1] if len(x) == k else np.inf) for x in d)
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "cell": [pdf["cell"].iloc[0]], "tile": [pdf["tile"].iloc[0]], "bound": [worst]})
+        Work(near, (pdf["pid"].to_numpy(), as_matrix(pdf["vec"]), pdf["w"].to_numpy(), np.zeros((len(pdf), 1))), tile_rows)
+        worst = max((x[-1] if len(x) == k else np.inf) for x in near.result()["distances"])
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "cell": [pdf["cell"].iloc[0]], "block": [pdf["block"].iloc[0]], "bound": [worst]})
 
-    bounds = reliable_checkpoint(own.applyInPandas(bound, "g string, cell int, tile int, bound double"))
-    bounded = Tiles(t.points.join(bounds, ["g", "cell", "tile"]), t.gaps)
-    return _stream(bounded, _meetings(bounded, F.col("bound")), _none(), "distances array<double>, neighbors array<bigint>", lambda: _Nearest(k))
+    bounds = reliable_checkpoint(t.points.groupBy("g", "cell", "block").applyInPandas(bound, "g string, cell int, block int, bound double"))
+    bounds = bounds.withColumnsRenamed({"g": "_g", "cell": "_c", "block": "_b"})
+    same = F.col("g").eqNullSafe(F.col("_g")) & (F.col("cell") == F.col("_c")) & (F.col("block") == F.col("_b"))
+    bounded = t.with_columns(t.points.join(bounds, same).drop("_g", "_c", "_b"))
+    return stream(bounded, F.col("bound"), _none(), fields, lambda: _Nearest(k))
 
 
-def _back_to_rows(df: DataFrame, t: Tiles, found: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+def _back_to_rows(df: DataFrame, t: Blocks, found: DataFrame, group: str, key: str, vector: str) -> DataFrame:
     """Results of merged vectors joined back to every row that has the vector."""
     vec = F.transform(vector, lambda x: x.cast("double"))
-    rows = df.select(F.col(key), F.col(group), F.col(group).cast("string").alias("g"), vec.alias("vec"))
-    return rows.join(t.points.select("g", "vec", "pid"), ["g", "vec"]).join(found, ["g", "pid"]).drop("vec", "pid", "g")
+    rows = df.select(F.col(key), F.col(group), F.col(group).cast("string").alias("_g"), vec.alias("_vec"))
+    kept = t.points.select("g", "vec", "pid").join(found.drop("g"), "pid").drop("pid").withColumnsRenamed({"g": "_of", "vec": "_same"})
+    return rows.join(kept, (F.col("_vec") == F.col("_same")) & F.col("_g").eqNullSafe(F.col("_of"))).drop("_vec", "_same", "_g", "_of")
 
 
 def knn_profile(df: DataFrame, group: str, key: str, vector: str, ks: Sequence[int], **layout) -> DataFrame:
@@ -341,7 +271,7 @@ def knn_profile(df: DataFrame, group: str, key: str, vector: str, ks: Sequence[i
     return stats.join(q.drop("n_values"), ["g", "neighbor_k"]).withColumnRenamed("g", "group_key")
 
 
-def dbscan_grid(df: DataFrame, group: str, key: str, vector: str, eps: Sequence[float], **layout) -> tuple[Tiles, DataFrame]:
+def dbscan_grid(df: DataFrame, group: str, key: str, vector: str, eps: Sequence[float], **layout) -> tuple[Blocks, DataFrame]:
     """(g, pid, w, counts, peaks) for every radius at once.
 
     ``counts`` are neighbours within a radius, ``peaks`` the largest such count among the neighbours.
@@ -351,9 +281,9 @@ def dbscan_grid(df: DataFrame, group: str, key: str, vector: str, eps: Sequence[
     eps = list(eps)
     t = lay_out(df, group, key, vector, **layout)
     counts = reliable_checkpoint(neighbor_counts(t, eps))
-    carried = Tiles(t.points.join(counts, ["g", "pid"]), t.gaps)
-    peaks = _stream(carried, _meetings(t, F.lit(max(eps))), F.col("counts"), "peaks array<double>", lambda: _Peaks(eps))
-    return t, carried.points.select("g", "pid", "w", "counts").join(peaks, ["g", "pid"])
+    carried = t.with_columns(t.points.join(counts.drop("g"), "pid"))
+    peaks = stream(carried, F.lit(max(eps)), F.col("counts"), "peaks array<double>", lambda: _Peaks(eps))
+    return t, carried.points.select("g", "pid", "w", "counts").join(peaks.drop("g"), "pid")
 
 
 def dbscan_noise(df: DataFrame, group: str, key: str, vector: str, eps: float, min_samples: int, **layout) -> DataFrame:
@@ -417,28 +347,29 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dbscan_clusters(df: DataFrame, group: str, key: str, vector: str, eps: float, min_samples: int, **layout) -> DataFrame:
     """(key, group, cluster) per row; the cluster is the smallest core id in it, NULL for noise.
 
-    A border point joins the neighbouring cluster with the smallest id.
+    A border point joins the neighbouring cluster with the smallest id.  Blocks find their own components;
+    only the graph of those components goes through rounds of joins, and only if links cross blocks.
     """
-    t, grid = dbscan_grid(df, group, key, vector, [eps], **layout)
-    grid = reliable_checkpoint(grid)
+    t = lay_out(df, group, key, vector, **layout)
+    counts = reliable_checkpoint(neighbor_counts(t, [eps]))
     core = F.when(F.col("counts")[0] >= min_samples, 1.0).otherwise(0.0)
-    carried = Tiles(t.points.join(grid.drop("w", "peaks"), ["g", "pid"]), t.gaps)
-    links = _stream(carried, _meetings(t, F.lit(float(eps))), F.array(core), "other bigint", lambda: _Links(eps))
-    nodes = grid.where(core > 0).select(F.col("pid").alias("id"))
-    comp = components(nodes, links.select(F.col("pid").alias("a"), F.col("other").alias("b")))
-    # The smallest label among core neighbours, found as the peak of negated labels.  Ids may exceed what a
-    # double holds exactly, so labels travel as dense ranks in id order.
-    ranks = reliable_checkpoint(assign_row_id(comp.select("component").distinct(), ["component"], "_rank"))
-    tagged = t.points.join(comp.join(ranks, "component").select(F.col("id").alias("pid"), F.col("_rank").cast("double").alias("_c")), "pid", "left")
-    low = F.coalesce(-F.col("_c"), F.lit(float("-inf")))
-    peaks = _stream(Tiles(tagged, t.gaps), _meetings(t, F.lit(float(eps))), F.array(low), "peaks array<double>", lambda: _Peaks([eps]))
-    found = peaks.join(comp.select(F.col("id").alias("pid"), "component"), "pid", "left")
-    rank = F.when(F.col("peaks")[0] > float("-inf"), (-F.col("peaks")[0]).cast("bigint"))
-    found = found.withColumn("_rank", rank).join(ranks.withColumnRenamed("component", "_border"), "_rank", "left")
-    found = found.select("g", "pid", F.coalesce("component", "_border").alias("cluster"))
+    carried = t.with_columns(t.points.join(counts.drop("g"), "pid"))
+    found = reliable_checkpoint(stream(carried, F.lit(float(eps)), F.array(core), "other bigint, kind int", lambda: _Clusters(eps)))
+    kind = lambda k, a, b: found.where(F.col("kind") == k).select(F.col("pid").alias(a), F.col("other").alias(b))
+    own, border = kind(CORE, "pid", "part"), kind(BORDER, "pid", "part")
+    links = kind(LINK, "part", "to")
+    if t.gaps is not None and not links.isEmpty():
+        of = own.select(F.col("pid").alias("to"), F.col("part").alias("other"))
+        comp = components(own.select(F.col("part").alias("id")).distinct(), links.join(of, "to").select(F.col("part").alias("a"), F.col("other").alias("b")).distinct())
+        border = border.unionByName(kind(FAR_BORDER, "pid", "to").join(of, "to").select("pid", F.col("other").alias("part")))
+        named = lambda d: d.join(comp.select(F.col("id").alias("part"), F.col("component").alias("cluster")), "part").drop("part")
+        own, border = named(own), named(border)
+    else:
+        own, border = own.withColumnRenamed("part", "cluster"), border.withColumnRenamed("part", "cluster")
+    found = own.unionByName(border.groupBy("pid").agg(F.min("cluster").alias("cluster")))
     if not layout.get("merge_equal", True):
-        return df.select(key, group).join(found.withColumnRenamed("pid", key).drop("g"), key)
-    return _back_to_rows(df, t, found, group, key, vector)
+        return df.select(key, group).join(found.withColumnRenamed("pid", key), key, "left")
+    return _back_to_rows(df, t, t.points.select("g", "pid").join(found, "pid", "left"), group, key, vector)
 
 
 def cluster_summary(clusters: DataFrame, group: str) -> DataFrame:
@@ -473,8 +404,7 @@ def trustworthiness(df: DataFrame, key: str, high: str, low: str, k: int, **layo
     gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     pairs = near.join(vec("pid", "_u"), "pid").join(vec("j", "_v"), "j").groupBy("pid").agg(F.sort_array(F.collect_list(gap(F.col("_u"), F.col("_v")))).alias("at"))
     t = lay_out(one, "_all", key, high, merge_equal=False, **layout)
-    carried = Tiles(t.points.join(pairs, "pid"), t.gaps)
-    ranks = _stream(carried, _meetings(t, None), F.col("at"), "ranks array<double>", _Ranks)
+    ranks = stream(t.with_columns(t.points.join(pairs, "pid")), None, F.col("at"), "ranks array<double>", _Ranks)
     penalty = F.aggregate("ranks", F.lit(0.0), lambda s, r: s + F.greatest(r + 1 - k, F.lit(0.0)))
     out = ranks.agg(F.sum(penalty).alias("p"), F.count(F.lit(1)).alias("n"))
     n = F.col("n").cast("double")
@@ -492,7 +422,7 @@ def distance_profile(df: DataFrame, group: str, key: str, vector: str, k: int, p
     q = exact_quantiles(each, ["g"], "d", {"median_knn_distance": 0.5, "p95_knn_distance": 0.95}).drop("n_values")
     chosen = df if pair_sample is None else hash_sample(df, pair_sample, key, "pairs")
     pt = t if pair_sample is None else lay_out(chosen, group, key, vector, **{"merge_equal": False, **layout})
-    m = _stream(pt, _meetings(pt, None), _none(), "d1 double, d2 double, n double", _Moments)
+    m = stream(pt, None, _none(), "d1 double, d2 double, n double", _Moments)
     s = m.groupBy("g").agg((F.sum("d1") / F.sum("n")).alias("pair_distance_mean"), (F.sum("d2") / F.sum("n")).alias("_m2"))
     std = F.sqrt(F.greatest(F.col("_m2") - F.col("pair_distance_mean") ** 2, F.lit(0.0)))
     s = s.withColumn("pair_distance_std", std).withColumn("concentration_ratio", F.try_divide("pair_distance_std", "pair_distance_mean")).drop("_m2")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,6 @@ from ..functions.calendar import bucket_daypart, bucket_day_kind
 from ..functions.labels import first_match
 from ..session import reliable_checkpoint
 from .ordered import assign_row_id, exact_quantiles
-from .panel import checked_broadcast
 from .sampling import hash_sample, sample_key
 
 # ---- isolation forest ---------------------------------------------------------------------------
@@ -361,12 +361,17 @@ def explain_group_z(df: DataFrame, group: str, key: str, features: Sequence[str]
     return out.withColumn("z", z).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+#: Centroids up to this size, in bytes, are sent to every task as one array; beyond it rows meet them by a join.
+SPOT_BYTES = 64 << 20
+
+
 def centroid_distance(df: DataFrame, group: str, key: str, vector: str, cluster: str) -> DataFrame:
-    """Distance of every row to the nearest cluster centroid of its group, and its ratio to that
-    cluster's farthest member.
+    """Distance of every row to the nearest cluster centroid of its group (ties: the smallest cluster), and
+    its ratio to that cluster's farthest member.
 
-    Centroids are broadcast if there are few.  A row meets the centroids of its group one by one and
-    keeps the nearest in a partial aggregate, so neither lists nor row-centroid pairs are kept.
+    Centroids whose counted size stays under SPOT_BYTES go to the tasks as one array a group, and rows stay where
+    they are.  Larger sets are joined: a row meets the centroids of its group one by one and keeps the
+    nearest in a partial aggregate.
     """
     vec = F.transform(vector, lambda x: x.cast("double"))
     gap = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
@@ -377,9 +382,11 @@ def centroid_distance(df: DataFrame, group: str, key: str, vector: str, cluster:
     )
     rim = members.join(mid, [group, cluster]).groupBy(group, cluster).agg(F.max(gap(F.col("_v"), F.col("_c"))).alias("_edge"))
     spots = reliable_checkpoint(mid.join(rim, [group, cluster]).withColumnRenamed(cluster, "_k"))
+    size = spots.agg(F.sum(F.size("_c") * 8 + 64)).first()[0] or 0
+    if size <= SPOT_BYTES:
+        return _nearest_spots(df, spots, group, vector, cluster)
     d = gap(F.col("_v"), F.col("_c"))
-    near = base.select(key, group, "_v").join(checked_broadcast(spots, 20_000), group)
-    best = near.groupBy(key).agg(F.min(F.struct(d.alias("d"), "_k", "_n", "_edge")).alias("_near"))
+    best = base.select(key, group, "_v").join(spots, group).groupBy(key).agg(F.min(F.struct(d.alias("d"), "_k", "_n", "_edge")).alias("_near"))
     return df.join(best, key, "left").select(
         *df.columns,
         F.col("_near._k").alias("nearest_cluster"),
@@ -389,6 +396,47 @@ def centroid_distance(df: DataFrame, group: str, key: str, vector: str, cluster:
     )
 
 
+def _nearest_spots(df: DataFrame, spots: DataFrame, group: str, vector: str, cluster: str) -> DataFrame:
+    """Each row's nearest centroid out of one array a group, a batch of rows at a time."""
+    known: dict[object, list] = {}
+    for r in spots.collect():  # at most SPOT_BYTES
+        known.setdefault(r[group], []).append((r["_k"], r["_n"], r["_edge"], r["_c"]))
+    arrays = {g: (rows, np.array([c for *_, c in rows], float)) for g, rows in ((g, sorted(rows, key=lambda r: r[0])) for g, rows in known.items())}
+    kind, names = dict(df.dtypes), df.columns
+    fields = f"nearest_cluster {kind[cluster]}, nearest_cluster_size bigint, centroid_distance double, edge_ratio double"
+
+    def place(batches):
+        for b in batches:
+            groups = b.column(0).to_pylist()
+            out: list = [(None, None, None, None)] * b.num_rows
+            by: dict[object, list[int]] = {}
+            valid = b.column(1).is_valid().to_pylist()
+            for i, g in enumerate(groups):
+                if valid[i] and g in arrays:
+                    by.setdefault(g, []).append(i)
+            for g, at in by.items():
+                rows, centres = arrays[g]
+                x = np.array(b.column(1).take(pa.array(at)).to_pylist(), float)
+                shift = centres.mean(axis=0)
+                near = ((centres - shift) ** 2).sum(axis=1)[None, :] - 2.0 * (x - shift) @ (centres - shift).T
+                nearest = near.argmin(axis=1)
+                d = np.sqrt(((x - centres[nearest]) ** 2).sum(axis=1))
+                for i, k, dist in zip(at, nearest.tolist(), d.tolist(), strict=True):
+                    name, n, edge, _ = rows[k]
+                    out[i] = (name, n, dist, dist / edge if edge else None)
+            made = pa.RecordBatch.from_pylist([dict(zip(("nearest_cluster", "nearest_cluster_size", "centroid_distance", "edge_ratio"), r, strict=True)) for r in out], schema=schema)
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], *made.columns], names=[*names, *made.schema.names])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    extra = StructType.fromDDL(fields)
+    schema = to_arrow_schema(extra)
+    numbers = F.transform(vector, lambda c: c.cast("double"))
+    source = df.select(F.col(group).alias("_group"), numbers.alias("_numbers"), *df.columns)
+    return source.mapInArrow(place, StructType([*df.schema.fields, *extra.fields]))
+
+
 def representative_rows(df: DataFrame, strata: Sequence[str], key: str, n: int, seed: str = "review") -> DataFrame:
     """A small varied panel: first rows of all strata in turn, then second rows, and so on."""
     w = W.partitionBy(*strata).orderBy(sample_key(F.col(key), seed))

@@ -13,8 +13,6 @@ from .registry import Family
 FAMILY = Family()
 query = FAMILY.query
 
-LAYOUT = {"pivots": 8, "tile_rows": 256}
-
 
 def vectors(spark, d):
     return table(spark, d, "embeddings").withColumn("half", F.col("label") % 2)
@@ -28,13 +26,13 @@ KNN_SQL = f"{VEC_SQL}, knn AS (SELECT half, a, b, d, row_number() OVER (PARTITIO
 @query("O-109", sql=f"""WITH {KNN_SQL} SELECT half::VARCHAR AS group_key, r AS neighbor_k, count(*) AS group_rows, {q6('avg(d)', 'mean_distance')}, {q6('stddev_pop(d)', 'std_distance')}, {q6('stddev_pop(d) / avg(d)', 'variation')},
   {q6('median(d)', 'median_distance')}, {q6('quantile_cont(d, 0.9)', 'p90_distance')}, {q6('quantile_cont(d, 0.95)', 'p95_distance')}, {q6('quantile_cont(d, 0.99)', 'p99_distance')} FROM knn WHERE r IN (5, 10, 20) GROUP BY ALL""")
 def neighbor_distances(spark, d):
-    return rounded(N.knn_profile(vectors(spark, d), "half", "vec_id", "embedding", [5, 10, 20], **LAYOUT))
+    return rounded(N.knn_profile(vectors(spark, d), "half", "vec_id", "embedding", [5, 10, 20]))
 
 
 @query("O-113", sql=f"""WITH {KNN_SQL}, p AS (SELECT half, r, count(*) AS n, quantile_cont(d, 0.9) AS p90, quantile_cont(d, 0.95) AS p95, quantile_cont(d, 0.99) AS p99, stddev_pop(d) / avg(d) AS cv FROM knn WHERE r IN (5, 10) GROUP BY ALL)
   SELECT r AS neighbor_k, count(*) AS groups_profiled, {q6('avg(n)', 'mean_group_rows')}, {q6('median(p90)', 'p90_anchor')}, {q6('median(p95)', 'p95_anchor')}, {q6('median(p99)', 'p99_anchor')}, {q6('avg(cv)', 'mean_variation')} FROM p GROUP BY 1""")
 def radius_anchors(spark, d):
-    return rounded(N.eps_anchors(N.knn_profile(vectors(spark, d), "half", "vec_id", "embedding", [5, 10], **LAYOUT)))
+    return rounded(N.eps_anchors(N.knn_profile(vectors(spark, d), "half", "vec_id", "embedding", [5, 10])))
 
 
 EPS, MIN_SAMPLES = 1.28, 10
@@ -47,7 +45,7 @@ def _dbscan_sql(eps: float, m: int) -> str:
 
 @query("O-111", sql=f"""WITH {VEC_SQL}, {_dbscan_sql(EPS, MIN_SAMPLES)} SELECT a AS vec_id, half::BIGINT AS half, n AS neighbor_count, n >= {MIN_SAMPLES} AS is_core, peak < {MIN_SAMPLES} AS is_noise FROM deg JOIN nz USING (a)""")
 def density_noise(spark, d):
-    return rounded(N.dbscan_noise(vectors(spark, d), "half", "vec_id", "embedding", EPS, MIN_SAMPLES, **LAYOUT))
+    return rounded(N.dbscan_noise(vectors(spark, d), "half", "vec_id", "embedding", EPS, MIN_SAMPLES))
 
 
 GRID_EPS, GRID_M = [1.2, 1.25, 1.3], [5, 10, 20]
@@ -58,56 +56,62 @@ GRID_EPS, GRID_M = [1.2, 1.25, 1.3], [5, 10, 20]
       {q6(f'count(*) FILTER (WHERE peak < {m}) / count(*)', 'weighted_noise_share')} FROM (WITH {_dbscan_sql(e, m)} SELECT * FROM deg JOIN nz USING (a))"""
     for e in GRID_EPS for m in GRID_M))
 def density_sweep(spark, d):
-    return rounded(N.dbscan_sweep(vectors(spark, d), "half", "vec_id", "embedding", GRID_EPS, GRID_M, **LAYOUT))
+    return rounded(N.dbscan_sweep(vectors(spark, d), "half", "vec_id", "embedding", GRID_EPS, GRID_M))
 
 
-CLUSTER_EPS, CLUSTER_M = 0.05, 6
-CLUSTER_SQL = f"""v AS (SELECT vec_id, label % 2 AS half, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS e FROM embeddings),
-  dist AS (SELECT a.vec_id AS a, b.vec_id AS b, a.half, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.half = b.half), near AS (SELECT a, b FROM dist WHERE d <= {CLUSTER_EPS} OR a = b),
-  core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {CLUSTER_M}), edge AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+def _cluster_sql(eps: float, m: int) -> str:
+    return f"""{VEC_SQL}, near AS (SELECT a, b FROM dist WHERE d <= {eps} OR a = b),
+  core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {m}), edge AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
   reach AS (SELECT id, id AS r FROM core UNION SELECT reach.id, edge.b FROM reach JOIN edge ON edge.a = reach.r), comp AS (SELECT id, min(r) AS c FROM reach GROUP BY 1),
   lab AS (SELECT v.vec_id, v.half, v.e, coalesce(comp.c, (SELECT min(x.c) FROM near JOIN comp x ON x.id = near.b WHERE near.a = v.vec_id)) AS cluster FROM v LEFT JOIN comp ON comp.id = v.vec_id)"""
 
 
-def short3(spark, d):
-    return vectors(spark, d).select("vec_id", "half", F.slice("embedding", 1, 3).alias("point"))
-
-
-def clusters(spark, d):
-    return N.dbscan_clusters(short3(spark, d), "half", "vec_id", "point", CLUSTER_EPS, CLUSTER_M, **LAYOUT)
-
-
-@query("O-112", sql=f"""WITH RECURSIVE {CLUSTER_SQL}, n AS (SELECT half, cluster, count(*) AS n FROM lab GROUP BY ALL)
+def _cluster_summary_sql(eps: float, m: int) -> str:
+    return f"""WITH RECURSIVE {_cluster_sql(eps, m)}, n AS (SELECT half, cluster, count(*) AS n FROM lab GROUP BY ALL)
   SELECT half::BIGINT AS half, count(cluster) AS cluster_count, {q6('max(n) FILTER (WHERE cluster IS NOT NULL) / sum(n) FILTER (WHERE cluster IS NOT NULL)', 'largest_cluster_share')},
-  {q6('coalesce(sum(n) FILTER (WHERE cluster IS NULL), 0) / sum(n)', 'noise_share')} FROM n GROUP BY half""")
-def density_clusters(spark, d):
-    return rounded(N.cluster_summary(clusters(spark, d), "half"))
+  {q6('coalesce(sum(n) FILTER (WHERE cluster IS NULL), 0) / sum(n)', 'noise_share')} FROM n GROUP BY half"""
 
 
-@query("O-120", sql=f"""WITH RECURSIVE {CLUSTER_SQL}, mid AS (SELECT half, cluster, [avg(e[1]), avg(e[2]), avg(e[3])] AS c, count(*) AS n FROM lab WHERE cluster IS NOT NULL GROUP BY ALL),
+def _centroid_sql(eps: float, m: int) -> str:
+    return f"""WITH RECURSIVE {_cluster_sql(eps, m)}, parts AS (SELECT half, cluster, unnest(e) AS x, unnest(range(len(e))) AS i FROM lab WHERE cluster IS NOT NULL),
+  mean AS (SELECT half, cluster, i, avg(x) AS x, count(*) AS n FROM parts GROUP BY ALL), mid AS (SELECT half, cluster, list(x ORDER BY i) AS c, any_value(n) AS n FROM mean GROUP BY ALL),
   rim AS (SELECT half, cluster, max(list_distance(e, c)) AS edge FROM lab JOIN mid USING (half, cluster) GROUP BY ALL),
   g AS (SELECT lab.vec_id, lab.half, lab.cluster, mid.cluster AS k, mid.n, rim.edge, list_distance(lab.e, mid.c) AS d FROM lab JOIN mid USING (half) JOIN rim ON rim.half = mid.half AND rim.cluster = mid.cluster),
   r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, k) AS r FROM g)
-  SELECT vec_id, half::BIGINT AS half, cluster::DOUBLE AS cluster, k::DOUBLE AS nearest_cluster, n::DOUBLE AS nearest_cluster_size, {q6('d', 'centroid_distance')}, {q6('d / nullif(edge, 0)', 'edge_ratio')} FROM r WHERE r = 1""")
-def centroid_distances(spark, d):
-    v = short3(spark, d).join(clusters(spark, d).select("vec_id", "cluster"), "vec_id")
-    return rounded(Ou.centroid_distance(v, "half", "vec_id", "point", "cluster").drop("point"), ["cluster", "nearest_cluster", "nearest_cluster_size"])
+  SELECT vec_id, half::BIGINT AS half, cluster::DOUBLE AS cluster, k::DOUBLE AS nearest_cluster, n::DOUBLE AS nearest_cluster_size, {q6('d', 'centroid_distance')}, {q6('d / nullif(edge, 0)', 'edge_ratio')} FROM r WHERE r = 1"""
+
 
+#: A radius with many small clusters, and the one of density_noise, under which most vectors hang together.
+TIGHT, TIGHT_M = 1.15, 3
 
-def vector_cluster_ids(spark, d):
-    return N.dbscan_clusters(vectors(spark, d), "half", "vec_id", "embedding", EPS, MIN_SAMPLES, **LAYOUT)
 
+def cluster_ids(spark, d, eps, m):
+    return N.dbscan_clusters(vectors(spark, d), "half", "vec_id", "embedding", eps, m)
 
-@query("O-112")
+
+def centroid_rows(spark, d, eps, m):
+    v = vectors(spark, d).select("vec_id", "half", "embedding").join(cluster_ids(spark, d, eps, m).select("vec_id", "cluster"), "vec_id")
+    return rounded(Ou.centroid_distance(v, "half", "vec_id", "embedding", "cluster").drop("embedding"), ["cluster", "nearest_cluster", "nearest_cluster_size"])
+
+
+@query("O-112", sql=_cluster_summary_sql(TIGHT, TIGHT_M))
+def density_clusters(spark, d):
+    return rounded(N.cluster_summary(cluster_ids(spark, d, TIGHT, TIGHT_M), "half"))
+
+
+@query("O-120", sql=_centroid_sql(TIGHT, TIGHT_M))
+def centroid_distances(spark, d):
+    return centroid_rows(spark, d, TIGHT, TIGHT_M)
+
+
+@query("O-112", sql=_cluster_summary_sql(EPS, MIN_SAMPLES))
 def vector_clusters(spark, d):
-    # density_clusters on whole vectors, with the radius and the count of density_noise.
-    return rounded(N.cluster_summary(vector_cluster_ids(spark, d), "half"))
+    return rounded(N.cluster_summary(cluster_ids(spark, d, EPS, MIN_SAMPLES), "half"))
 
 
-@query("O-120")
+@query("O-120", sql=_centroid_sql(EPS, MIN_SAMPLES))
 def vector_centroid_distances(spark, d):
-    v = vectors(spark, d).select("vec_id", "half", "embedding").join(vector_cluster_ids(spark, d).select("vec_id", "cluster"), "vec_id")
-    return rounded(Ou.centroid_distance(v, "half", "vec_id", "embedding", "cluster").drop("embedding"), ["cluster", "nearest_cluster", "nearest_cluster_size"])
+    return centroid_rows(spark, d, EPS, MIN_SAMPLES)
 
 
 LOW_SQL = """v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS s FROM embeddings),
@@ -121,19 +125,19 @@ def two_spaces(spark, d):
 
 @query("O-110", sql=f"WITH {LOW_SQL} SELECT a AS vec_id, {q6('count(*) FILTER (WHERE rh <= 15 AND rl <= 15) / 15.0', 'overlap')} FROM r GROUP BY a")
 def neighbor_overlap(spark, d):
-    return rounded(N.neighbor_overlap(two_spaces(spark, d), "vec_id", "embedding", "low", 15, **LAYOUT))
+    return rounded(N.neighbor_overlap(two_spaces(spark, d), "vec_id", "embedding", "low", 15))
 
 
 @query("O-110", sql=f"""WITH {LOW_SQL}, n AS (SELECT count(*)::DOUBLE AS n FROM v) SELECT any_value(n)::BIGINT AS row_count,
   {q6('1 - 2.0 / (any_value(n) * 15 * (2 * any_value(n) - 46)) * sum(greatest(rh - 15, 0))', 'trustworthiness')} FROM r, n WHERE rl <= 15""")
 def space_trustworthiness(spark, d):
-    return rounded(N.trustworthiness(two_spaces(spark, d), "vec_id", "embedding", "low", 15, **LAYOUT))
+    return rounded(N.trustworthiness(two_spaces(spark, d), "vec_id", "embedding", "low", 15))
 
 
 @query("O-162", sql=f"""WITH {KNN_SQL}, k AS (SELECT half, avg(d) AS m, median(d) AS md, quantile_cont(d, 0.95) AS p FROM knn WHERE r <= 15 GROUP BY 1), a AS (SELECT half, avg(d) AS m2, stddev_pop(d) AS s2 FROM dist WHERE a <> b GROUP BY 1)
   SELECT half::VARCHAR AS group_key, {q6('m', 'mean_knn_distance')}, {q6('md', 'median_knn_distance')}, {q6('p', 'p95_knn_distance')}, {q6('m2', 'pair_distance_mean')}, {q6('s2', 'pair_distance_std')}, {q6('s2 / m2', 'concentration_ratio')} FROM k JOIN a USING (half)""")
 def distance_profile(spark, d):
-    return rounded(N.distance_profile(vectors(spark, d), "half", "vec_id", "embedding", 15, **LAYOUT))
+    return rounded(N.distance_profile(vectors(spark, d), "half", "vec_id", "embedding", 15))
 
 
 # ---- model-based frameworks ---------------------------------------------------------------------
