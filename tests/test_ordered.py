@@ -52,3 +52,24 @@ def test_row_ids_are_dense_and_ordered(spark):
     df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("k"), F.lit("x").alias("p")).repartition(7)
     got = O.assign_row_id(df, ["k"], "row_id").orderBy("k").collect()
     assert [r.row_id for r in got] == list(range(5000))
+
+
+@pytest.mark.parametrize("in_one_task", [O.IN_ONE_TASK, 3])
+def test_column_quantiles_against_numpy(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(O, "IN_ONE_TASK", in_one_task)
+    monkeypatch.setattr(O, "ACCURACY", 40)  # wide brackets that still hold only a part of the values
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({
+        "a": rng.normal(0, 1, 3000), "b": np.where(rng.random(3000) < 0.4, 5.0, rng.integers(0, 1000, 3000) / 7),
+        "c": np.where(rng.random(3000) < 0.3, np.nan, rng.exponential(1, 3000)), "d": np.full(3000, np.nan), "e": np.full(3000, 2.0)})
+    df = spark.createDataFrame(pdf).withColumn("b", F.when(F.col("b") != 5.0, F.col("b")).otherwise(F.when(F.rand(1) < 0.9, 5.0))).repartition(5)
+    pdf = df.toPandas()
+    probs = {"lowest": 0.0, "p01": 0.01, "q1": 0.25, "m": 0.5, "p95": 0.95, "p999": 0.999, "highest": 1.0}
+    got = {r.column_name: r for r in O.column_quantiles(spark.createDataFrame(pdf), list("abcde"), probs).collect()}
+    for c in "abce":
+        x = pdf[c].dropna()
+        assert got[c].n_values == len(x) and got[c].min_value == x.min() and got[c].max_value == x.max()
+        for name, p in probs.items():
+            assert got[c][name] == pytest.approx(np.quantile(x, p), rel=1e-12)
+    assert tuple(got["d"])[1:] == (None, None, 0, *[None] * 7)
+    assert O.column_quantiles(spark.createDataFrame(pdf).limit(0), ["a"], probs).first().n_values == 0

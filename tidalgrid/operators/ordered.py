@@ -98,6 +98,66 @@ def exact_quantiles(
     )
 
 
+#: Accuracy of the sketch that brackets a quantile: ranks are off by n / ACCURACY at most.
+ACCURACY = 10_000
+#: Distinct values inside a bracket that one task may sort; beyond it bucketed running totals do.
+IN_ONE_TASK = 1_000_000
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """(column_name, min_value, max_value, n_values and each quantile of ``probs``, linearly interpolated and exact).
+
+    One pass sketches all columns side by side and brackets every quantile by two of its values; a second
+    pass counts what lies below each bracket and keeps the distinct values inside, a few in ACCURACY of the
+    rows.  No other value is shuffled.  NULL and NaN are left out; a column without values has NULLs.
+    """
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    wide = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    slack = 2.0 / ACCURACY
+    around = [(max(p - slack, 0.0), min(p + slack, 1.0)) for p in probs.values()]
+    flat = [x for pair in around for x in pair]
+    sketch = wide.agg(*[a for i in range(len(cols)) for a in (
+        F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"),
+        F.percentile_approx(f"c{i}", flat, ACCURACY).alias(f"q{i}"))]).first()
+    # (column, quantile) -> whole and broken part of its rank, and its bracket.
+    wanted = {}
+    for i in range(len(cols)):
+        for j, p in enumerate(probs.values()):
+            if n := sketch[f"n{i}"]:
+                rank = (n - 1) * p
+                below, above = sketch[f"q{i}"][2 * j], sketch[f"q{i}"][2 * j + 1]
+                wanted[i, j] = int(rank), rank - int(rank), sketch[f"lo{i}"] if around[j][0] == 0 else below, sketch[f"hi{i}"] if around[j][1] == 1 else above
+    picked: dict[tuple[int, int], float] = {}
+    if wanted:
+        # A bracket is widened by the next value above, which an interpolated rank may need.
+        inside = lambda i, lo, hi: (F.col(f"c{i}") >= lo) & (F.col(f"c{i}") <= hi)
+        below = wide.agg(*[c for (i, j), (_, _, lo, hi) in wanted.items() for c in (
+            F.count_if(F.col(f"c{i}") < lo).alias(f"b{i}_{j}"), F.min(F.when(F.col(f"c{i}") > hi, F.col(f"c{i}"))).alias(f"a{i}_{j}"))]).first()
+        cells = F.array(*[F.when(inside(i, lo, hi), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}").alias("v"))) for (i, j), (_, _, lo, hi) in wanted.items()])
+        kept = wide.select(F.inline(F.filter(cells, lambda x: x.isNotNull()))).groupBy("i", "j", "v").agg(F.count(F.lit(1)).alias("n"))
+        kept = reliable_checkpoint(kept)
+        most = kept.groupBy("i", "j").count().agg(F.max("count")).first()[0]
+        if most <= IN_ONE_TASK:
+            before = W.partitionBy("i", "j").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+            ranked = kept.withColumn("n_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        else:
+            ranked = running_totals(kept, ["i", "j"], "v", ["n"])
+        spot = F.lit(None).cast("bigint")
+        for (i, j), (whole, *_) in wanted.items():
+            spot = F.when((F.col("i") == i) & (F.col("j") == j), F.lit(whole - below[f"b{i}_{j}"])).otherwise(spot)
+        holds = lambda k: (F.col("n_before") <= k) & (k < F.col("n_before") + F.col("n"))
+        found = ranked.withColumn("at", spot).groupBy("i", "j").agg(F.max(F.when(holds(F.col("at")), F.col("v"))).alias("first"), F.max(F.when(holds(F.col("at") + 1), F.col("v"))).alias("second"))
+        for r in found.collect():  # one row a column and quantile
+            _, part, _, _ = wanted[r.i, r.j]
+            second = r.second if r.second is not None else below[f"a{r.i}_{r.j}"]
+            if r.first is None:
+                raise ArithmeticError("a quantile lies outside its bracket")
+            picked[r.i, r.j] = r.first if part == 0 or second is None else r.first + (second - r.first) * part
+    rows = [(c, sketch[f"lo{i}"], sketch[f"hi{i}"], sketch[f"n{i}"], *[picked.get((i, j)) for j in range(len(probs))]) for i, c in enumerate(cols)]
+    fields = ", ".join(f"`{name}` double" for name in probs)
+    return df.sparkSession.createDataFrame(rows, f"column_name string, min_value double, max_value double, n_values bigint, {fields}")
+
+
 def average_ranks(df: DataFrame, groups: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
     """(group, value, n, rank, n_total) with ties sharing their mean rank, starting at 1."""
     ranked = running_totals(value_counts(df, groups, value), groups, value, ["n"], buckets)

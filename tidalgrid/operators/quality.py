@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordered import exact_quantiles
+from .ordered import column_quantiles
 
 
 def _plain_path(path: Column) -> Column:
@@ -73,10 +73,8 @@ PROFILE_PROBS = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 
 
 def numeric_profile(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float] = PROFILE_PROBS) -> DataFrame:
-    """Minimum, maximum and exact quantiles of each column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column_name", "value")
-    ends = long.groupBy("column_name").agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"))
-    return ends.join(exact_quantiles(long, ["column_name"], "value", probs), "column_name")
+    """Minimum, maximum and exact quantiles of each column: two passes over all columns at once."""
+    return column_quantiles(df, cols, probs)
 
 
 def trip_quality_counts(
