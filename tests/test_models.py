@@ -1,5 +1,7 @@
 """Fitted models: invariants and small exact cases."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -146,3 +148,19 @@ def test_mixtures_and_clusters_read_whole_vectors(spark, small_dir, tmp_path):
     m = Ou.fit_mixture(An.vectors(spark, d), "vec_id", "embedding", 2)
     want = m.log_density(x.astype(float))
     assert len(m.means[0]) == 64 and all(abs(scores[i] - want[i]) < 1e-6 * max(1, abs(want[i])) for i in range(240))
+
+
+def test_samples_rank_only_what_passes_and_stay_exact(spark, monkeypatch):
+    from tidalgrid.operators import sampling as Sa
+
+    df = spark.range(5000).select("id", F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "b").alias("s")).repartition(7)
+    rows = sorted((hashlib.md5(f"{i}:x".encode()).hexdigest(), i, "hot" if i % 10 < 7 else "b" if i % 10 < 9 else None) for i in range(5000))
+    for slack in (6.0, -6.0):  # the second cuts too low and has to widen
+        monkeypatch.setattr(Sa, "cutoff", lambda n, size, k=6.0, of=Sa.cutoff, first=slack: of(n, size, first if k == 6.0 else k))
+        got = {r.id for r in Sa.take_quotas(df, ["s"], {("hot",): 40, ("b",): 900, (None,): 2000}, "id", "x").collect()}
+        want = {i for s, n in (("hot", 40), ("b", 900), (None, 2000)) for _, i, t in [r for r in rows if r[2] == s][:n]}
+        assert got == want and len(got) == 40 + 900 + 500
+        assert [r.id for r in Sa.hash_sample(df, 25, "id", "x").collect()] == [i for _, i, _ in rows[:25]]
+        monkeypatch.undo()
+    assert Sa.hash_sample(df, 9000, "id", "x").count() == 5000 and Sa.hash_sample(df.limit(0), 5, "id", "x").count() == 0
+    assert Sa.cutoff(10, 10_000_000) < "0001" and Sa.cutoff(5, 5) == "g"

@@ -35,28 +35,54 @@ def quotas(sizes: Mapping[tuple, int], n: int, floor: int = 1) -> dict[tuple, in
     return out
 
 
+def cutoff(n: int, size: int, slack: float = 6.0) -> str:
+    """A bound on :func:`sample_key` under which at least ``n`` of ``size`` rows lie, all but surely.
+
+    Keys are evenly spread, so n rows are expected below n / size; ``slack`` deviations come on top.
+    """
+    share = (n + slack * (n**0.5 + 3)) / max(size, 1)
+    return "g" if share >= 1 else f"{int(share * 16**12):012x}"  # no digit of a key reaches g
+
+
 def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, key: str, seed: str, floor: int = 1) -> DataFrame:
     """Exactly ``n`` rows with proportional strata.
 
-    Only stratum sizes reach the driver; strata are categories, so these are few.  The largest quota
-    is a constant in the rank filter, which lets every task drop all but that many rows of a stratum
-    before anything is shuffled.
+    Only stratum sizes reach the driver; strata are categories, so these are few.
     """
-    sizes = {tuple(r[:-1]): r[-1] for r in df.groupBy(*strata).count().collect()}
-    return take_quotas(df, strata, quotas(sizes, n, floor), key, seed)
+    sizes = stratum_sizes(df, strata)
+    return take_quotas(df, strata, quotas(sizes, n, floor), key, seed, sizes)
 
 
-def take_quotas(df: DataFrame, strata: Sequence[str], wanted: Mapping[tuple, int], key: str, seed: str) -> DataFrame:
+def stratum_sizes(df: DataFrame, strata: Sequence[str]) -> dict[tuple, int]:
+    return {tuple(r[:-1]): r[-1] for r in df.groupBy(*strata).count().collect()}
+
+
+def take_quotas(df: DataFrame, strata: Sequence[str], wanted: Mapping[tuple, int], key: str, seed: str, sizes: Mapping[tuple, int] | None = None) -> DataFrame:
+    """The first rows of each stratum in pseudo-random order, as many as ``wanted`` says.
+
+    A row is ranked only if its key lies under the cutoff of its stratum, which counted sizes set a little above the
+    quota: no task gets more than a quota and its slack.  Should a stratum fall short, its cutoff is
+    raised until it does not, so the sample is always exact.
+    """
+    sizes = stratum_sizes(df, strata) if sizes is None else sizes
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    ddl = ", ".join(f"{s} {kinds[s].simpleString()}" for s in strata) + ", _quota int"
-    table = df.sparkSession.createDataFrame([(*s, q) for s, q in wanted.items()], ddl)
-    w = W.partitionBy(*strata).orderBy(sample_key(F.col(key), seed))
-    ranked = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(wanted.values(), default=0))
+    ddl = ", ".join(f"_s{i} {kinds[s].simpleString()}" for i, s in enumerate(strata)) + ", _quota int, _cut string"
     same = None
-    for s in strata:
-        c = ranked[s].eqNullSafe(table[s])
+    for i, s in enumerate(strata):
+        c = F.col(s).eqNullSafe(F.col(f"_s{i}"))
         same = c if same is None else same & c
-    return ranked.join(F.broadcast(table), same).where("_r <= _quota").select(*[ranked[c] for c in df.columns])
+    slack = {s: 6.0 for s in wanted}
+    while True:
+        rows = [(*s, q, cutoff(q, sizes.get(s, 0), slack[s])) for s, q in wanted.items()]
+        table = df.sparkSession.createDataFrame(rows, ddl)
+        passing = df.withColumn("_key", sample_key(F.col(key), seed)).join(F.broadcast(table), same).where("_key < _cut")
+        short = {tuple(r[:-1]): r[-1] for r in passing.groupBy(*strata).count().collect()}
+        lacking = [s for s, q in wanted.items() if short.get(s, 0) < min(q, sizes.get(s, 0))]
+        if not lacking:
+            break
+        slack |= {s: 4 * slack[s] for s in lacking}
+    w = W.partitionBy(*strata).orderBy("_key", key)
+    return passing.withColumn("_r", F.row_number().over(w)).where("_r <= _quota").select(*[passing[c] for c in df.columns])
 
 
 def quota_sample(df: DataFrame, cell: str, wanted: Mapping[str, int], key: str, seed: str) -> DataFrame:
@@ -68,5 +94,11 @@ def quota_sample(df: DataFrame, cell: str, wanted: Mapping[str, int], key: str,
 
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: str) -> DataFrame:
-    """The ``n`` rows smallest in pseudo-random order: a distributed top-n."""
-    return df.orderBy(sample_key(F.col(key), seed), key).limit(n)
+    """The ``n`` rows smallest in pseudo-random order; only rows under a counted cutoff are sorted."""
+    size, slack = df.count(), 6.0
+    while True:
+        cut = cutoff(n, size, slack)
+        passing = df.where(sample_key(F.col(key), seed) < cut)
+        if cut == "g" or passing.count() >= n:
+            return passing.orderBy(sample_key(F.col(key), seed), key).limit(n)
+        slack *= 4
