@@ -27,7 +27,8 @@ def local_session(app: str = "tidalgrid", cores: str = "*", partitions: int = 8)
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    # local-cluster has executors of its own, which share no folder with the driver.
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
