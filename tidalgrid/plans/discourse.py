@@ -6,8 +6,10 @@ from ..functions import calendar as C
 from ..functions import labels as L
 from ..functions import text as X
 from ..operators import discourse as D
+from ..operators import folds as Fo
 from ..operators import threads as T
 from ..operators import windows as Wn
+from ..session import reliable_checkpoint
 from .base import q6, rounded, table
 from .registry import Family
 
@@ -442,6 +444,16 @@ def grouped_folds(spark, d):
     return rounded(D.fold_balance(D.grouped_folds(c, "conv_id", 5), "role"))
 
 
+@query("O-144", sql="""SELECT role, count(*) AS row_count, 5::BIGINT AS folds, true AS shares_hold, (SELECT count(DISTINCT conv_id) FROM conversations) AS whole_threads FROM conversations GROUP BY role""")
+def stratified_folds(spark, d):
+    # What the folds promise: each thread in one fold, each fold's share of a role within one point of the role's.
+    c = table(spark, d, "conversations").select("conv_id", "role")
+    f = reliable_checkpoint(Fo.stratified_group_folds(c, "conv_id", "role", 5))
+    whole = f.groupBy("conv_id").agg(F.count_distinct("fold").alias("n")).where("n = 1").agg(F.count(F.lit(1)).alias("whole_threads"))
+    b = D.fold_balance(f, "role").groupBy("role").agg(F.sum("n").alias("row_count"), F.count_distinct("fold").alias("folds"), (F.max(F.abs("drift")) <= 0.01).alias("shares_hold"))
+    return b.withColumn("whole_threads", whole.scalar())
+
+
 @query("O-143", sql=f"""WITH docs AS (SELECT d.doc_id, text, 'q' || quality AS label, d.doc_id % 4 <> 0 AS train FROM documents d JOIN labels USING (doc_id)),
   tok AS (SELECT doc_id, train, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= 2)) AS term FROM docs),
   tf AS (SELECT doc_id, term, any_value(train) AS train, count(*) AS tf FROM tok GROUP BY doc_id, term), nt AS (SELECT count(*) AS n FROM docs WHERE train),
