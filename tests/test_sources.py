@@ -12,6 +12,7 @@ from tidalgrid.functions import text as X
 from tidalgrid.operators import discourse as D
 from tidalgrid.operators import panel as P
 from tidalgrid.operators import quality as Q
+from tidalgrid.operators import resampling as Rs
 from tidalgrid.operators import statistics as S
 from tidalgrid.sources import merge as M
 from tidalgrid.sources import staging as St
@@ -166,9 +167,9 @@ def test_bootstrap_centres_on_the_estimate(spark):
     p = np.where(rng.random(400) < 0.8, y, "a")
     df = spark.createDataFrame([(str(a), str(b)) for a, b in zip(y, p)], "t string, p string")
     point = S.class_metrics(S.confusion(df, "t", "p"), "t", "p", ["a", "b"]).agg(F.avg("f1")).first()[0]
-    got = S.bootstrap_interval(S.bootstrap_f1(df, "t", ["p"], ["a", "b"], replicates=300)).first()
+    got = S.bootstrap_interval(Rs.bootstrap_f1(df, "t", ["p"], ["a", "b"], replicates=300)).first()
     assert got.low < point < got.high and got.mean_value == pytest.approx(point, abs=0.01)
-    same = S.paired_difference(S.bootstrap_f1(df.withColumn("q", F.col("p")), "t", ["p", "q"], ["a", "b"], replicates=50), "p", "q").first()
+    same = S.paired_difference(Rs.bootstrap_f1(df.withColumn("q", F.col("p")), "t", ["p", "q"], ["a", "b"], replicates=50), "p", "q").first()
     assert same.mean_value == 0 and not same.is_significant
 
 
@@ -207,3 +208,24 @@ def test_csv_pages_with_other_column_orders(spark, tmp_path):
     (tmp_path / "3.csv").write_text("")
     got = sorted(tuple(r) for r in St.stage_csv(spark, [str(tmp_path)], "a bigint, b string").collect())
     assert got == [(1, "x"), (2, "y")]
+
+
+def test_draws_are_poisson_and_do_not_depend_on_partitions(spark):
+    import numpy as np
+
+    k = Rs.draws(np.arange(-500, 4000), 300)
+    share = [(k == j).mean() for j in range(4)]
+    assert np.allclose(share, [0.36788, 0.36788, 0.18394, 0.06131], atol=0.002) and abs(k.var() - 1) < 0.01
+    assert abs(np.corrcoef(k[:, :20].T) - np.eye(20)).max() < 0.08 and abs(np.corrcoef(k[:30]) - np.eye(30)).max() < 0.3
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("v"))
+    sums = lambda d: {r.replicate: r.s for r in Rs.replicate_sums(d, F.col("id"), {"s": F.col("v"), "none": F.lit(None)}, 40).collect()}
+    want = Rs.draws(np.arange(500), 40).T @ (np.arange(500) % 7)
+    assert sums(df) == sums(df.repartition(9)) == {r + 1: x for r, x in enumerate(want.tolist())}
+
+
+def test_undefined_replicates_are_dropped(spark):
+    df = spark.createDataFrame([(i, "a", "a") for i in range(30)] + [(99, "b", "a")], "id long, t string, p string")
+    n = Rs.bootstrap_f1(df, "t", ["p"], ["a", "b"], replicates=200, key="id").count()
+    assert 80 < n < 180  # the one row of class b is missing from a good third
+    same = spark.createDataFrame([(i, "x", "x") for i in range(10)], "id long, one string, two string")
+    assert Rs.bootstrap_kappa(same, "id", ["one", "two"], ["x", "y"], replicates=20).collect() == []

@@ -191,45 +191,6 @@ def average_precision(df: DataFrame, truth: str, scores: Mapping[str, str], weig
     return run.groupBy("label").agg(area.alias("average_precision"))
 
 
-def _f1_from_counts(counts: np.ndarray, weights: np.ndarray, t: np.ndarray, p: np.ndarray, labels: Sequence[str]) -> float:
-    mass = counts * weights
-    f = []
-    for lab in labels:
-        tp = mass[(t == lab) & (p == lab)].sum()
-        den = mass[t == lab].sum() + mass[p == lab].sum()
-        f.append(2 * tp / den if den > 0 else 0.0)
-    return float(np.mean(f))
-
-
-def bootstrap_f1(
-    df: DataFrame, truth: str, preds: Sequence[str], labels: Sequence[str], weight: str | None = None, replicates: int = 1000, seed: int = 0
-) -> DataFrame:
-    """Macro F1 per replicate and prediction column, resampling within each true class.
-
-    Rows first collapse to cells of equal truth, predictions and weight.  Drawing rows with
-    replacement equals drawing multinomial cell counts, so a replicate costs one pass over the cells
-    and the rows are read once, whatever the number of replicates.
-    """
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    cells = df.groupBy(F.col(truth).alias("t"), *[F.col(p).alias(f"p{i}") for i, p in enumerate(preds)], w.alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    fan = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    names = list(preds)
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", *[f"p{i}" for i in range(len(names))], "w"], ignore_index=True)
-        rep = int(pdf["replicate"].iloc[0])
-        rng = np.random.default_rng([seed, rep])
-        counts = np.zeros(len(pdf))
-        for _, idx in pdf.groupby("t").groups.items():
-            n = pdf.loc[idx, "n"].to_numpy()
-            counts[np.asarray(idx)] = rng.multinomial(n.sum(), n / n.sum())
-        t, ww = pdf["t"].to_numpy(), pdf["w"].to_numpy()
-        f1 = [_f1_from_counts(counts, ww, t, pdf[f"p{i}"].to_numpy(), labels) for i in range(len(names))]
-        return pd.DataFrame({"replicate": rep, "model": names, "macro_f1": f1})
-
-    return fan.groupBy("replicate").applyInPandas(draw, "replicate int, model string, macro_f1 double")
-
-
 def bootstrap_interval(replicates: DataFrame, value: str = "macro_f1", by: Sequence[str] = ("model",)) -> DataFrame:
     """Mean and 95% percentile interval; one value per replicate, so a short table."""
     q = lambda p: F.expr(f"percentile({value}, {p})")
@@ -271,28 +232,30 @@ def cohen_pairwise(table: DataFrame, raters: Sequence[str]) -> DataFrame:
     return out.select("pair", "n_items", po.alias("raw_agreement"), F.try_divide(po - pe, 1 - pe).alias("cohen_kappa"))
 
 
-def multi_rater_agreement(ratings: DataFrame, item: str, label: str, categories: Sequence[str]) -> DataFrame:
-    """Fleiss' kappa and Krippendorff's alpha, nominal and ordinal in the order of ``categories``.
-
-    One aggregate turns items into category counts, a second sums the coincidence matrix.
-    """
+def agreement_items(ratings: DataFrame, item: str, label: str, categories: Sequence[str]) -> DataFrame:
+    """Category counts c0, c1 ... and their sum m of each item with two ratings or more."""
     k = range(len(categories))
     per = ratings.where(F.col(label).isin(*categories)).groupBy(item).agg(*[F.count_if(F.col(label) == c).alias(f"c{i}") for i, c in enumerate(categories)])
-    m = sum((F.col(f"c{i}") for i in k[1:]), F.col("c0"))
-    per = per.withColumn("m", m).where("m >= 2")
-    c = lambda i: F.col(f"c{i}").cast("double")
+    return per.withColumn("m", sum((F.col(f"c{i}") for i in k[1:]), F.col("c0"))).where("m >= 2")
+
+
+def agreement_parts(k: int) -> dict[str, Column]:
+    """What an item adds to the sums that :func:`agreement_values` reads."""
+    c = lambda i: F.col(f"c{i}").cast("double")
     mm = F.col("m").cast("double")
-    agree = sum((c(i) * (c(i) - 1) for i in k[1:]), c(0) * (c(0) - 1)) / (mm * (mm - 1))
-    sums = [F.avg(agree).alias("p_bar"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("n_items")]
-    sums += [F.sum(c(i)).alias(f"n{i}") for i in k]
-    sums += [F.sum(c(i) * (c(j) - (1 if i == j else 0)) / (mm - 1)).alias(f"o{i}_{j}") for i in k for j in k]
-    s = per.agg(*sums)
+    agree = sum((c(i) * (c(i) - 1) for i in range(1, k)), c(0) * (c(0) - 1)) / (mm * (mm - 1))
+    out = {"agree": agree, "n_items": F.lit(1), "n": F.col("m")} | {f"n{i}": c(i) for i in range(k)}
+    return out | {f"o{i}_{j}": c(i) * (c(j) - (1 if i == j else 0)) / (mm - 1) for i in range(k) for j in range(k)}
+
+
+def agreement_values(k: int) -> dict[str, Column]:
+    """Fleiss' kappa and Krippendorff's alphas from the sums; NULL where they are undefined."""
     n = F.col("n").cast("double")
-    add = lambda xs: sum(xs[1:], xs[0])
-    p_e = add([(F.col(f"n{i}") / n) * (F.col(f"n{i}") / n) for i in k])
+    add = lambda xs: sum(xs[1:], xs[0])
+    p_e = add([F.try_divide(F.col(f"n{i}"), n) * F.try_divide(F.col(f"n{i}"), n) for i in range(k)])
 
     def alpha(distance) -> Column:
-        pairs = [(i, j) for i in k for j in k if i != j]
+        pairs = [(i, j) for i in range(k) for j in range(k) if i != j]
         seen = add([F.col(f"o{i}_{j}") * distance(i, j) for i, j in pairs])
         expected = add([F.col(f"n{i}") * F.col(f"n{j}") * distance(i, j) for i, j in pairs])
         return 1 - F.try_divide((n - 1) * seen, expected)
@@ -303,12 +266,18 @@ def multi_rater_agreement(ratings: DataFrame, item: str, label: str, categories:
         d = between - (F.col(f"n{lo}") + F.col(f"n{hi}")) / 2
         return d * d
 
-    return s.select(
-        "n_items",
-        F.try_divide(F.col("p_bar") - p_e, 1 - p_e).alias("fleiss_kappa"),
-        alpha(lambda i, j: F.lit(1.0)).alias("alpha_nominal"),
-        alpha(ordinal).alias("alpha_ordinal"),
-    )
+    p_bar = F.try_divide(F.col("agree"), F.col("n_items").cast("double"))
+    return {"fleiss_kappa": F.try_divide(p_bar - p_e, 1 - p_e), "alpha_nominal": alpha(lambda i, j: F.lit(1.0)), "alpha_ordinal": alpha(ordinal)}
+
+
+def multi_rater_agreement(ratings: DataFrame, item: str, label: str, categories: Sequence[str]) -> DataFrame:
+    """Fleiss' kappa and Krippendorff's alpha, nominal and ordinal in the order of ``categories``.
+
+    One aggregate turns items into category counts, a second sums the coincidence matrix.
+    """
+    k = len(categories)
+    s = agreement_items(ratings, item, label, categories).agg(*[F.sum(c).alias(n) for n, c in agreement_parts(k).items()])
+    return s.select("n_items", *[c.alias(n) for n, c in agreement_values(k).items()])
 
 
 def head_to_head(df: DataFrame, cell: str, sources: Mapping[str, Column]) -> DataFrame:

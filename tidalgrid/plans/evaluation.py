@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import resampling as Rs
 from ..operators import statistics as S
 from .base import q6, rounded, table
 from .discourse import CELLS_SQL, SCORES, SQL_ITEMS, STANCES, item_cells, items
@@ -102,17 +103,45 @@ def average_precision(spark, d):
     return rounded(S.average_precision(items(spark, d), "truth", dict(zip(STANCES, SCORES)), F.col("w")))
 
 
+REPLICATES = 200
+
+
+def draws_sql(rows: str, key: str) -> str:
+    """CTEs that give each row of ``rows`` its draws ``k`` in each replicate, by the hash of operators/resampling.py."""
+    a, b, c, e = Rs.FACTORS
+    p = Rs.PRIME
+    return f"""h0 AS (SELECT *, (({key}) % {p} * {a} + rep * {b}) % {p} AS x FROM {rows}, (SELECT unnest(range(1, {REPLICATES + 1})) AS rep)),
+  h1 AS (SELECT *, x * x % {p} AS x2 FROM h0), h2 AS (SELECT * EXCLUDE (x, x2), (x2 * x2 % {p} * x % {p} * {c} + rep * {e}) % {p} AS x FROM h1),
+  h3 AS (SELECT *, x * x % {p} AS x2 FROM h2), drawn AS (SELECT * EXCLUDE (x, x2), len(list_filter({Rs.BOUNDS}, lambda t: t <= x2 * x2 % {p} * x % {p})) AS k FROM h3)"""
+
+
+F1_SQL = f"""{SQL_ITEMS}, named AS (SELECT id, truth, stance, CASE WHEN id % 3 = 0 THEN truth ELSE stance END AS other, w FROM items), {draws_sql('named', 'id')},
+  lab AS (SELECT unnest(['anti', 'neutral', 'pro', 'off-topic']) AS label), size AS (SELECT truth, count(*) AS n FROM named GROUP BY 1),
+  got AS (SELECT rep, truth, sum(k) AS kn, sum(k * w) AS kw FROM drawn GROUP BY ALL), sc AS (SELECT rep, truth, n / nullif(kn, 0) AS s, kw FROM got JOIN size USING (truth)),
+  ok AS (SELECT rep FROM sc GROUP BY rep HAVING count(s) = (SELECT count(*) FROM size)),
+  cell AS (SELECT rep, 'stance' AS model, truth, stance AS pred, sum(k * w) AS m FROM drawn GROUP BY ALL UNION ALL SELECT rep, 'other', truth, other, sum(k * w) FROM drawn GROUP BY ALL),
+  part AS (SELECT rep, model, lab.label, sum(CASE WHEN truth = label AND pred = label THEN s * m ELSE 0 END) AS hit, sum(CASE WHEN pred = label THEN s * m ELSE 0 END) AS said,
+    sum(CASE WHEN truth = label THEN s * m ELSE 0 END) AS held FROM cell JOIN sc USING (rep, truth) JOIN ok USING (rep), lab GROUP BY ALL),
+  f AS (SELECT rep, model, avg(CASE WHEN said + held > 0 THEN 2 * hit / (said + held) ELSE 0 END) AS macro_f1 FROM part GROUP BY ALL)"""
+
+
+def interval_sql(value: str) -> str:
+    return f"{q6(f'avg({value})', 'mean_value')}, {q6(f'quantile_cont({value}, 0.025)', 'low')}, {q6(f'quantile_cont({value}, 0.975)', 'high')}, count(*) AS replicates"
+
+
 def _bootstrap(spark, d):
     i = items(spark, d).withColumn("other", F.when(F.col("id") % 3 == 0, F.col("truth")).otherwise(F.col("stance")))
-    return S.bootstrap_f1(i, "truth", ["stance", "other"], STANCES, "w", replicates=400)
+    return Rs.bootstrap_f1(i, "truth", ["stance", "other"], STANCES, "w", replicates=REPLICATES, key="id")
 
 
-@query("O-156")
+@query("O-156", sql=f"WITH {F1_SQL} SELECT model, {interval_sql('macro_f1')} FROM f GROUP BY model")
 def bootstrap_intervals(spark, d):
     return rounded(S.bootstrap_interval(_bootstrap(spark, d)))
 
 
-@query("O-156")
+@query("O-156", sql=f"""WITH {F1_SQL}, x AS (SELECT rep, max(CASE WHEN model = 'other' THEN macro_f1 END) - max(CASE WHEN model = 'stance' THEN macro_f1 END) AS diff FROM f GROUP BY rep),
+  o AS (SELECT 'other - stance' AS model, {interval_sql('diff')}, {q6('least(2 * least(avg((diff <= 0)::INT), avg((diff >= 0)::INT)), 1)', 'p_value')} FROM x)
+  SELECT *, low > 0 OR high < 0 AS is_significant FROM o""")
 def paired_bootstrap(spark, d):
     return rounded(S.paired_difference(_bootstrap(spark, d), "other", "stance"))
 
@@ -153,6 +182,26 @@ def rater_agreement(spark, d):
     return rounded(S.multi_rater_agreement(ratings(spark, d), "doc_id", "label", ORDINAL))
 
 
+@query("O-156", "O-157", sql=f"""WITH {RATE_SQL}, p AS (SELECT a.doc_id, a.rater || ' vs ' || b.rater AS pair, a.label AS one, b.label AS two FROM rate a JOIN rate b USING (doc_id) WHERE a.rater < b.rater), {draws_sql('p', 'doc_id')},
+  n AS (SELECT rep, pair, sum(k) AS n, sum(CASE WHEN one = two THEN k ELSE 0 END) AS same FROM drawn GROUP BY ALL), mx AS (SELECT rep, pair, one AS l, sum(k) AS c FROM drawn GROUP BY ALL), my AS (SELECT rep, pair, two AS l, sum(k) AS c FROM drawn GROUP BY ALL),
+  e AS (SELECT rep, pair, sum(mx.c * my.c) AS e FROM mx JOIN my USING (rep, pair, l) GROUP BY ALL), v AS (SELECT rep, pair AS model, (same / n - coalesce(e, 0) / n / n) / nullif(1 - coalesce(e, 0) / n / n, 0) AS value FROM n LEFT JOIN e USING (rep, pair) WHERE n > 0)
+  SELECT model, {interval_sql('value')} FROM v WHERE value IS NOT NULL GROUP BY model""")
+def kappa_intervals(spark, d):
+    t = S.rating_table(ratings(spark, d), "doc_id", "rater", "label", ["ann", "ben", "cy"])
+    return rounded(S.bootstrap_interval(Rs.bootstrap_kappa(t, "doc_id", ["ann", "ben", "cy"], ORDINAL, replicates=REPLICATES), "value"))
+
+
+@query("O-156", "O-157", sql=f"""WITH {RATE_SQL}, u AS (SELECT doc_id, count(*) FILTER (label = 'anti')::DOUBLE AS c0, count(*) FILTER (label = 'neutral')::DOUBLE AS c1, count(*) FILTER (label = 'pro')::DOUBLE AS c2, count(*)::DOUBLE AS m FROM rate GROUP BY 1),
+  {draws_sql('u', 'doc_id')}, s AS (SELECT rep, sum(k * (c0 * (c0 - 1) + c1 * (c1 - 1) + c2 * (c2 - 1)) / (m * (m - 1))) / sum(k) AS p, sum(k * m) AS n, sum(k * c0) AS n0, sum(k * c1) AS n1, sum(k * c2) AS n2,
+    2 * sum(k * c0 * c1 / (m - 1)) AS o01, 2 * sum(k * c0 * c2 / (m - 1)) AS o02, 2 * sum(k * c1 * c2 / (m - 1)) AS o12 FROM drawn GROUP BY rep),
+  z AS (SELECT *, (n0 * n0 + n1 * n1 + n2 * n2) / n / n AS e, ((n0 + n1) / 2) ** 2 AS d01, ((n1 + n2) / 2) ** 2 AS d12, (n1 + (n0 + n2) / 2) ** 2 AS d02 FROM s),
+  v AS (SELECT 'fleiss_kappa' AS model, (p - e) / nullif(1 - e, 0) AS value FROM z UNION ALL SELECT 'alpha_nominal', 1 - (n - 1) * (o01 + o02 + o12) / nullif(2 * (n0 * n1 + n0 * n2 + n1 * n2), 0) FROM z
+    UNION ALL SELECT 'alpha_ordinal', 1 - (n - 1) * (o01 * d01 + o02 * d02 + o12 * d12) / nullif(2 * (n0 * n1 * d01 + n0 * n2 * d02 + n1 * n2 * d12), 0) FROM z)
+  SELECT model, {interval_sql('value')} FROM v WHERE value IS NOT NULL GROUP BY model""")
+def agreement_intervals(spark, d):
+    return rounded(S.bootstrap_interval(Rs.bootstrap_agreement(ratings(spark, d), "doc_id", "label", ORDINAL, replicates=REPLICATES), "value"))
+
+
 @query("O-158", sql=f"""WITH {CELLS_SQL} SELECT cell, count(*) AS n_items, {q6("avg((CASE WHEN id % 2 = 0 THEN truth ELSE stance END = stance)::INT)", 'first_right')},
   {q6("avg((CASE WHEN id % 2 = 0 THEN truth ELSE stance END = truth)::INT)", 'second_right')} FROM cells GROUP BY 1""")
 def label_head_to_head(spark, d):
