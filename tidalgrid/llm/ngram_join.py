@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
+from .columns import fresh
 from .components import components
 
 NGRAM, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -260,14 +261,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
 
     A row without a key stays only in a class where no row has one.  Classes are told apart by their
     texts, so rows of one key, or of none, with unrelated texts all stay.  Of rows equal in key and text
-    one stays.  Texts without words are all kept.
+    the one whose JSON is least stays.  Texts without words are all kept.  Other columns may have any names.
     """
     near = reliable_checkpoint(_with_components(docs, key, text, **options).where(F.col("component").isNotNull()).select(F.col(key).alias("key"), "text_hash", "component"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("first")
-    chosen = near.groupBy("component").agg(first).select(F.col("first.key").alias("kept_key"), F.col("first.text_hash").alias("kept_hash"))
-    d = docs.withColumn("__text_hash", F.xxhash64(F.col(text)))
+    own, digest, mine = (fresh(docs, n) for n in ("kept_key", "kept_hash", "text_hash"))
+    chosen = near.groupBy("component").agg(first).select(F.col("first.key").alias(own), F.col("first.text_hash").alias(digest))
+    d = docs.withColumn(mine, F.xxhash64(F.col(text)))
     worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = d.where(worded).join(chosen, F.col(key).eqNullSafe(F.col("kept_key")) & (F.col("__text_hash") == F.col("kept_hash")), "left_semi")
+    kept = d.where(worded).join(chosen, F.col(key).eqNullSafe(F.col(own)) & (F.col(mine) == F.col(digest)), "left_semi")
     if near.groupBy("key", "text_hash").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([key, "__text_hash"])
-    return kept.unionByName(d.where(~worded)).drop("__text_hash")
+        row = F.struct(*[F.col(f"`{c}`") for c in d.columns])
+        kept = kept.groupBy(F.col(key).alias("k"), F.col(mine).alias("h")).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return kept.unionByName(d.where(~worded)).drop(mine)

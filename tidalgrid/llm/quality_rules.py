@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import bind, words_of
+from .columns import bind, fresh, words_of
 
 #: Frequent function words of the corpus languages (English, French, German, Spanish).
 STOP_WORDS = (
@@ -53,11 +53,14 @@ def _ratio(a: Column, b: Column) -> Column:
 def document_measures(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the struct ``measures``: counts and ratios of each whole text.
 
-    NULL and empty texts have no words: all counts and ratios are 0.  Columns of ``df`` named
-    ``measures`` or starting with ``qr_`` are not allowed; others may have any name.
+    NULL and empty texts have no words: all counts and ratios are 0.  Texts of any length are read whole.
+    Columns of ``df`` may have any names; if one is called ``measures``, the new column has underscores in front.
     """
+    names, own = df.columns, fresh(df, "measures")
+    at = names.index(text)
+    df = df.toDF(*[f"in_{i}" for i in range(len(names))])
+    text = f"in_{at}"
     t = F.coalesce(F.col(text), F.lit(""))
-    names = df.columns
     d = bind(df, qr_words=words_of(F.col(text)), qr_lines=F.filter(F.split(t, "\n"), lambda s: F.regexp_replace(s, r"[\x20\x09-\x0D]+", "") != ""))
     d = bind(d, qr_n=F.size("qr_words"))
     windows = F.when(
@@ -95,7 +98,7 @@ def document_measures(df: DataFrame, text: str = "text") -> DataFrame:
         _ratio(F.col("qr_bars"), n).alias("bar_ratio"), _ratio(F.col("qr_shouts"), n).alias("shout_ratio"),
         _ratio(F.col("qr_letters"), n).alias("letter_word_ratio"), _ratio(F.col("qr_stops"), n).alias("stop_word_ratio"),
         _ratio(F.col("qr_dups"), lines).alias("dup_line_ratio"), _ratio(F.col("qr_repeats"), n).alias("repeat_word_ratio"))
-    return d.select(*[F.col(f"`{c}`") for c in names], measures.alias("measures"))
+    return d.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)], measures.alias(own))
 
 
 def compile_rules(rules: Sequence[Rule], measures: str = "measures") -> Column:
@@ -114,6 +117,13 @@ def compile_rules(rules: Sequence[Rule], measures: str = "measures") -> Column:
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """``df`` with ``measures``, ``broken_rules`` (array) and ``kept``.  Every row comes back, repeated rows too."""
-    d = document_measures(df, text).withColumn("broken_rules", compile_rules(rules))
-    return d.withColumn("kept", F.size("broken_rules") == 0)
+    """``df`` with ``measures``, ``broken_rules`` (array) and ``kept``, under those names or, where ``df`` has
+    such a column, with underscores in front.  Every row comes back, repeated rows too; an empty table stays empty."""
+    measures, broken, kept = (fresh(df, name) for name in ("measures", "broken_rules", "kept"))
+    d = document_measures(df, text).withColumn(broken, compile_rules(rules, measures))
+    return d.withColumn(kept, F.size(broken) == 0)
+
+
+def passing(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that break no rule."""
+    return apply_rules(df, rules, text).where(F.col(fresh(df, "kept"))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
+from .columns import fresh
 
 LENGTH = 400
 #: Bytes of the gram whose hash picks anchors.
@@ -482,10 +483,11 @@ def with_spans(docs: DataFrame, key: str, text: str, row: Callable[[bytes, list[
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with repeated spans cut out of ``text``, in whole characters; all rows and columns stay.
 
-    A NULL text stays NULL; a text that repeats as a whole becomes empty.
+    A NULL text stays NULL; a text that repeats as a whole becomes empty.  Other columns may have any names.
     """
-    spans = repeated_spans(docs, key, text, **options).select(F.col("key").alias("__key"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    d = docs.join(spans, (F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_KEY)) == F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__hash")), "left")
+    own, digest, found = (fresh(docs, n) for n in ("own_key", "own_hash", "own_spans"))
+    spans = repeated_spans(docs, key, text, **options).select(F.col("key").alias(own), F.col("text_hash").alias(digest), F.col("spans").alias(found))
+    d = docs.join(spans, (F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_KEY)) == F.col(own)) & (F.xxhash64(F.col(text)) == F.col(digest)), "left")
     names, at = docs.columns, docs.columns.index(text)
 
     def cut(batches):
@@ -498,4 +500,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **o
                 texts.append(t)
             yield pa.record_batch([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names=names)
 
-    return d.select(*[F.col(f"`{c}`") for c in names], "__spans").mapInArrow(cut, docs.schema)
+    return d.select(*[F.col(f"`{c}`") for c in names], found).mapInArrow(cut, docs.schema)
