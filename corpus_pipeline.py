@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidalgrid.llm.columns import fresh
 from tidalgrid.llm.decontamination import contamination
 from tidalgrid.llm.ngram_join import keep_one
-from tidalgrid.llm.quality_rules import apply_rules
+from tidalgrid.llm.quality_rules import passing
 from tidalgrid.llm.queries.op07_bpe_round_trip import bpe_digests, tokenizer_path
 from tidalgrid.llm.registry import table
 from tidalgrid.llm.shared import shared_path
@@ -25,7 +26,7 @@ REPEAT_BYTES = 200
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a rule go."""
-    return apply_rules(docs).where("kept").select(*docs.columns)
+    return passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +42,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark items contaminate go."""
+    key, digest = fresh(docs, "found_key"), fresh(docs, "found_hash")
     found = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(
-        F.col("doc_id").alias("__key"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__key")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+        F.col("doc_id").alias(key), F.col("text_hash").alias(digest)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest)), "left_anti")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
