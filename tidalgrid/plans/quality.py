@@ -100,14 +100,15 @@ def staged_json_mixed_types(spark, d):
 
 @query(
     "O-11",
-    sql="SELECT 'events' AS dataset, 2::BIGINT AS file_count, 1::BIGINT AS empty_count, (SELECT count(*) FROM events) AS row_count, 2::BIGINT AS column_count",
+    sql="SELECT 'events' AS dataset, true AS has_filled_files, 1::BIGINT AS empty_count, (SELECT count(*) FROM events) AS row_count, 2::BIGINT AS column_count",
 )
 def file_inventory_with_empty_file(spark, d):
     folder = shared_folder(spark, "with-empty")
     e = table(spark, d, "events").select("event_id", "value")
-    e.coalesce(1).write.parquet(folder)
+    e.write.parquet(folder)
     spark.createDataFrame([], e.schema).coalesce(1).write.mode("append").parquet(folder)
-    return Q.file_inventory({"events": spark.read.parquet(folder)}).select("dataset", "file_count", "empty_count", "row_count", "column_count")
+    i = Q.file_inventory({"events": spark.read.parquet(folder)})
+    return i.select("dataset", (F.col("file_count") > F.col("empty_count")).alias("has_filled_files"), "empty_count", "row_count", "column_count")
 
 
 @query(
