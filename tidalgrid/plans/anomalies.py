@@ -147,7 +147,7 @@ SHARES = [0.005, 0.01, 0.02, 0.05]
 
 def forest_flags(spark, d):
     v = vectors(spark, d)
-    scored = Ou.forest_scores(v, "embedding", Ou.fit_forest(v, "vec_id", "embedding", trees=100)).select("vec_id", "half", "score")
+    scored = Ou.forest_scores(v, "embedding", Ou.fit_forest(v, "vec_id", "embedding", trees=300)).select("vec_id", "half", "score")
     return Ou.tail_flags(scored, "score", SHARES)
 
 
