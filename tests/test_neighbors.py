@@ -145,3 +145,41 @@ def test_nearest_centroids_as_arrays_or_by_join(spark, monkeypatch):
     assert first.keys() == second.keys() and first[95] == second[95] == (None,) * 4
     for k in range(90):
         assert first[k][:2] == second[k][:2] and first[k][2:] == pytest.approx(second[k][2:], abs=1e-9)
+
+
+def test_ranks_and_nearest_by_strips_equal_brute_force():
+    """Tiles of more rows than a byte can count, copies of points and weights; no more than a strip of distances at once."""
+    from tidalgrid.operators.blocks import Work
+
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(5000, 4)), 2)
+    x[100:140] = x[100]
+    pid = rng.permutation(5000)
+    d = np.sqrt(((x[:3000, None] - x[None, :3000]) ** 2).sum(2))
+    d[np.arange(3000), np.arange(3000)] = np.inf
+    for tile, weighted in ((4096, False), (512, False), (512, True)):
+        w = rng.integers(1, 4, 5000) if weighted else np.ones(5000, np.int64)
+        at = np.sort(d[:3000, rng.integers(0, 3000, 7)], axis=1)
+        at[np.isinf(at)] = 1.0
+        seen = []
+
+        class Ranks(N._Ranks):
+            def meet(self, rows, dist, *rest):
+                seen.append(len(rows))
+                super().meet(rows, dist, *rest)
+
+        part = lambda s: (pid[s], x[s], w[s], at[s] if s.stop <= 3000 else np.zeros((s.stop - s.start, 7)))
+        work = Work(Ranks(), part(slice(0, 3000)), tile)
+        work.meet(part(slice(3000, 5000)))
+        far = np.sqrt(((x[:3000, None] - x[None]) ** 2).sum(2))
+        far[np.arange(3000), np.arange(3000)] = np.inf
+        want = np.stack([((far < at[:, j, None] - 1e-9) * w).sum(1) for j in range(7)], axis=1)
+        got = work.reducer.result()
+        assert (np.stack(got["ranks"].to_numpy()) == want).all() and max(seen) <= Work.STRIP
+        if not weighted:
+            near = Work(N._Nearest(6), part(slice(0, 3000)), tile)
+            near.meet(part(slice(3000, 5000)))
+            found = near.reducer.result()
+            order = np.lexsort((np.broadcast_to(pid, far.shape), np.round(far, 9)), axis=1)[:, :6]
+            assert (np.stack(found["neighbors"].to_numpy()) == pid[order]).all()
+            assert np.allclose(np.stack(found["distances"].to_numpy()), np.take_along_axis(far, order, axis=1), atol=1e-7)

@@ -45,6 +45,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(sq, 0.0, None))
 
 
+def lifted(v: np.ndarray, left: bool) -> np.ndarray:
+    """Vectors with their squares, so that one product of a left and a right side gives squared distances."""
+    sq, one = (v * v).sum(axis=1)[:, None], np.ones((len(v), 1))
+    return np.hstack([-2.0 * v, sq, one] if left else [v, one, sq])
+
+
 def as_matrix(v: pd.Series) -> np.ndarray:
     return np.stack(v.to_numpy()).astype(float, copy=False) if len(v) else np.zeros((0, 0))
 
@@ -139,8 +145,13 @@ class Work:
     A reducer has ``begin(pid, vec, w, carry)``, ``reach(rows)`` (how far the rows' answers can still change),
     ``meet(rows, d, pid, w, carry, own)`` and ``result()``.  ``d`` holds NaN where a row meets itself;
     ``own`` says that the others are of the block too, and is their places in it, else None.
+    A reducer with ``squared`` set sees squared distances, which rounding may leave a hair below 0, of a few
+    rows at a time: they stay in the processor's cache, and their memory is used again by the next ones.
     """
 
+    #: Rows of squared distances handed out at once.
+    STRIP = 128
+
     def __init__(self, reducer, points: tuple, tile_rows: int) -> None:
         pid, vec, w, carry = points
         self.reducer, self.vec, self.rows = reducer, vec, tile_rows
@@ -165,11 +176,26 @@ class Work:
                 if gap[j] > self.reducer.reach(a.at) + SLACK:
                     break
                 b = tiles[j]
+                if getattr(self.reducer, "squared", False):
+                    self._strips(a, b, near, points, own)
+                    continue
                 d = distances(near, vec[b.at] - a.centre)
                 if own and b is a:
                     np.fill_diagonal(d, np.nan)
                 self.reducer.meet(a.at, d, pid[b.at], w[b.at], carry[b.at], b.at if own else None)
 
+    def _strips(self, a: _Tile, b: _Tile, near: np.ndarray, points: tuple, own: bool) -> None:
+        pid, vec, w, carry = points
+        left, right = lifted(near, True), lifted(vec[b.at] - a.centre, False).T
+        others = pid[b.at], w[b.at], carry[b.at], b.at if own else None
+        room = np.empty((min(self.STRIP, len(a.at)), len(b.at)))
+        for i in range(0, len(a.at), self.STRIP):
+            rows = a.at[i : i + self.STRIP]
+            d = np.matmul(left[i : i + self.STRIP], right, out=room[: len(rows)])
+            if own and b is a:
+                d[np.arange(len(rows)), i + np.arange(len(rows))] = np.nan
+            self.reducer.meet(rows, d, *others)
+
 
 def stream(t: Blocks, reach: Column | None, carry: Column, schema: str, reducer: Callable[[], object]) -> DataFrame:
     """(g, ``schema``): each block's reducer after its own points and then those of every block it meets.

@@ -58,6 +58,8 @@ class _Peaks(_Counts):
 class _Nearest:
     """The k nearest others as sorted distances and ids; equal vectors count with their weight."""
 
+    squared = True
+
     def __init__(self, k: int):
         self.k = k
 
@@ -74,20 +76,29 @@ class _Nearest:
         return float(self.d[rows, -1].max())
 
     def meet(self, rows, d, pid, w, carry, own):
-        d = np.where(np.isnan(d), np.inf, d)
         # Only what is no farther than the k-th distance so far can count; ties are decided by the id.
         limit = self.d[rows, -1]
-        if d.shape[1] > self.k:
-            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
-        m = int((d <= limit[:, None] + 2e-9).sum(axis=1).max(initial=0))
-        if not m:
+        near = d <= ((limit + 2e-9) ** 2 + 1e-12)[:, None]
+        hits = np.flatnonzero(near)
+        if len(hits) > 2 * self.k * len(rows) and d.shape[1] > self.k:
+            there = np.where(np.isnan(d), np.inf, d)
+            kth = np.sqrt(np.clip(np.partition(there, self.k - 1, axis=1)[:, self.k - 1], 0.0, None))
+            near = d <= ((np.minimum(limit, kth) + 2e-9) ** 2 + 1e-12)[:, None]
+            hits = np.flatnonzero(near)
+        if not len(hits):
             return
-        at = np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
-        d = np.hstack([self.d[rows], np.take_along_axis(d, at, axis=1)])
-        i, ww = np.hstack([self.i[rows], pid[at]]), np.hstack([self.w[rows], w[at].astype(float)])
+        # Rows with something near, each with its finds side by side and padded.
+        r, c = hits // d.shape[1], hits % d.shape[1]
+        some, first, n = np.unique(r, return_index=True, return_counts=True)
+        at = np.repeat(np.arange(len(some)), n), np.arange(len(r)) - np.repeat(first, n)
+        more = len(some), int(n.max())
+        far, ids, weight = np.full(more, np.inf), np.full(more, np.iinfo(np.int64).max), np.zeros(more)
+        far[at], ids[at], weight[at] = np.sqrt(np.clip(d[r, c], 0.0, None)), pid[c], w[c]
+        rows = rows[some]
+        far, ids, weight = np.hstack([self.d[rows], far]), np.hstack([self.i[rows], ids]), np.hstack([self.w[rows], weight])
         # Rounded distances keep ties together; the id then decides them.
-        order = np.lexsort((i, np.round(d, 9)), axis=1)[:, : self.k]
-        self.d[rows], self.i[rows], self.w[rows] = (np.take_along_axis(x, order, axis=1) for x in (d, i, ww))
+        order = np.lexsort((ids, np.round(far, 9)), axis=1)[:, : self.k]
+        self.d[rows], self.i[rows], self.w[rows] = (np.take_along_axis(x, order, axis=1) for x in (far, ids, weight))
 
     def result(self):
         dist, ids = [], []
@@ -102,16 +113,30 @@ class _Nearest:
 class _Ranks:
     """How many others lie strictly nearer than each carried distance."""
 
+    squared = True
+    #: Others whose hits are added up eight to a machine word: no byte of it may run over.
+    AT_ONCE = 2040
+
     def begin(self, pid, vec, w, carry):
         self.pid, self.at = pid, carry
         self.out = np.zeros(carry.shape)
+        below = carry - 1e-9
+        self.limit = np.where(below > 0, below * below, -np.inf)
 
     def reach(self, rows):
         return float(self.at[rows].max())
 
     def meet(self, rows, d, pid, w, carry, own):
-        for j in range(self.at.shape[1]):
-            self.out[rows, j] += (d < self.at[rows, j, None] - 1e-9) @ w
+        limit, n = self.limit[rows], d.shape[1]
+        plain = n <= self.AT_ONCE and (w == 1).all()
+        near = np.zeros((len(rows), -(-n // 8) * 8), bool)
+        for j in range(limit.shape[1]):
+            np.less(d, limit[:, j, None], out=near[:, :n])
+            if plain:
+                words = near.view(np.uint64).sum(axis=1)
+                self.out[rows, j] += words.view(np.uint8).reshape(len(rows), 8).sum(axis=1)
+            else:
+                self.out[rows, j] += near[:, :n] @ w
 
     def result(self):
         return pd.DataFrame({"pid": self.pid, "ranks": list(self.out)})
