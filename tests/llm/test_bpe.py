@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidalgrid.llm import token_files
-from tidalgrid.llm.bpe import codec
+from tidalgrid.llm.bpe import BlockWords, codec
 from tidalgrid.llm.merge_ranks import _OTHER, merge_ranks, rank_encoder
 from tidalgrid.llm.queries.op04_token_files import END_ID, op4_token_files
 from tidalgrid.llm.queries.op07_bpe_round_trip import bpe_digests, op7_bpe_round_trip, tokenizer_path
@@ -121,3 +121,30 @@ def test_wavelet_matrix(n):
     for v in range(-1, 20):
         assert w.rank(v) == (x == v).sum() and w.rank(v, n // 2) == (x[: n // 2] == v).sum()
         assert w.locate(v) == np.flatnonzero(x == v).tolist()
+
+
+def test_words_of_plain_characters_go_by_ranks(tokenizer, monkeypatch):
+    """No plain word needs the tokenizers library; others go there, and all keep their places and ids."""
+    own, odd = codec(PATH), ["", "日本", "naïve.", "x\n\ny", "\x1c", "<|endoftext|>", "a b", "end\n", "　wide", "word,", "don't.", "x\x00y"]
+    for words in ([f"w{i}x{'.,'[i % 2]}" for i in range(3000)], [w for i in range(1500) for w in (f"p{i}", odd[i % len(odd)])], odd, []):
+        ids = own.encode_words(words)
+        assert [x.tolist() for x in np.split(ids.flat, np.cumsum(ids.size)[:-1])][: len(words)] == [tokenizer.encode(" " + w, add_special_tokens=False).ids for w in words]
+    monkeypatch.setattr(own, "tokenizer", None)
+    assert len(own.encode_words([f"w{i}," for i in range(3000)])) == 3000
+
+
+def test_blocks_with_and_without_answers(tokenizer):
+    """Texts of a block by the words' numbers, whichever of its words the targets have answered."""
+    texts = [*ODD, "one two three two one", "three  two", "one", "\nsix seven", "seven \x85 one", "two words\t", "end\n", "x" + "\n" * 1_500_000 + "y z"]
+    for answered in (0, 1, 2):
+        words = BlockWords(pa.chunked_array([texts[:5], texts[5:]], pa.string()))
+        number = np.full(len(words.words), -1, np.int64)
+        which = words.asked[::answered] if answered else words.asked[:0]
+        number[which] = np.arange(len(which))
+        table, numbers, begin = words.encoded(codec(PATH), number, [codec(PATH).encode_words(words.joined(which).split(" ")) if len(which) else codec(PATH).encode_words([])])
+        got = [table.take(numbers[a:z]).flat.tolist() for a, z in zip(begin, begin[1:], strict=False)]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    asked = words.asked_of(7)
+    assert sorted(np.concatenate(asked).tolist()) == words.asked.tolist() and len(words.asked) == len(set(words.joined(words.asked).split(" ")))
+    empty = BlockWords(pa.chunked_array([[]], pa.string()))
+    assert [len(x) for x in empty.asked_of(3)] == [0, 0, 0] and len(empty.encoded(codec(PATH), np.zeros(0, np.int64), [codec(PATH).encode_words([])])[1]) == 0

@@ -13,11 +13,11 @@ import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
-from itertools import chain
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 #: Where a text may be cut: one blank between characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Words encoded in one call of the tokenizer.
-_AT_ONCE = 64
-#: Words one Python worker remembers; beyond that it forgets all and starts again.
-CACHED_WORDS = 1_000_000
+#: Words encoded in one call of the tokenizer, and in one of the merge loop.
+_AT_ONCE, _A_GROUP = 64, 1024
+#: Asked words that a target looks up at once, in bytes.
+_ASKED_BYTES = 32 << 20
+#: White space as ``str.isspace`` sees it, inside the brackets of a pattern.
+_SPACE = "".join(re.escape(chr(i)) for i in range(0x3001) if chr(i).isspace())
 
 
 class Ragged:
@@ -80,7 +82,7 @@ class Codec:
         #: What may follow a word as a token of its own: nothing, a full stop, a comma.
         self.tails = [Ragged(x := self.encode_text(t), np.array([len(x)])) for t in ("", ".", ",")]
         #: For each id, its bytes.
-        self.pieces = Ragged(np.frombuffer(b"".join(pieces), np.uint8), np.array([len(x) for x in pieces]))
+        self.pieces = pa.array(pieces, pa.large_binary())
 
     def cut(self, text: str) -> list[str]:
         """``text`` as words without the blanks between; ``' '.join`` of them is the text."""
@@ -96,9 +98,55 @@ class Codec:
             odd = sorted({*odd, *[i for i, w in enumerate(words) if " " in w or any(s in w for s in self.special)]})
         skip = set(odd)
         plain = [w for i, w in enumerate(words) if i not in skip] if odd else words
+        out = self._plain_words(plain)
+        if not odd:
+            return out
+        # Words with blanks or special tokens inside, or white space at an end, go one by one.
+        alone = [self.ranks.ids(" " + words[i]) for i in odd]
+        both = Ragged(np.concatenate([out.flat, *alone]), np.concatenate([out.size, [len(x) for x in alone]]))
+        order = np.empty(len(words), np.int64)
+        order[[i for i in range(len(words)) if i not in skip]] = np.arange(len(plain))
+        order[odd] = len(plain) + np.arange(len(odd))
+        return both.take(order)
+
+    @cached_property
+    def ranks(self):
+        """The faster encoder of the same file, which leaves to this one what it cannot do."""
+        from .merge_ranks import rank_encoder
+
+        return rank_encoder(self.path)
+
+    def _plain_words(self, words: list[str]) -> Ragged:
+        """Ids of ' ' + word for words without blanks, special tokens and white space at an end: by the
+        merges' ranks, or by the tokenizers library where the ranks do not cover a word."""
+        parts, left = [np.zeros(0, np.uint32)], []
+        for a in range(0, len(words), _A_GROUP):
+            group = words[a : a + _A_GROUP]
+            if not self.ranks.covers(joined := " " + " ".join(group)):
+                kept = [self.ranks.covers(w) for w in group]
+                left += [a + i for i, k in enumerate(kept) if not k]
+                joined = "".join(" " + w for w, k in zip(group, kept, strict=True) if k)
+            if joined:
+                parts.append(np.array(self.ranks.fast.encode_ordinary(joined), np.uint32))
+        out = self._split(np.concatenate(parts), len(words) - len(left))
+        if not left:
+            return out
+        order = np.ones(len(words), bool)
+        order[left] = False
+        back = np.empty(len(words), np.int64)
+        back[order], back[left] = np.arange(len(out)), len(out) + np.arange(len(left))
+        return Ragged.join([out, self._library_words([words[i] for i in left])]).take(back)
+
+    def _split(self, flat: np.ndarray, n: int) -> Ragged:
+        """Ids of ``n`` words laid end to end, cut where pieces begin with a blank."""
+        at = np.flatnonzero(self.blank[flat])
+        assert len(at) == n, "a word does not begin with a blank piece"
+        return Ragged(flat, np.diff(np.concatenate([at, [len(flat)]])) if n else at)
+
+    def _library_words(self, words: list[str]) -> Ragged:
         # A full stop or comma behind a letter is a token of its own, so "word." needs no other encoding than "word".
         stems, tails, number = [], [], {}
-        for w in plain:
+        for w in words:
             cut = len(w) > 1 and w[-1] in ".," and w[-2] < "\u0250" and w[-2].isalpha()
             stems.append(number.setdefault(w[:-1] if cut else w, len(number)))
             tails.append(w[-1] if cut else "")
@@ -107,22 +155,10 @@ class Codec:
         groups = [" " + " ".join(own[j : j + _AT_ONCE]) for j in range(0, len(own), _AT_ONCE)]
         for i in range(0, len(groups), 256):
             parts += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(groups[i : i + 256], add_special_tokens=False)]
-        flat = np.concatenate(parts)
-        at = np.flatnonzero(self.blank[flat])
-        assert len(at) == len(own), "a word does not begin with a blank piece"
-        known = Ragged.join([Ragged(flat, np.diff(np.concatenate([at, [len(flat)]]))), *self.tails])
+        known = Ragged.join([self._split(np.concatenate(parts), len(own)), *self.tails])
         place = {"": len(own), ".": len(own) + 1, ",": len(own) + 2}
         pairs = known.take(np.stack([np.array(stems, np.int64), np.array([place[t] for t in tails], np.int64)], axis=1).ravel())
-        out = Ragged(pairs.flat, pairs.size.reshape(-1, 2).sum(axis=1))
-        if not odd:
-            return out
-        # Words with blanks or special tokens inside, or white space at an end, go one by one.
-        alone = [self.tokenizer.encode(" " + words[i], add_special_tokens=False).ids for i in odd]
-        both = Ragged(np.concatenate([out.flat, *[np.array(x, np.uint32) for x in alone]]), np.concatenate([out.size, [len(x) for x in alone]]))
-        order = np.empty(len(words), np.int64)
-        order[[i for i in range(len(words)) if i not in skip]] = np.arange(len(plain))
-        order[odd] = len(plain) + np.arange(len(odd))
-        return both.take(order)
+        return Ragged(pairs.flat, pairs.size.reshape(-1, 2).sum(axis=1))
 
     def encode_text(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -130,9 +166,10 @@ class Codec:
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The texts of ids laid end to end, each looked up in the table of pieces; bytes that are no
         UTF-8 become U+FFFD.  ``ends``: where each text's ids end."""
-        raw, size = self.pieces.take(ids)
-        data, at = raw.tobytes(), np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], ends])].tolist()
-        return [data[a:z].decode("utf-8", "replace") for a, z in zip(at, at[1:], strict=False)]
+        _, at, data = self.pieces.take(pa.array(ids)).buffers()
+        at = np.frombuffer(at, np.int64)[np.concatenate([[0], ends])].tolist()
+        data = memoryview(data or b"")
+        return [str(data[a:z], "utf-8", "replace") for a, z in zip(at, at[1:], strict=False)]
 
 
 _BLANK = "Ġ"
@@ -152,72 +189,115 @@ def codec(path: str) -> Codec:
 
 
 class WordTable:
-    """Ids of words, numbered as they come, and whole texts by their words' numbers."""
+    """Ids of words, numbered as they come."""
 
     def __init__(self, path: str) -> None:
-        self.codec, self.number, self.parts, self.firsts = codec(path), {}, [Ragged(np.zeros(0, np.uint32), np.zeros(0))], {}
+        self.codec, self.number, self.parts = codec(path), {}, [Ragged(np.zeros(0, np.uint32), np.zeros(0))]
 
     def add(self, words: list[str], ids: Ragged) -> None:
         """Words not known before, and their ids."""
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
         self.parts.append(ids)
 
-    def learn(self, words: set[str]) -> None:
-        """Encode words that have no number yet."""
+    def learn(self, words: Iterable[str]) -> None:
+        """Encode words, each given once, that have no number yet."""
         if new := [w for w in words if w not in self.number]:
             self.add(new, self.codec.encode_words(new))
 
-    def _first(self, word: str) -> int:
-        """The number of a text's first word, which has no blank in front."""
-        key = "\0" + word
-        if key not in self.firsts:
-            self.firsts[key] = len(self.number)
-            # It stands in the table under a name no other word has: a blank never occurs inside a word.
-            self.add([" " + word], Ragged(ids := self.codec.encode_text(word), np.array([len(ids)])))
-        return self.firsts[key]
-
-    def numbers(self, texts: list[str]) -> list[list[int]]:
-        """The numbers of each text's words.  Words not yet known are encoded first, all at once."""
-        get, missing, out, later = self.number.get, set(), [], []
-        for i, t in enumerate(texts):
-            first, *words = t.split(" ")
-            found = list(map(get, words))
-            if None in found:
-                missing.update([w for w, x in zip(words, found, strict=True) if x is None])
-            if None not in found and self._quick(t, first):
-                out.append([self._first(first), *found])
-            else:
-                later.append((i, first, words))
-                out.append(found)
-        # The quick cut is right unless a word is empty or has white space at an end.
-        self.learn({w for w in missing if w and not w[0].isspace() and not w[-1].isspace()})
-        for i, first, words in later:
-            found = list(map(get, words))
-            if None in found or not self._quick(texts[i], first):
-                first, *words = self.codec.cut(texts[i])
-                self.learn(set(words))
-                found = list(map(get, words))
-            out[i] = [self._first(first), *found]
-        return out
-
-    def _quick(self, text: str, first: str) -> bool:
-        return first != "" and not first[-1].isspace() and not any(s in text for s in self.codec.special)
-
-    def encode(self, texts: list[str]) -> Ragged:
-        """Ids of each text."""
-        if len(self.number) > CACHED_WORDS:
-            self.__init__(self.codec.path)
-        numbers = self.numbers(texts)
+    def numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def ids(self) -> Ragged:
         if len(self.parts) > 1:
             self.parts = [Ragged.join(self.parts)]
-        n = np.array([len(x) for x in numbers], np.int64)
-        flat, size = self.parts[0].take(np.fromiter(chain.from_iterable(numbers), np.int64, int(n.sum())))
-        return Ragged(flat, np.add.reduceat(size, np.cumsum(n) - n) if len(n) else n)
-
-
-@lru_cache(maxsize=2)
-def word_table(path: str) -> WordTable:
-    return WordTable(path)
+        return self.parts[0]
+
+
+def _joined(words: pa.LargeStringArray) -> str:
+    """Words in a row with a blank between; as no word holds a blank, ``split(" ")`` gives them back."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.scalar(" ", pa.large_string()))[0].as_py()
+
+
+def _dealt(words: pa.LargeStringArray, targets: int) -> np.ndarray:
+    """A target for each word (none is empty), the same on every machine."""
+    _, at, data = words.buffers()
+    at = np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1]
+    place = np.arange(at[-1] - at[0]) - np.repeat(at[:-1] - at[0], np.diff(at))
+    power = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+    mixed = np.add.reduceat((np.frombuffer(data, np.uint8)[at[0] : at[-1]] + np.uint64(1)) * power[place & 63], at[:-1] - at[0])
+    return ((mixed ^ (mixed >> np.uint64(29))) * power[1] >> np.uint64(33)).astype(np.int64) % targets
+
+
+class BlockWords:
+    """The texts of a block as numbers of their distinct words, in order of appearance."""
+
+    def __init__(self, texts: pa.ChunkedArray) -> None:
+        self.texts = pc.fill_null(texts.cast(pa.large_string()), "").combine_chunks()
+        lists = pc.split_pattern(self.texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        self.words, self.at = coded.dictionary, coded.indices.to_numpy()
+        #: Where each text's words begin; the first has no blank in front of it and is never asked for.
+        self.begin = lists.offsets.to_numpy().astype(np.int64)
+        self.behind = np.ones(len(self.at), bool)
+        self.behind[self.begin[:-1]] = False
+        asked = np.zeros(len(self.words), bool)
+        asked[self.at[self.behind]] = True
+        asked &= ~pc.match_substring_regex(self.words, f"^$|^[{_SPACE}]|[{_SPACE}]$").to_numpy(zero_copy_only=False)
+        self.asked = np.flatnonzero(asked)
+
+    def asked_of(self, targets: int) -> list[np.ndarray]:
+        """The words that each target is asked for."""
+        if not len(self.asked):
+            return [self.asked] * targets
+        to = _dealt(self.words.take(pa.array(self.asked)), targets)
+        return np.split(self.asked[np.argsort(to, kind="stable")], np.cumsum(np.bincount(to, minlength=targets))[:-1])
+
+    def joined(self, which: np.ndarray) -> str:
+        return _joined(self.words.take(pa.array(which)))
+
+    def odd(self, special: list[str]) -> np.ndarray:
+        """Texts that cannot be cut at every blank."""
+        found = pc.match_substring_regex(self.texts, f"^ | $|[{_SPACE}] | [{_SPACE}]")
+        for s in special:
+            found = pc.or_(found, pc.match_substring(self.texts, s))
+        return np.flatnonzero(found.to_numpy(zero_copy_only=False))
+
+    def encoded(self, codec: Codec, number: np.ndarray, parts: list[Ragged]) -> tuple[Ragged, np.ndarray, np.ndarray]:
+        """(table of ids, numbers in it of all texts' words end to end, where each text's begin).
+
+        ``number``: places in ``parts`` of the words that targets answered, else -1.
+        """
+        known = sum(len(p) for p in parts)
+
+        def learn(ids: Ragged) -> np.ndarray:
+            nonlocal known
+            parts.append(ids)
+            known += len(ids)
+            return np.arange(known - len(ids), known)
+
+        odd = self.odd(codec.special)
+        wanted = np.ones(len(self.texts), bool)
+        wanted[odd] = False
+        new = np.unique(self.at[self.behind & np.repeat(wanted, np.diff(self.begin)) & (number[self.at] < 0)])
+        if len(new):
+            number[new] = learn(codec.encode_words(self.joined(new).split(" ")))
+        first = self.begin[:-1]
+        numbers = number[self.at]
+        heads, which = np.unique(self.at[first], return_inverse=True)
+        if len(heads):
+            numbers[first] = learn(codec.ranks.encode(self.joined(heads).split(" ")))[which]
+        if not len(odd):
+            return Ragged.join(parts), numbers, self.begin
+        which = np.flatnonzero(number >= 0)
+        own = dict(zip(self.joined(which).split(" "), number[which].tolist(), strict=True)) if len(which) else {}
+        texts = np.split(numbers, self.begin[1:-1])
+        cuts = [codec.cut(t) for t in self.texts.take(pa.array(odd)).to_pylist()]
+        if new := list({w: None for _, *words in cuts for w in words if w not in own}):
+            own.update(zip(new, learn(codec.encode_words(new)).tolist(), strict=True))
+        begins = learn(codec.ranks.encode([c[0] for c in cuts]))
+        for i, b, (_, *words) in zip(odd.tolist(), begins.tolist(), cuts, strict=True):
+            texts[i] = np.array([b, *[own[w] for w in words]], np.int64)
+        return Ragged.join(parts), np.concatenate(texts), np.cumsum([0, *map(len, texts)])
 
 
 def _packed(x) -> bytes:
@@ -249,16 +329,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
         yield part + k, pa.Table.from_batches(held)
 
 
-def asked_words(words: Iterable[str], targets: int) -> list[list[str]]:
-    """``words`` dealt to targets, each list sorted."""
-    out: list[list[str]] = [[] for _ in range(targets)]
-    for w in words:
-        out[zlib.crc32(w.encode()) % targets].append(w)
-    for o in out:
-        o.sort()
-    return out
-
-
 def _small(ids: np.ndarray) -> np.ndarray:
     return ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
 
@@ -270,7 +340,7 @@ def round_trip(
     """``keys`` of each row and ``row(ids as little-endian unsigned 32-bit integers, decoded)`` of its whole
     text (NULL: empty).
 
-    1. Each block of rows asks for the ids of its distinct words: one sorted list for each target.
+    1. Each block of rows asks for the ids of its distinct words: one list for each target.
     2. Targets gather equal words of all blocks, encode each once and answer each block in its order.
     3. Blocks of rows and their answers meet; ids are joined by the words' positions, then decoded by
        looking each id up in the table of pieces, whose size is the vocabulary's.
@@ -283,29 +353,35 @@ def round_trip(
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(*keys, F.col(text).alias("__text"))
 
-    def words_in(table: pa.Table) -> list[list[str]]:
-        seen: set[str] = set()
-        for t in table["__text"].to_pylist():
-            if t:
-                seen.update(t.split(" ")[1:])
-        return asked_words((w for w in seen if w and not (w[0].isspace() or w[-1].isspace())), n)
-
     def ask(batches):
         for block, table in _blocks(batches, block_bytes):
-            rows = [(t, w) for t, w in enumerate(words_in(table)) if w]
-            yield pa.record_batch([pa.array([t for t, _ in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([_packed("\0 ".join(w)) for _, w in rows], pa.binary())], schema=_EXCHANGED)
+            words = BlockWords(table["__text"])
+            rows = [(t, _packed(words.joined(which))) for t, which in enumerate(words.asked_of(n)) if len(which)]
+            yield pa.record_batch([pa.array([t for t, _ in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()), pa.array([p for _, p in rows], pa.binary())], schema=_EXCHANGED)
 
     def answer(batches):
         table = WordTable(path)
         for b in batches:
-            asked = [_unpacked(p).split("\0 ") for p in b.column(2).to_pylist()]
-            table.learn({w for words in asked for w in words})
-            table.parts = [Ragged.join(table.parts)]
-            payload = []
-            for words in asked:
-                ids, size = table.parts[0].take(np.fromiter(map(table.number.__getitem__, words), np.int64, len(words)))
-                payload.append(_packed((zlib.crc32(words[-1].encode()), size.astype(np.uint16) if size.max() < 1 << 16 else size, _small(ids))))
-            yield pa.record_batch([b.column(1), b.column(0), pa.array(payload, pa.binary())], schema=_EXCHANGED)
+            held = []
+            for target, block, payload in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                held.append((block, target, _unpacked(payload)))
+                if sum(len(x[2]) for x in held) >= _ASKED_BYTES:
+                    yield answered(table, held)
+                    held = []
+            if held:
+                yield answered(table, held)
+
+    def answered(table, asked):
+        lists = pc.split_pattern(pa.array([x[2] for x in asked], pa.large_string()), " ")
+        coded, begin = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+        words = _joined(coded.dictionary).split(" ")
+        table.learn(words)
+        at, known = table.numbers(words)[coded.indices.to_numpy()], table.ids()
+        payload = []
+        for (_, _, joined), a, z in zip(asked, begin, begin[1:], strict=False):
+            ids, size = known.take(at[a:z])
+            payload.append(_packed((zlib.crc32(joined.encode()), size.astype(np.uint16) if size.max() < 1 << 16 else size, _small(ids))))
+        return pa.record_batch([pa.array([x[0] for x in asked], pa.int64()), pa.array([x[1] for x in asked], pa.int64()), pa.array(payload, pa.binary())], schema=_EXCHANGED)
 
     def pack(batches):
         for block, table in _blocks(batches, block_bytes):
@@ -331,19 +407,26 @@ def round_trip(
             yield from assemble(docs, answers)
 
     def assemble(docs: pa.Table, answers: dict[int, bytes]):
-        table = WordTable(path)
-        for t, words in enumerate(words_in(docs)):
-            if words and t in answers:
+        words, parts, known = BlockWords(docs["__text"]), [Ragged(np.zeros(0, np.uint32), np.zeros(0))], 0
+        number = np.full(len(words.words), -1, np.int64)
+        for t, which in enumerate(words.asked_of(n)):
+            if len(which) and t in answers:
                 check, size, ids = _unpacked(answers.pop(t))
-                if len(size) == len(words) and check == zlib.crc32(words[-1].encode()):
-                    table.add(words, Ragged(ids.astype(np.uint32), size))
+                if len(size) == len(which) and check == zlib.crc32(words.joined(which).encode()):
+                    number[which] = known + np.arange(len(which))
+                    parts.append(Ragged(ids.astype(np.uint32), size))
+                    known += len(which)
+        table, numbers, begin = words.encoded(codec(path), number, parts)
+        done = 0
         for piece in docs.to_batches():
             for i in range(0, piece.num_rows, step := max(1, (2 << 20) * piece.num_rows // max(1, piece.nbytes))):
                 rows = piece.slice(i, step)
-                flat, size = table.encode([t or "" for t in rows["__text"].to_pylist()])
-                ends = np.cumsum(size)
+                own = begin[done : done + rows.num_rows + 1]
+                done += rows.num_rows
+                flat, size = table.take(numbers[own[0] : own[-1]])
+                ends = np.cumsum(np.add.reduceat(size, own[:-1] - own[0]))
                 raw, at = memoryview(flat.astype("<u4").tobytes()), np.concatenate([[0], 4 * ends]).tolist()
-                out = [row(raw[a:z], text) for a, z, text in zip(at, at[1:], table.codec.decode(flat, ends), strict=False)]
+                out = [row(raw[a:z], text) for a, z, text in zip(at, at[1:], codec(path).decode(flat, ends), strict=False)]
                 made = [pa.array([r[j] for r in out], kind) for j, kind in enumerate(fields.values())]
                 yield pa.record_batch([rows[k] for k in keys] + made, names=[*keys, *fields])
 

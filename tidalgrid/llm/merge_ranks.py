@@ -21,6 +21,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Any other character sends its text to the tokenizers library.
 _PLAIN = "\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-›€"
 _OTHER = re.compile(f"[^{_PLAIN}]")
+#: So much white space in a row is left to the library too: tiktoken's pattern steps back over it one by one.
+_WIDE = re.compile(r"\s{4096}")
 
 
 def merge_ranks(path: str) -> dict[bytes, int] | None:
@@ -53,8 +55,12 @@ class RankEncoder:
 
             self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def covers(self, text: str) -> bool:
+        """Whether ranks give the ids of ``text``, which holds no special token."""
+        return self.fast is not None and (text.isascii() and text.isprintable() or not _OTHER.search(text)) and (len(text) < 100_000 or not _WIDE.search(text))
+
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or _OTHER.search(text) or any(s in text for s in self.codec.special):
+        if not self.covers(text) or any(s in text for s in self.codec.special):
             return self.codec.encode_text(text)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
