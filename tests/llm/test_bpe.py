@@ -17,7 +17,7 @@ from tidalgrid.llm.merge_ranks import _OTHER, merge_ranks, rank_encoder
 from tidalgrid.llm.queries.op04_token_files import END_ID, op4_token_files
 from tidalgrid.llm.queries.op07_bpe_round_trip import bpe_digests, op7_bpe_round_trip, tokenizer_path
 from tidalgrid.llm.token_files import read_token_files, write_token_files
-from tidalgrid.llm.wavelet import WaveletMatrix
+from tidalgrid.llm.wavelet import _STRETCH, WaveletMatrix, _halves
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -123,6 +123,28 @@ def test_wavelet_matrix(n):
         assert w.locate(v) == np.flatnonzero(x == v).tolist()
 
 
+@pytest.mark.parametrize("bits", [1, 7, 8, 9, 16, 17, 20])
+def test_wavelet_matrix_beyond_one_stretch(bits):
+    """Planes of every width against a naive partition, in which narrow ids keep only the bits still to come."""
+    x = np.random.default_rng(bits).integers(0, 1 << bits, 2 * _STRETCH + 77).astype(np.uint32)
+    kept, w, a = x.copy(), WaveletMatrix.build(x, bits), x
+    for k in range(bits):
+        ones = (a >> (bits - 1 - k) & 1).astype(bool)
+        assert (np.unpackbits(w.planes[k], count=len(x), bitorder="little") == ones).all() and w.zeros[k] == (~ones).sum()
+        a = np.concatenate([a[~ones], a[ones]])
+    back = WaveletMatrix.from_bytes(w.to_bytes())[0].to_array()
+    assert back.dtype == np.uint32 and (back == x).all() and (x == kept).all()
+
+
+def test_halves_of_a_partition_stay_in_order_and_in_bounded_stretches():
+    ones = np.random.default_rng(0).random(3 * _STRETCH + 5) < 0.3
+    out = np.empty(len(ones), np.int64)
+    for part, at, to in _halves(ones, int((~ones).sum())):
+        assert part.stop - part.start <= _STRETCH
+        out[to] = part.start + at
+    assert (out == np.argsort(ones, kind="stable")).all()
+
+
 def test_words_of_plain_characters_go_by_ranks(tokenizer, monkeypatch):
     """No plain word needs the tokenizers library; others go there, and all keep their places and ids."""
     own, odd = codec(PATH), ["", "日本", "naïve.", "x\n\ny", "\x1c", "<|endoftext|>", "a b", "end\n", "　wide", "word,", "don't.", "x\x00y"]

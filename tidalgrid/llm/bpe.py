@@ -127,7 +127,7 @@ class Codec:
                 left += [a + i for i, k in enumerate(kept) if not k]
                 joined = "".join(" " + w for w, k in zip(group, kept, strict=True) if k)
             if joined:
-                parts.append(np.array(self.ranks.fast.encode_ordinary(joined), np.uint32))
+                parts.append(self.ranks.by_ranks(joined))
         out = self._split(np.concatenate(parts), len(words) - len(left))
         if not left:
             return out

@@ -9,20 +9,34 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 
 MAGIC = b"TGWM\x01"
 #: Bits between two entries of the rank directory.
 BLOCK = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: Ids partitioned at once: their places fit a core's cache.
+_STRETCH = 1 << 15
 
 
-def _mask(packed: np.ndarray, n: int) -> pa.Array:
-    return pa.Array.from_buffers(pa.bool_(), n, [None, pa.py_buffer(packed)])
+def _kind(bits: int) -> type:
+    """The narrowest unsigned type of ``bits`` bits."""
+    return np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.uint32
+
+
+def _halves(ones: np.ndarray, zeros: int) -> Iterator[tuple[slice, np.ndarray, slice]]:
+    """The stable partition by ``ones`` (bool, ``zeros`` of them False), stretch by stretch and half by half:
+    (the stretch, places inside it, where these lie after the partition)."""
+    to = [0, zeros]
+    for i in range(0, len(ones), _STRETCH):
+        part = ones[i : i + _STRETCH]
+        for half, bit in enumerate((~part, part)):
+            at = np.flatnonzero(bit)
+            yield slice(i, i + len(part)), at, slice(to[half], to[half] + len(at))
+            to[half] += len(at)
 
 
 def _directory(packed: np.ndarray) -> np.ndarray:
@@ -30,7 +44,7 @@ def _directory(packed: np.ndarray) -> np.ndarray:
     step = BLOCK // 8
     padded = np.zeros(-(-len(packed) // step) * step, np.uint8)
     padded[: len(packed)] = packed
-    per = _ONES[padded].reshape(-1, step).sum(axis=1, dtype=np.int64)
+    per = np.bitwise_count(padded.view(np.uint64)).reshape(-1, step // 8).sum(axis=1, dtype=np.int64)
     return np.concatenate([[0], np.cumsum(per)])
 
 
@@ -43,16 +57,19 @@ class WaveletMatrix:
         """From unsigned 32-bit ids; ``bits`` planes, or as many as the largest id needs (one at least)."""
         n = len(ids)
         bits = bits or max(1, int(ids.max()).bit_length() if n else 1)
-        a = np.ascontiguousarray(ids, np.uint16 if bits <= 16 else np.uint32)
+        a = np.ascontiguousarray(ids, _kind(bits))
         planes, directories, zeros = [], [], []
         for b in range(bits - 1, -1, -1):
-            packed = np.packbits((a >> a.dtype.type(b)) & a.dtype.type(1), bitorder="little")
-            planes.append(packed)
-            directories.append(_directory(packed))
+            a = a.astype(_kind(b + 1), copy=False)  # the bits above lie in planes already
+            ones = (a & a.dtype.type(1 << b)) != 0
+            planes.append(np.packbits(ones, bitorder="little"))
+            directories.append(_directory(planes[-1]))
             zeros.append(n - int(directories[-1][-1]))
             if b:
-                m, v = _mask(packed, n), pa.array(a)
-                a = np.concatenate([v.filter(pc.invert(m)).to_numpy(), v.filter(m).to_numpy()])
+                out = np.empty_like(a)
+                for part, at, to in _halves(ones, zeros[-1]):
+                    np.take(a[part], at, out=out[to], mode="clip")
+                a = out
         return cls(n, planes, directories, zeros)
 
     def _rank1(self, k: int, i: np.ndarray) -> np.ndarray:
@@ -122,14 +139,19 @@ class WaveletMatrix:
     def to_array(self) -> np.ndarray:
         """All ids, by undoing the partitions from the last plane to the first."""
         bits = len(self.planes)
-        kind = np.uint16 if bits <= 16 else np.uint32
-        a = np.zeros(self.n, kind)
+        a = np.zeros(self.n, np.uint8)
         for k in range(bits - 1, -1, -1):
-            m, z = _mask(self.planes[k], self.n), self.zeros[k]
-            if k < bits - 1:
-                out = pc.replace_with_mask(pa.array(a), m, pa.array(a[z:]))
-                a = pc.replace_with_mask(out, pc.invert(m), pa.array(a[:z])).to_numpy()
-            a = a | (np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(kind) << kind(bits - 1 - k))
+            b = bits - 1 - k
+            ones = np.unpackbits(self.planes[k], count=self.n, bitorder="little")
+            if not b:
+                a = ones
+                continue
+            a = a.astype(_kind(b + 1), copy=False)
+            a[self.zeros[k] :] |= a.dtype.type(1 << b)
+            out = np.empty_like(a)
+            for part, at, to in _halves(ones.view(bool), self.zeros[k]):
+                out[part][at] = a[to]
+            a = out
         return a.astype(np.uint32)
 
     def to_bytes(self, **columns: np.ndarray) -> bytes:
