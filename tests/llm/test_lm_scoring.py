@@ -80,6 +80,59 @@ def test_training_lowers_the_loss():
     assert loss[1] < loss[0] - 0.3
 
 
+def test_gradients_of_a_step_are_those_of_the_naive_loss():
+    """Windows of several streams, some shorter than a stride, symbols that open a word, go on or count for nothing."""
+    p, prior, w = toy()
+    r = np.random.default_rng(5)
+    # As in texts, what follows BEGIN opens a word (piece 0) or is END.
+    streams = [stream(p, r.integers(0, p.n, k) * (np.arange(k) > 0)) for k in (0, 3, 20, 33)]
+    x, ok, y, opens, use = A.training_windows(p, np.concatenate(streams), np.array([len(s) for s in streams]))
+    wide = {k: v.astype(float) for k, v in w.items()}
+
+    def loss(w):
+        total, n = 0.0, 0
+        for s in streams:
+            for i in range(len(s) - 1):
+                start, follow, begins = naive(p, prior, w, s, i)
+                nxt = s[i + 1]
+                total -= (start if p.opens[nxt] else follow)[p.class_of[nxt]] + math.log(begins if p.opens[nxt] else 1 - begins)
+                n += 1
+        return total / n
+
+    g = {k: np.full_like(v, 9) for k, v in w.items()}
+    before = {"start": np.exp(prior.start), "follow": np.exp(prior.follow), "stop": prior.stop}
+    code = np.where(use, y + np.where(opens, 0, p.classes), -1).astype(np.int16)
+    A.gradients(w, before, x, ok, code, np.arange(w["e"].size).reshape(w["e"].shape), g)
+    for name, v in wide.items():
+        for at in r.permutation(np.flatnonzero(np.abs(g[name]) > 1e-4))[:6].tolist() + [v.size - 1]:
+            ends = []
+            for by in (1e-4, -1e-4):
+                moved = v.copy()
+                moved.flat[at] += by
+                ends.append(loss({**wide, name: moved}))
+            assert abs((ends[0] - ends[1]) / 2e-4 - g[name].flat[at]) < 2e-5, (name, at)
+
+
+def test_steps_follow_adam(monkeypatch):
+    p, prior, w = toy()
+    x, *rest = A.training_windows(p, stream(p, np.arange(20)), np.array([22]))
+    given, seen = np.random.default_rng(4), []
+
+    def gradients(w, before, x, ok, code, cells, g):
+        seen.append({k: given.normal(size=v.shape).astype(np.float32) for k, v in g.items()})
+        for k, v in g.items():
+            v[:] = seen[-1][k]
+
+    monkeypatch.setattr(A, "gradients", gradients)
+    got = A.train(w, prior, x, *rest, steps=4, rate=0.02)
+    for k, v in w.items():
+        want, m1, m2 = v.astype(float), 0, 0
+        for t, g in enumerate(seen, 1):
+            m1, m2 = 0.9 * m1 + 0.1 * g[k], 0.99 * m2 + 0.01 * g[k].astype(float) ** 2
+            want = want - 0.02 * (1 - t / 8) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
+        assert np.abs(got[k] - want).max() < 1e-5
+
+
 def test_every_window_comes_in_the_steps_of_a_trainer():
     for n in (1, 63, 64, 65, 9_601, 20_000):
         batches = A.shuffled_batches(n, min(A.BATCH, n), 0)

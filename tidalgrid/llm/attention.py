@@ -8,6 +8,7 @@ before.  A class gives its pieces in proportion to their counts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -108,14 +109,13 @@ _SCALE = np.float32(WIDTH**-0.5)
 
 
 def _attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, bias: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masked attention of the second half of each window over the whole; ``ok``: keys of the same text."""
+    """Masked attention of the second half of each window over the whole; ``q`` is scaled; ``ok``: keys of the same text."""
     s = q @ k.transpose(0, 2, 1)
-    s *= _SCALE
-    s += bias[_BACK]
+    s += np.where(_CAUSAL, bias[_BACK], np.float32(-1e4))  # exp makes it 0
     np.minimum(s, np.float32(60), out=s)  # keeps exp finite without a pass for each row's largest
     np.exp(s, out=s)
-    s *= _CAUSAL & ok[:, None, :]
-    s *= 1 / np.maximum(s.sum(axis=2, keepdims=True), np.float32(1e-30))
+    s *= ok.astype(np.float32)[:, None, :]
+    s *= 1 / np.maximum(s @ np.ones((s.shape[2], 1), np.float32), np.float32(1e-30))
     return s, s @ v
 
 
@@ -129,50 +129,95 @@ def shuffled_batches(n: int, batch: int, seed: int) -> Iterator[np.ndarray]:
         left = left[batch:]
 
 
+def _flat(a: np.ndarray) -> np.ndarray:
+    return a.reshape(-1, a.shape[-1])
+
+
+def gradients(w: dict[str, np.ndarray], before: dict[str, np.ndarray], x: np.ndarray, ok: np.ndarray, code: np.ndarray, cells: np.ndarray, g: dict[str, np.ndarray]) -> None:
+    """Into ``g``: the gradients, with respect to ``w``, of the mean loss of the next symbols of windows ``x``.
+
+    ``before``: exp of the prior's ``start`` and ``follow``, and its ``stop``.  ``code``: what each symbol predicts, the class behind
+    an opening, ``classes`` more behind a piece that goes on, -1 if unused.  ``cells``: numbers of the cells of ``w["e"]``.
+    """
+    n, classes = len(x), w["start"].shape[1]
+    code = code.ravel()
+    # Symbols before an opening come first, then those inside a word; unused ones are left out.
+    start, follow = np.flatnonzero((code >= 0) & (code < classes)), np.flatnonzero(code >= classes)
+    rows, cut = np.concatenate([start, follow]), len(start)
+    kv = np.concatenate([w["k"], w["v"]], axis=1)
+    e = w["e"].take(x, axis=0)
+    q = (_flat(e[:, STRIDE:]) @ (w["q"] * _SCALE)).reshape(n, STRIDE, WIDTH)
+    both = (_flat(e) @ kv).reshape(n, 2 * STRIDE, 2 * WIDTH)
+    k, v = both[..., :WIDTH], both[..., WIDTH:]
+    a, o = _attend(q, k, v, w["bias"], ok)
+    read, last, share = _flat(o)[rows], x[:, STRIDE:].ravel()[rows], np.float32(1 / max(1, len(rows)))
+    ends = 1 / (1 + np.exp(-np.clip(read @ w["stop"][:, 0] + before["stop"][last], -30, 30)))
+    ends[:cut] -= 1
+    ends *= share
+    g["stop"][:, 0] = ends @ read
+    z = np.empty((len(rows), classes), np.float32)
+    np.matmul(read[:cut], w["start"], out=z[:cut])
+    np.matmul(read[cut:], w["follow"], out=z[cut:])
+    np.minimum(z, np.float32(60), out=z)
+    np.exp(z, out=z)
+    z[:cut] *= before["start"]
+    z[cut:] *= before["follow"].take(last[cut:], axis=0)
+    z *= share / np.maximum(z @ np.ones((classes, 1), np.float32), np.float32(1e-30))
+    z[np.arange(len(rows)), code[rows] % classes] -= share
+    np.matmul(read[:cut].T, z[:cut], out=g["start"])
+    np.matmul(read[cut:].T, z[cut:], out=g["follow"])
+    d_read = ends[:, None] * w["stop"].T
+    d_read[:cut] += z[:cut] @ w["start"].T
+    d_read[cut:] += z[cut:] @ w["follow"].T
+    do = np.zeros_like(o)
+    _flat(do)[rows] = d_read
+    ds = do @ v.transpose(0, 2, 1)
+    ds -= (do * o).sum(axis=2, keepdims=True)
+    ds *= a
+    g["bias"][:] = np.bincount(_BACK[_CAUSAL], ds.sum(axis=0)[_CAUSAL], minlength=2 * STRIDE)
+    dkv = np.empty_like(both)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), do, out=dkv[..., WIDTH:])
+    dq = ds @ k
+    dq *= _SCALE
+    de = (_flat(dkv) @ kv.T).reshape(e.shape)
+    de[:, STRIDE:] += (_flat(dq) @ w["q"].T).reshape(dq.shape)
+    g["e"][:] = 0
+    np.add.at(g["e"].reshape(-1), cells.take(x.ravel(), axis=0).ravel(), de.ravel())
+    g["q"][:] = (e[:, STRIDE:].transpose(0, 2, 1) @ dq).sum(axis=0)
+    g["k"][:], g["v"][:] = np.hsplit((e.transpose(0, 2, 1) @ dkv).sum(axis=0), 2)
+
+
 def train(w: dict[str, np.ndarray], prior: Prior, x: np.ndarray, ok: np.ndarray, y: np.ndarray, opens: np.ndarray, use: np.ndarray, steps: int, rate: float = 0.01, batch: int = BATCH, seed: int = 0) -> dict[str, np.ndarray]:
     """``steps`` of Adam on windows ``x``; the next symbols open a word or not, with classes ``y``, where ``use``.
 
     No window comes again before all others have come: ``len(x) / batch`` steps, rounded up, use each.
     """
-    w = {k: v.copy() for k, v in w.items()}
-    m1, m2 = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    # Parameters, gradients and moments lie in flat arrays: a step of Adam is a few passes in place.
+    now = np.concatenate([v.ravel() for v in w.values()]).astype(np.float32)
+    grad, m1, m2, move = (np.zeros_like(now) for _ in range(4))
+    ends = np.cumsum([v.size for v in w.values()])[:-1]
+    shaped = lambda a: {k: part.reshape(v.shape) for (k, v), part in zip(w.items(), np.split(a, ends), strict=True)}
+    w, g = shaped(now), shaped(grad)
+    before = {"start": np.exp(prior.start), "follow": np.exp(prior.follow), "stop": prior.stop}
+    code = np.where(use, y + np.where(opens, 0, w["start"].shape[1]), -1).astype(np.int16)
+    cells = np.arange(w["e"].size).reshape(w["e"].shape)
     batches = shuffled_batches(len(x), min(batch, len(x)), seed)
-    flat = lambda g: g.reshape(-1, g.shape[-1])
     for t in range(1, steps + 1):
         pick = next(batches)
-        xb, yb, ub = x[pick], y[pick].ravel(), use[pick].ravel()
-        on = opens[pick].ravel()
-        e = w["e"][xb]
-        q, k, v = e[:, STRIDE:] @ w["q"], e @ w["k"], e @ w["v"]
-        a, o = _attend(q, k, v, w["bias"], ok[pick])
-        o2, last = flat(o), xb[:, STRIDE:].ravel()
-        share = np.float32(1 / max(1, ub.sum()))
-        b = 1 / (1 + np.exp(-np.clip(o2 @ w["stop"][:, 0] + prior.stop[last], -30, 30)))
-        db = ((b - on) * ub * share).astype(np.float32)
-        g = {"stop": (o2.T @ db)[:, None]}
-        do = db[:, None] * w["stop"].T
-        for name, rows in (("start", np.flatnonzero(on & ub)), ("follow", np.flatnonzero(~on & ub))):
-            z = o2[rows] @ w[name] + (prior.start if name == "start" else prior.follow[last[rows]])
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(rows)), yb[rows]] -= 1
-            z *= share
-            g[name] = o2[rows].T @ z
-            do[rows] += z @ w[name].T
-        do = do.reshape(o.shape)
-        da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dq, dk, dv = ds @ k * _SCALE, ds.transpose(0, 2, 1) @ q * _SCALE, a.transpose(0, 2, 1) @ do
-        de = dk @ w["k"].T + dv @ w["v"].T
-        de[:, STRIDE:] += dq @ w["q"].T
-        cells = xb.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
-        g["e"] = np.bincount(cells.ravel(), de.ravel(), minlength=w["e"].size).astype(np.float32).reshape(w["e"].shape)
-        g |= {"q": flat(e[:, STRIDE:]).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
-        g["bias"] = np.bincount(_BACK[_CAUSAL], ds.sum(axis=0)[_CAUSAL], minlength=2 * STRIDE).astype(np.float32)
-        for n in w:
-            m1[n] = 0.9 * m1[n] + 0.1 * g[n]
-            m2[n] = 0.99 * m2[n] + 0.01 * g[n] ** 2
-            w[n] = (w[n] - rate * (1 - t / (2 * steps)) * (m1[n] / (1 - 0.9**t)) / (np.sqrt(m2[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        gradients(w, before, x.take(pick, axis=0), ok.take(pick, axis=0), code.take(pick, axis=0), cells, g)
+        # Decays 0.9 and 0.99; the moments are kept without their factors 0.1 and 0.01.
+        m1 *= np.float32(0.9)
+        m1 += grad
+        grad *= grad
+        m2 *= np.float32(0.99)
+        m2 += grad
+        np.sqrt(m2, out=move)
+        move *= np.float32(0.1 / math.sqrt(1 - 0.99**t))
+        move += np.float32(1e-8)
+        np.divide(m1, move, out=move)
+        move *= np.float32(rate * (1 - t / (2 * steps)) * 0.1 / (1 - 0.9**t))
+        now -= move
     return w
 
 
@@ -198,23 +243,29 @@ def score_streams(p: Pieces, w: dict[str, np.ndarray], prior: Prior, symbols: np
     inputs = p.input_of[x].reshape(-1, STRIDE)
     after = np.concatenate([x[1:], [p.n]]).reshape(-1, STRIDE)
     which, kind = np.zeros(after.shape, np.float32), np.zeros(after.shape, np.float32)
-    q, k, v = w["e"] @ w["q"], w["e"] @ w["k"], w["e"] @ w["v"]
+    q, kv = w["e"] @ (w["q"] * _SCALE), w["e"] @ np.concatenate([w["k"], w["v"]], axis=1)
     start, follow = np.exp(prior.start), np.exp(prior.follow)
     for a in range(1, len(inputs), at_once):
         z = min(len(inputs), a + at_once)
         keys = np.concatenate([inputs[a - 1 : z - 1], inputs[a:z]], axis=1)
         same = np.concatenate([owner[a - 1 : z - 1], owner[a:z]], axis=1) == owner[a:z, :1]
-        o = _attend(q[inputs[a:z]], k[keys], v[keys], w["bias"], same)[1].reshape(-1, WIDTH)
+        both = kv.take(keys, axis=0)
+        o = _attend(q.take(inputs[a:z], axis=0), both[..., :WIDTH], both[..., WIDTH:], w["bias"], same)[1].reshape(-1, WIDTH)
         last, nxt = inputs[a:z].ravel(), after[a:z].ravel()
         on = p.opens[nxt]
         sign = np.where(on, np.float32(-1), np.float32(1))
-        kind[a:z] = -np.logaddexp(0, sign * (o @ w["stop"][:, 0] + prior.stop[last])).reshape(-1, STRIDE)
+        other = np.exp(np.minimum(sign * (o @ w["stop"][:, 0] + prior.stop[last]), np.float32(80)))
+        kind[a:z] = -np.log(1 + other).reshape(-1, STRIDE)
         got = np.empty(len(nxt), np.float32)
         for name, rows in (("start", np.flatnonzero(on)), ("follow", np.flatnonzero(~on))):
             m = o[rows] @ w[name]
             np.exp(m, out=m)
-            m *= start if name == "start" else follow[last[rows]]
-            got[rows] = m[np.arange(len(rows)), p.class_of[nxt[rows]]] / m.sum(axis=1)
+            own, after_last = p.class_of[nxt[rows]], last[rows]
+            if name == "start":
+                total, prior_of = m @ start, start[own]
+            else:
+                total, prior_of = np.einsum("ij,ij->i", m, follow.take(after_last, axis=0)), follow[after_last, own]
+            got[rows] = m[np.arange(len(rows)), own] * prior_of / total
         which[a:z] = (np.log(np.maximum(got, 1e-30)) + p.log_inside[nxt]).reshape(-1, STRIDE)
     which, kind = which.ravel()[place].astype(np.float64), kind.ravel()[place].astype(np.float64)
     ends = np.cumsum(size) - 1
