@@ -113,6 +113,29 @@ def test_gradients_of_a_step_are_those_of_the_naive_loss():
             assert abs((ends[0] - ends[1]) / 2e-4 - g[name].flat[at]) < 2e-5, (name, at)
 
 
+def test_inputs_are_projected_once_and_large_logits_stay_finite(monkeypatch):
+    """Windows of one input alone against rows of its own for each place; the gradients of equal inputs add up."""
+    p, prior, w = toy()
+    x = np.full((3, 2 * A.STRIDE), 5, np.int32)
+    ok, code = np.ones(x.shape, bool), np.arange(3 * A.STRIDE, dtype=np.int16).reshape(3, A.STRIDE) % (2 * p.classes)
+    spread = np.arange(100, 100 + x.size, dtype=np.int32).reshape(x.shape)
+    wide = {**w, "e": w["e"].copy(), "start": w["start"] * 400}
+    wide["e"][spread] = w["e"][5]
+    before = {"start": np.exp(prior.start), "follow": np.exp(prior.follow).copy(), "stop": prior.stop.copy()}
+    before["follow"][spread], before["stop"][spread] = before["follow"][5], before["stop"][5]
+    largest, bounded = [], A._bounded_exp
+    monkeypatch.setattr(A, "_bounded_exp", lambda z: (largest.append(z.max()), bounded(z)))
+    got = []
+    for inputs in (x, spread):
+        g = {k: np.full_like(v, 9) for k, v in wide.items()}
+        A.gradients(wide, before, inputs, ok, code, np.arange(w["e"].size).reshape(w["e"].shape), g)
+        got.append(g)
+    one, many = got
+    assert max(largest) > 60 and all(np.isfinite(v).all() for v in one.values())
+    assert np.allclose(one["e"][5], many["e"][spread].sum(axis=(0, 1)), rtol=1e-3, atol=1e-4)
+    assert all(np.allclose(one[k], many[k], rtol=1e-3, atol=1e-4) for k in one if k != "e")
+
+
 def test_steps_follow_adam(monkeypatch):
     p, prior, w = toy()
     x, *rest = A.training_windows(p, stream(p, np.arange(20)), np.array([22]))
@@ -163,6 +186,35 @@ def test_each_training_text_is_dealt_to_one_round():
     assert max(map(len, dealt)) - min(map(len, dealt)) <= 1
 
 
+def test_words_are_split_at_ascii_white_space_only():
+    r = np.random.default_rng(8)
+    texts = [None, "", " ", "\x0b\x0c \r\n", *["".join(map(chr, r.choice([*range(0x21), 65, 90, 97, 0x7F, 0x85, 0xA0, 0xC9, 0x2003, 0x1F600], 60))) for _ in range(200)]]
+    for texts in (texts, [None], [], texts[:4]):
+        words, numbers, n_words = L.split_words(pa.chunked_array([texts[:2], texts[2:]], pa.string()))
+        own = words.to_pylist()
+        want = [(t or "").encode().lower().split() for t in texts]
+        assert [own[i].encode() for i in numbers] == [w for ws in want for w in ws] and n_words.tolist() == [len(ws) for ws in want]
+        assert len(set(own)) == len(own)
+
+
+def test_answers_lie_in_the_order_of_a_blocks_words(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} Common w{i} x{i * i}" if i else None) for i in range(40)], "doc_id long, text string").repartition(3)
+    prepared = L.prepare(docs, "doc_id", "text", F.col("doc_id") < 30, 5).localCheckpoint()
+    answered = L.count_words(prepared.where("target >= 0"), PATH, 5).localCheckpoint()
+    total = Counter(w for i in range(1, 30) for w in f"w{i % 7} common w{i} x{i * i}".split())
+    blocks = prepared.where(F.col("target") == L._DOCS).collect()
+    assert len(blocks) == 3
+    for row in blocks:
+        block = L.Block.unpack(row["payload"])
+        parts = [L._unpack(r["payload"]) for r in answered.where(F.col("target") == row["source"]).orderBy("source").collect()]
+        words = block.words.to_pylist()
+        assert np.concatenate([c for c, _, _ in parts]).tolist() == [total[w] for w in words]
+        flat, size = L.codec(PATH).encode_words(words)
+        assert np.array_equal(np.concatenate([f for _, f, _ in parts]), flat) and np.array_equal(np.concatenate([s for *_, s in parts]), size)
+        at = np.split(block.numbers, np.cumsum(block.n_words)[:-1])
+        assert [" ".join(words[j] for j in n) for n in at] == [f"w{i % 7} common w{i} x{i * i}" if i else "" for i in block.key.to_pylist()]
+
+
 def test_attention_learns_from_every_training_text(spark):
     words = [chr(97 + i) + chr(97 + i) + chr(97 + (i + 5) % 26) + chr(97 + (3 * i + 1) % 26) for i in range(24)]
     docs = spark.createDataFrame([(i, f"{w} " * 40) for i, w in enumerate(words)], "doc_id long, text string").repartition(3)

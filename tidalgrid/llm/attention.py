@@ -112,13 +112,24 @@ def _attend(q: np.ndarray, k: np.ndarray, v: np.ndarray, bias: np.ndarray, ok: n
     """Masked attention of the second half of each window over the whole; ``q`` is scaled; ``ok``: keys of the same text."""
     s = q @ k.transpose(0, 2, 1)
     s += np.where(_CAUSAL, bias[_BACK], np.float32(-1e4))  # exp makes it 0
-    np.minimum(s, np.float32(60), out=s)  # keeps exp finite without a pass for each row's largest
-    np.exp(s, out=s)
-    s *= ok.astype(np.float32)[:, None, :]
-    s *= 1 / np.maximum(s @ np.ones((s.shape[2], 1), np.float32), np.float32(1e-30))
+    _bounded_exp(s)
+    partly = np.flatnonzero(~ok.all(axis=1))  # few windows hold keys of another text
+    s[partly] *= ok[partly, None, :]
+    s *= (1 / np.maximum(_row_sums(_flat(s)), np.float32(1e-30))).reshape(s.shape[:2] + (1,))
     return s, s @ v
 
 
+def _bounded_exp(z: np.ndarray) -> None:
+    """``z`` becomes exp of it; a bound keeps it finite without a pass for each row's largest."""
+    if z.size and z.max() > 60:
+        np.minimum(z, np.float32(60), out=z)
+    np.exp(z, out=z)
+
+
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones((z.shape[1], 1), np.float32)
+
+
 def shuffled_batches(n: int, batch: int, seed: int) -> Iterator[np.ndarray]:
     """Endless batches of the numbers below ``n``: all of them in a shuffled order, then all in another."""
     order, left = np.random.default_rng(seed), np.zeros(0, np.int64)
@@ -144,10 +155,16 @@ def gradients(w: dict[str, np.ndarray], before: dict[str, np.ndarray], x: np.nda
     # Symbols before an opening come first, then those inside a word; unused ones are left out.
     start, follow = np.flatnonzero((code >= 0) & (code < classes)), np.flatnonzero(code >= classes)
     rows, cut = np.concatenate([start, follow]), len(start)
-    kv = np.concatenate([w["k"], w["v"]], axis=1)
-    e = w["e"].take(x, axis=0)
-    q = (_flat(e[:, STRIDE:]) @ (w["q"] * _SCALE)).reshape(n, STRIDE, WIDTH)
-    both = (_flat(e) @ kv).reshape(n, 2 * STRIDE, 2 * WIDTH)
+    # Each input of the batch is projected once, however often it stands there.
+    there = np.zeros(len(w["e"]), bool)
+    there[x] = True
+    inputs = np.flatnonzero(there)
+    at = np.empty(len(w["e"]), np.int64)
+    at[inputs] = np.arange(len(inputs))
+    at = at.take(x)
+    kv, e = np.concatenate([w["k"], w["v"]], axis=1), w["e"].take(inputs, axis=0)
+    q = (e @ (w["q"] * _SCALE)).take(at[:, STRIDE:], axis=0)
+    both = (e @ kv).take(at, axis=0)
     k, v = both[..., :WIDTH], both[..., WIDTH:]
     a, o = _attend(q, k, v, w["bias"], ok)
     read, last, share = _flat(o)[rows], x[:, STRIDE:].ravel()[rows], np.float32(1 / max(1, len(rows)))
@@ -158,34 +175,40 @@ def gradients(w: dict[str, np.ndarray], before: dict[str, np.ndarray], x: np.nda
     z = np.empty((len(rows), classes), np.float32)
     np.matmul(read[:cut], w["start"], out=z[:cut])
     np.matmul(read[cut:], w["follow"], out=z[cut:])
-    np.minimum(z, np.float32(60), out=z)
-    np.exp(z, out=z)
+    _bounded_exp(z)
     z[:cut] *= before["start"]
     z[cut:] *= before["follow"].take(last[cut:], axis=0)
-    z *= share / np.maximum(z @ np.ones((classes, 1), np.float32), np.float32(1e-30))
-    z[np.arange(len(rows)), code[rows] % classes] -= share
-    np.matmul(read[:cut].T, z[:cut], out=g["start"])
-    np.matmul(read[cut:].T, z[cut:], out=g["follow"])
-    d_read = ends[:, None] * w["stop"].T
-    d_read[:cut] += z[:cut] @ w["start"].T
-    d_read[cut:] += z[cut:] @ w["follow"].T
+    # Rows are divided by their sums behind the products, where they are narrow.
+    total = np.maximum(_row_sums(z), np.float32(1e-30))
+    z.reshape(-1)[np.arange(0, z.size, classes) + code[rows] % classes] -= total[:, 0]
+    total = share / total
+    scaled = read * total
+    np.matmul(scaled[:cut].T, z[:cut], out=g["start"])
+    np.matmul(scaled[cut:].T, z[cut:], out=g["follow"])
+    d_read = np.empty_like(read)
+    np.matmul(z[:cut], w["start"].T, out=d_read[:cut])
+    np.matmul(z[cut:], w["follow"].T, out=d_read[cut:])
+    d_read *= total
+    d_read += ends[:, None] * w["stop"].T
     do = np.zeros_like(o)
     _flat(do)[rows] = d_read
     ds = do @ v.transpose(0, 2, 1)
-    ds -= (do * o).sum(axis=2, keepdims=True)
+    ds -= _row_sums(_flat(do * o)).reshape(ds.shape[:2] + (1,))
     ds *= a
     g["bias"][:] = np.bincount(_BACK[_CAUSAL], ds.sum(axis=0)[_CAUSAL], minlength=2 * STRIDE)
     dkv = np.empty_like(both)
     np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :WIDTH])
     np.matmul(a.transpose(0, 2, 1), do, out=dkv[..., WIDTH:])
-    dq = ds @ k
+    # Added up by input first: pairs of columns as complex numbers, which halves the additions.
+    by_input = np.zeros((len(inputs), 2 * WIDTH), np.float32)
+    np.add.at(by_input.reshape(-1).view(np.complex64), cells.take(at.ravel(), axis=0).ravel(), dkv.reshape(-1).view(np.complex64))
+    dq = np.zeros(e.shape, np.float32)
+    np.add.at(dq.reshape(-1), cells.take(at[:, STRIDE:].ravel(), axis=0).ravel(), (ds @ k).ravel())
     dq *= _SCALE
-    de = (_flat(dkv) @ kv.T).reshape(e.shape)
-    de[:, STRIDE:] += (_flat(dq) @ w["q"].T).reshape(dq.shape)
     g["e"][:] = 0
-    np.add.at(g["e"].reshape(-1), cells.take(x.ravel(), axis=0).ravel(), de.ravel())
-    g["q"][:] = (e[:, STRIDE:].transpose(0, 2, 1) @ dq).sum(axis=0)
-    g["k"][:], g["v"][:] = np.hsplit((e.transpose(0, 2, 1) @ dkv).sum(axis=0), 2)
+    g["e"][inputs] = by_input @ kv.T + dq @ w["q"].T
+    np.matmul(e.T, dq, out=g["q"])
+    g["k"][:], g["v"][:] = np.hsplit(e.T @ by_input, 2)
 
 
 def train(w: dict[str, np.ndarray], prior: Prior, x: np.ndarray, ok: np.ndarray, y: np.ndarray, opens: np.ndarray, use: np.ndarray, steps: int, rate: float = 0.01, batch: int = BATCH, seed: int = 0) -> dict[str, np.ndarray]:
@@ -212,11 +235,11 @@ def train(w: dict[str, np.ndarray], prior: Prior, x: np.ndarray, ok: np.ndarray,
         grad *= grad
         m2 *= np.float32(0.99)
         m2 += grad
+        scale = 0.1 / math.sqrt(1 - 0.99**t)
         np.sqrt(m2, out=move)
-        move *= np.float32(0.1 / math.sqrt(1 - 0.99**t))
-        move += np.float32(1e-8)
+        move += np.float32(1e-8 / scale)
         np.divide(m1, move, out=move)
-        move *= np.float32(rate * (1 - t / (2 * steps)) * 0.1 / (1 - 0.9**t))
+        move *= np.float32(rate * (1 - t / (2 * steps)) * 0.1 / (1 - 0.9**t) / scale)
         now -= move
     return w
 
@@ -233,7 +256,14 @@ def _lay_out(p: Pieces, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
     return place, x, owner.reshape(-1, STRIDE)
 
 
-def score_streams(p: Pieces, w: dict[str, np.ndarray], prior: Prior, symbols: np.ndarray, size: np.ndarray, at_once: int = 128) -> tuple[np.ndarray, np.ndarray]:
+def _windows(strides: np.ndarray) -> np.ndarray:
+    """Each stride but the first behind the one before it, as overlapping views."""
+    n, _, width = strides.shape
+    row = strides.itemsize * width
+    return np.lib.stride_tricks.as_strided(strides, (n - 1, 2 * STRIDE, width), (STRIDE * row, row, strides.itemsize), writeable=False)
+
+
+def score_streams(p: Pieces, w: dict[str, np.ndarray], prior: Prior, symbols: np.ndarray, size: np.ndarray, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """For each symbol of the streams laid end to end: (log P(next symbol | its kind), log P(next's kind)).
 
     Kinds are: opens a word (or is END), goes on.  Each stream starts with BEGIN and ends with END, whose
@@ -247,9 +277,8 @@ def score_streams(p: Pieces, w: dict[str, np.ndarray], prior: Prior, symbols: np
     start, follow = np.exp(prior.start), np.exp(prior.follow)
     for a in range(1, len(inputs), at_once):
         z = min(len(inputs), a + at_once)
-        keys = np.concatenate([inputs[a - 1 : z - 1], inputs[a:z]], axis=1)
         same = np.concatenate([owner[a - 1 : z - 1], owner[a:z]], axis=1) == owner[a:z, :1]
-        both = kv.take(keys, axis=0)
+        both = _windows(kv.take(inputs[a - 1 : z], axis=0))
         o = _attend(q.take(inputs[a:z], axis=0), both[..., :WIDTH], both[..., WIDTH:], w["bias"], same)[1].reshape(-1, WIDTH)
         last, nxt = inputs[a:z].ravel(), after[a:z].ravel()
         on = p.opens[nxt]

@@ -7,19 +7,19 @@ Both parts are distributions over words and END, so a score is the log probabili
 from __future__ import annotations
 
 import pickle
-import zlib
-from collections import Counter
-from itertools import chain
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
 from . import attention as A
-from .bpe import Ragged, _blocks, codec
+from .bpe import Ragged, _blocks, _dealt, _joined, codec
 
 #: Weight of counted words.
 SHARE = 0.2
@@ -44,13 +44,52 @@ def _unpack(b: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
 
 
-def _block(b: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(b)).read_all()
+def _words_out(words: pa.LargeStringArray) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("word", pa.large_string())])) as s:
+        s.write_batch(pa.record_batch([words], names=["word"]))
+    return sink.getvalue().to_pybytes()
 
 
-def words_of_text(text: str | None) -> list[bytes]:
-    """Lower-cased (A to Z) words between blanks and the controls from tab to carriage return."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+def _words_in(b: bytes) -> pa.LargeStringArray:
+    return pa.ipc.open_stream(b).read_next_batch().column(0)
+
+
+def split_words(texts: pa.ChunkedArray) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+    """Lower-cased (A to Z) words between blanks and the controls from tab to carriage return: (distinct
+    ones, the number of each word of all texts end to end, how many each text has)."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "").combine_chunks()
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, n_words = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    full = pc.binary_length(flat).to_numpy() > 0  # white space at an end leaves an empty word
+    if not full.all():
+        n_words = np.bincount(np.repeat(np.arange(len(n_words)), n_words)[full], minlength=len(n_words))
+        flat = flat.filter(pa.array(full))
+    coded = flat.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), n_words
+
+
+@dataclass(frozen=True)
+class Block:
+    """A block of documents: their keys, which teach, their sizes in bytes, and their words as numbers among ``words``."""
+
+    key: pa.Array
+    train: np.ndarray
+    size: np.ndarray
+    words: pa.LargeStringArray
+    numbers: np.ndarray
+    n_words: np.ndarray
+
+    def pack(self) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("key", self.key.type)])) as s:
+            s.write_batch(pa.record_batch([self.key], names=["key"]))
+        return _pack((sink.getvalue().to_pybytes(), self.train, self.size, _words_out(self.words), self.numbers, self.n_words))
+
+    @staticmethod
+    def unpack(b: bytes) -> Block:
+        key, train, size, words, numbers, n_words = _unpack(b)
+        return Block(pa.ipc.open_stream(key).read_next_batch().column(0), train, size, _words_in(words), numbers, n_words)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -58,53 +97,51 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def prepare(docs: DataFrame, key: str, text: str, train: Column, targets: int) -> DataFrame:
-    """Blocks of documents, compressed, and what each asks: its distinct words with training counts."""
+    """Blocks of documents, compressed, and what each asks: its distinct words with training counts.
+
+    A block's words are numbered in the order of the targets it asks, so answers laid end to end fit the numbers.
+    """
     def compute(batches):
         for block, table in _blocks(batches, BLOCK_BYTES):
-            counts: Counter = Counter()
-            seen: set[bytes] = set()
-            for t, learn in zip(table["text"].to_pylist(), table["train"].to_pylist(), strict=True):
-                words = words_of_text(t)
-                if learn:
-                    counts.update(words)
-                else:
-                    seen.update(words)
-            asks: list[list] = [[] for _ in range(targets)]
-            for w in seen - counts.keys():
-                asks[zlib.crc32(w) % targets].append((w, 0))
-            for w, c in counts.items():
-                asks[zlib.crc32(w) % targets].append((w, c))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as s:
-                s.write_table(table)
-            rows = [(t, block, _pack(tuple(zip(*a, strict=True)))) for t, a in enumerate(asks) if a]
-            yield _rows([*rows, (_DOCS, block, zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes()))])
+            words, numbers, n_words = split_words(table["text"])
+            learn = table["train"].to_numpy()
+            counts = np.bincount(numbers[np.repeat(learn, n_words)], minlength=len(words))
+            to = _dealt(words, targets) if len(words) else np.zeros(0, np.int64)
+            order = np.argsort(to, kind="stable")
+            words, counts, place = words.take(pa.array(order)), counts[order], np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            ends = np.cumsum(np.bincount(to, minlength=targets))
+            rows = [(t, block, _pack((_words_out(words.slice(a, z - a)), counts[a:z]))) for t, (a, z) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)) if z > a]
+            size = pc.fill_null(pc.binary_length(table["text"]), 0).to_numpy().astype(np.int64)
+            yield _rows([*rows, (_DOCS, block, Block(table["key"].combine_chunks(), learn, size, words, place[numbers], n_words).pack())])
 
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     return d.mapInArrow(compute, _ROWS_SQL)
 
 
+def _encoded(words: pa.LargeStringArray, path: str) -> Ragged:
+    """Ids of each word behind a blank."""
+    return codec(path).encode_words(_joined(words).split(" ") if len(words) else [])
+
+
 def count_words(asks: DataFrame, path: str, targets: int) -> DataFrame:
-    """Each target sums its words over all blocks, splits each into pieces once and answers every block."""
+    """Each target sums its words over all blocks, splits each into pieces once and answers every block:
+    counts and pieces in the order of the words asked, with the target's number as source."""
     def compute(batches):
-        asked = [(s, p) for b in batches for s, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        asked = [(t, s, *_unpack(p)) for b in batches for t, s, p in zip(*[x.to_pylist() for x in b.columns], strict=True)]
         if not asked:
             return
-        number: dict[bytes, int] = {}
-        for _, p in asked:
-            for w in _unpack(p)[0]:
-                number.setdefault(w, len(number))
-        total = np.zeros(len(number), np.int64)
-        numbered = []
-        for source, p in asked:
-            words, counts = _unpack(p)
-            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            total[at] += np.array(counts)  # a block asks for a word once
-            numbered.append((source, words, at))
-        ids = codec(path).encode_words([w.decode("utf-8") for w in number])
-        for source, words, at in numbered:
+        coded = pa.chunked_array([_words_in(w) for _, _, w, _ in asked]).combine_chunks().dictionary_encode()
+        number, counts = coded.indices.to_numpy(), np.concatenate([c for *_, c in asked])
+        total = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(total, number, counts)
+        ids = _encoded(coded.dictionary, path)
+        begin = 0
+        for target, source, _, c in asked:
+            at = number[begin : begin + len(c)]
+            begin += len(c)
             flat, size = ids.take(at)
-            yield _rows([(source, 0, _pack((words, total[at], flat.astype(np.uint32), size)))])
+            yield _rows([(source, target, _pack((total[at], flat.astype(np.uint32), size.astype(np.int32))))])
         known = np.flatnonzero(total)
         flat, size = ids.take(known)
         yield _rows([(_STATS, 0, _pack((int(total.sum()), len(known)))), (_WORDS, 0, _pack((total[known], flat, size)))])
@@ -184,13 +221,32 @@ def least_steps(windows: int) -> int:
     return max(LEAST_STEPS, -(-windows // A.BATCH))
 
 
-def dealt_texts(block: int, table: pa.Table, turn: int) -> list[str | None]:
+def dealt_texts(block: int, table: pa.Table, turn: int) -> list:
     """The training texts of a block for round ``turn``: each is dealt to one of the ``ROUNDS`` rounds."""
     texts = table["text"].filter(table["train"]).to_pylist()
     rounds = np.random.default_rng(block).permutation(len(texts)) % ROUNDS
     return [t for t, r in zip(texts, rounds.tolist(), strict=True) if r == turn]
 
 
+def _texts_of(held: list[tuple[Block, int]], path: str) -> tuple[Ragged, np.ndarray, np.ndarray]:
+    """Texts, given as blocks and places in them: (ids of their distinct words, numbers of all their words, how many each has)."""
+    parts, wanted = [], []
+    for _, group in groupby(held, key=lambda x: id(x[0])):
+        group = list(group)
+        block = group[0][0]
+        numbers, n_words = Ragged(block.numbers, block.n_words).take(np.array([i for _, i in group]))
+        used = np.zeros(len(block.words), bool)
+        used[numbers] = True
+        own = np.flatnonzero(used)
+        wanted.append(block.words.take(pa.array(own)))
+        place = np.empty(len(used), np.int64)
+        place[own] = np.arange(len(own))
+        parts.append((place[numbers], n_words))
+    coded = pa.chunked_array(wanted, pa.large_string()).combine_chunks().dictionary_encode()
+    at, begins = coded.indices.to_numpy(), np.cumsum([0, *map(len, wanted)])
+    return _encoded(coded.dictionary, path), np.concatenate([at[b : b + len(w)][n] for b, w, (n, _) in zip(begins, wanted, parts, strict=False)]), np.concatenate([n for _, n in parts])
+
+
 def fit_attention(blocks: DataFrame, path: str, p: A.Pieces, prior: A.Prior, tasks: int) -> dict[str, np.ndarray]:
     """Train on all training texts of ``blocks`` (source, payload), a part of each block in each round.
 
@@ -204,12 +260,9 @@ def fit_attention(blocks: DataFrame, path: str, p: A.Pieces, prior: A.Prior, tas
     for turn in range(ROUNDS):
         start = w
 
-        def trained(texts, start=start, turn=turn):
+        def trained(held, start=start, turn=turn):
             """Parameters after one trainer's steps, times its windows, and these."""
-            words = [[x.decode("utf-8") for x in words_of_text(t)] for t in texts]
-            number = {x: i for i, x in enumerate({x: None for ws in words for x in ws})}
-            ids = codec(path).encode_words(list(number))
-            symbols, size, _ = _streams(p, ids, np.array([number[x] for ws in words for x in ws], np.int64), np.array([len(ws) for ws in words]))
+            symbols, size, _ = _streams(p, *_texts_of(held, path))
             x, *rest = A.training_windows(p, symbols, size)
             got = A.train(start, prior, x, *rest, steps=least_steps(len(x)), rate=0.01 / (1 + turn), seed=turn)
             return len(x) * np.concatenate([got[k].ravel() for k in names]).astype(np.float64), len(x)
@@ -218,9 +271,10 @@ def fit_attention(blocks: DataFrame, path: str, p: A.Pieces, prior: A.Prior, tas
             total, windows, held, size = np.zeros(sum(sizes)), 0, [], 0
             for b in batches:
                 for block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for t in dealt_texts(block, _block(payload), turn):
-                        held.append(t)
-                        size += len((t or "").encode("utf-8", "replace"))
+                    d = Block.unpack(payload)
+                    for i in dealt_texts(block, pa.table({"text": np.arange(len(d.size)), "train": d.train}), turn):
+                        held.append((d, i))
+                        size += int(d.size[i])
                         if size >= TRAINER_BYTES:
                             flat, n = trained(held)
                             total, windows, held, size = total + flat, windows + n, [], 0
@@ -246,16 +300,13 @@ class Scorer:
     def __init__(self, p: A.Pieces, w: dict[str, np.ndarray], prior: A.Prior, tokens: int, types: int, texts: int) -> None:
         self.p, self.w, self.prior, self.tokens, self.types, self.texts = p, w, prior, tokens, types, texts
 
-    def score(self, texts: list[list[int]], counts: np.ndarray, ids: Ragged) -> list[tuple[int, int, float, float]]:
-        """(n_tokens, n_known, base, score) of texts given as numbers of words."""
-        out = []
-        for a, z in _groups([len(t) for t in texts], 200_000):
-            out += self._score(texts[a:z], counts, ids)
-        return out
+    def score(self, word: np.ndarray, n_words: np.ndarray, counts: np.ndarray, ids: Ragged) -> tuple[np.ndarray, ...]:
+        """(n_tokens, n_known, base, score) of texts given as numbers of words, end to end, ``n_words`` in each."""
+        begin = np.concatenate([[0], np.cumsum(n_words)])
+        parts = [self._score(word[begin[a] : begin[z]], n_words[a:z], counts, ids) for a, z in _groups(n_words.tolist(), 200_000)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def _score(self, texts: list[list[int]], counts: np.ndarray, ids: Ragged):
-        n_words = np.array([len(t) for t in texts], np.int64)
-        word = np.fromiter(chain.from_iterable(texts), np.int64, int(n_words.sum()))
+    def _score(self, word: np.ndarray, n_words: np.ndarray, counts: np.ndarray, ids: Ragged):
         p = self.p
         symbols, size, pieces = _streams(p, ids, word, n_words)
         which, kind = A.score_streams(p, self.w, self.prior, symbols, size)
@@ -271,7 +322,7 @@ class Scorer:
         length[inner] = pieces
         # A token's first piece is predicted, as one that opens a word, by the symbol before it; each piece
         # of a word predicts that the word goes on and with what, its last piece that it ends.
-        text_of = np.repeat(np.arange(len(texts)), n_tokens)
+        text_of = np.repeat(np.arange(len(n_words)), n_tokens)
         past = np.cumsum(length) + text_of + 1
         before = past - length - 1
         all_which, all_kind = np.concatenate([[0], np.cumsum(which)]), np.concatenate([[0], np.cumsum(kind)])
@@ -281,7 +332,7 @@ class Scorer:
         starts = is_end - n_words
         base = np.add.reduceat(np.log10(c + 1.0), starts) - n_tokens * np.log10(self.tokens + self.types + 1.0)
         known = np.add.reduceat((c > 0).astype(np.int64), starts)
-        return list(zip(n_tokens.tolist(), known.tolist(), base.tolist(), np.add.reduceat(mixed, starts).tolist(), strict=True))
+        return n_tokens, known, base, np.add.reduceat(mixed, starts)
 
 
 def _groups(sizes: list[int], most: int):
@@ -316,30 +367,26 @@ def lm_scores(docs: DataFrame, train: Column, path: str, key: str = "doc_id", te
     scorer = Scorer(p, w, prior, tokens, types, texts)
 
     def compute(batches):
-        now, number, parts, block = None, {}, [], None
+        # A block comes first, then the answers to it in the order of its words.
+        now, block, parts = None, None, []
         for b in batches:
             for target, source, payload in zip(*[x.to_pylist() for x in b.columns], strict=True):
                 if target != now:
                     if block is not None:
-                        yield scored(block, number, parts)
-                    now, number, parts, block = target, {}, [], None
+                        yield scored(block, parts)
+                    now, block, parts = target, None, []
                 if source == _DOCS:
-                    block = _block(payload)
+                    block = Block.unpack(payload)
                 else:
-                    words, *rest = _unpack(payload)
-                    number.update(zip(words, range(len(number), len(number) + len(words)), strict=True))
-                    parts.append(rest)
+                    parts.append(_unpack(payload))
         if block is not None:
-            yield scored(block, number, parts)
+            yield scored(block, parts)
 
-    def scored(block, number, parts):
-        of = number.__getitem__
+    def scored(block, parts):
         counts = np.concatenate([np.zeros(0, np.int64), *[x[0] for x in parts]])
         ids = Ragged.join([Ragged(np.zeros(0, np.uint32), np.zeros(0)), *[Ragged(x[1], x[2]) for x in parts]])
-        got = scorer.score([list(map(of, words_of_text(t))) for t in block["text"].to_pylist()], counts, ids)
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        key_column = block["key"].combine_chunks() if block["key"].num_chunks != 1 else block["key"].chunk(0)
-        return pa.record_batch([key_column] + [pa.array([r[j] for r in got], k) for j, k in enumerate(kinds)], names=["key", "n_tokens", "n_known", "base_score", "score"])
+        got = scorer.score(block.numbers, block.n_words, counts, ids)
+        return pa.record_batch([block.key, *map(pa.array, got)], names=["key", "n_tokens", "n_known", "base_score", "score"])
 
     asking = blocks.select(F.col("source").alias("target"), F.col("target").alias("source"), "payload")
     met = asking.unionByName(answered.where("target >= 0")).repartition(targets, "target").sortWithinPartitions("target", "source")
