@@ -183,3 +183,65 @@ def test_ranks_and_nearest_by_strips_equal_brute_force():
             order = np.lexsort((np.broadcast_to(pid, far.shape), np.round(far, 9)), axis=1)[:, :6]
             assert (np.stack(found["neighbors"].to_numpy()) == pid[order]).all()
             assert np.allclose(np.stack(found["distances"].to_numpy()), np.take_along_axis(far, order, axis=1), atol=1e-7)
+
+
+def labels(x, eps, m, ids):
+    """Smallest core id of each point's cluster, by brute force; None for noise."""
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= eps
+    core = near.sum(1) >= m
+    label = np.where(core, ids, np.iinfo(np.int64).max)
+    while True:
+        new = np.where(core, np.min(np.where(near & core[None], label[None], np.iinfo(np.int64).max), axis=1), label)
+        if (new == label).all():
+            break
+        label = new
+    label = np.where(core, label, np.min(np.where(near & core[None], label[None], np.iinfo(np.int64).max), axis=1))
+    return {i: None if c == np.iinfo(np.int64).max else c for i, c in zip(ids.tolist(), label.tolist(), strict=True)}
+
+
+def test_clusters_that_blocks_see_in_part_equal_brute_force(spark, monkeypatch):
+    """Points that are core only with other blocks, clusters that no hub touches, borders with cores elsewhere, huge ids."""
+    rng = np.random.default_rng(21)
+    knots = rng.uniform(-3, 3, (25, 2))
+    x = np.round(np.vstack([rng.uniform(-3, 3, (330, 2)), knots.repeat(6, axis=0) + rng.normal(0, 0.08, (150, 2))]), 4)
+    x = np.vstack([x, x[:40]])
+    ids = 2**60 + rng.permutation(len(x)).astype(np.int64) * 3
+    df = spark.createDataFrame(pd.DataFrame({"id": ids, "g": "a", "v": list(x)}), "id bigint, g string, v array<double>").repartition(4)
+    monkeypatch.setattr(N, "HUBS", 3)
+    kinds = set()
+    for eps, m in ((0.2, 4), (0.35, 9)):
+        want = labels(x, eps, m, ids)
+        got = {r.id: r.cluster for r in N.dbscan_clusters(df, "g", "id", "v", eps, m, pivots=4, block_rows=70, tile_rows=16).collect()}
+        assert got == want
+        kinds |= {None in want.values(), len(set(want.values())) > 8}
+    assert kinds == {True}
+
+
+def test_clusters_look_only_at_pairs_that_matter(monkeypatch):
+    """In a dense block a fraction of the pairs settles which points are core and that they hang together."""
+    from tidalgrid.operators import blocks as B
+
+    x = np.random.default_rng(3).normal(size=(4000, 8))
+    looked = []
+    plain = B.pairs_within
+    monkeypatch.setattr(B, "pairs_within", lambda a, b, eps: looked.append(len(a) * len(b)) or plain(a, b, eps))
+    points = np.arange(4000), x, np.ones(4000, np.int64), np.zeros((4000, 1))
+    found = B.Work(N._Cores(4.0, 10), points, 256).reducer.result()
+    parts = B.Work(N._Parts(4.0), points, 256).reducer.result()
+    assert (found[found.kind == N.WEIGHT].other >= 10).sum() > 3900 and parts.part.value_counts().max() > 3900
+    assert sum(looked) < 4000 * 4000 / 2
+
+
+def test_pairs_within_a_distance_equal_brute_force():
+    from tidalgrid.operators.blocks import pairs_within
+
+    rng = np.random.default_rng(9)
+    for scale, offset in ((1.0, 0.0), (1e-9, 0.0), (1e8, 0.0), (1.0, 1e4), (1e25, 0.0)):
+        x, y = (rng.integers(-4, 5, (n, 6)) * scale + offset for n in (300, 170))
+        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+        for eps in (5.0 * scale, np.sqrt(7.0) * scale, np.sort(d.ravel())[4000]):
+            got = np.zeros(d.shape, bool)
+            for i, j in pairs_within(x, y, eps):
+                got[i, j] = True
+            assert (got == (d <= eps)).all()
+    assert not list(pairs_within(np.full((2, 3), np.nan), np.zeros((2, 3)), 1.0))

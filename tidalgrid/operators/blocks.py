@@ -51,6 +51,44 @@ def lifted(v: np.ndarray, left: bool) -> np.ndarray:
     return np.hstack([-2.0 * v, sq, one] if left else [v, one, sq])
 
 
+#: Rows of squared distances worked on at once: they stay in the processor's cache.
+STRIP = 128
+#: Pairs whose distance is taken once more in full, at once.
+EXACT_PAIRS = 16_384
+
+
+def pairs_within(x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the rows of ``x`` and ``y`` at most ``eps`` apart; both should lie around the origin.
+
+    Squared distances come from products of single precision where that tells most pairs apart; what lies
+    within the rounding of the product around the limit is decided by the distance itself, in double precision.
+    """
+    limit, terms = eps * eps, x.shape[1] + 8
+    norms = [np.sqrt((v * v).sum(axis=1)) for v in (x, y)]
+    scale = sum(n[np.isfinite(n)].max(initial=0.0) for n in norms) ** 2
+    kind, unit = (np.float32, 2.0**-22) if 1e-30 < limit and scale < 1e30 and terms * 2.0**-22 * scale < 0.01 * limit else (np.float64, 2.0**-51)
+    slack = terms * unit * scale
+    left, right = lifted(x, True).astype(kind, copy=False), lifted(y, False).T.astype(kind)
+    upper = kind(limit + slack)
+    room = np.empty((min(STRIP, len(x)), len(y)), kind)
+    for at in range(0, len(x), STRIP):
+        rows = left[at : at + STRIP]
+        d = np.matmul(rows, right, out=room[: len(rows)])
+        hits = np.flatnonzero(d <= upper)
+        if not len(hits):
+            continue
+        i, j = np.divmod(hits, len(y))
+        i += at
+        unsure = np.flatnonzero(d.ravel()[hits] >= limit - slack)
+        if len(unsure):
+            near = np.ones(len(hits), bool)
+            for k in range(0, len(unsure), EXACT_PAIRS):
+                part = unsure[k : k + EXACT_PAIRS]
+                near[part] = np.sqrt(((x[i[part]] - y[j[part]]) ** 2).sum(axis=1)) <= eps
+            i, j = i[near], j[near]
+        yield i, j
+
+
 def as_matrix(v: pd.Series) -> np.ndarray:
     return np.stack(v.to_numpy()).astype(float, copy=False) if len(v) else np.zeros((0, 0))
 
@@ -100,15 +138,16 @@ def lay_out(
     return Blocks(reliable_checkpoint(points), gaps, tile_rows)
 
 
-def _meetings(t: Blocks, reach: Column | None) -> DataFrame:
+def _meetings(t: Blocks, reach: Column | None, guests: DataFrame | None = None) -> DataFrame:
     """(g, cell, block, other, other_block, foreign): each block with itself and all that may hold points within ``reach``.
 
     Cells of a group are paired first, at most pivots x pivots of them, then their blocks.  ``reach``
-    may use the column ``bound`` of the left block; None keeps every block.
+    may use the column ``bound`` of the left block; None keeps every block.  With ``guests``, only theirs are others.
     """
     more = [F.max("bound").alias("bound")] if "bound" in t.points.columns else []
     blocks = t.points.groupBy("g", "cell", "block").agg(F.max("reach").alias("r"), *more)
-    far = blocks.select(F.col("g").alias("_g"), F.col("cell").alias("_cell"), F.col("block").alias("other_block"), F.col("r").alias("other_r"))
+    others = blocks if guests is None else guests.groupBy("g", "cell", "block").agg(F.max("reach").alias("r"))
+    far = others.select(F.col("g").alias("_g"), F.col("cell").alias("_cell"), F.col("block").alias("other_block"), F.col("r").alias("other_r"))
     both = blocks.where("cell >= 0").join(F.broadcast(t.gaps), "cell").join(far, F.col("g").eqNullSafe(F.col("_g")) & (F.col("other") == F.col("_cell")))
     same = (F.col("cell") == F.col("other")) & (F.col("block") == F.col("other_block"))
     both = both.where(~same if reach is None else ~same & (F.col("gap") - F.col("r") - F.col("other_r") <= reach + SLACK))
@@ -147,22 +186,30 @@ class Work:
     ``own`` says that the others are of the block too, and is their places in it, else None.
     A reducer with ``squared`` set sees squared distances, which rounding may leave a hair below 0, of a few
     rows at a time: they stay in the processor's cache, and their memory is used again by the next ones.
+    A reducer with ``open_pairs(a, b, own)`` names the places of two tiles whose pairs still matter, as lists of
+    (left, right), and ``found(left, right, own)`` sees those of them that lie within its ``eps``.
+    ``arrive(points)`` and ``leave()``, where there are any, enclose the meeting with foreign points.
     """
 
     #: Rows of squared distances handed out at once.
-    STRIP = 128
+    STRIP = STRIP
 
     def __init__(self, reducer, points: tuple, tile_rows: int) -> None:
         pid, vec, w, carry = points
         self.reducer, self.vec, self.rows = reducer, vec, tile_rows
         self.tiles = _tiles(vec, tile_rows)
         reducer.begin(pid, vec, w, carry)
-        self._meet(points, self.tiles, own=True)
+        if getattr(reducer, "meets_own", True):
+            self._meet(points, self.tiles, own=True)
         if hasattr(reducer, "settle"):
             reducer.settle()
 
     def meet(self, points: tuple) -> None:
+        if hasattr(self.reducer, "arrive"):
+            self.reducer.arrive(points)
         self._meet(points, _tiles(points[1], self.rows), own=False)
+        if hasattr(self.reducer, "leave"):
+            self.reducer.leave()
 
     def _meet(self, points: tuple, tiles: list[_Tile], own: bool) -> None:
         pid, vec, w, carry = points
@@ -176,6 +223,9 @@ class Work:
                 if gap[j] > self.reducer.reach(a.at) + SLACK:
                     break
                 b = tiles[j]
+                if hasattr(self.reducer, "open_pairs"):
+                    self._pairs(a, b, vec, own)
+                    continue
                 if getattr(self.reducer, "squared", False):
                     self._strips(a, b, near, points, own)
                     continue
@@ -184,6 +234,13 @@ class Work:
                     np.fill_diagonal(d, np.nan)
                 self.reducer.meet(a.at, d, pid[b.at], w[b.at], carry[b.at], b.at if own else None)
 
+    def _pairs(self, a: _Tile, b: _Tile, vec: np.ndarray, own: bool) -> None:
+        for left, right in self.reducer.open_pairs(a.at, b.at, own):
+            near = list(pairs_within(self.vec[left] - a.centre, vec[right] - a.centre, self.reducer.eps))
+            if near:
+                i, j = (np.concatenate(places) for places in zip(*near, strict=True))
+                self.reducer.found(left[i], right[j], own)
+
     def _strips(self, a: _Tile, b: _Tile, near: np.ndarray, points: tuple, own: bool) -> None:
         pid, vec, w, carry = points
         left, right = lifted(near, True), lifted(vec[b.at] - a.centre, False).T
@@ -197,16 +254,26 @@ class Work:
             self.reducer.meet(rows, d, *others)
 
 
-def stream(t: Blocks, reach: Column | None, carry: Column, schema: str, reducer: Callable[[], object]) -> DataFrame:
+def stream(
+    t: Blocks, reach: Column | None, carry: Column, schema: str, reducer: Callable[[], object], guests: DataFrame | None = None
+) -> DataFrame:
     """(g, ``schema``): each block's reducer after its own points and then those of every block it meets.
 
     Rows arrive sorted, so a task keeps one block and its running result in memory.  ``carry`` is an
-    array of numbers that travels with each point.
+    array of numbers that travels with each point.  ``guests``, rows like the points, are then the only ones that
+    go to other blocks; points stay in theirs.
     """
     carried = carry.cast("array<double>").alias("carry")
     if t.gaps is None:
         rows = t.points.select("g", "cell", "block", F.lit(False).alias("foreign"), "pid", "vec", "w", carried)
         order = ["g", "cell", "block"]
+    elif guests is not None:
+        own = t.points.select("g", "cell", "block", F.lit(False).alias("foreign"), "pid", "vec", "w", carried)
+        points = guests.select(F.col("g").alias("_g"), F.col("cell").alias("_other"), F.col("block").alias("_other_block"), "pid", "vec", "w", carried)
+        meet = _meetings(t, reach, guests).where("foreign")
+        same = F.col("g").eqNullSafe(F.col("_g")) & (F.col("other") == F.col("_other")) & (F.col("other_block") == F.col("_other_block"))
+        rows = own.unionByName(points.join(meet, same).select(own.columns))
+        order = ["g", "cell", "block", "foreign"]
     else:
         points = t.points.select("g", F.col("cell").alias("other"), F.col("block").alias("other_block"), "pid", "vec", "w", carried)
         meet = _meetings(t, reach).withColumnsRenamed({"g": "_g", "other": "_other", "other_block": "_other_block"})

@@ -176,63 +176,142 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = jumped
 
 
-#: What a row of _Clusters says: a core point and the least id it reaches inside its block; a point that is no core
-#: and such an id of a core neighbour; such an id and a linked core point of another block; a point that is no core and
-#: a core neighbour of another block.
-CORE, BORDER, LINK, FAR_BORDER = range(4)
+#: What a row of _Cores and _Visits says of a point: the weight found near it, or one of the points found near it.
+WEIGHT, NEAR = range(2)
 
 
-class _Clusters:
-    """Components of core points inside the block, by labels that numpy spreads, and what ties them to other blocks.
+class _Cores:
+    """Which points of the block have ``min_samples`` near them, itself included, inside the block.
 
-    A point that is no core has fewer neighbours than ``min_samples``, so its rows are few; links to other
-    blocks are one a pair of component and point, never one an edge.
+    A point is settled once it has that many; the others name all that was found, fewer than ``min_samples`` each.
+    """
+
+    def __init__(self, eps: float, min_samples: int):
+        self.eps, self.least = eps, min_samples
+
+    def begin(self, pid, vec, w, carry):
+        self.pid, self.w = pid, w
+        self.weight = w.astype(np.int64)
+        self.near = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def reach(self, rows):
+        return self.eps if (self.weight[rows] < self.least).any() else -np.inf
+
+    def open_pairs(self, a, b, own):
+        left = a[self.weight[a] < self.least]
+        return [(left, b)] if len(left) else []
+
+    def found(self, rows, others, own):
+        apart = rows != others
+        self._add(rows[apart], self.w[others[apart]], self.pid[others[apart]])
+
+    def _add(self, rows, w, pid):
+        np.add.at(self.weight, rows, w)
+        few = self.weight[rows] < self.least
+        self.near.append((rows[few], pid[few]))
+
+    def result(self):
+        rows, others = (np.concatenate(x) for x in zip(*self.near, strict=True))
+        few = self.weight[rows] < self.least
+        return pd.concat([
+            pd.DataFrame({"pid": self.pid, "other": self.weight, "kind": WEIGHT}),
+            pd.DataFrame({"pid": self.pid[rows[few]], "other": others[few], "kind": NEAR}),
+        ], ignore_index=True)
+
+
+class _Visits(_Cores):
+    """What each visitor from another block finds in this one; it is settled here at ``min_samples``."""
+
+    meets_own = False
+
+    def begin(self, pid, vec, w, carry):
+        self.own, self.own_w, self.rows = pid, w, []
+
+    def reach(self, rows):
+        return self.eps
+
+    def arrive(self, points):
+        super().begin(*points)
+        self.weight[:] = 0
+
+    def open_pairs(self, a, b, own):
+        right = b[self.weight[b] < self.least]
+        return [(a, right)] if len(right) else []
+
+    def found(self, rows, others, own):
+        self._add(others, self.own_w[rows], self.own[rows])
+
+    def leave(self):
+        out = super().result()
+        self.rows.append(out[(out["kind"] == NEAR) | (out["other"] > 0)])
+
+    def result(self):
+        return pd.concat(self.rows, ignore_index=True) if self.rows else pd.DataFrame({"pid": [], "other": [], "kind": []})
+
+
+class _Parts:
+    """Core points of a block that hang together, by labels that numpy spreads, and the visitors that hang on them.
+
+    Pairs of points whose labels already agree are not looked at again.
     """
 
     def __init__(self, eps: float):
         self.eps = eps
 
+    def _named(self, pid, carry):
+        return pid
+
     def begin(self, pid, vec, w, carry):
-        self.pid, self.core = pid, carry[:, 0] > 0
-        # Places in order of their ids, so that the smallest label is the smallest id.
-        self.order = np.argsort(pid, kind="stable")
-        self.place = np.empty(len(pid), np.int64)
-        self.place[self.order] = np.arange(len(pid))
-        self.label = np.arange(len(pid))
-        self.own_border, self.rows = [], []
+        # Names in order, so that the smallest label is the smallest id.
+        self.names, self.node = np.unique(self._named(pid, carry), return_inverse=True)
+        self.own_names = len(self.names)
+        self.label = np.arange(self.own_names)
 
     def reach(self, rows):
         return self.eps
 
-    def _least(self, places: np.ndarray) -> np.ndarray:
-        return self.pid[self.order[self.label[self.place[places]]]]
+    def arrive(self, points):
+        names, at = np.unique(self._named(points[0], points[3]), return_inverse=True)
+        order = np.argsort(self.names, kind="stable")
+        place = np.searchsorted(self.names, names, sorter=order)
+        node = order[np.minimum(place, len(order) - 1)]
+        new = self.names[node] != names
+        node[new] = len(self.names) + np.arange(new.sum())
+        self.names = np.concatenate([self.names, names[new]])
+        self.label = np.concatenate([self.label, node[new]])
+        self.guest = node[at]
+
+    def open_pairs(self, a, b, own):
+        if own and b[0] < a[0]:  # met before, the other way round
+            return []
+        la, lb = self.label[self.node[a]], self.label[(self.node if own else self.guest)[b]]
+        some, n = np.unique(np.concatenate([la, lb]), return_counts=True)
+        if len(some) == 1:
+            return []
+        # What has the most common label on both sides hangs together.
+        la, lb = la == some[n.argmax()], lb == some[n.argmax()]
+        return [(x, y) for x, y in ((a[~la], b), (a[la], b[~lb])) if len(x) and len(y)]
+
+    def found(self, rows, others, own):
+        merge_labels(self.label, self.node[rows], (self.node if own else self.guest)[others])
 
-    def meet(self, rows, d, pid, w, carry, own):
-        near = (d <= self.eps) & (carry[:, 0] > 0)[None, :]
-        if not near.any():
-            return
-        a, b = np.nonzero(near)
-        a = rows[a]
-        core = self.core[a]
-        if own is not None:
-            merge_labels(self.label, self.place[a[core]], self.place[own[b[core]]])
-            self.own_border.append((a[~core], own[b[~core]]))
-        else:
-            links = np.unique(np.stack([self._least(a[core]), pid[b[core]]], axis=1), axis=0)
-            self.rows += [(LINK, links[:, 0], links[:, 1]), (FAR_BORDER, self.pid[a[~core]], pid[b[~core]])]
-
-    def settle(self):
-        """After the block's own points: labels inside it are final."""
-        at = np.flatnonzero(self.core)
-        self.rows.append((CORE, self.pid[at], self._least(at)))
-        for a, b in self.own_border:
-            pairs = np.unique(np.stack([self.pid[a], self._least(b)], axis=1), axis=0)
-            self.rows.append((BORDER, pairs[:, 0], pairs[:, 1]))
-        self.own_border = []
+    def result(self):
+        own = np.arange(len(self.names)) < self.own_names
+        told = own | (self.label != np.arange(len(self.names)))
+        return pd.DataFrame({"pid": self.names[told], "part": self.names[self.label[told]], "own": own[told]})
+
+
+class _Joins(_Parts):
+    """Components that visitors join to those of the block's points; names travel as two halves of a number."""
+
+    meets_own = False
+
+    def _named(self, pid, carry):
+        return carry[:, 0].astype(np.int64) * 2**32 + carry[:, 1].astype(np.int64)
 
     def result(self):
-        parts = [pd.DataFrame({"pid": a, "other": b, "kind": kind}) for kind, a, b in self.rows if len(a)]
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"pid": [], "other": [], "kind": []})
+        out = super().result()
+        return out[out["pid"] != out["part"]]
 
 
 def _none() -> Column:
@@ -369,29 +448,79 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return state
 
 
+def _core_points(t: Blocks, eps: float, min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """(pid) of the core points, and (pid, to) of all pairs of a point that is no core and one near it.
+
+    Blocks first look at their own points; only those that found too few there visit other blocks.
+    """
+    fields = "other bigint, kind int"
+    found = reliable_checkpoint(stream(Blocks(t.points, None, t.tile_rows), None, _none(), fields, lambda: _Cores(eps, min_samples)))
+    if t.gaps is not None:
+        open_ids = found.where((F.col("kind") == WEIGHT) & (F.col("other") < min_samples)).select("pid")
+        guests = t.points.where("cell >= 0").join(open_ids, "pid", "left_semi")
+        if not guests.isEmpty():
+            guests = reliable_checkpoint(guests.select(t.points.columns))
+            visits = stream(t, F.lit(float(eps)), _none(), fields, lambda: _Visits(eps, min_samples), guests)
+            found = found.unionByName(reliable_checkpoint(visits))
+    weights = found.where(F.col("kind") == WEIGHT).groupBy("pid").agg(F.sum("other").alias("weight"))
+    weights = reliable_checkpoint(weights)
+    near = found.where(F.col("kind") == NEAR).select("pid", F.col("other").alias("to"))
+    return weights.where(F.col("weight") >= min_samples).select("pid"), near.join(weights.where(F.col("weight") < min_samples).select("pid"), "pid")
+
+
+#: About so many core points of a large group visit every block, before anything else does.
+HUBS = 2048
+
+
+def _core_components(t: Blocks, cores: DataFrame, eps: float) -> DataFrame:
+    """(pid, cluster) of the core points; the cluster is the smallest id in it.
+
+    Blocks find what hangs together inside them and on a few visitors, which mostly leaves one component a group that
+    holds nearly all.  A link between two components has an end outside the largest one: only the core points
+    outside it visit all other blocks.
+    """
+    points = t.points.join(cores, "pid", "left_semi").select(t.points.columns)
+    reach = F.lit(float(eps))
+    if t.gaps is None:
+        return stream(Blocks(points, None, t.tile_rows), None, _none(), "part bigint, own boolean", lambda: _Parts(eps)).select("pid", F.col("part").alias("cluster"))
+    points = reliable_checkpoint(points)
+    core = t.with_columns(points)
+    sizes = points.where("cell >= 0").groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(HUBS)).alias("_k")).withColumnRenamed("g", "_g")
+    hubs = points.where("cell >= 0").join(F.broadcast(sizes), F.col("g").eqNullSafe(F.col("_g"))).where(F.pmod(F.xxhash64("pid", F.lit("hub")), F.col("_k")) == 0)
+    found = reliable_checkpoint(stream(core, reach, _none(), "part bigint, own boolean", lambda: _Parts(eps), hubs.select(points.columns)))
+    own = found.where("own").select("pid", "part")
+    links = found.where(~F.col("own")).select("part", F.col("pid").alias("to"))
+
+    def joined(own: DataFrame, edges: DataFrame) -> DataFrame:
+        comp = components(own.select(F.col("part").alias("id")).distinct(), edges)
+        return own.join(comp.withColumnsRenamed({"id": "part", "component": "_c"}), "part").select("pid", F.col("_c").alias("part"))
+
+    if not links.isEmpty():
+        of = own.select(F.col("pid").alias("to"), F.col("part").alias("b"))
+        own = reliable_checkpoint(joined(own, links.join(of, "to").select(F.col("part").alias("a"), "b").distinct()))
+    placed = points.join(own, "pid")
+    largest = placed.where("cell >= 0").groupBy("g", "part").agg(F.count(F.lit(1)).alias("_n")).groupBy("g").agg(F.max_by("part", "_n").alias("part"))
+    guests = placed.where("cell >= 0").join(F.broadcast(largest.select("part")), "part", "left_anti")
+    if not guests.isEmpty():
+        name = F.array(F.shiftright("part", 32), F.col("part").bitwiseAND(F.lit(2**32 - 1)))
+        guests = reliable_checkpoint(guests.select(*points.columns, "part"))
+        joins = reliable_checkpoint(stream(t.with_columns(placed), reach, name, "part bigint, own boolean", lambda: _Joins(eps), guests))
+        if not joins.isEmpty():
+            own = joined(own, joins.select(F.col("pid").alias("a"), F.col("part").alias("b")).distinct())
+    return own.withColumnRenamed("part", "cluster")
+
+
 def dbscan_clusters(df: DataFrame, group: str, key: str, vector: str, eps: float, min_samples: int, **layout) -> DataFrame:
     """(key, group, cluster) per row; the cluster is the smallest core id in it, NULL for noise.
 
-    A border point joins the neighbouring cluster with the smallest id.  Blocks find their own components;
-    only the graph of those components goes through rounds of joins, and only if links cross blocks.
+    A border point joins the neighbouring cluster with the smallest id.  Looking ends where it can change nothing
+    more: a point with ``min_samples`` near it is core, and pairs inside a known component are no new links.
     """
     t = lay_out(df, group, key, vector, **layout)
-    counts = reliable_checkpoint(neighbor_counts(t, [eps]))
-    core = F.when(F.col("counts")[0] >= min_samples, 1.0).otherwise(0.0)
-    carried = t.with_columns(t.points.join(counts.drop("g"), "pid"))
-    found = reliable_checkpoint(stream(carried, F.lit(float(eps)), F.array(core), "other bigint, kind int", lambda: _Clusters(eps)))
-    kind = lambda k, a, b: found.where(F.col("kind") == k).select(F.col("pid").alias(a), F.col("other").alias(b))
-    own, border = kind(CORE, "pid", "part"), kind(BORDER, "pid", "part")
-    links = kind(LINK, "part", "to")
-    if t.gaps is not None and not links.isEmpty():
-        of = own.select(F.col("pid").alias("to"), F.col("part").alias("other"))
-        comp = components(own.select(F.col("part").alias("id")).distinct(), links.join(of, "to").select(F.col("part").alias("a"), F.col("other").alias("b")).distinct())
-        border = border.unionByName(kind(FAR_BORDER, "pid", "to").join(of, "to").select("pid", F.col("other").alias("part")))
-        named = lambda d: d.join(comp.select(F.col("id").alias("part"), F.col("component").alias("cluster")), "part").drop("part")
-        own, border = named(own), named(border)
-    else:
-        own, border = own.withColumnRenamed("part", "cluster"), border.withColumnRenamed("part", "cluster")
-    found = own.unionByName(border.groupBy("pid").agg(F.min("cluster").alias("cluster")))
+    cores, near = _core_points(t, eps, min_samples)
+    own = reliable_checkpoint(_core_components(t, cores, eps))
+    border = near.join(own.withColumnRenamed("pid", "to"), "to").groupBy("pid").agg(F.min("cluster").alias("cluster"))
+    found = own.unionByName(border)
     if not layout.get("merge_equal", True):
         return df.select(key, group).join(found.withColumnRenamed("pid", key), key, "left")
     return _back_to_rows(df, t, t.points.select("g", "pid").join(found, "pid", "left"), group, key, vector)
