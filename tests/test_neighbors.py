@@ -245,3 +245,22 @@ def test_pairs_within_a_distance_equal_brute_force():
                 got[i, j] = True
             assert (got == (d <= eps)).all()
     assert not list(pairs_within(np.full((2, 3), np.nan), np.zeros((2, 3)), 1.0))
+
+
+def test_nearest_centroids_hold_few_distances_at_once(spark, monkeypatch):
+    """Strips of two rows give what one matrix of all rows gives; rows stay whole where a batch is empty."""
+    from tidalgrid.operators import outliers as Ou
+
+    rng = np.random.default_rng(12)
+    x, c = rng.normal(size=(80, 3)), np.arange(80) % 9
+    df = spark.createDataFrame([(i, "a", v.tolist(), None if k == 8 else int(k)) for i, (v, k) in enumerate(zip(x, c, strict=True))], "id bigint, g string, v array<double>, c bigint")
+    monkeypatch.setattr(Ou, "SPOT_CELLS", 16)
+    got = {r.id: r for r in Ou.centroid_distance(df.repartition(30, "c"), "g", "id", "v", "c").collect()}
+    spots = np.stack([x[c == k].mean(axis=0) for k in range(8)])
+    d = np.sqrt(((x[:, None] - spots[None]) ** 2).sum(2))
+    assert len(got) == 80
+    for i in range(80):
+        k = d[i].argmin()
+        edge = d[c == k, k].max()
+        assert got[i].nearest_cluster == k and got[i].nearest_cluster_size == (c == k).sum()
+        assert got[i].centroid_distance == pytest.approx(d[i, k]) and got[i].edge_ratio == pytest.approx(d[i, k] / edge)

@@ -10,13 +10,18 @@ short, and one matrix product does the rest.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import reliable_checkpoint
 from .sampling import hash_sample
@@ -52,7 +57,7 @@ def lifted(v: np.ndarray, left: bool) -> np.ndarray:
 
 
 #: Rows of squared distances worked on at once: they stay in the processor's cache.
-STRIP = 128
+STRIP, SINGLE_STRIP = 128, 256
 #: Pairs whose distance is taken once more in full, at once.
 EXACT_PAIRS = 16_384
 
@@ -70,9 +75,10 @@ def pairs_within(x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[np.
     slack = terms * unit * scale
     left, right = lifted(x, True).astype(kind, copy=False), lifted(y, False).T.astype(kind)
     upper = kind(limit + slack)
-    room = np.empty((min(STRIP, len(x)), len(y)), kind)
-    for at in range(0, len(x), STRIP):
-        rows = left[at : at + STRIP]
+    strip = SINGLE_STRIP if kind is np.float32 else STRIP
+    room = np.empty((min(strip, len(x)), len(y)), kind)
+    for at in range(0, len(x), strip):
+        rows = left[at : at + strip]
         d = np.matmul(rows, right, out=room[: len(rows)])
         hits = np.flatnonzero(d <= upper)
         if not len(hits):
@@ -93,6 +99,14 @@ def as_matrix(v: pd.Series) -> np.ndarray:
     return np.stack(v.to_numpy()).astype(float, copy=False) if len(v) else np.zeros((0, 0))
 
 
+def rows_of(lists: pa.ListArray) -> np.ndarray:
+    """A matrix of lists of numbers, which must have one length."""
+    n = pc.min_max(pc.list_value_length(lists)).as_py()
+    if lists.null_count or n["min"] != n["max"]:
+        raise ValueError("all vectors must have the same length")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(lists), n["min"] or 0)
+
+
 def lay_out(
     df: DataFrame, group: str, key: str, vector: str, pivots: int = 32, block_rows: int | None = None, tile_rows: int = 1024,
     merge_equal: bool = True, seed: str = "pivots",
@@ -282,35 +296,43 @@ def stream(
         order = ["g", "cell", "block", "foreign", "other", "other_block"]
     rows = rows.repartition("g", "cell", "block").sortWithinPartitions(*order).select("g", "cell", "block", "foreign", "pid", "vec", "w", "carry")
     tile_rows = t.tile_rows
+    fields = StructType.fromDDL(f"g string, pid bigint, {schema}")
+    made = to_arrow_schema(fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held, work = None, [], None
 
-        def unpack(parts: list[pd.DataFrame]) -> tuple:
-            p = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-            return p["pid"].to_numpy(), as_matrix(p["vec"]), p["w"].to_numpy(), as_matrix(p["carry"])
+        def unpack(parts: list[pa.RecordBatch]) -> tuple:
+            column = lambda name: pa.chunked_array([p.column(name) for p in parts]).combine_chunks()
+            numbers = lambda name: column(name).to_numpy(zero_copy_only=False)
+            return numbers("pid"), rows_of(column("vec")), numbers("w"), rows_of(column("carry"))
 
-        def finished() -> Iterator[pd.DataFrame]:
+        def finished() -> Iterator[pa.RecordBatch]:
             nonlocal held, work
             if current is not None:
                 out = (work or Work(reducer(), unpack(held), tile_rows)).reducer.result()
                 if len(out):
-                    yield out.assign(g=current[0])
+                    yield pa.RecordBatch.from_pandas(out.assign(g=pd.Series(current[0], out.index, object)), made, preserve_index=False)
             held, work = [], None
 
-        for pdf in batches:
-            for at, part in pdf.groupby(["g", "cell", "block"], sort=False, dropna=False):
-                at = (None if pd.isna(at[0]) else at[0], *at[1:])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column("g").dictionary_encode(null_encoding="encode")
+            marks = np.stack([x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (g.indices, b.column("cell"), b.column("block"), b.column("foreign"))])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+            for lo, hi in itertools.pairwise(cuts):
+                part, (name, cell, block, foreign) = b.slice(lo, hi - lo), marks[:, lo].tolist()
+                at = g.dictionary[name].as_py(), cell, block
                 if at != current:
                     yield from finished()
                     current = at
-                foreign = part["foreign"].to_numpy(dtype=bool)
-                if not foreign.all():
-                    held.append(part[~foreign])
-                if foreign.any():
-                    if work is None:
-                        work, held = Work(reducer(), unpack(held), tile_rows), []
-                    work.meet(unpack([part[foreign]]))
+                if not foreign:
+                    held.append(part)
+                    continue
+                if work is None:
+                    work, held = Work(reducer(), unpack(held), tile_rows), []
+                work.meet(unpack([part]))
         yield from finished()
 
-    return rows.mapInPandas(run, f"g string, pid bigint, {schema}")
+    return rows.mapInArrow(run, fields)

@@ -516,7 +516,7 @@ def dbscan_clusters(df: DataFrame, group: str, key: str, vector: str, eps: float
     A border point joins the neighbouring cluster with the smallest id.  Looking ends where it can change nothing
     more: a point with ``min_samples`` near it is core, and pairs inside a known component are no new links.
     """
-    t = lay_out(df, group, key, vector, **layout)
+    t = lay_out(df, group, key, vector, **{"tile_rows": 2048, **layout})
     cores, near = _core_points(t, eps, min_samples)
     own = reliable_checkpoint(_core_components(t, cores, eps))
     border = near.join(own.withColumnRenamed("pid", "to"), "to").groupBy("pid").agg(F.min("cluster").alias("cluster"))

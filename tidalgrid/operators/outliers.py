@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import bucket_daypart, bucket_day_kind
 from ..functions.labels import first_match
 from ..session import reliable_checkpoint
+from .blocks import rows_of
 from .ordered import assign_row_id, exact_quantiles
 from .sampling import hash_sample, sample_key
 
@@ -363,6 +364,8 @@ def explain_group_z(df: DataFrame, group: str, key: str, features: Sequence[str]
 
 #: Centroids up to this size, in bytes, are sent to every task as one array; beyond it rows meet them by a join.
 SPOT_BYTES = 64 << 20
+#: Distances of rows to centroids that are held at once.
+SPOT_CELLS = 1 << 20
 
 
 def centroid_distance(df: DataFrame, group: str, key: str, vector: str, cluster: str) -> DataFrame:
@@ -402,11 +405,13 @@ def _nearest_spots(df: DataFrame, spots: DataFrame, group: str, vector: str, clu
     for r in spots.collect():  # at most SPOT_BYTES
         known.setdefault(r[group], []).append((r["_k"], r["_n"], r["_edge"], r["_c"]))
     arrays = {g: (rows, np.array([c for *_, c in rows], float)) for g, rows in ((g, sorted(rows, key=lambda r: r[0])) for g, rows in known.items())}
-    kind, names = dict(df.dtypes), df.columns
+    kind, names, cells = dict(df.dtypes), df.columns, SPOT_CELLS
     fields = f"nearest_cluster {kind[cluster]}, nearest_cluster_size bigint, centroid_distance double, edge_ratio double"
 
     def place(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             groups = b.column(0).to_pylist()
             out: list = [(None, None, None, None)] * b.num_rows
             by: dict[object, list[int]] = {}
@@ -416,15 +421,16 @@ def _nearest_spots(df: DataFrame, spots: DataFrame, group: str, vector: str, clu
                     by.setdefault(g, []).append(i)
             for g, at in by.items():
                 rows, centres = arrays[g]
-                x = np.array(b.column(1).take(pa.array(at)).to_pylist(), float)
+                x = rows_of(b.column(1).take(pa.array(at)))
                 shift = centres.mean(axis=0)
-                near = ((centres - shift) ** 2).sum(axis=1)[None, :] - 2.0 * (x - shift) @ (centres - shift).T
-                nearest = near.argmin(axis=1)
-                d = np.sqrt(((x - centres[nearest]) ** 2).sum(axis=1))
+                spot, far = -2.0 * (centres - shift).T, ((centres - shift) ** 2).sum(axis=1)
+                strip = max(1, cells // len(centres))
+                nearest = np.concatenate([(far + (x[i : i + strip] - shift) @ spot).argmin(axis=1) for i in range(0, len(x), strip)])
+                d = np.concatenate([np.sqrt(((x[i : i + strip] - centres[nearest[i : i + strip]]) ** 2).sum(axis=1)) for i in range(0, len(x), strip)])
                 for i, k, dist in zip(at, nearest.tolist(), d.tolist(), strict=True):
                     name, n, edge, _ = rows[k]
                     out[i] = (name, n, dist, dist / edge if edge else None)
-            made = pa.RecordBatch.from_pylist([dict(zip(("nearest_cluster", "nearest_cluster_size", "centroid_distance", "edge_ratio"), r, strict=True)) for r in out], schema=schema)
+            made = pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
             yield pa.RecordBatch.from_arrays([*b.columns[2:], *made.columns], names=[*names, *made.schema.names])
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -6,6 +6,7 @@ from ..functions.labels import directional_label, policy_geography
 from ..operators import neighbors as N
 from ..operators import outliers as Ou
 from ..operators import windows as Wn
+from ..session import reliable_checkpoint
 from .base import SQL_PANEL, dense_panel, isos, q6, rounded, table
 from .history import BASE_W
 from .registry import Family
@@ -91,6 +92,7 @@ def cluster_ids(spark, d, eps, m):
 
 def centroid_rows(spark, d, eps, m):
     v = vectors(spark, d).select("vec_id", "half", "embedding").join(cluster_ids(spark, d, eps, m).select("vec_id", "cluster"), "vec_id")
+    v = reliable_checkpoint(v)  # read three times below
     return rounded(Ou.centroid_distance(v, "half", "vec_id", "embedding", "cluster").drop("embedding"), ["cluster", "nearest_cluster", "nearest_cluster_size"])
 
 
